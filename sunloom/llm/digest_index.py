@@ -45,7 +45,9 @@ class DigestIndex:
         self.unseen(rows).select("digest", "keep_id").write.insertInto(self.name)
 
 
-def new_index(spark: SparkSession, buckets: int = 32) -> DigestIndex:
+def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
+    """An empty index; with as many buckets as the session has shuffle partitions, a task that adds rows writes one file."""
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", fresh_path(spark, "digest-index"), buckets)
 
 
