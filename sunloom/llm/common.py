@@ -15,7 +15,7 @@ LOWER = UPPER.lower()
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches handed to Python hold at most this much, so very long texts don't add up.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -29,28 +29,33 @@ from .common import fresh_path, map_arrow, maybe_broadcast
 from .tokens import encoder
 
 MAGIC = b"PFR1"
-BLOCK, PERCENTILE = 512, 90
+BLOCK, PERCENTILE = 2048, 90
 #: Ids after which a part ends.
 PART_IDS = 1 << 20
 PART_SCHEMA = "shard long, part long, first_doc long, ids long, payload binary"
 _HEAD, _BLOCK = struct.Struct("<4sIII"), struct.Struct("<IHBH")
 
 
+def _word(width: int) -> str:
+    return "<u2" if width <= 16 else "<u4"
+
+
 def pack_bits(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value, lowest bit first."""
     if not width:
         return b""
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    kind = np.dtype(_word(width))
+    bits = np.unpackbits(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize), axis=1, bitorder="little")[:, :width]
     return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
 
 
 def unpack_bits(data: bytes, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, dtype=np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little")[: n * width].reshape(n, width)
-    full = np.zeros((n, 32), dtype=np.uint8)
-    full[:, :width] = bits
-    return np.packbits(full, axis=1, bitorder="little").view("<u4").reshape(-1).astype(np.uint32)
+    kind = np.dtype(_word(width))
+    full = np.zeros((n, 8 * kind.itemsize), dtype=np.uint8)
+    full[:, :width] = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little")[: n * width].reshape(n, width)
+    return np.packbits(full, axis=1, bitorder="little").view(kind).reshape(-1).astype(np.uint32)
 
 
 def encode_block(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:

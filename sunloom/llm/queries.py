@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest_index, mixing, packing, pfor, preference, telephony
+from . import digest_index, langid, lattice, mixing, packing, pfor, preference, quality, simhash, telephony
 from .common import documents
 
 
@@ -28,6 +28,22 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir))
+
+
+def op5_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op6_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
+def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scores(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -41,7 +57,18 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_preference_format, op2_exact_dedup, op3_source_mix, op8_sum_of_squares_packing, op9_pfor_tokens, op10_telephony]
+    named = [
+        op1_preference_format,
+        op2_exact_dedup,
+        op3_source_mix,
+        op4_weak_label_quality,
+        op5_anchor_simhash,
+        op6_bigru_language,
+        op7_lattice_scores,
+        op8_sum_of_squares_packing,
+        op9_pfor_tokens,
+        op10_telephony,
+    ]
     return {f.__name__: f for f in named}
 
 

@@ -1,16 +1,16 @@
 """Token ids of whole texts by a ``tokenizers`` file, with the ids of words that recur kept in memory.
 
 Both public vocabularies cut a text into words by a pattern before they merge, so a text's ids are its words' ids in
-order. Texts of plain Latin characters are cut here by the same pattern and only words not seen before go through the
-library; a text with any other character goes through it whole.
+order. Texts of plain Latin characters are cut here by the same pattern and only words not seen before go to the
+library's merges; a text with any other character goes through it whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼½¾"
@@ -23,13 +23,33 @@ KINDS = {
     "byte_bpe_50k.json": (re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"), False),
     "word_bpe_49k.json": (re.compile(f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"), True),
 }
-#: Words kept, and the longest that is kept, in each Python worker.
-CACHE_WORDS, CACHE_CHARS = 600_000, 64
+#: Words kept in each of two generations, the longest that is kept, and characters cut into words at a time.
+CACHE_WORDS, CACHE_CHARS, CHARS_AT_ONCE = 250_000, 64, 1 << 20
 _loaded: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 stays, others follow U+0100."""
+    rest = iter(range(256, 512))
+    return "".join(chr(b if 33 <= b <= 126 or (161 <= b and b != 173) else next(rest)) for b in range(256))
+
+
+_LETTERS = _byte_letters()
+
+
+def _bytes(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes."""
+    """Texts to ids as little-endian unsigned 32-bit bytes.
+
+    Words are kept in two generations: when the young one is full it becomes the old one, and a word of the old one that
+    comes again moves to the young one, so words in use stay and memory is bounded.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,29 +58,53 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.pattern, self.fold = KINDS.get(os.path.basename(path), (None, False))
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word as the pattern cuts it: straight to the vocabulary's merges."""
+        if word.isascii() and word.isprintable():
+            word = word.replace(" ", _LETTERS[32])
+        else:
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        return _bytes([t.id for t in self.model.tokenize(word)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_bytes(x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        if self.pattern is None:
-            return self._whole(texts)
-        plain = [not _OTHER.search(t) for t in texts]
-        words = [self.pattern.findall(t.lower() if self.fold else t) if p else () for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*words).difference(known))
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        words = [self.pattern.findall(t.lower() if self.fold else t) for t in texts]
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = set().union(*words).difference(young)
+        again = new.intersection(old)
+        for word in again:
+            young[word] = old[word]
         once: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, ids in zip(part, self._whole(part), strict=True):
-                (known if len(word) <= CACHE_CHARS else once)[word] = ids
-        get = {**known, **once}.__getitem__ if once else known.__getitem__
-        rest = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(get, w)) if p else next(rest) for w, p in zip(words, plain, strict=True)]
+        for word in new.difference(again):
+            (young if len(word) <= CACHE_CHARS else once)[word] = self._word(word)
+        if once:
+            return [b"".join([young[w] if w in young else once[w] for w in ws]) for ws in words]
+        get = young.__getitem__
+        return [b"".join(map(get, ws)) for ws in words]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        whole = [k for k, t in enumerate(texts) if t and (self.pattern is None or _OTHER.search(t))]
+        for k in whole:
+            out[k] = self._whole([texts[k]])[0]
+        apart, part, size = set(whole), [], 0
+        for k, t in enumerate(texts):
+            if t and k not in apart:
+                part.append(k)
+                size += len(t)
+            if part and (size >= CHARS_AT_ONCE or k == len(texts) - 1):
+                for j, ids in zip(part, self._cut([texts[j] for j in part]), strict=True):
+                    out[j] = ids
+                part, size = [], 0
+        return out
 
 
 def encoder(path: str) -> Encoder:
