@@ -28,8 +28,8 @@ from .components import components
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
 #: Shingles hashed at a time, so one very long text needs little memory.
 BLOCK = 1 << 16
-#: Cosets of the first-order code by number of fingerprints: up to the first number, so many.
-SIZES = ((1_000_000, 1), (500_000_000, 8), (None, 512))
+#: Cosets of the first-order code by number of fingerprints: up to the first number, so many; buckets stay near 2,000.
+SIZES = ((80_000, 1), (500_000, 8), (4_000_000, 64), (None, 512))
 #: Fingerprints compared at one anchor; larger buckets take the exact way around. It grows so that the list of larger
 #: buckets never has more than MAX_HOT entries.
 BUCKET, MAX_HOT = 8192, 50_000
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 @cache
 def coset_leaders(n: int) -> np.ndarray:
-    """``n`` (1, 8 or 512) words whose sums with the first-order Reed-Muller code make the code; the first is 0."""
+    """``n`` words (a power of two up to 512) whose sums with the first-order Reed-Muller code make the code; 0 is first."""
     power, x = [], 1
     for _ in range(63):
         power.append(x)
@@ -88,13 +88,13 @@ def coset_leaders(n: int) -> np.ndarray:
     def form(a: int, exponent: int) -> int:
         return sum(trace(times(a, power[exponent * log[x] % 63])) << x for x in range(1, 64)) if a else 0
 
-    # Tr(a x^9) depends on a only through its trace to GF(8), so a basis over that subfield's quotient gives 8 forms.
-    ninth = sorted({form(a, 9) for a in range(64)})
-    third = sorted({form(b, 3) for b in range(64)}) if n > 8 else [0]
-    words = sorted({a ^ b for a in ninth for b in third})[:n] if n > 1 else [0]
-    if len(words) != n:
+    words = [0]
+    for form_word in [*(form(1 << k, 9) for k in range(6)), *(form(1 << k, 3) for k in range(6))]:
+        if form_word not in words:  # Tr(a x^9) has three independent forms, Tr(b x^3) six
+            words += [w ^ form_word for w in words]
+    if n > len(words) or n & (n - 1):
         raise ValueError(f"no code with {n} cosets")
-    return np.array(words, dtype=np.uint64)
+    return np.array(words[:n], dtype=np.uint64)
 
 
 def walsh(fps: np.ndarray) -> np.ndarray:
