@@ -32,6 +32,8 @@ MAGIC = b"PFR1"
 BLOCK, PERCENTILE = 2048, 90
 #: Ids after which a part ends.
 PART_IDS = 1 << 20
+#: Documents of a shard, and shards at most (then they grow).
+SHARD_ROWS, MAX_SHARDS = 4096, 16_384
 PART_SCHEMA = "shard long, part long, first_doc long, ids long, payload binary"
 _HEAD, _BLOCK = struct.Struct("<4sIII"), struct.Struct("<IHBH")
 
@@ -115,19 +117,12 @@ def block_of(data: bytes, k: int) -> np.ndarray:
 
 
 def ranged(docs: DataFrame, rows_per_shard: int) -> DataFrame:
-    """``docs`` dealt to shards of ascending doc_id (nulls first), sorted inside, by quantiles of doc_id alone."""
-    n = docs.count()
-    shards = max(1, -(-n // rows_per_shard))
-    if shards > 1:
-        cuts = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 20 * shards).alias("c")).first()["c"]
-        bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or ()))])
-        shard = F.size(F.filter(bounds, lambda c: c <= F.coalesce(F.col("doc_id"), F.lit(-(2**63)))))
-    else:
-        shard = F.lit(0)
-    return docs.withColumn("shard", shard.cast("int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id")
-
-
-def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, rows_per_shard: int = 20_000) -> None:
+    """``docs`` dealt to shards of ascending doc_id (nulls first), sorted inside; at most MAX_SHARDS of them."""
+    shards = min(MAX_SHARDS, max(1, -(-docs.count() // rows_per_shard)))
+    return docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id())
+
+
+def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, rows_per_shard: int = SHARD_ROWS) -> None:
     """Encode ``docs`` (doc_id, text) and write parts to ``path``; ``shard`` and ``part`` ascend with doc_id.
 
     Null and empty texts have the end id alone; rows that repeat a doc_id stay, in any order among themselves, and rows
@@ -165,13 +160,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
     map_arrow(ranged(docs.select("doc_id", "text"), rows_per_shard), run, PART_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the parts at ``path``: doc_id, start (ids of all documents before), n_tokens, ids_crc32, ids (binary).
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document of the parts at ``path``: doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, unless
+    left out, ids (binary).
 
     The start of a part comes from the parts' own counts, summed by shard; a shard's rows are no more than its parts.
     """
     parts = spark.read.schema(PART_SCHEMA).parquet(path)
-    # One row per shard of some 20,000 documents: the driver sees a few bytes per shard, never ids.
+    # One row per shard, of which there are MAX_SHARDS at most: the driver sees counts, never ids.
     sums = {r["shard"]: r["n"] for r in parts.groupBy("shard").agg(F.sum("ids").alias("n")).toLocalIterator()}
     before, at = {}, 0
     for shard in sorted(sums):
@@ -188,19 +184,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 firsts = ends - counts
                 raw = ids.astype("<u4").tobytes()
                 cut = [raw[4 * a : 4 * b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(firsts + start, pa.int64()), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = [pa.array(docs, pa.int64()), pa.array(firsts + start, pa.int64()), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(c) for c in cut], pa.int64())]
+                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(cut, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     # A part has a million ids: its offset is broadcast as long as the parts are few enough to count; the payload stays.
     joined = parts.select("shard", "part", "payload").join(maybe_broadcast(offsets, 200_000), ["shard", "part"]).select("payload", "part_start")
-    return map_arrow(joined, run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return map_arrow(joined, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """Write ``docs`` in this format to the shared folder and read every document back."""
     spark = docs.sparkSession
     path = fresh_path(spark, "pfor")
     write_ids(docs, tokenizer_path, path, end_id)
-    return read_ids(spark, path)
+    return read_ids(spark, path, with_ids)

@@ -49,7 +49,7 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfor.round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json")).drop("ids")
+    return pfor.round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), with_ids=False)
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
