@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import images, kernels, records, series, threads
+
+_BOOKS = [m.book for m in (threads, images, series, records, kernels)]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: fn for book in _BOOKS for name, fn in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in _BOOKS for name, sql in book.oracles.items()}
