@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The largest seed plus one, and the texts that seed derivations hash.
+#: The largest seed plus one, and the texts before the seeds that derivations hash; other texts make other series.
 SEEDS = 2147483647
-PAIR_TEXT, BACKGROUND_TEXT = "synthetic-filament-seeds-v1:", "synthetic-filament-background-seed-v1:"
+PAIR_TEXT, BACKGROUND_TEXT = "seeds-v1:", "background-seed-v1:"
 
 
 def slug(name: Column, longest: int = 48) -> Column:

@@ -1,3 +1,78 @@
+"""Queries over the iterative kernels and the streams; SQL has no form for them, the tests hold them to invariants."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import pendulum, transfer
+from ..operators import kernels, sequences
+from ..streaming import runs as streams
 from .registry import Registry
 
 book = Registry()
+
+
+@book.query("threads")
+def column_mass_loading(threads: DataFrame) -> DataFrame:
+    return kernels.column_mass_loading(threads)
+
+
+def diagrams(spark: SparkSession, count: int = 12, times: int = 60, width: int = 41) -> DataFrame:
+    """Dark bands that swing around the middle of a diagram, with counter noise: the truth is ``centre``."""
+    cells = spark.range(count * times * width).select(F.floor(F.col("id") / (times * width)).alias("diagram_id"), (F.floor(F.col("id") / width) % times).alias("t"), (F.col("id") % width).alias("k"))
+    centre = 20 + (4 + F.col("diagram_id") / 4) * F.sin(2 * math.pi * F.col("t") / 30 + F.col("diagram_id"))
+    noise = sequences.counter_uniform(F.col("diagram_id"), F.col("t") * 64 + F.col("k"), stream=5) - 0.5
+    value = 1 - F.exp(-F.pow((F.col("k") - centre) / 2.5, 2)) + 0.2 * noise
+    return cells.withColumn("centre", centre).withColumn("value", F.when((F.col("t") + F.col("k")) % 97 == 0, F.lit(None)).otherwise(value))
+
+
+@book.query()
+def dark_ridge(spark: SparkSession) -> DataFrame:
+    return kernels.dark_ridge(diagrams(spark).select("diagram_id", "t", "k", "value"))
+
+
+def ridges(spark: SparkSession, count: int = 10, samples: int = 240) -> DataFrame:
+    """Damped sines without noise: equilibrium 50, amplitude 10, damping 14,400 s, periods from 3,600 s on."""
+    rows = spark.range(count * samples).select(F.floor(F.col("id") / samples).alias("ridge_id"), (60.0 * (F.col("id") % samples)).alias("t"))
+    lits = lambda *v: [F.lit(float(x)) for x in v]
+    equilibrium, drift, amplitude, damping, phase, reference = lits(50, 0, 10, 14_400, 0, 0)
+    return rows.withColumn("position", pendulum.damped_sine(F.col("t"), equilibrium, drift, amplitude, 3_600.0 + 120.0 * F.col("ridge_id"), damping, phase, reference))
+
+
+@book.query()
+def damped_sine_fit(spark: SparkSession) -> DataFrame:
+    return kernels.damped_sine_fit(ridges(spark))
+
+
+@book.query("pixels")
+def quiet_crop(pixels: DataFrame) -> DataFrame:
+    part = lambda c: F.floor(F.col(c) / 32).cast("long")
+    crops = pixels.select("frame_idx", (2 * part("row_idx") + part("col_idx")).alias("crop"), (F.col("row_idx") % 32).alias("row_idx"), (F.col("col_idx") % 32).alias("col_idx"), (100 + F.col("intensity") / 10).alias("value"))
+    return kernels.quiet_crops(crops, ["frame_idx", "crop"], 32, 32)
+
+
+@book.query("pixels")
+def static_cohesion(pixels: DataFrame) -> DataFrame:
+    seen = pixels.select("frame_idx", "row_idx", "col_idx", transfer.absorption(F.col("tau")).alias("absorption"))
+    return kernels.static_cohesion(seen, "frame_idx", 64, 64, 0.08)
+
+
+@book.query("crops")
+def crop_selection(crops: DataFrame) -> DataFrame:
+    ranked = crops.select((F.col("crop_id") % 7).alias("window_id"), F.xxhash64("crop_id").alias("rank"), "crop_id", "x0", "y0", "x1", "y1")
+    return kernels.choose_crops(ranked, "window_id", 12)
+
+
+@book.query("threads")
+def thread_placement(threads: DataFrame) -> DataFrame:
+    tries = threads.select((F.col("thread_id") % 20).alias("filament_id"), "thread_id", F.col("radius_km").alias("radius"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("attempt"))
+    u = [sequences.counter_uniform(F.col("thread_id"), F.col("attempt"), stream=k) for k in (11, 12, 13)]
+    return kernels.place_threads(tries.select("*", (60_000 * u[0]).alias("x"), (7_500 * u[1]).alias("y"), (20_000 + 4_000 * u[2]).alias("z")), "filament_id", 2.5)
+
+
+book.queries["stream_running_stats"] = lambda spark, sf_dir: streams.running_stats(spark, sf_dir)
+book.queries["stream_walk"] = lambda spark, sf_dir: streams.walk(spark, sf_dir)
+book.queries["stream_windows"] = lambda spark, sf_dir: streams.late_windows(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dips, pendulum, plasma, transfer
@@ -17,12 +17,16 @@ G = "(274e0 * pow(696.3e6 / (696.3e6 + height_km * 1000e0), 2))"
 RQ = "(1e0 / (1e0 / (dip_radius_km * 1000e0) + 1e0 / (696.3e6 + height_km * 1000e0)))"
 CUT = f"(2e0 * pi() * sqrt((696.3e6 + height_km * 1000e0) / {G}))"
 PERIOD = f"(2e0 * pi() * sqrt({RQ} / {G}))"
-SI = (F.col("dip_radius_km") * 1000.0, F.col("height_km") * 1000.0)
+
+
+def _si() -> tuple[Column, Column]:
+    """Dip radius and height in metres."""
+    return F.col("dip_radius_km") * 1000.0, F.col("height_km") * 1000.0
 
 
 @book.query("threads", sql=over(f"SELECT thread_id, {q(G)} AS gravity, {q(CUT)} AS cutoff_s, {q(RQ, 3)} AS equivalent_m, {q(PERIOD)} AS period_s FROM threads", "threads"))
 def luna_period(threads: DataFrame) -> DataFrame:
-    radius, height = SI
+    radius, height = _si()
     return threads.select("thread_id", r(pendulum.gravity(height)).alias("gravity"), r(pendulum.cutoff_period(height)).alias("cutoff_s"), r(pendulum.equivalent_radius(radius, height), 3).alias("equivalent_m"), r(pendulum.longitudinal_period(radius, height)).alias("period_s"))
 
 
@@ -71,7 +75,7 @@ def luna_height_table(spark: SparkSession) -> DataFrame:
     ),
 )
 def luna_summary_triplet(threads: DataFrame) -> DataFrame:
-    radius, height = SI
+    radius, height = _si()
     wide = threads.select(F.col("dip_radius_km").alias("radius_km"), "height_km", pendulum.gravity(height).alias("gravity"), pendulum.cutoff_period(height).alias("cutoff_s"), pendulum.longitudinal_period(radius, height).alias("period_s"))
     long = wide.unpivot([], ["radius_km", "height_km", "gravity", "cutoff_s", "period_s"], "metric", "v")
     return long.groupBy("metric").agg(r(F.min("v")).alias("low"), r(F.percentile("v", 0.5)).alias("middle"), r(F.max("v")).alias("high"))
@@ -91,7 +95,7 @@ _TM, _TV = _component("2000e0", "1500e0")
 
 def _moving(threads: DataFrame, frames: DataFrame) -> DataFrame:
     """Threads at all frames; frames are broadcast, their number is that of one run."""
-    radius, height = SI
+    radius, height = _si()
     both = threads.withColumn("p", pendulum.longitudinal_period(radius, height)).crossJoin(F.broadcast(frames))
     lm, lv = pendulum.damped(F.col("time_s"), F.col("p"), 18_000.0, 1_200.0, 14_400.0)
     tm, tv = pendulum.damped(F.col("time_s"), F.lit(1_500.0), 2_000.0, 1_200.0, 14_400.0)
@@ -107,7 +111,7 @@ _D = "sqrt(pow(x_km - 187500e0, 2) + pow(y_km - 187500e0, 2) + pow(height_km - 2
 _W = f"exp(-ln(2e0) * pow({_D} / 60000e0, 1.1e0))"
 
 
-def _distance() -> F.Column:
+def _distance() -> Column:
     return F.sqrt(F.pow(F.col("x_km") - 187_500.0, 2) + F.pow(F.col("y_km") - 187_500.0, 2) + F.pow(F.col("height_km") - 20_000.0, 2))
 
 
@@ -178,11 +182,11 @@ _T = f"(7000e0 + 93000e0 * pow({_XI}, 2e0))"
 _I = f"(1e0 - 0.7e0 * pow(least(greatest((100000e0 - {_T}) / 93000e0, 0e0), 1e0), 2))"
 
 
-def _xi() -> F.Column:
+def _xi() -> Column:
     return dips.xi(F.col("s"), F.col("length_km"))
 
 
-def _temperature() -> F.Column:
+def _temperature() -> Column:
     return plasma.temperature(_xi(), 7_000.0, 100_000.0, 2.0)
 
 

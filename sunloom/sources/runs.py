@@ -12,7 +12,7 @@ CODECS = {"lzf": "lz4", "gzip": "gzip", "none": "uncompressed"}
 def nest(points: DataFrame, by: str, at: str, columns: list[str]) -> DataFrame:
     """One row per thread with aligned arrays, from one row per point. A thread's points are gathered as its row."""
     packed = F.array_sort(F.collect_list(F.struct(at, *columns)))
-    return points.groupBy(by).agg(packed.alias("__p")).select(by, *[F.transform("__p", lambda p, c=c: p[c]).alias(c) for c in columns])
+    return points.groupBy(by).agg(packed.alias("__p")).select(by, *[F.col("__p")[c].alias(c) for c in columns])
 
 
 def unnest(threads: DataFrame, by: str, columns: list[str]) -> DataFrame:
