@@ -20,11 +20,11 @@ _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _OTHER = re.compile("[^\t\n\r -~\xa0-įı-ſ‐-‧]")
 #: By file: the pattern that cuts words, and whether case is folded first.
 KINDS = {
-    "byte_bpe_50k.json": (re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"), False),
-    "word_bpe_49k.json": (re.compile(f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"), True),
+    "byte_bpe_50k.json": (re.compile(f" ?[{_LETTER}]+| ?[{_NUMBER}]+|{_ENDINGS}| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"), False),
+    "word_bpe_49k.json": (re.compile(f"[{_LETTER}]+|{_ENDINGS}|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"), True),
 }
 #: Words kept in each of two generations, the longest that is kept, and characters cut into words at a time.
-CACHE_WORDS, CACHE_CHARS, CHARS_AT_ONCE = 200_000, 64, 1 << 20
+CACHE_WORDS, CACHE_CHARS, CHARS_AT_ONCE = 700_000, 64, 1 << 22
 _loaded: dict[str, Encoder] = {}
 
 
