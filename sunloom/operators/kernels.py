@@ -94,7 +94,9 @@ def column_mass_loading(threads: DataFrame, wanted: float = 1e-4, plasma: dict[s
             yield pa.RecordBatch.from_arrays([rows.column("thread_id"), *columns], names=["thread_id", "loaded_share", "mass", "capacity", "status", "intervals", "halvings"])
 
     schema = "thread_id long, loaded_share double, mass double, capacity double, status string, intervals long, halvings long"
-    return threads.select("thread_id", "length_km", "dip_radius_km").mapInArrow(run, schema)
+    # A thread is a few numbers and milliseconds of work: spread them over all cores, whatever the table's files.
+    cores = max(threads.sparkSession.sparkContext.defaultParallelism, int(threads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return threads.select("thread_id", "length_km", "dip_radius_km").repartition(cores, "thread_id").mapInArrow(run, schema)
 
 
 # --- dark ridges -----------------------------------------------------------------------------------------------------

@@ -18,12 +18,10 @@ def interpolate(queries: DataFrame, knots: DataFrame, by: list[str], at: str, va
     knot = F.struct(at, *values)
     left = knots.select(*by, at, knot.alias("knot"), F.lit(0).alias("kind"), *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra])
     right = queries.select(*by, at, F.lit(None).cast(left.schema["knot"].dataType).alias("knot"), F.lit(1).alias("kind"), *extra)
-    order = Window.partitionBy(*by).orderBy(at, "kind")
-    merged = left.unionByName(right).select(
-        "*",
-        F.last("knot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("low"),
-        F.first("knot", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("high"),
-    )
+    # Looking ahead is looking back in descending order: a frame that ends in the future would start anew at every row.
+    back = Window.partitionBy(*by).orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.col(at).desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = left.unionByName(right).select("*", F.last("knot", ignorenulls=True).over(back).alias("low"), F.last("knot", ignorenulls=True).over(ahead).alias("high"))
 
     def value(name: str) -> Column:
         low, high = F.col("low"), F.col("high")

@@ -384,9 +384,13 @@ def segment_min_distance(segments: DataFrame) -> DataFrame:
     mid = lambda a, b: (F.col(a) + F.col(b)) / 2
     left = segments.select("*", mid("ax", "bx").alias("mx"), mid("ay", "by_").alias("my"), mid("az", "bz").alias("mz"))
     right = left.toDF(*[f"o_{c}" for c in left.columns])
-    pairs = spatial.near_pairs(left, right, ["mx", "my", "mz"], ["o_mx", "o_my", "o_mz"], RADIUS + 6_100.0).filter("thread_id <> o_thread_id")
+    # Pairs are many times the rows: deal the slim rows over all tasks before they meet.
+    pairs = spatial.near_pairs(left.repartition("thread_id"), right, ["mx", "my", "mz"], ["o_mx", "o_my", "o_mz"], RADIUS + 6_100.0).filter("thread_id <> o_thread_id")
     ends = [tuple(F.col(n) for n in names) for names in (("ax", "ay", "az"), ("bx", "by_", "bz"), ("o_ax", "o_ay", "o_az"), ("o_bx", "o_by_", "o_bz"))]
-    return spatial.with_segment_distance(pairs, *ends, name="gap").filter(F.col("gap") <= RADIUS).groupBy("thread_id").agg(r(F.min("gap"), 3).alias("distance_km"), F.count(F.lit(1)).alias("neighbours"))
+    near = F.when(F.col("gap") <= RADIUS, F.col("gap"))
+    # Conditions inside the aggregates: a filter would carry the distance's formula into the join, spelt out many times.
+    counted = spatial.with_segment_distance(pairs, *ends, name="gap").groupBy("thread_id").agg(F.min(near).alias("d"), F.count(near).alias("neighbours"))
+    return counted.filter("neighbours > 0").select("thread_id", r(F.col("d"), 3).alias("distance_km"), "neighbours")
 
 
 @book.query("probes", sql=over(f"j AS (SELECT a.thread_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM probes a JOIN probes b ON a.thread_id <> b.thread_id AND abs(a.x - b.x) <= 15000) SELECT thread_id, {q('min(d)')} AS distance_km FROM j WHERE d <= 15000 GROUP BY 1", "probes"))
