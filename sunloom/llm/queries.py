@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import digest_index, langid, lattice, mixing, packing, pfor, preference, quality, simhash, telephony
-from .common import documents
+from .common import documents, spread
 
 
 def tokenizer(name: str) -> str:
@@ -29,23 +29,23 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(documents(spark, sf_dir))
+    return quality.classify(spread(documents(spark, sf_dir)))
 
 
 def op5_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(spread(documents(spark, sf_dir)))
 
 
 def op6_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.languages(documents(spark, sf_dir))
+    return langid.languages(spread(documents(spark, sf_dir)))
 
 
 def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.scores(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+    return lattice.scores(spread(documents(spark, sf_dir)), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(spread(documents(spark, sf_dir)), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op9_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.telephony(documents(spark, sf_dir))
+    return telephony.telephony(spread(documents(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
