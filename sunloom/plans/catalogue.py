@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import images, kernels, records, series, threads
+from . import images, kernels, records, series, shapes, threads
 
-_BOOKS = [m.book for m in (threads, images, series, records, kernels)]
+_BOOKS = [m.book for m in (threads, shapes, images, series, records, kernels)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

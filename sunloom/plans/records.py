@@ -188,3 +188,34 @@ def key_differences(part: DataFrame) -> DataFrame:
     """Names missing from and unknown to a schema."""
     missing, unknown = control.key_differences(F.array(*[F.lit(c) for c in part.columns]), ["p_brand", "p_color", "p_name", "p_partkey"])
     return part.agg(F.count(F.lit(1)).alias("n")).select(F.array_join(missing, ",").alias("missing"), F.array_join(unknown, ",").alias("unknown"), "n")
+
+
+_VALUES = """v AS (SELECT thread_id, height_km AS height_mean_km, radius_km AS thread_radius_min_km, 7 + (thread_id % 9) * 1000e0 AS temp_center_K, CASE WHEN thread_id % 7 = 0 THEN 3e0 ELSE 2e0 END AS downsample_factor, (thread_id % 3) - 1e0 AS chirality, length_km AS thread_length_max_km FROM threads)"""
+
+
+@book.query(
+    "threads",
+    sql=over(
+        _VALUES
+        + """, w AS (SELECT thread_id, unnest([CASE WHEN NOT height_mean_km BETWEEN 1000 AND 100000 THEN 'height_mean_km in range' END, CASE WHEN NOT thread_radius_min_km <= 300 THEN 'thread_radius_min_km up to thread_radius_max_km' END, CASE WHEN NOT temp_center_K BETWEEN 6000 AND 14000 THEN 'temp_center_K in range' END,
+        CASE WHEN NOT (896 % downsample_factor = 0) THEN 'factor divides' END, CASE WHEN chirality NOT IN (-1, 1) THEN 'chirality' END, CASE WHEN thread_id % 50 = 0 THEN 'unknown: spin' END, CASE WHEN NOT 20000 <= thread_length_max_km THEN 'thread_length_min_km up to thread_length_max_km' END]) AS rule FROM v) SELECT thread_id, rule FROM w WHERE rule IS NOT NULL""",
+        "threads",
+    ),
+)
+def experiment_rules(threads: DataFrame) -> DataFrame:
+    """All rules of static configurations, one configuration per thread: defaults with a few overrides."""
+    from ..sources import experiments
+
+    i = F.col("thread_id")
+    values = {
+        "height_mean_km": F.col("height_km"),
+        "thread_radius_min_km": F.col("radius_km"),
+        "temp_center_K": 7 + (i % 9) * 1000.0,
+        "downsample_factor": F.when(i % 7 == 0, 3.0).otherwise(2.0),
+        "chirality": (i % 3) - 1.0,
+        "thread_length_max_km": F.col("length_km"),
+    }
+    own = F.map_from_arrays(F.array(*[F.lit(n) for n in values]), F.array(*[v.cast("double") for v in values.values()]))
+    odd = F.when(i % 50 == 0, F.create_map(F.lit("spin"), F.lit(1.0))).otherwise(F.expr("cast(map() as map<string,double>)"))
+    configs = threads.select("thread_id", F.map_concat(own, odd).alias("overrides"))
+    return experiments.broken(configs, "thread_id", "overrides", experiments.STATIC, experiments.static_rules())

@@ -89,9 +89,9 @@ def hydrostatic_pressure(points: DataFrame) -> DataFrame:
     return sequences.hydrostatic(rows, ["thread_id"], "idx", 0.015).select("thread_id", "idx", r(F.log("pressure")).alias("log_pressure"))
 
 
-def _uniform(stream: int) -> str:
-    m = f"({stream * 7919 + 17})"
-    for key in ("thread_id", "frame_idx"):
+def _uniform(stream: int, *keys: str) -> str:
+    m = f"({stream * 7919 + 17}::BIGINT)"
+    for key in keys or ("thread_id", "frame_idx"):
         m = f"((({m} * 48271 + {key} * 69621 + 11) % 2147483647) * 16807 + 7) % 2147483647"
         m = f"({m})"
     return f"({m} / 2147483647e0)"

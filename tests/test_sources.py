@@ -69,3 +69,24 @@ def test_names_and_seeds(spark):
     a, b = (int.from_bytes(digest[k : k + 8], "big") % (2**31 - 1) for k in (0, 8))
     row = spark.range(1).select(*control.next_seeds(F.lit(5), F.lit(6))).first()
     assert tuple(row) == (a, b)
+
+
+def test_experiments_from_files(spark, tmp_path):
+    from sunloom.sources import experiments
+
+    (tmp_path / "a.toml").write_text('[experiment]\nname = "one"\n[static]\nheight_mean_km = 500\nseed = 3\n')
+    (tmp_path / "b.toml").write_text('[experiment]\nname = "two"\n[static]\nturns = 1\n')
+    (tmp_path / "c.toml").write_text("[static\n")
+    rows = experiments.load(spark, f"{tmp_path}/*.toml")
+    assert [(r.name, r.error is None) for r in rows.collect()] == [(None, False), ("two", True), ("one", True)]
+    good = rows.filter("error is null")
+    faults = experiments.broken(good, "name", "overrides", experiments.STATIC, experiments.static_rules()).collect()
+    assert sorted(map(tuple, faults)) == [("one", "height_mean_km in range"), ("two", "unknown: turns")]
+    plain = spark.createDataFrame([("x", {}), ("y", {"psf_sigma_px": 4.0}), ("z", {"psf_sigma_px": 5.0})], "name string, overrides map<string,double>")
+    marks = {r.name: r.digest for r in experiments.fingerprint(plain, "name", "overrides", experiments.STATIC).collect()}
+    assert marks["x"] == marks["y"] != marks["z"]
+    assert experiments.broken(plain, "name", "overrides", experiments.STATIC, experiments.static_rules()).count() == 0
+    assert experiments.broken(plain.filter("name = 'x'"), "name", "overrides", experiments.DYNAMICS, experiments.dynamics_rules()).count() == 0
+    stamp = F.to_timestamp(F.lit("2024-05-06 07:08:09"))
+    made = spark.range(1).select(experiments.simulation_id(stamp, F.lit(7), F.lit("ABCDEF012345"), F.lit("quiet")), experiments.simulation_id(stamp, F.lit(7), F.lit("ABCDEF012345"), F.lit(""))).first()
+    assert tuple(made) == ("sim-20240506T070809Z-s7-abcdef0123-quiet", "sim-20240506T070809Z-s7-abcdef0123")
