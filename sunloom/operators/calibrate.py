@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import interpolate
+from .sizes import small
 
 KEYS = ["height_mm", "temperature_k", "pressure"]
 
 
 def factors(raw: DataFrame, anchors: DataFrame) -> DataFrame:
     """Published over raw value per anchor: c_i, c_f."""
-    return raw.join(F.broadcast(anchors), KEYS).withColumn("c_i", F.col("i_value") / F.col("i_raw")).withColumn("c_f", F.col("f_value") / F.col("f_raw"))
+    return raw.join(small(anchors), KEYS).withColumn("c_i", F.col("i_value") / F.col("i_raw")).withColumn("c_f", F.col("f_value") / F.col("f_raw"))
 
 
 def extend(raw: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def long_form(table: DataFrame, key: str, names: list[str], value: str) -> DataF
 def anchor_check(grid: DataFrame, anchors: DataFrame) -> DataFrame:
     """Differences of an extended grid at the anchors."""
     known = anchors.select(*KEYS, F.col("i_value").alias("i_published"), F.col("f_value").alias("f_published"))
-    joined = grid.join(F.broadcast(known), KEYS)
+    joined = grid.join(small(known), KEYS)
     return joined.select(*KEYS, (F.col("i_value") - F.col("i_published")).alias("delta_i"), (F.col("f_value") - F.col("f_published")).alias("delta_f"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 
 def dot(a: tuple, b: tuple) -> Column:
     return reduce(lambda x, y: x + y, [p * q for p, q in zip(a, b, strict=True)])
@@ -78,6 +80,7 @@ def overlapping(left: DataFrame, boxes: DataFrame, tile: float, how: str = "left
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, by: list[str], gap: Column, tie: str, keep: list[str]) -> DataFrame:
-    """Per query (``by``) the candidate of least ``gap``; ties go to the smallest ``tie``. ``queries`` are few."""
-    scored = candidates.join(F.broadcast(queries)).select(*by, F.struct(gap.alias("gap"), F.col(tie), *[F.col(k) for k in keep if k != tie]).alias("best"))
+    """Per query (``by``) the candidate of least ``gap``; ties go to the smallest ``tie``. Few queries are
+    broadcast; many meet the candidates in Catalyst's own cross join."""
+    scored = candidates.join(small(queries)).select(*by, F.struct(gap.alias("gap"), F.col(tie), *[F.col(k) for k in keep if k != tie]).alias("best"))
     return scored.groupBy(*by).agg(F.min("best").alias("best")).select(*by, "best.*")

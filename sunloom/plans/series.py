@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dips, plasma
 from ..operators import analysis, sequences
+from ..operators.sizes import small
 from .registry import Registry, r
 from .relations import rounded as q
 from .relations import with_relations as over
@@ -103,7 +104,7 @@ _CP, _AZ = f"(2e0 * {_uniform(2)} - 1e0)", f"(2e0 * pi() * {_uniform(3)})"
 
 def brownian_steps(threads: DataFrame, frames: DataFrame) -> DataFrame:
     """One isotropic step per thread and frame from 1 on, of a length between 200 and 500 km."""
-    both = threads.select("thread_id").crossJoin(F.broadcast(frames.select("frame_idx")))
+    both = threads.select("thread_id").crossJoin(small(frames.select("frame_idx")))
     u = [sequences.counter_uniform(F.col("thread_id"), F.col("frame_idx"), stream=k) for k in (1, 2, 3)]
     size, polar, azimuth = 200.0 + 300.0 * u[0], 2.0 * u[1] - 1.0, 2.0 * F.pi() * u[2]
     flat = F.sqrt(F.greatest(1 - polar * polar, F.lit(0.0)))
@@ -143,7 +144,7 @@ _FREQ = "(1e0 / 60000e0 + f * ((1e0 / 2000e0 - 1e0 / 60000e0) / 39e0))"
 def lomb_scargle(ticks: DataFrame) -> DataFrame:
     grouped = ticks.select((F.col("idx") % 10).alias("grp"), "t", "value")
     means = grouped.groupBy("grp").agg(F.avg("value").alias("m"))
-    centred = grouped.join(F.broadcast(means), "grp").select("grp", "t", (F.col("value") - F.col("m")).alias("y"))
+    centred = grouped.join(means, "grp").select("grp", "t", (F.col("value") - F.col("m")).alias("y"))
     return analysis.periodogram(centred, ["grp"], "t", "y", 2_000.0, 60_000.0, 40).select("grp", "f", r(F.col("power")).alias("power"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dips, pendulum, transfer
 from ..operators import raster, sequences, shapes
+from ..operators.sizes import small
 from .images import _gauss
 from .registry import Registry, r
 from .relations import rounded as q
@@ -138,7 +139,7 @@ def expanded_bounds(boxes: DataFrame) -> DataFrame:
 @book.query("threads", "frames", sql=over(f"SELECT thread_id, frame_idx, {q('50e0 + 0.001e0 * (time_s - 60e0) + radius_km / 30e0 * exp(-(time_s - 60e0) / 14400e0) * sin(2e0 * pi() * (time_s - 60e0) / (600e0 + pitch_deg) + 0.3e0)')} AS model FROM threads CROSS JOIN frames", "threads", "frames"))
 def damped_sine_model(threads: DataFrame, frames: DataFrame) -> DataFrame:
     f = lambda x: F.lit(float(x))
-    both = threads.crossJoin(F.broadcast(frames))
+    both = threads.crossJoin(small(frames))
     model = pendulum.damped_sine(F.col("time_s"), f(50), f(0.001), F.col("radius_km") / 30.0, 600.0 + F.col("pitch_deg"), f(14_400), f(0.3), f(60))
     return both.select("thread_id", "frame_idx", r(model).alias("model"))
 
@@ -192,7 +193,7 @@ _MOVED = "mv AS (SELECT thread_id, frame_idx, (x_km + 3000e0 * sin(2e0 * pi() *
 def dynamic_render(threads: DataFrame, frames: DataFrame) -> DataFrame:
     """Moved threads to optical depth and weighted velocity of every frame, in one aggregation."""
     t, pitch = F.col("time_s"), F.radians("pitch_deg")
-    moved = threads.crossJoin(F.broadcast(frames)).select(
+    moved = threads.crossJoin(small(frames)).select(
         "thread_id", "frame_idx", ((F.col("x_km") + 3000.0 * F.sin(2 * math.pi * t / (600.0 + F.col("pitch_deg")))) / 4000.0).alias("x_px"),
         ((F.col("y_km") + 500.0 * F.cos(2 * math.pi * t / 900.0)) / 4000.0).alias("y_px"), (F.col("radius_km") / 400.0).alias("sigma_px"), (1 + F.col("pitch_deg") / 40.0).alias("amplitude"), F.cos(pitch).alias("vx"), F.sin(pitch).alias("vy"),
     )

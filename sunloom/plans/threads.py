@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dips, pendulum, plasma, transfer
-from ..operators import control, lookup, sequences, spatial
+from ..operators import lookup, spatial
+from ..operators.sizes import small
 from .anchors import HEIGHTS, PRESSURES, TEMPERATURES
 from .registry import Registry, r
 from .relations import rounded as q
@@ -94,9 +95,9 @@ _TM, _TV = _component("2000e0", "1500e0")
 
 
 def _moving(threads: DataFrame, frames: DataFrame) -> DataFrame:
-    """Threads at all frames; frames are broadcast, their number is that of one run."""
+    """Threads at all frames of a run."""
     radius, height = _si()
-    both = threads.withColumn("p", pendulum.longitudinal_period(radius, height)).crossJoin(F.broadcast(frames))
+    both = threads.withColumn("p", pendulum.longitudinal_period(radius, height)).crossJoin(small(frames))
     lm, lv = pendulum.damped(F.col("time_s"), F.col("p"), 18_000.0, 1_200.0, 14_400.0)
     tm, tv = pendulum.damped(F.col("time_s"), F.lit(1_500.0), 2_000.0, 1_200.0, 14_400.0)
     return both.select("*", lm.alias("lm"), lv.alias("lv"), tm.alias("tm"), tv.alias("tv"))
