@@ -1,4 +1,5 @@
-"""Queries over the iterative kernels and the streams; SQL has no form for them, the tests hold them to invariants."""
+"""Queries over the iterative kernels, which SQL has no form for and tests hold to invariants, and the streams, whose end
+result is that of a batch."""
 
 from __future__ import annotations
 
@@ -76,3 +77,10 @@ def thread_placement(threads: DataFrame) -> DataFrame:
 book.queries["stream_running_stats"] = lambda spark, sf_dir: streams.running_stats(spark, sf_dir)
 book.queries["stream_walk"] = lambda spark, sf_dir: streams.walk(spark, sf_dir)
 book.queries["stream_windows"] = lambda spark, sf_dir: streams.late_windows(spark, sf_dir)
+
+book.oracles["stream_running_stats"] = "SELECT event_type, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1"
+book.oracles["stream_walk"] = "SELECT user_id, event_id, row_number() OVER w AS step, round(sum(value) OVER w, 6) AS position FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"
+book.oracles["stream_windows"] = (
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY date_trunc('hour', ts) "
+    "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
+)

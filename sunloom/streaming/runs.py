@@ -72,5 +72,5 @@ def late_windows(spark: SparkSession, sf_dir: str, size: str = "1 hour", late: s
     """Counts and sums by window of event time; windows come out once the watermark has passed them. (An addition: an
     image sequence has no late frames, it refuses them.)"""
     windows = event_stream(spark, sf_dir).withWatermark("ts", late).groupBy(F.window("ts", size)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
-    flat = windows.select(F.col("window.start").alias("start"), "n", "total")
-    return spark.read.schema("start timestamp, n long, total double").parquet(run(flat, spark, "windows"))
+    flat = windows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "total")
+    return spark.read.schema("start string, n long, total double").parquet(run(flat, spark, "windows"))
