@@ -64,6 +64,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def row_id(doc_id: Column, text: Column) -> Column:
+    """The doc_id; a row without one gets a number from its text, above all that tables use."""
+    return F.coalesce(doc_id, F.lit(2**62) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2**61)))
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than it must."""
     return df.limit(limit + 1).count() <= limit

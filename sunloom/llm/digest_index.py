@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh_path, stage
@@ -15,7 +15,11 @@ HOT_SHARE = 1000
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and the lower-case hex SHA-256 of the text with A-Z lower-cased; null counts as empty."""
-    return docs.select("doc_id", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256).alias("digest"))
+    return docs.select("doc_id", digest().alias("digest"))
+
+
+def digest() -> Column:
+    return F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
 
 
 class DigestIndex:
@@ -76,11 +80,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, each text once, with all their columns."""
-    kept = deduplicate(docs).filter("kept")
-    again = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    out = docs.alias("d").join(kept.select("doc_id").distinct().alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if again else out
+    """The rows of ``docs`` that stay, each text once, with all their columns.
+
+    Rows meet their decision by doc_id and digest, so rows without doc_id are told apart by text, a text's copies are not
+    one group of the join, and of rows that repeat both one stays.
+    """
+    kept = deduplicate(docs).filter("kept").select("doc_id", "text_sha256")
+    again = kept.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__digest") == F.col("k.text_sha256"))
+    out = docs.withColumn("__digest", digest()).alias("d").join(kept.distinct().alias("k"), same, "left_semi")
+    return (out.dropDuplicates(["doc_id", "__digest"]) if again else out).drop("__digest")
 
 
 ORACLE = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage
+from .common import maybe_broadcast, row_id, stage
 
 #: Sources in code point order weigh these, repeating; no source is taken more often than CAP times.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -155,8 +155,12 @@ FROM k JOIN b ON b.sk = k.sk JOIN o ON o.sk = k.sk AND o.cls = k.cls
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with all columns of ``docs``."""
-    columns = docs.columns
-    plan = mix(docs).filter("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("__times")).dropDuplicates(["doc_id"])
-    joined = docs.join(plan.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
+    """The mixed corpus: each document as often as the mix takes it, with all columns of ``docs``.
+
+    Texts without words have nothing to take and go; rows without doc_id are told apart by text.
+    """
+    numbered = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text")))
+    plan = mix(numbered.select(F.col("__id").alias("doc_id"), "text", "source")).filter("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("__key"), F.expr("cast(taken div size as int)").alias("__times")).dropDuplicates(["__key"])
+    joined = numbered.join(plan, F.col("__id") == F.col("__key"))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

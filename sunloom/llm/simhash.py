@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage
+from .common import map_arrow, row_id, stage
 from .components import components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
@@ -273,6 +273,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of near-duplicates of ``docs``, the one with the smallest doc_id, with all its columns."""
-    kept = near_duplicates(docs, shingle).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept.distinct(), F.col("doc_id") == F.col("__kept"), "left_semi")
+    """One row of each group of near-duplicates of ``docs``, the one with the smallest doc_id, with all its columns.
+
+    Rows without doc_id stay where their group has none with one, each text once; of repeated rows one stays.
+    """
+    numbered = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text")))
+    found = near_duplicates(numbered.select(F.col("__id").alias("doc_id"), "text"), shingle)
+    kept = stage(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__n")), "simhash-kept")
+    out = numbered.join(kept, F.col("__id") == F.col("__kept"), "left_semi")
+    return (out.dropDuplicates(["__id"]) if kept.filter("__n > 1").limit(1).count() else out).select(*docs.columns)

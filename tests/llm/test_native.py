@@ -83,6 +83,8 @@ def test_dedup_by_brute_force(odd):
         assert r.keep_id == (max(known) if known else None) and r.group_size == len(ids)
         assert r.kept == (r.doc_id == r.keep_id)
     kept = [r.doc_id for r in digest_index.keep_first(odd).collect()]
+    bare = odd.filter("doc_id is null or doc_id < 9")
+    assert sorted(fold(r.text) for r in digest_index.keep_first(bare).collect()) == sorted({fold(r.text) for r in bare.collect()})
     assert sorted(x or -1 for x in kept) == sorted(max((i for i in ids if i is not None), default=-1) for ids in groups.values())
 
 

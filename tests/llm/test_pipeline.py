@@ -42,6 +42,18 @@ def test_stages_do_what_they_say(spark, small, documents):
     assert total == sum(r.length for r in corpus_pipeline.run(spark, small).collect())
 
 
+def test_rows_without_id_or_that_repeat_are_kept_once(spark, odd):
+    from sunloom.llm import simhash
+
+    short = odd.filter("length(text) < 1000 or text is null").drop("size")
+    apart = simhash.keep_first(short)
+    assert apart.columns == short.columns
+    texts = collections.Counter(r.text for r in apart.collect())
+    assert texts["one two three four five"] == 1 and texts["no id here"] == 1 and texts[None] == 1
+    mixed = mixing.take(short).collect()
+    assert {r.text for r in mixed} <= {r.text for r in short.collect() if (r.text or "").split()}
+
+
 def test_empty_and_odd_tables_pass_through(spark, small, odd, empty):
     for docs in (empty, odd):
         for _, stage in corpus_pipeline.STAGES[:-1]:
