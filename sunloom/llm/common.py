@@ -39,6 +39,16 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stage``, in as many buckets of ``key`` as the session has shuffle partitions: later joins and groups by
+    ``key`` read it without a shuffle."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd").option("path", fresh_path(spark, name))
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete what ``stage`` has written; call it when no result of this session is needed any more."""
     jvm = spark.sparkContext._jvm

@@ -13,7 +13,6 @@ as its number in the block; no task ever holds the vocabulary of the corpus.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, stage
+from .common import map_arrow, stage, stage_bucketed
 
 #: Rows of a block. A block's distinct words are held by one task.
 BLOCK_ROWS = 4096
@@ -196,16 +195,11 @@ class Model:
         return (1 - self.end()) * (np.maximum(counts - self.discount, 0) / seen + free * np.exp(log_pieces))
 
 
-def blocked(docs: DataFrame) -> tuple[str, DataFrame]:
+def blocked(docs: DataFrame) -> DataFrame:
     """``docs`` with ``block``, in a table bucketed by block: later work by block reads texts without a shuffle."""
-    spark = docs.sparkSession
     number = F.monotonically_increasing_id()
     block = F.shiftright(number, 33) * (1 << 33) + F.floor(number.bitwiseAND((1 << 33) - 1) / BLOCK_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.cast("long").alias("block"))
-    name, path = f"lattice_{uuid.uuid4().hex}", fresh_path(spark, "lattice-docs")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    return name, spark.table(name)
+    return stage_bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.cast("long").alias("block")), "lattice-docs", "block")
 
 
 def block_words(rows: DataFrame) -> DataFrame:
@@ -335,7 +329,7 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
     split. Tokens are words with A-Z lower-cased, then one end. ``score`` is the model's log10 probability of the whole
     text, ``lattice_score`` that of the pieces alone. An empty table gives no rows.
     """
-    name, rows = blocked(docs)
+    rows = blocked(docs)
     ends = rows.filter(~held_out(F.col("doc_id"))).count()
     ordered = rows.select("block", "doc_id", "text")
     words = count_words(ordered.sortWithinPartitions("block"))

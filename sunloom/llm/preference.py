@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast
+from .common import maybe_broadcast, stage_bucketed
 
 TRAINED = "assistant"
 
@@ -91,7 +91,7 @@ def preferences(turns: DataFrame) -> DataFrame:
     groups of equal openings are formed on digests, pre-aggregated. A conversation is one output row and is gathered as
     such. Null conv_ids form one conversation. An empty table gives no rows; further columns are not read.
     """
-    whole = conversations(turns.select("conv_id", "turn", "role", "text"))
+    whole = stage_bucketed(conversations(turns.select("conv_id", "turn", "role", "text")), "conversations", "conv_id")
     first = F.element_at("turns", 1)
     opening = whole.select("conv_id", F.sha2(F.concat_ws("\0", first["role"], first["text"]), 256).alias("opening"))
     groups = opening.groupBy("opening").agg(F.min("conv_id").alias("rejected_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
