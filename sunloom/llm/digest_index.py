@@ -88,7 +88,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = deduplicate(docs).filter("kept").select("doc_id", "text_sha256")
     again = kept.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__digest") == F.col("k.text_sha256"))
-    out = docs.withColumn("__digest", digest()).alias("d").join(kept.distinct().alias("k"), same, "left_semi")
+    out = docs.withColumn("__digest", digest()).alias("d").join(kept.distinct().hint("merge").alias("k"), same, "left_semi")
     return (out.dropDuplicates(["doc_id", "__digest"]) if again else out).drop("__digest")
 
 
