@@ -279,7 +279,6 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     numbered = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text")))
     found = near_duplicates(numbered.select(F.col("__id").alias("doc_id"), "text"), shingle)
-    kept = stage(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__n")), "simhash-kept")
-    # A merge join whatever the size of the kept ids: they grow with the documents.
-    out = numbered.join(kept.hint("merge"), F.col("__id") == F.col("__kept"), "left_semi")
+    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__n"))
+    out = numbered.join(kept, F.col("__id") == F.col("__kept"), "left_semi")
     return (out.dropDuplicates(["__id"]) if kept.filter("__n > 1").limit(1).count() else out).select(*docs.columns)

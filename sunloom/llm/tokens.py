@@ -24,7 +24,7 @@ KINDS = {
     "word_bpe_49k.json": (re.compile(f"[{_LETTER}]+|{_ENDINGS}|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"), True),
 }
 #: Words kept in each of two generations, the longest that is kept, and characters cut into words at a time.
-CACHE_WORDS, CACHE_CHARS, CHARS_AT_ONCE = 550_000, 64, 1 << 22
+CACHE_WORDS, CACHE_CHARS, CHARS_AT_ONCE = 300_000, 64, 1 << 21
 _loaded: dict[str, Encoder] = {}
 
 
