@@ -31,11 +31,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "zstd", **options: int) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

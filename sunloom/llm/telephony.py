@@ -23,6 +23,8 @@ from .common import map_arrow, stage
 #: Bytes of an ADPCM block, and what payloads are padded to.
 UNIT = 576
 RATE = 8000
+#: PCM takes up to 8 times its file; batches of it and row groups of stored tables hold about this much.
+PCM_BYTES = 8 << 20
 #: Format tags of WAVE files.
 ALAW, MULAW, IMA = 6, 7, 17
 NAMES = {ALAW: "alaw", MULAW: "mulaw", IMA: "ima"}
@@ -179,18 +181,23 @@ def to_pcm(media: DataFrame, rate: int = 16_000) -> DataFrame:
     """Digests of the stored files and ``pcm``: their sound as 16-bit little-endian samples at ``rate``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "coding", "samples", "rate", "pcm"]
         for rows in batches:
             files = rows.column("media").to_pylist()
             parsed = [parse_wav(f) for f in files]
             sounds = decode([(tag, data) for tag, _, data in parsed])
-            made = [
-                (len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(f), hashlib.sha256(f).hexdigest(), NAMES[tag], len(s), rate, resample(s, own, rate).astype("<i2").tobytes())
-                for f, (tag, own, d), s in zip(files, parsed, sounds, strict=True)
-            ]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)] if made else [pa.array([], k) for k in kinds]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "coding", "samples", "rate", "pcm"]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *columns], names=names)
+            made: list[tuple] = []
+            first = held = 0
+            for k, (f, (tag, own, d), s) in enumerate(zip(files, parsed, sounds, strict=True)):
+                pcm = resample(s, own, rate).astype("<i2").tobytes()
+                made.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(f), hashlib.sha256(f).hexdigest(), NAMES[tag], len(s), rate, pcm))
+                held += len(pcm)
+                if held >= PCM_BYTES or k == len(files) - 1:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
+                    part = rows.slice(first, len(made))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=names)
+                    made, first, held = [], k + 1, 0
 
     return map_arrow(media, run, DECODED)
 
@@ -213,7 +220,8 @@ def features(decoded: DataFrame) -> DataFrame:
     return map_arrow(decoded, run, kinds)
 
 
-def telephony(docs: DataFrame, rate: int = 1_000) -> DataFrame:
+def telephony(docs: DataFrame, rate: int = 16_000) -> DataFrame:
     """Store each text as telephony audio, read the files back, store the resampled PCM, read it back, describe it."""
-    media = stage(to_media(docs), "telephony")
-    return features(stage(to_pcm(media, rate), "telephony-pcm"))
+    groups = {"parquet.block.size": PCM_BYTES}
+    media = stage(to_media(docs), "telephony", **groups)
+    return features(stage(to_pcm(media, rate), "telephony-pcm", **groups))

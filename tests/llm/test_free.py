@@ -363,6 +363,20 @@ def test_media_go_round(documents, odd, empty):
     assert telephony.telephony(empty).count() == 0
 
 
+def test_stored_sound_keeps_every_sample(spark, documents, monkeypatch):
+    from sunloom.llm import queries
+
+    for r in queries.op10_telephony(spark, "/root/testdata/sf0.001").collect():
+        _, before, after, *_ = r.feature.split()
+        assert int(after) == 2 * int(before)
+    monkeypatch.setattr(telephony, "PCM_BYTES", 50_000)
+    media = telephony.to_media(documents)
+    sounds = telephony.decode([telephony.parse_wav(r.media)[::2] for r in media.collect()])
+    made = telephony.to_pcm(media).collect()
+    assert [r.pcm for r in made] == [telephony.resample(s, 8000, 16000).tobytes() for s in sounds]
+    assert [r.doc_id for r in made] == [r.doc_id for r in media.collect()]
+
+
 def test_companding_tables():
     mu, a = telephony.mulaw_table(), telephony.alaw_table()
     assert (mu[0], mu[127], mu[128], mu[255]) == (-32124, 0, 32124, 0) and (mu[:128] == -mu[128:]).all()
