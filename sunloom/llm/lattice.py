@@ -196,16 +196,18 @@ class Model:
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``block``, in a table bucketed by block: later work by block reads texts without a shuffle."""
-    number = F.monotonically_increasing_id()
-    block = F.shiftright(number, 33) * (1 << 33) + F.floor(number.bitwiseAND((1 << 33) - 1) / BLOCK_ROWS)
-    return stage_bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.cast("long").alias("block")), "lattice-docs", "block")
+    """``docs`` with ``block`` and ``position`` (a row's place in its block), in a table bucketed by block: later work by
+    block reads texts without a shuffle."""
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("number"))
+    within = F.col("number").bitwiseAND((1 << 33) - 1)
+    block = F.shiftright("number", 33) * (1 << 33) + F.floor(within / BLOCK_ROWS)
+    return stage_bucketed(numbered.select("doc_id", "text", block.cast("long").alias("block"), (within % BLOCK_ROWS).cast("int").alias("position")), "lattice-docs", "block")
 
 
 def block_words(rows: DataFrame) -> DataFrame:
     """Distinct words of each block: block, number (order of first use in the block), word, n (uses in training texts).
 
-    Rows of a block come together, in the order in which they were written.
+    Rows are sorted by block and position here: a sort by block alone may order a block's rows anew once it spills.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +235,7 @@ def block_words(rows: DataFrame) -> DataFrame:
                     counts.update(words)
         yield from flush()
 
-    return map_arrow(rows, run, "block long, number int, word binary, n long")
+    return map_arrow(rows.sortWithinPartitions("block", "position"), run, "block long, number int, word binary, n long")
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -297,7 +299,7 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def document_scores(model: Model, doc_ids: list, texts: Iterator, counts: np.ndarray, log_pieces: np.ndarray, urn: float = URN) -> list[tuple]:
-    """Rows of SCHEMA for the documents of one block, whose words are numbered by first use."""
+    """Rows of SCHEMA for the documents of one block, by position, whose words are numbered by first use."""
     numbers: dict[bytes, int] = {}
     prior = model.words(counts, log_pieces)
     base, pure = model.base(counts), log_pieces / LOG10
@@ -331,8 +333,8 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
     """
     rows = blocked(docs)
     ends = rows.filter(~held_out(F.col("doc_id"))).count()
-    ordered = rows.select("block", "doc_id", "text")
-    words = count_words(ordered.sortWithinPartitions("block"))
+    placed = rows.select("block", "position", "doc_id", "text")
+    words = count_words(placed)
     model = fit(words, ends, path)
     pieces = model.pieces
 
@@ -359,9 +361,11 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
         at = numbered.column("number").to_numpy()
         counts, log = np.empty(len(at), np.int64), np.empty(len(at))
         counts[at], log[at] = numbered.column("c").to_numpy(), numbered.column("log_pieces").to_numpy()
-        made = document_scores(model, texts.column("doc_id").to_pylist(), (t.as_py() for t in texts.column("text")), counts, log)
+        order = np.argsort(texts.column("position").to_numpy())
+        ids, said = texts.column("doc_id").to_pylist(), texts.column("text")
+        made = document_scores(model, [ids[k] for k in order], (said[int(k)].as_py() for k in order), counts, log)
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         columns = list(zip(*made, strict=True)) or [[] for _ in kinds]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return ordered.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(block, SCHEMA)
+    return placed.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(block, SCHEMA)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sunloom.llm import components, langid, lattice, packing, pfor, quality, simhash, telephony, tokens
@@ -293,6 +294,17 @@ def test_scores_of_odd_and_empty_tables(odd, empty):
     assert lattice.scores(empty, PIECE).count() == 0
 
 
+def test_scores_hold_in_any_order_of_a_blocks_rows(documents, monkeypatch):
+    docs = documents.limit(60).cache()
+    key = lambda r: (r.doc_id, r.n_tokens)
+    want = sorted(lattice.scores(docs, PIECE).collect(), key=key)
+    count_words = lattice.count_words
+    monkeypatch.setattr(lattice, "count_words", lambda rows: count_words(rows.sortWithinPartitions("block", F.desc("doc_id"))))
+    made = sorted(lattice.scores(docs, PIECE).collect(), key=key)
+    assert [r[:5] for r in made] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in made], [r[5:] for r in want], rtol=1e-9)
+
+
 def test_forward_sums_over_all_segmentations():
     pieces = lattice.Pieces.build({b"a": 1.0, b"ab": 2.0, b"abc": 1.0}, {b"b": 1.0, b"c": 1.0, b"bc": 3.0, b"a": 0.5})
     names = {}
