@@ -54,6 +54,19 @@ def test_rows_without_id_or_that_repeat_are_kept_once(spark, odd):
     assert {r.text for r in mixed} <= {r.text for r in short.collect() if (r.text or "").split()}
 
 
+def test_texts_that_share_an_id_stand_for_their_own_groups(spark):
+    from sunloom.llm import simhash
+
+    cat, dog, fox = ("the cat sat on a mat", "no dog ever ran this far away", "some fox jumps over all of it")
+    rows = [(1, cat), (1, dog), (1, dog), (2, dog), (3, fox), (1, "THE cat sat on a mat"), (4, cat)]
+    apart = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text.lower()) for r in apart) == [(1, dog), (1, cat), (3, fox)]
+    # Text 5 b is of the group that 4 stands for; that 5 a stands for its own does not keep it.
+    rows = [(5, dog), (5, cat), (4, cat)]
+    apart = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in apart) == [(4, cat), (5, dog)]
+
+
 def test_empty_and_odd_tables_pass_through(spark, small, odd, empty):
     for docs in (empty, odd):
         for _, stage in corpus_pipeline.STAGES[:-1]:
