@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,17 +19,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 
 
+#: Folders and tables written here, by Spark application, for ``drop_staged``.
+_written: dict[str, tuple[list[str], list[str]]] = {}
+#: Buckets a table may have.
+MAX_BUCKETS = 50_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster that would scatter parts over
+    machines, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sunloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, ([], []))[0].append(path)
+    return path
+
+
+def fresh_table(spark: SparkSession, name: str) -> str:
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, ([], []))[1].append(table)
+    return table
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd", **options: int) -> DataFrame:
@@ -39,27 +60,42 @@ def stage(df: DataFrame, name: str, codec: str = "zstd", **options: int) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like ``stage``, in as many buckets of ``key`` as the session has shuffle partitions: later joins and groups by
-    ``key`` read it without a shuffle."""
+def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int) -> int:
+    """Buckets for a table: the session's shuffle partitions, or as many as keep a bucket near ``rows_per_bucket`` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_BUCKETS, -(-rows // rows_per_bucket)))
+
+
+def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``stage``, in ``buckets`` buckets of ``key``: later joins and groups by ``key`` read it without a shuffle."""
     spark = df.sparkSession
-    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd").option("path", fresh_path(spark, name))
-    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(table)
+    table = fresh_table(spark, name)
+    df.write.option("compression", "zstd").option("path", fresh_path(spark, name)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
     return spark.table(table)
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete what ``stage`` has written; call it when no result of this session is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables and folders that this application's operators have written, and nothing else.
+
+    Call it when no result of theirs is needed any more; results read from a dropped folder fail.
+    """
+    paths, tables = _written.pop(spark.sparkContext.applicationId, ([], []))
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of bounded bytes."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``mapInArrow`` over batches of bounded bytes.
+
+    Spark reads the bound when the plan runs, so it stays lowered in the session; a smaller one of the caller's is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
@@ -69,6 +105,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def own(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_path, stage
+from .common import ascii_lower, bucket_count, fresh_path, fresh_table, own, stage
 
 #: A digest with this share of all rows counts as hot; there are at most ``HOT_SHARE`` such digests.
 HOT_SHARE = 1000
@@ -23,18 +22,40 @@ def digest() -> Column:
 
 
 class DigestIndex:
-    """A Parquet table (digest, keep_id) in ``buckets`` buckets sorted by digest.
+    """A Parquet table (digest, keep_id) in buckets sorted by digest, and how many buckets it has.
 
-    The table lives at ``location``; another session opens the same location under any name. ``add`` groups new rows by
-    digest, drops those whose digest is there by a sort-merge anti-join that reads the index bucket by bucket without a
-    shuffle, and appends the rest.
+    The index lives at ``location``: the bucket count in one folder, the table's generations in others. The first session
+    that opens a location sets the count; whoever opens it later, under any name, gets the count that is there, as files
+    of other buckets would be missed. ``add`` groups new rows by digest, drops those whose digest is there by a
+    sort-merge anti-join that reads the index bucket by bucket without a shuffle, and appends the rest. Every ``add``
+    leaves a file a bucket, and several files of a bucket are sorted again when read; ``compact`` makes them one.
     """
 
     def __init__(self, spark: SparkSession, name: str, location: str, buckets: int = 32) -> None:
-        self.spark, self.name, self.buckets = spark, name, buckets
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'"
+        self.spark, self.name, self.location = spark, name, location.rstrip("/")
+        self.buckets, self.generation = self._stored() or self._store(buckets, 0)
+        self._open()
+
+    def _stored(self) -> tuple[int, int] | None:
+        """The newest line of the folder of layouts, None where there is none yet."""
+        try:
+            layouts = self.spark.read.schema(LAYOUT).json(f"{self.location}/layout")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        newest = layouts.orderBy(F.desc("generation")).first()
+        return (newest["buckets"], newest["generation"]) if newest else None
+
+    def _store(self, buckets: int, generation: int) -> tuple[int, int]:
+        self.spark.createDataFrame([(buckets, generation)], LAYOUT).coalesce(1).write.mode("append").json(f"{self.location}/layout")
+        return buckets, generation
+
+    def _open(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(
+            f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}/rows-{self.generation}'"
         )
 
     def table(self) -> DataFrame:
@@ -48,11 +69,28 @@ class DigestIndex:
     def add(self, rows: DataFrame) -> None:
         self.unseen(rows).select("digest", "keep_id").write.insertInto(self.name)
 
+    def compact(self, buckets: int | None = None) -> None:
+        """Write the rows anew, one file a bucket, in ``buckets`` buckets (as before unless given), then point to them.
+
+        The old generation stays until its owner deletes it, so readers that are under way do not fail.
+        """
+        buckets, fresh = buckets or self.buckets, f"{self.name}_next"
+        rows = self.table().repartition(buckets, "digest")
+        place = f"{self.location}/rows-{self.generation + 1}"
+        rows.write.option("path", place).option("compression", "zstd").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(fresh)
+        self.buckets, self.generation = self._store(buckets, self.generation + 1)
+        self._open()
+        self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+
+
+LAYOUT = "buckets int, generation int"
+#: Digests of a bucket: some 40 MB.
+BUCKET_ROWS = 500_000
+
 
-def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
-    """An empty index; with as many buckets as the session has shuffle partitions, a task that adds rows writes one file."""
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", fresh_path(spark, "digest-index"), buckets)
+def new_index(spark: SparkSession, rows: int = 0) -> DigestIndex:
+    """An empty index for about so many rows; a bucket is at most a task's share, so a task that adds rows writes one file."""
+    return DigestIndex(spark, fresh_table(spark, "digest_index"), fresh_path(spark, "digest-index"), bucket_count(spark, rows, BUCKET_ROWS))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
@@ -64,8 +102,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = stage(digests(docs), "digests")
-    index = index or new_index(spark)
     total, middle = rows.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", 0.5)).first()
+    index = index or new_index(spark, total)
     late = F.coalesce(F.col("doc_id") >= F.lit(middle), F.lit(False))
     index.add(rows.filter(late))
     index.add(rows.filter(~late))
@@ -87,9 +125,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     kept = deduplicate(docs).filter("kept").select("doc_id", "text_sha256")
     again = kept.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__digest") == F.col("k.text_sha256"))
-    out = docs.withColumn("__digest", digest()).alias("d").join(kept.distinct().alias("k"), same, "left_semi")
-    return (out.dropDuplicates(["doc_id", "__digest"]) if again else out).drop("__digest")
+    mark = own(docs, "digest")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark}") == F.col("k.text_sha256"))
+    out = docs.withColumn(mark, digest()).alias("d").join(kept.distinct().alias("k"), same, "left_semi")
+    return (out.dropDuplicates(["doc_id", mark]) if again else out).drop(mark)
 
 
 ORACLE = """

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage_bucketed
+from .common import bucket_count, maybe_broadcast, stage_bucketed
 
 TRAINED = "assistant"
+#: Turns of a bucket of staged conversations.
+BUCKET_TURNS = 1_000_000
 
 
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id and ``turns``, the array of (role, text) by turn; equal turn numbers go by role and text.
 
-    Null roles count as "unknown", null texts as empty; a null turn number comes first.
+    Null roles count as "unknown", null texts as empty; a null turn number comes first. A turn without conv_id is a
+    conversation of its own, once however often the row is repeated, so such rows are never gathered.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = F.array_sort(F.collect_list(turn))
+    said = turns.select("conv_id", turn.alias("said"))
+    spoken = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
     # array_sort puts a null turn number first, as structs compare field by field.
-    return turns.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    named = said.filter("conv_id is not null").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("said")), spoken).alias("turns"))
+    alone = said.filter("conv_id is null").distinct().select("conv_id", F.array(spoken(F.col("said"))).alias("turns"))
+    return named.unionByName(alone)
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
@@ -89,9 +95,11 @@ def preferences(turns: DataFrame) -> DataFrame:
     that one, and every conversation that opens alone, is preferred to its own parroting foil (``kind`` "parrot").
     Siblings pair with one conversation, never with each other, so a common opening makes no more pairs than rows, and
     groups of equal openings are formed on digests, pre-aggregated. A conversation is one output row and is gathered as
-    such. Null conv_ids form one conversation. An empty table gives no rows; further columns are not read.
+    such; a turn without conv_id is one by itself and pairs with its own foil. An empty table gives no rows; further columns
+    are not read.
     """
-    whole = stage_bucketed(conversations(turns.select("conv_id", "turn", "role", "text")), "conversations", "conv_id")
+    buckets = bucket_count(turns.sparkSession, turns.count(), BUCKET_TURNS)
+    whole = stage_bucketed(conversations(turns.select("conv_id", "turn", "role", "text")), "conversations", "conv_id", buckets)
     first = F.element_at("turns", 1)
     opening = whole.select("conv_id", F.sha2(F.concat_ws("\0", first["role"], first["text"]), 256).alias("opening"))
     groups = opening.groupBy("opening").agg(F.min("conv_id").alias("rejected_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -111,7 +119,8 @@ def preferences(turns: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH c AS (SELECT conv_id, list({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id),
+WITH c AS (SELECT conv_id, list({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+      UNION ALL SELECT NULL, [{'role': role, 'text': text}] FROM (SELECT DISTINCT turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NULL)),
 g AS (SELECT t[1] AS opening, min(conv_id) AS hub FROM c GROUP BY 1),
 j AS (SELECT c.conv_id, c.t AS a, CASE WHEN g.hub <> c.conv_id THEN g.hub END AS rejected_id FROM c JOIN g ON c.t[1] = g.opening),
 m AS (SELECT j.*, h.t AS foil, coalesce(list_max([CASE WHEN x.role = 'assistant' THEN i ELSE 0 END FOR x, i IN a]), 0) AS last FROM j LEFT JOIN c h ON h.conv_id = j.rejected_id),

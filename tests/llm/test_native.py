@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 
 import duckdb
 import pytest
@@ -102,6 +103,46 @@ def test_index_persists_and_older_text_stays(spark, tmp_path):
     assert sorted(r.keep_id for r in again.table().collect()) == [1, 2, 7]
 
 
+def test_index_keeps_its_bucket_count(spark, tmp_path):
+    place = f"file://{tmp_path}/index"
+    rows = digest_index.digests(spark.createDataFrame([(k, f"text {k}") for k in range(100)], "doc_id long, text string"))
+    digest_index.DigestIndex(spark, "index_eight", place, 8).add(rows)
+    again = digest_index.DigestIndex(spark, "index_four", place, 4)
+    assert again.buckets == 8 and again.unseen(rows).count() == 0
+    for k in range(3):
+        again.add(digest_index.digests(spark.createDataFrame([(k, f"more {k}")], "doc_id long, text string")))
+    again.compact(4)
+    assert again.buckets == 4 and again.table().count() == 103 and again.unseen(rows).count() == 0
+    third = digest_index.DigestIndex(spark, "index_third", place)
+    assert third.buckets == 4 and third.unseen(rows).count() == 0
+    plan = third.unseen(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_only_own_folders_are_dropped(spark, tmp_path):
+    from sunloom.llm import common
+
+    kept = spark.range(3)
+    path = f"{common.shared_dir(spark)}/of-others"
+    kept.write.parquet(path)
+    before, common._written[spark.sparkContext.applicationId] = common._written.get(spark.sparkContext.applicationId), ([], [])
+    try:
+        staged = common.stage(kept, "own")
+        common.stage_bucketed(kept, "own-table", "id", 2)
+        files, tables = staged.inputFiles(), common._written[spark.sparkContext.applicationId][1]
+        common.drop_staged(spark)
+        assert not spark.catalog.tableExists(tables[0]) and spark.read.parquet(path).count() == 3
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    finally:
+        common._written[spark.sparkContext.applicationId] = before
+
+
+def test_turns_without_conversation_stand_alone(spark):
+    rows = [(None, k % 3, "user", f"t {k % 3}", None, None) for k in range(300)] + [(1, 0, "user", "t 0", None, None)]
+    made = preference.preferences(spark.createDataFrame(rows, TURNS)).collect()
+    assert len(made) == 4 and all(r.kind == "parrot" for r in made)
+
+
 def test_the_anti_join_reads_buckets_without_a_shuffle(spark, tmp_path):
     index = digest_index.DigestIndex(spark, "index_plan", f"file://{tmp_path}/p", 4)
     rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
