@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,21 @@ from .common import map_arrow, stage
 #: Bytes of an ADPCM block, and what payloads are padded to.
 UNIT = 576
 RATE = 8000
-#: PCM takes up to 8 times its file; batches of it and row groups of stored tables hold about this much.
-PCM_BYTES = 8 << 20
+#: Bytes of texts or files worked on at a time (PCM takes up to 8 times as many), ADPCM blocks decoded at a time, bytes of
+#: a row group of stored files.
+PORTION, IMA_BLOCKS, FILE_BYTES = 256 << 10, 1024, 8 << 20
 #: Format tags of WAVE files.
 ALAW, MULAW, IMA = 6, 7, 17
 NAMES = {ALAW: "alaw", MULAW: "mulaw", IMA: "ima"}
 #: Step sizes and index changes of IMA ADPCM.
-STEPS = (
-    "7 8 9 10 11 12 13 14 16 17 19 21 23 25 28 31 34 37 41 45 50 55 60 66 73 80 88 97 107 118 130 143 157 173 190 209 230 253 279 307 337 371 408 449 494 544 598 658 "
-    "724 796 876 963 1060 1166 1282 1411 1552 1707 1878 2066 2272 2499 2749 3024 3327 3660 4026 4428 4871 5358 5894 6484 7132 7845 8630 9493 10442 11487 12635 13899 15289 16818 18500 20350 22385 24623 27086 29794 32767"
-)
-STEP = np.array(STEPS.split(), dtype=np.int32)
+STEPS = [
+    7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37,
+    41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209,
+    230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166,
+    1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484,
+    7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
+]
+STEP = np.array(STEPS, dtype=np.int32)
 CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, dtype=np.int32)
 
 
@@ -114,26 +119,30 @@ def sinc_taps(up: int, down: int, half: int = 8) -> np.ndarray:
     return np.array(rows)
 
 
-def resample(pcm: np.ndarray, rate: int, to: int, block: int = 1 << 15) -> np.ndarray:
-    """16-bit samples at another rate, in whole-number arithmetic and blocks; edges repeat the outermost sample."""
+def resample(pcm: np.ndarray, rate: int, to: int, block: int = 4096) -> np.ndarray:
+    """16-bit samples at another rate, in whole numbers (exact in doubles) and blocks; edges repeat the outermost sample.
+
+    Outputs ``r``, ``r + up``, ... share a phase of the filter and step through the input by ``down``.
+    """
     up, down = to // math.gcd(rate, to), rate // math.gcd(rate, to)
     if up == down or not len(pcm):
-        return pcm.astype(np.int16)
+        return pcm.astype("<i2")
     taps = sinc_taps(up, down)
     reach = taps.shape[1] // 2
-    n = -(-len(pcm) * up // down)
-    padded = np.pad(pcm.astype(np.int32), (reach, reach + 1), mode="edge")
+    out = np.empty(-(-len(pcm) * up // down), dtype="<i2")
+    padded = np.pad(pcm, (reach, reach + 1), mode="edge")
     windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach)
-    out = np.empty(n, dtype=np.int16)
-    for a in range(0, n, block):
-        k = np.arange(a, min(n, a + block), dtype=np.int64) * down
-        made = np.einsum("ij,ij->i", windows[k // up + 1], taps[k % up].astype(np.int32), dtype=np.int64)
-        out[a : a + len(k)] = np.clip((made + 8192) >> 14, -32768, 32767)
+    for r in range(min(up, len(out))):
+        own, rows = out[r::up], windows[r * down // up + 1 :: down]
+        tap = taps[r * down % up].astype(np.float64)
+        for k in range(0, len(own), block):
+            made = (rows[k : min(k + block, len(own))].astype(np.float64) @ tap).astype(np.int64)
+            own[k : k + block] = np.clip((made + 8192) >> 14, -32768, 32767)
     return out
 
 
-def decode(payloads: list[tuple[int, bytes]]) -> list[np.ndarray]:
-    """PCM of (format tag, payload) pairs; the ADPCM blocks of all of them are decoded together.
+def decode(payloads: list[tuple[int, bytes]], block: int = IMA_BLOCKS) -> list[np.ndarray]:
+    """PCM of (format tag, payload) pairs; the ADPCM blocks of all of them are decoded together, ``block`` at a time.
 
     Of an ADPCM payload, only whole blocks have samples; an unknown tag raises.
     """
@@ -142,7 +151,9 @@ def decode(payloads: list[tuple[int, bytes]]) -> list[np.ndarray]:
     counts = [len(payloads[k][1]) // UNIT for k in ima]
     if ima:
         joined = np.frombuffer(b"".join(payloads[k][1][: c * UNIT] for k, c in zip(ima, counts, strict=True)), np.uint8).reshape(-1, UNIT)
-        made = ima_blocks(joined)
+        made = np.empty((len(joined), 2 * UNIT - 7), dtype=np.int16)
+        for k in range(0, len(joined), block):
+            made[k : k + block] = ima_blocks(joined[k : k + block])
         ends = np.cumsum(counts)
         out = {k: made[e - c : e].reshape(-1) for k, e, c in zip(ima, ends, counts, strict=True)}
     for k, (tag, data) in enumerate(payloads):
@@ -153,11 +164,34 @@ def decode(payloads: list[tuple[int, bytes]]) -> list[np.ndarray]:
     return [out[k] for k in range(len(payloads))]
 
 
+def describe(pcm: np.ndarray, block: int = 1 << 16) -> tuple[int, int, int]:
+    """Peak, root mean square (rounded down) and crossings of zero."""
+    peak = squares = crossings = 0
+    for k in range(0, len(pcm), block):
+        x = pcm[k : k + block].astype(np.int64)
+        peak = max(peak, int(np.abs(x).max()))
+        squares += int(x @ x)
+        signs = pcm[max(0, k - 1) : k + block] < 0
+        crossings += int(np.count_nonzero(signs[1:] != signs[:-1]))
+    return peak, math.isqrt(squares // max(1, len(pcm))), crossings
+
+
 def payload_of(text: str | None) -> tuple[int, bytes]:
     data = (text or "").encode()
     return len(data), data + b"\xff" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
 
 
+def portions(rows: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes of ``column``, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= most or k == len(sizes) - 1:
+            yield rows.slice(first, k + 1 - first)
+            first, held = k + 1, 0
+
+
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and ``media``, a WAVE file holding the text's padded UTF-8 bytes.
 
@@ -166,62 +200,49 @@ def to_media(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            made = [payload_of(t) for t in rows.column("text").to_pylist()]
-            media = [wav(p, (ALAW, MULAW, IMA)[zlib.crc32(p) % 3]) for _, p in made]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for batch in batches:
+            for rows in portions(batch, "text"):
+                made = [payload_of(t.as_py()) for t in rows.column("text")]
+                media = [wav(p, (ALAW, MULAW, IMA)[zlib.crc32(p) % 3]) for _, p in made]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
-DECODED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, coding string, samples long, rate long, pcm binary"
+SOUNDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rate long, pcm binary"
 
 
 def to_pcm(media: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Digests of the stored files and ``pcm``: their sound as 16-bit little-endian samples at ``rate``."""
+    """Digests of the stored files, ``pcm``, their sound as 16-bit little-endian samples at ``rate``, and its ``feature``:
+    coding, samples before and after resampling, peak, root mean square, crossings of zero.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "coding", "samples", "rate", "pcm"]
-        for rows in batches:
-            files = rows.column("media").to_pylist()
-            parsed = [parse_wav(f) for f in files]
-            sounds = decode([(tag, data) for tag, _, data in parsed])
-            made: list[tuple] = []
-            first = held = 0
-            for k, (f, (tag, own, d), s) in enumerate(zip(files, parsed, sounds, strict=True)):
-                pcm = resample(s, own, rate).astype("<i2").tobytes()
-                made.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(f), hashlib.sha256(f).hexdigest(), NAMES[tag], len(s), rate, pcm))
-                held += len(pcm)
-                if held >= PCM_BYTES or k == len(files) - 1:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
-                    part = rows.slice(first, len(made))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=names)
-                    made, first, held = [], k + 1, 0
-
-    return map_arrow(media, run, DECODED)
-
-
-def features(decoded: DataFrame) -> DataFrame:
-    """``feature`` of the stored samples: coding, samples before and after, peak, root mean square, crossings of zero."""
+    ``media`` has doc_id, n_bytes and media. A file that is no WAVE file of a known coding raises. Files are worked on a
+    few at a time, so a task holds little beside its longest file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            said = []
-            for pcm, coding, n in zip(rows.column("pcm"), rows.column("coding").to_pylist(), rows.column("samples").to_pylist(), strict=True):
-                x = np.frombuffer(pcm.as_buffer(), "<i2").astype(np.int64)
-                rms = math.isqrt(int(x @ x) // max(1, len(x)))
-                crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-                said.append(f"{coding} {n} {len(x)} {int(np.abs(x).max(initial=0))} {rms} {crossings}")
-            kept = [c for c in rows.schema.names if c not in ("pcm", "coding", "samples", "rate")]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(said, pa.string())], names=[*kept, "feature"])
-
-    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(decoded, run, kinds)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rate", "pcm"]
+        for batch in batches:
+            for rows in portions(batch, "media"):
+                files = rows.column("media").to_pylist()
+                parsed = [parse_wav(f) for f in files]
+                made = []
+                for f, (tag, own, d), sound in zip(files, parsed, decode([(tag, data) for tag, _, data in parsed]), strict=True):
+                    pcm = resample(sound, own, rate)
+                    feature = " ".join(map(str, (NAMES[tag], len(sound), len(pcm), *describe(pcm))))
+                    made.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(f), hashlib.sha256(f).hexdigest(), feature, rate, pcm.tobytes()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *columns], names=names)
+
+    return map_arrow(media, run, SOUNDS)
 
 
 def telephony(docs: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Store each text as telephony audio, read the files back, store the resampled PCM, read it back, describe it."""
-    groups = {"parquet.block.size": PCM_BYTES}
-    media = stage(to_media(docs), "telephony", **groups)
-    return features(stage(to_pcm(media, rate), "telephony-pcm", **groups))
+    """Store each text as telephony audio in the shared folder, read the files back, decode, resample and describe them.
+
+    One row per row of ``docs``, its ``pcm`` included: whoever writes the result stores the resampled sound, once. Null
+    texts count as empty, repeated rows stay, doc_id may be null, and equal texts have equal values; only doc_id and text
+    are read, so other columns may have any name. An empty table gives no rows.
+    """
+    return to_pcm(stage(to_media(docs), "telephony", **{"parquet.block.size": FILE_BYTES}), rate)

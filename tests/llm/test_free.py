@@ -362,6 +362,7 @@ def test_accuracies_come_out_of_agreement():
 
 
 def test_media_go_round(documents, odd, empty):
+    assert telephony.telephony(odd).count() == odd.count()
     for docs in (documents, odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
         made = telephony.telephony(docs).collect()
@@ -375,18 +376,47 @@ def test_media_go_round(documents, odd, empty):
     assert telephony.telephony(empty).count() == 0
 
 
-def test_stored_sound_keeps_every_sample(spark, documents, monkeypatch):
+def resampled_brute(sound):
+    """Twice the rate: the samples as they are, and between them the sums of the filter's second phase, one by one."""
+    if not len(sound):
+        return []
+    taps, out = telephony.sinc_taps(2, 1), []
+    reach = taps.shape[1] // 2
+    at = lambda k: int(sound[max(0, min(len(sound) - 1, k))])
+    for k in range(2 * len(sound)):
+        made = sum(int(t) * at(k // 2 - reach + 1 + j) for j, t in enumerate(taps[k % 2]))
+        out.append(max(-32768, min(32767, made + 8192 >> 14)))
+    return out
+
+
+def test_stored_sound_and_feature_by_brute_force(spark, documents, monkeypatch):
     from sunloom.llm import queries
 
     for r in queries.op10_telephony(spark, "/root/testdata/sf0.001").collect():
         _, before, after, *_ = r.feature.split()
-        assert int(after) == 2 * int(before)
-    monkeypatch.setattr(telephony, "PCM_BYTES", 50_000)
-    media = telephony.to_media(documents)
-    sounds = telephony.decode([telephony.parse_wav(r.media)[::2] for r in media.collect()])
-    made = telephony.to_pcm(media).collect()
-    assert [r.pcm for r in made] == [telephony.resample(s, 8000, 16000).tobytes() for s in sounds]
-    assert [r.doc_id for r in made] == [r.doc_id for r in media.collect()]
+        assert int(after) == 2 * int(before) and len(r.pcm) == 2 * int(after) and r.rate == 16_000
+    monkeypatch.setattr(telephony, "IMA_BLOCKS", 3)
+    small = documents.filter("length(text) < 1200").limit(24).cache()
+    media = telephony.to_media(small).collect()
+    for f, r in zip(media, telephony.telephony(small).collect(), strict=True):
+        tag, rate, data = telephony.parse_wav(f.media)
+        tables = {telephony.MULAW: telephony.mulaw_table(), telephony.ALAW: telephony.alaw_table()}
+        sound = np.array([x for k in range(0, len(data), 576) for x in ima_brute(data[k : k + 576])] if tag == telephony.IMA else [tables[tag][b] for b in data])
+        want = resampled_brute(sound)
+        assert rate == 8000 and np.frombuffer(r.pcm, "<i2").tolist() == want
+        rms = math.isqrt(sum(x * x for x in want) // len(want))
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(want, want[1:], strict=False))
+        assert r.feature == f"{telephony.NAMES[tag]} {len(sound)} {len(want)} {max(map(abs, want))} {rms} {crossings}"
+
+
+def test_portions_keep_rows_and_order(documents):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pylist([{"text": t} for t in ("a" * 300, None, "", "b" * 5, "c" * 900)])
+    parts = list(telephony.portions(rows, "text", 500))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == rows.column("text").to_pylist()
+    assert [p.num_rows for p in parts] == [5] and [p.num_rows for p in telephony.portions(rows, "text", 300)] == [1, 4]
+    assert not list(telephony.portions(rows.slice(0, 0), "text"))
 
 
 def test_companding_tables():
