@@ -12,10 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, maybe_broadcast
+from .common import map_arrow
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -24,6 +24,8 @@ HIDDEN, WINDOW = 8, 48
 LANES = 8192
 #: Texts a language gives to training, and bytes of each, and steps of training.
 TEXTS, TEXT_BYTES, STEPS, BATCH = 400, 1536, 700, 256
+#: Languages learnt at most, the most frequent ones.
+LANGUAGES = 256
 #: Bytes that count in a document's pool: ASCII letters and all of non-ASCII characters.
 _POOLED = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
@@ -166,7 +168,10 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) ->
 
 
 def predict(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
-    """Language and pooled probability of whole texts; ``und`` and 0 for null texts, texts without letters, no languages."""
+    """Language and pooled probability of whole texts; ``und`` and 0 for null texts, texts without letters, no languages.
+
+    Of equal probabilities the language first by name is taken.
+    """
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     asked = [k for k, t in enumerate(texts) if t is not None and LETTER.search(t)]
     if not asked or not net.languages:
@@ -192,20 +197,26 @@ def predict(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def training_sample(docs: DataFrame, texts: int = TEXTS) -> list[tuple[str, str]]:
-    """A passage of TEXT_BYTES characters of about ``texts`` texts of each language, from the training rows.
+def training_sample(docs: DataFrame, texts: int = TEXTS, most: int = LANGUAGES) -> list[tuple[str, str]]:
+    """A passage of TEXT_BYTES bytes of at most ``texts`` texts of each language, from the training rows.
 
-    Rows qualify by a hash of doc_id under a threshold that the language's count sets, and the hash places the passage, so
-    the sample is bounded (by languages, not rows) and the same in every run.
+    Rows qualify by a hash of doc_id and text, so rows without doc_id and repeated ids are sampled like others; of those
+    under a threshold that the language's count sets, the ``texts`` smallest are taken, a repeated row once. A second hash
+    places the passage. The sample is bounded by ``texts`` and ``most``, the number of languages (the most frequent ones),
+    whatever the table holds, and is the same in every run.
     """
     rows = docs.filter((key(F.col("doc_id")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count()
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
-    chosen = hashed / F.lit(1_000_003.0) < F.lit(float(texts)) / F.col("count")
-    start = F.pmod(hashed, F.greatest(F.length("text") - TEXT_BYTES, F.lit(0)) + 1).cast("int") + 1
-    picked = rows.select("doc_id", "lang", "text").join(maybe_broadcast(counts), "lang").filter(chosen)
-    picked = picked.select("lang", "doc_id", F.substring(F.col("text"), start, F.lit(TEXT_BYTES)).alias("text")).orderBy("lang", "doc_id", "text")
-    return [(r["text"], r["lang"]) for r in picked.collect() if LETTER.search(r["text"])]
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text"), F.xxhash64("doc_id", "text").alias("draw"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
+    share = F.lit(2.0 * texts) / F.col("count")
+    chosen = F.shiftrightunsigned("draw", 1) / F.lit(2.0**63) < share
+    start = F.pmod(F.xxhash64("draw", F.lit(1)), F.greatest(F.octet_length("text") - TEXT_BYTES, F.lit(0)) + 1).cast("int") + 1
+    passage = F.substring(F.encode("text", "utf-8"), start, F.lit(TEXT_BYTES))
+    picked = rows.join(F.broadcast(counts), "lang").filter(chosen).groupBy("lang", "draw").agg(F.min(passage).alias("passage"))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("draw", 1), "draw")
+    picked = picked.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= texts).orderBy("lang", "rank")
+    cut = [(bytes(r["passage"]).decode(errors="ignore"), r["lang"]) for r in picked.collect()]
+    return [(text, lang) for text, lang in cut if LETTER.search(text)]
 
 
 def fit(docs: DataFrame, texts: int = TEXTS, steps: int = STEPS) -> Network:
@@ -228,7 +239,12 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document, learnt from those not held out (needs doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score of every document, learnt from those not held out (needs doc_id, text, lang).
+
+    Repeated rows are predicted alike, and a tie goes to the language first by name. Null texts and texts without letters
+    are ``und`` with score 0; so is all where no training row has a language. A null doc_id counts as the empty text in the
+    split. Further columns are not read; an empty table gives no rows.
+    """
     made = identify(docs, fit(docs))
     return made.select("doc_id", (key(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stage
 
-#: Documents that train the scorer (about as many, by hash of doc_id), hashed features, passes over the sample.
+#: Documents that train the scorer at most (by hash of doc_id and text), hashed features, passes over the sample.
 SAMPLE, BITS, EPOCHS = 6000, 14, 12
 _SYMBOLS, _CAPITALS = b"#$%&*^~<>{}[]=\\|_@+", bytes(range(65, 91))
 #: Endings of words in garbled text.
@@ -188,19 +188,24 @@ def vote(docs: DataFrame) -> DataFrame:
 
 
 def sample_rows(docs: DataFrame, labels: Labels, total: int, size: int, bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Features and posteriors of about ``size`` documents, chosen by a hash of doc_id: the only rows the driver sees."""
-    share = min(1.0, size / max(1, total))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    """Features and posteriors of at most ``size`` documents: the only rows the driver sees.
+
+    They are the smallest by a hash of doc_id and text, so rows without doc_id and repeated ids are sampled like others;
+    a repeated row counts once. A threshold from the table's size thins the rows before features are made.
+    """
+    share = 1.5 * size / max(1, total)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    picked = rows.filter(F.col("draw") / F.lit(2.0**63) < share).groupBy("draw").agg(F.min("text").alias("text"))
     posterior = labels.posterior
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             made = [look(t.as_py(), bits) for t in rows.column("text")]
             truth = [posterior.get(pattern(votes_of(f)), labels.prior) for f, _, _ in made]
-            columns = [rows.column("doc_id"), pa.array([i for _, i, _ in made], pa.list_(pa.int32())), pa.array([v for _, _, v in made], pa.list_(pa.float32())), pa.array(truth)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "values", "truth"])
+            columns = [rows.column("draw"), pa.array([i for _, i, _ in made], pa.list_(pa.int32())), pa.array([v for _, _, v in made], pa.list_(pa.float32())), pa.array(truth, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["draw", "ids", "values", "truth"])
 
-    made = map_arrow(picked, run, "doc_id long, ids array<int>, values array<float>, truth double").orderBy("doc_id").toArrow()
+    made = map_arrow(picked, run, "draw long, ids array<int>, values array<float>, truth double").orderBy("draw").limit(size).toArrow()
     return [(np.array(i, np.int64), np.array(v, np.float64), t) for i, v, t in zip(made["ids"].to_pylist(), made["values"].to_pylist(), made["truth"].to_pylist(), strict=True)]
 
 
