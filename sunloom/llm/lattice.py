@@ -2,12 +2,17 @@
 
 A word's lattice holds every way to cut its bytes into pieces of an existing vocabulary (its single bytes are pieces too).
 Piece scores start from the vocabulary's own and are re-estimated on the training words by expectation-maximisation; a
-forward recursion in log space sums over all segmentations. Words seen in training are arcs of their own with their
-discounted relative frequency, and what discounting frees weighs the arcs of pieces. A document's words are drawn from
-these marginals through a Polya urn of strength ``URN``: a word that a document has used becomes likelier in it.
+forward recursion in log space sums over all segmentations. The one public vocabulary with scores gives ranks (they fall by
+one a piece), so a piece starts with weight 1 / (100 + rank), as frequencies fall with ranks.
+
+Pieces are fixed in number, so what they learn does not grow with a corpus. ``score`` is therefore the marginal of a larger
+lattice: a word seen in training has one more arc, from its first node to its last, which weighs its discounted relative
+frequency; what discounting frees weighs the paths of pieces. A document's words are drawn from these marginals through a
+Polya urn of strength ``URN``: a word that a document has used becomes likelier in it. ``lattice_score`` is the marginal of
+pieces alone, without words of the corpus and urn.
 
 Words are counted in blocks of documents, so a word crosses the shuffle once a block, not once a document, and comes back
-as its number in the block; no task ever holds the vocabulary of the corpus.
+as its number in the block; no task ever holds the vocabulary of the corpus. A word's lattice is summed once for the corpus.
 """
 
 from __future__ import annotations
@@ -20,13 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, stage_bucketed
+from .common import bucket_count, map_arrow, stage, stage_bucketed
 
-#: Rows of a block. A block's distinct words are held by one task.
-BLOCK_ROWS = 4096
+#: Rows and bytes after which a block ends. A block's texts and distinct words are held by one task.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 6 << 20
+#: Rows of a bucket of staged texts.
+BUCKET_ROWS = 50_000
 #: Words whose lattices are summed together, rounds of re-estimation, strength of a document's urn.
 WORDS_AT_ONCE, ROUNDS, URN = 60_000, 2, 1500.0
 LOG10 = math.log(10)
@@ -187,21 +196,36 @@ class Model:
         return (self.ends + 0.5) / (self.tokens + 1)
 
     def words(self, counts: np.ndarray, log_pieces: np.ndarray) -> np.ndarray:
-        """Probability of words from their training counts and their lattice's log marginals."""
+        """Probability of words at the last node of their lattice: the sum of the arc over the whole word, from its training
+        count, and of the paths of pieces, from their log marginal."""
         if not self.types:
             return (1 - self.end()) * np.exp(log_pieces)
         seen = self.tokens - self.ends
-        free = self.discount * self.types / seen
-        return (1 - self.end()) * (np.maximum(counts - self.discount, 0) / seen + free * np.exp(log_pieces))
+        free = math.log(self.discount * self.types / seen)
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.maximum(counts - self.discount, 0) / seen)
+        return (1 - self.end()) * np.exp(np.logaddexp(whole, free + log_pieces))
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``block`` and ``position`` (a row's place in its block), in a table bucketed by block: later work by
-    block reads texts without a shuffle."""
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("number"))
-    within = F.col("number").bitwiseAND((1 << 33) - 1)
-    block = F.shiftright("number", 33) * (1 << 33) + F.floor(within / BLOCK_ROWS)
-    return stage_bucketed(numbered.select("doc_id", "text", block.cast("long").alias("block"), (within % BLOCK_ROWS).cast("int").alias("position")), "lattice-docs", "block")
+    """doc_id and text of ``docs`` with ``block`` and ``position`` (a row's place in its block), in a table bucketed by
+    block: later work by block reads texts without a shuffle. A block ends by rows or bytes, whichever comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, held = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            blocks, positions = [], []
+            for size in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
+                if rows and (rows >= BLOCK_ROWS or held + size > BLOCK_BYTES):
+                    block, rows, held = block + 1, 0, 0
+                blocks.append(block)
+                positions.append(rows)
+                rows, held = rows + 1, held + size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64()), pa.array(positions, pa.int32())], names=["doc_id", "text", "block", "position"])
+
+    buckets = bucket_count(docs.sparkSession, docs.count(), BUCKET_ROWS)
+    placed = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, text string, block long, position int")
+    return stage_bucketed(placed, "lattice-docs", "block", buckets)
 
 
 def block_words(rows: DataFrame) -> DataFrame:
@@ -238,14 +262,9 @@ def block_words(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.sortWithinPartitions("block", "position"), run, "block long, number int, word binary, n long")
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """``block_words`` with ``c``, the word's uses in all training texts, and ``lead``, true in one row of each word.
-
-    A word has one row a block, so the window over a word holds numbers of blocks at most and no word is hot.
-    """
-    word = Window.partitionBy("word")
-    counted = block_words(rows).select("block", "number", "word", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("block")) == 1).alias("lead"))
-    return stage(counted, "lattice-words")
+def count_words(uses: DataFrame) -> DataFrame:
+    """Every word of the corpus once: word and ``c``, its uses in all training texts. Sums combine before they shuffle."""
+    return stage(uses.groupBy("word").agg(F.sum("n").alias("c")), "lattice-counts")
 
 
 def reestimate(words: DataFrame, pieces: Pieces) -> Pieces:
@@ -285,8 +304,21 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[by
         yield held
 
 
+def lattices(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``words`` (word, c) with ``log_pieces``, the log marginal of each word's lattice of pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.slice(k, WORDS_AT_ONCE)
+                log = pieces.log_marginals(part.column("word").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(log)], names=["word", "c", "log_pieces"])
+
+    return map_arrow(words.select("word", "c"), run, "word binary, c long, log_pieces double")
+
+
 def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> Model:
-    known = words.filter("lead and c > 0")
+    known = words.filter("c > 0")
     n, types, once, twice = known.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     pieces = load_pieces(path)
     for _ in range(rounds if types else 0):
@@ -334,28 +366,11 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
     rows = blocked(docs)
     ends = rows.filter(~held_out(F.col("doc_id"))).count()
     placed = rows.select("block", "position", "doc_id", "text")
-    words = count_words(placed)
+    uses = stage(block_words(placed), "lattice-words")
+    words = count_words(uses)
     model = fit(words, ends, path)
-    pieces = model.pieces
-
-    def lattices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def score(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            coded = table.column("word").combine_chunks().dictionary_encode()
-            log = pieces.log_marginals(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("block", "number", "c")), pa.array(log)], names=["block", "number", "c", "log_pieces"])
-
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= 3 * WORDS_AT_ONCE:
-                yield score(held)
-                held, n = [], 0
-        if n:
-            yield score(held)
-
-    scored = map_arrow(words.select("block", "number", "c", "word"), lattices, "block long, number int, c long, log_pieces double")
+    # A word meets its sums by a join: a common word has one row a block on this side, and AQE splits a skewed partition.
+    scored = uses.select("block", "number", "word").join(lattices(words, model.pieces), "word").select("block", "number", "c", "log_pieces")
 
     def block(texts: pa.Table, numbered: pa.Table) -> pa.Table:
         at = numbered.column("number").to_numpy()

@@ -271,6 +271,57 @@ def test_languages_of_odd_tables(odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.select("doc_id").collect()}.isdisjoint({1, 2, 3, 11})
 
 
+def gru_brute(net, text):
+    """Pooled probabilities, byte by byte with plain loops."""
+    raw = text.lower().encode()
+    hidden, n = net.states.shape[1], len(net.languages)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    pooled, count = [0.0] * n, 0
+    for k in range(0, len(raw), langid.WINDOW):
+        window = raw[k : k + langid.WINDOW].ljust(langid.WINDOW)
+        states = []
+        for side, order in ((0, window), (1, window[::-1])):
+            h, seen = [0.0] * hidden, []
+            for b in order:
+                g = [sum(h[i] * float(net.states[side][i][j]) for i in range(hidden)) for j in range(3 * hidden)]
+                x = [float(v) for v in net.inputs[side][b]]
+                reset = [sigmoid(x[j] + g[j]) for j in range(hidden)]
+                update = [sigmoid(x[hidden + j] + g[hidden + j]) for j in range(hidden)]
+                new = [math.tanh(x[2 * hidden + j] + reset[j] * g[2 * hidden + j]) for j in range(hidden)]
+                h = [h[j] + update[j] * (new[j] - h[j]) for j in range(hidden)]
+                seen.append(h)
+            states.append(seen if side == 0 else seen[::-1])
+        for b, there, back in zip(window, *states, strict=True):
+            if b >= 128 or chr(b).isalpha():
+                score = [sum(v * float(net.out[i][j]) for i, v in enumerate([*there, *back])) + float(net.bias[j]) for j in range(n)]
+                top = [math.exp(v - max(score)) for v in score]
+                pooled = [p + t / sum(top) for p, t in zip(pooled, top, strict=True)]
+                count += 1
+    return [p / max(1, count) for p in pooled]
+
+
+def test_predictions_by_brute_force(documents):
+    net = langid.train([(r.text, r.lang) for r in documents.filter("lang is not null").limit(60).collect()], steps=20)
+    texts = ["Ein kurzer Text.", "ünï cödé 漢字 und mehr", "x", "the quick brown fox jumps over the lazy dog and then some more words", "12 34", None]
+    for text, (lang, score) in zip(texts, langid.predict(net, texts), strict=True):
+        if text is None or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        want = gru_brute(net, text)
+        assert lang == net.languages[int(np.argmax(want))] and abs(score - max(want)) < 1e-4
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_samples_stay_bounded_whatever_the_ids(spark, ids):
+    rows = spark.range(20_000).select((F.lit(None) if ids == "null" else F.lit(4)).cast("long").alias("doc_id"), F.concat(F.lit("some words number "), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang"))
+    rows = rows.unionByName(rows.limit(1).crossJoin(spark.range(5_000)).drop("id"))
+    picked = collections.Counter(lang for _, lang in langid.training_sample(rows, 50))
+    assert picked == {"en": 50, "de": 50}
+    assert len(langid.training_sample(rows, 50, most=1)) == 50
+    labels = quality.weigh({"0" * len(quality.LABELLERS): 1})
+    assert len(quality.sample_rows(rows, labels, 25_000, 600, 10)) == 600
+
+
 def test_scores_count_what_they_should(documents):
     made = lattice.scores(documents, PIECE).collect()
     texts = {r.doc_id: r.text for r in documents.collect()}
@@ -287,6 +338,54 @@ def test_scores_count_what_they_should(documents):
     assert len(made) == len(texts)
 
 
+def test_scores_by_brute_force(documents, monkeypatch):
+    docs = documents.filter("length(text) < 900").limit(50).cache()
+    fit, models = lattice.fit, []
+    monkeypatch.setattr(lattice, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    monkeypatch.setattr(lattice, "BLOCK_BYTES", 3000)
+    made = lattice.scores(docs, PIECE).collect()
+    model = models[0]
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    counts = collections.Counter(w for d, ws in texts.items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in ws)
+    seen, ends = sum(counts.values()), sum(zlib.crc32(str(d).encode()) % 5 != 1 for d in texts)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = min(0.95, max(0.1, once / (once + 2 * twice)))
+    end = (ends + 0.5) / (seen + ends + 1)
+    known = [dict(zip(h.tolist(), i.tolist(), strict=True)) for h, i in zip(model.pieces.hashes, model.pieces.ids, strict=True)]
+
+    def pieces_of(word):
+        """Sum over all cuts, from the word's end to its start."""
+        rest = [0.0] * len(word) + [math.exp(model.pieces.stop)]
+        for a in range(len(word) - 1, -1, -1):
+            for b in range(a + 1, min(len(word), a + len(known) - 1) + 1):
+                k = known[b - a].get(int(lattice._hash(np.frombuffer(word[a:b], np.uint8).reshape(1, -1))[0]))
+                if k is not None:
+                    rest[a] += math.exp((model.pieces.next if a else model.pieces.first)[k]) * rest[b]
+        return rest[0]
+
+    for r in made:
+        score, lattice_score, used = math.log10(end), math.log10(end), collections.Counter()
+        for k, w in enumerate(texts[r.doc_id]):
+            spelt = pieces_of(w)
+            prior = max(0.0, counts[w] - discount) / seen + discount * len(counts) / seen * spelt
+            score += math.log10((lattice.URN * prior + used[w]) / (lattice.URN + k) * (1 - end))
+            lattice_score += math.log10(spelt * (1 - end))
+            used[w] += 1
+        assert math.isclose(r.score, score, rel_tol=1e-6) and math.isclose(r.lattice_score, lattice_score, rel_tol=1e-6)
+    assert len(made) == len(texts)
+
+
+def test_blocks_end_by_rows_and_bytes(documents, monkeypatch):
+    monkeypatch.setattr(lattice, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lattice, "BLOCK_ROWS", 7)
+    rows = lattice.blocked(documents).collect()
+    assert sorted(r.text for r in rows) == sorted(r.text for r in documents.collect())
+    for block in {r.block for r in rows}:
+        own = sorted((r for r in rows if r.block == block), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(len(own))) and len(own) <= 7
+        assert len(own) == 1 or sum(len(r.text.encode()) for r in own) <= 20_000
+
+
 def test_scores_of_odd_and_empty_tables(odd, empty):
     made = lattice.scores(odd, PIECE).collect()
     assert len(made) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in made)
@@ -298,8 +397,8 @@ def test_scores_hold_in_any_order_of_a_blocks_rows(documents, monkeypatch):
     docs = documents.limit(60).cache()
     key = lambda r: (r.doc_id, r.n_tokens)
     want = sorted(lattice.scores(docs, PIECE).collect(), key=key)
-    count_words = lattice.count_words
-    monkeypatch.setattr(lattice, "count_words", lambda rows: count_words(rows.sortWithinPartitions("block", F.desc("doc_id"))))
+    block_words = lattice.block_words
+    monkeypatch.setattr(lattice, "block_words", lambda rows: block_words(rows.sortWithinPartitions("block", F.desc("doc_id"))))
     made = sorted(lattice.scores(docs, PIECE).collect(), key=key)
     assert [r[:5] for r in made] == [r[:5] for r in want]
     assert np.allclose([r[5:] for r in made], [r[5:] for r in want], rtol=1e-9)
@@ -346,6 +445,52 @@ def test_quality_on_labels(spark):
     assert np.mean([r.good for r in made if r.quality]) > 0.97
 
 
+def em_brute(patterns, rounds=200):
+    """Accuracies and posteriors with loops over votes, by the definition."""
+    n, accuracy, prior, good = len(quality.LABELLERS), [0.9] * len(quality.LABELLERS), 0.8, {}
+    for _ in range(rounds):
+        fresh = {}
+        for p in patterns:
+            yes, no = prior, 1 - prior
+            for k, v in enumerate(p):
+                if v != "0":
+                    yes *= accuracy[k] if v == "+" else 1 - accuracy[k]
+                    no *= accuracy[k] if v == "-" else 1 - accuracy[k]
+            fresh[p] = yes / (yes + no)
+        if good and max(abs(fresh[p] - good[p]) for p in fresh) < 1e-9:
+            break
+        good = fresh
+        for k in range(n):
+            voted = sum(c for p, c in patterns.items() if p[k] != "0")
+            right = sum(c * (good[p] if p[k] == "+" else 1 - good[p]) for p, c in patterns.items() if p[k] != "0")
+            accuracy[k] = min(0.999, max(0.55, (right + 18) / (voted + 20)))
+        prior = min(0.99, max(0.01, (sum(c * good[p] for p, c in patterns.items()) + 8) / (sum(patterns.values()) + 10)))
+    return good
+
+
+def test_quality_by_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    made = {r.doc_id: r for r in quality.classify(documents).collect()}
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    patterns = collections.Counter(r.votes for r in made.values())
+    good = em_brute(patterns)
+    rows = quality.sample_rows(documents, quality.weigh(patterns), len(texts), quality.SAMPLE, quality.BITS)
+    assert len(rows) == len(texts)
+    weights, bias = quality.train(rows)
+    for doc, text in texts.items():
+        words = text.encode().split()
+        own, shapes = collections.Counter(words), collections.Counter()
+        for w in words:
+            shapes[w.translate(quality._SHAPE)[-4:]] += 1
+        total = bias
+        for seed, part in ((1, own), (2, shapes)):
+            length = max(1.0, math.sqrt(sum(c * c for c in part.values())))
+            total += sum(weights[zlib.crc32(w.lower() if seed == 1 else w, seed) % 2**quality.BITS] * c / length for w, c in part.items())
+        want = 1 / (1 + math.exp(-max(-30, min(30, total))))
+        assert abs(made[doc].score - want) < 1e-9 and made[doc].good == (made[doc].score >= 0.5)
+        assert abs(made[doc].posterior - good[made[doc].votes]) < 1e-5
+
+
 def test_quality_of_odd_tables(odd, empty):
     made = quality.classify(odd).collect()
     assert len(made) == odd.count() and all(0 <= r.score <= 1 and len(r.votes) == len(quality.LABELLERS) for r in made)
