@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, row_id, stage
+from .common import bucket_count, fresh_path, maybe_broadcast, own, stage
 
 #: Sources in code point order weigh these, repeating; no source is taken more often than CAP times.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -13,6 +13,8 @@ WEIGHTS, CAP = (5, 2, 1), 3
 CLASSES = (1024, 64)
 #: A hash has 52 bits: two histogram levels of 13, the rest only inside the boundary bucket.
 LEVEL_BITS, HASH_BITS = 13, 52
+#: Sources that a range holds when sources are ranked.
+RANGE_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -25,27 +27,44 @@ def hashed(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
+def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` with ``rank`` (from 0) and, for each of ``sums``, ``before_<name>``, the sum over the rows before, in ``order``.
+
+    Rows are dealt to ranges of the order and summed within each; a range's start comes from the ranges' totals, of which
+    the driver sees one row a range. So no task holds all rows, however many sources there are.
+    """
+    spark = df.sparkSession
+    ranges = bucket_count(spark, df.count(), RANGE_ROWS)
+    placed = stage(df.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    totals = placed.groupBy("range").agg(F.count(F.lit(1)).alias("rank"), *[F.sum(c).alias(c) for c in sums]).orderBy("range").collect()
+    at, starts = [0] * (1 + len(sums)), []
+    for t in totals:
+        starts.append((t["range"], *map(float, at)))
+        at = [x + (t[c] or 0) for x, c in zip(at, ["rank", *sums], strict=True)]
+    names = ["rank", *[f"before_{c}" for c in sums]]
+    first = spark.createDataFrame(starts, "range int, " + ", ".join(f"start_{c} double" for c in names))
+    own = Window.partitionBy("range").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    inside = [F.row_number().over(own) - 1, *[F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums]]
+    joined = placed.withColumns(dict(zip(names, inside, strict=True))).join(F.broadcast(first), "range")
+    return joined.select(*df.columns, *[(F.col(c) + F.col(f"start_{c}")).alias(c) for c in names])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source_size per source to its target: shares by weight, stopped at ``cap`` times the size, the excess reshared.
+    """source and source_size to its target: shares by weight, stopped at ``cap`` times the size, the excess reshared.
 
     Sources stop in the order of cap * size / weight; the first that does not stop fixes the level for all others.
-    Windows here run over one row per source.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    everything = Window.partitionBy()
-    shared = (
-        sizes.withColumn("weight", weight)
-        .withColumn("ratio", cap * F.col("source_size") / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("open"))
-    )
-    shared = shared.withColumn("rank", F.row_number().over(by_ratio))
-    shared = shared.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("rank", "level"))).over(everything)["level"])
-    return shared.select("source", "source_size", F.least((cap * F.col("source_size")).cast("double"), F.col("weight") * F.col("level")).alias("target"))
+    by_name, by_ratio = F.col("source").asc_nulls_last(), F.col("ratio").asc()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    named = running(sizes.select("source", "source_size"), [by_name], [])
+    named = named.withColumn("weight", weight).drop("rank").withColumn("ratio", cap * F.col("source_size") / F.col("weight"))
+    ordered = stage(running(named, [by_ratio, by_name], ["source_size", "weight"]), "mix-order")
+    all_words, all_weights = ordered.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(all_words or 0)) - cap * F.col("before_source_size")) / (F.lit(float(all_weights or 0)) - F.col("before_weight"))
+    fixed = ordered.withColumn("level", level).filter("ratio >= level").agg(F.min_by("level", "rank")).first()[0]
+    share = F.col("weight") * F.lit(fixed).cast("double")
+    return ordered.select("source", "source_size", F.least((cap * F.col("source_size")).cast("double"), share).alias("target"))
 
 
 def _boundary(cells: DataFrame, state: DataFrame, cell: str) -> DataFrame:
@@ -60,32 +79,31 @@ def _boundary(cells: DataFrame, state: DataFrame, cell: str) -> DataFrame:
     return first.select("source_key", f"b.{cell}", "b.upto", (F.col("b.upto") - F.col("b.words")).alias("base"), "b.want")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``.
+def traits() -> dict[str, Column]:
+    """Of a document: its size in words, its size class, its source as a key that is never null, its hash."""
+    size = words(F.col("text"))
+    return {
+        "size": size,
+        "class": sum((size < c).cast("int") for c in CLASSES),
+        "source_key": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
+        "h": hashed(F.col("doc_id")),
+    }
 
-    Every document of a source is taken floor(target / source_size) times; documents under a hash threshold are taken once
-    more. The threshold is found per source and size class, large documents first: a histogram of words by hash bucket
-    gives the bucket where the budget ends, that bucket alone is split again, and the threshold falls on the hash whose
-    running sum is nearest to the budget. What a class misses or overruns goes to the next, so the last one's documents
-    (the smallest) settle the error. Repeated doc_ids share a hash and stand or fall together. A source with no words has
-    target and taken 0; an empty table gives no rows; null source is a source, and its place is last. Only doc_id, text
-    and source are read.
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Per source and class: source_size, target, ``whole`` (times that every document is taken) and ``limit`` (documents
+    with a hash below it are taken once more).
+
+    ``rows``: source, source_key, class, size, h, staged by class. One pass makes the histogram of all classes; then each
+    class reads its own files once, for the boundary buckets alone.
     """
-    size = F.col("size")
-    klass = sum((size < c).cast("int") for c in CLASSES)
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
-    rows = rows.select("doc_id", "size", klass.alias("class"), key.alias("source_key"), hashed(F.col("doc_id")).alias("h"), "source")
-    rows = stage(rows, "mix-rows")
-    low = HASH_BITS - LEVEL_BITS
-    lower = HASH_BITS - 2 * LEVEL_BITS
+    low, lower = HASH_BITS - LEVEL_BITS, HASH_BITS - 2 * LEVEL_BITS
     sums = stage(rows.groupBy("source_key", "source", "class", F.shiftright("h", low).alias("bucket")).agg(F.sum("size").alias("words")), "mix-histogram")
     sized = sums.groupBy("source", "source_key").agg(F.sum("words").alias("source_size"))
-    keys = sized.select("source", "source_key")
-    plan = targets(sized.select("source", "source_size"), weights, cap).withColumn("source_key", key).drop("source")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(ratio)).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = stage(plan.join(keys.select("source_key"), "source_key"), "mix-plan")
+    plan = targets(sized, weights, cap).withColumn("source_key", key).drop("source").withColumn("whole", F.floor(ratio))
+    plan = stage(plan.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
     carry = plan.select("source_key", F.lit(0.0).alias("carry"))
     limits = None
     for c in range(len(CLASSES) + 1):
@@ -96,12 +114,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
         state = stage(state, "mix-state")
         seek = state.filter("want > 0").select("source_key", "want", F.lit(0).cast("long").alias("base"))
         first = stage(_boundary(cells, seek, "bucket"), "mix-bucket")
-        inside = rows.filter(F.col("class") == c).withColumn("bucket", F.shiftright("h", low))
-        inside = inside.join(maybe_broadcast(first.select("source_key", "bucket")), ["source_key", "bucket"])
-        finer = inside.groupBy("source_key", F.shiftright("h", lower).alias("finer")).agg(F.sum("size").alias("words"))
+        inside = rows.filter(F.col("class") == c).withColumn("bucket", F.shiftright("h", low)).join(maybe_broadcast(first.select("source_key", "bucket")), ["source_key", "bucket"])
+        inside = stage(inside.groupBy("source_key", "h").agg(F.sum("size").alias("words")).withColumn("finer", F.shiftright("h", lower)), "mix-inside")
+        finer = inside.groupBy("source_key", "finer").agg(F.sum("words").alias("words"))
         second = stage(_boundary(finer, first.select("source_key", "want", "base"), "finer"), "mix-finer")
-        inside = inside.withColumn("finer", F.shiftright("h", lower)).join(maybe_broadcast(second.select("source_key", "finer")), ["source_key", "finer"])
-        third = _boundary(inside.groupBy("source_key", "h").agg(F.sum("size").alias("words")), second.select("source_key", "want", "base"), "h")
+        inside = inside.join(maybe_broadcast(second.select("source_key", "finer")), ["source_key", "finer"])
+        third = _boundary(inside, second.select("source_key", "want", "base"), "h")
         over = (F.col("upto") - F.col("want")) < (F.col("want") - F.col("base"))
         third = third.select("source_key", (F.col("h") + over.cast("long")).alias("limit"), F.when(over, F.col("upto")).otherwise(F.col("base")).alias("got"))
         everything = F.when(F.col("want") > 0, F.lit(2**HASH_BITS)).otherwise(F.lit(0)).cast("long")
@@ -114,10 +132,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
         done = stage(done, "mix-limit")
         carry = done.select("source_key", "carry")
         limits = done if limits is None else limits.unionByName(done)
-    rules = limits.join(plan.select("source_key", "source_size", "target", "whole"), "source_key").drop("carry")
-    joined = rows.drop("source").join(maybe_broadcast(rules), ["source_key", "class"])
-    times = F.col("whole") + (F.col("h") < F.col("limit")).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", (size * times).cast("long").alias("taken"))
+    return limits.join(plan.select("source_key", "source_size", "target", "whole"), "source_key").drop("carry")
+
+
+def _times() -> Column:
+    return F.col("whole") + (F.col("h") < F.col("limit")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of ``docs``.
+
+    Every document of a source is taken floor(target / source_size) times; documents under a hash threshold are taken once
+    more. The threshold is found per source and size class, large documents first: a histogram of words by hash bucket
+    gives the bucket where the budget ends, that bucket alone is split again, and the threshold falls on the hash whose
+    running sum is nearest to the budget. What a class misses or overruns goes to the next, so the last one's documents
+    (the smallest) settle the error. Repeated doc_ids share a hash and stand or fall together. A source with no words has
+    target and taken 0; an empty table gives no rows; null source is a source, and its place is last. Only doc_id, text
+    and source are read.
+    """
+    rows = staged(docs, ["doc_id"])
+    rules = thresholds(rows.drop("doc_id"), weights, cap)
+    joined = rows.join(maybe_broadcast(rules), ["source_key", "class"])
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).cast("long").alias("taken"))
+
+
+def staged(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """``traits`` of every row, with source and the columns ``kept``, one folder a class."""
+    made = traits()
+    rows = docs.select(*kept, F.col("source").cast("string").alias("source"), made["size"].alias("size"), made["source_key"].alias("source_key"), made["h"].alias("h"))
+    klass = sum((F.col("size") < c).cast("int") for c in CLASSES)
+    path = fresh_path(docs.sparkSession, "mix-rows")
+    rows.withColumn("class", klass).write.partitionBy("class").option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.withColumn("class", klass).schema).parquet(path)
 
 
 ORACLE = r"""
@@ -154,13 +200,18 @@ FROM k JOIN b ON b.sk = k.sk JOIN o ON o.sk = k.sk AND o.cls = k.cls
 """
 
 
-def take(docs: DataFrame) -> DataFrame:
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with all columns of ``docs``.
 
-    Texts without words have nothing to take and go; rows without doc_id are told apart by text.
+    A row's own source, size and hash decide, so nothing is joined by doc_id: texts that share one are each taken by their
+    own size, rows without doc_id share the hash of the empty text. Texts without words have nothing to take and go.
     """
-    numbered = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text")))
-    plan = mix(numbered.select(F.col("__id").alias("doc_id"), "text", "source")).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("__key"), F.expr("cast(taken div size as int)").alias("__times")).dropDuplicates(["__key"])
-    joined = numbered.join(plan, F.col("__id") == F.col("__key"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    rules = thresholds(staged(docs, []), weights, cap)
+    mark, of, rule, copy = (own(docs, name) for name in ("mix_row", "mix_of", "mix_rule", "mix_copy"))
+    marked = docs.withColumn(mark, F.struct(*[c.alias(n) for n, c in traits().items()]))
+    rules = rules.select(F.struct("source_key", "class").alias(of), F.struct("whole", "limit").alias(rule))
+    m, r = F.col(mark), F.col(rule)
+    joined = marked.join(maybe_broadcast(rules), F.struct(m["source_key"].alias("source_key"), m["class"].alias("class")) == F.col(of))
+    times = F.when(m["size"] > 0, r["whole"] + (m["h"] < r["limit"]).cast("long")).otherwise(0).cast("int")
+    copies = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(True), times)).alias(copy))
+    return copies.drop(copy)

@@ -189,6 +189,31 @@ def test_mix_reaches_its_targets(documents):
     assert sorted(map(tuple, mixing.mix(documents).collect())) == sorted(map(tuple, mixing.mix(documents.repartition(7)).collect()))
 
 
+def test_targets_with_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    sizes = {None if k == 7 else f"source {k * 7919 % 997:03d}": (k * k * 31) % 5000 + (k % 5 == 0) * 100_000 for k in range(300)}
+    made = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = targets(sizes)
+    assert len(made) == 300 and all(abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source]) for r in made)
+    plan = mixing.mix(spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string"))._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_texts_that_share_an_id_are_taken_by_their_own_size(spark):
+    schema = "doc_id long, text string, source string, mix_row string, mix_of string, mix_rule string, mix_copy string, size string"
+    rows = [(k % 5 if k % 7 else None, "w " * (k % 60 + (k % 4 == 0) * 70), "s" if k % 3 else None, "a", "b", "c", "d", "e") for k in range(400)]
+    docs = spark.createDataFrame(rows, schema)
+    taken = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        if r.size:
+            taken[r.doc_id, r.size, r.source_size] += r.taken // r.size
+    total = {s: sum(len(t.split()) for _, t, source, *_ in rows if source == s) for s in ("s", None)}
+    copies = mixing.take(docs)
+    assert copies.columns == docs.columns
+    got = collections.Counter((r.doc_id, len(r.text.split()), total[r.source]) for r in copies.collect())
+    assert got == +taken and {r[3:] for r in copies.collect()} == {("a", "b", "c", "d", "e")}
+
+
 def test_mix_with_stopped_sources(spark):
     rows = [(k, "w " * (1 + k % 9), "big" if k < 300 else "a" if k < 310 else None) for k in range(320)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
