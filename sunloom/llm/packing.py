@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from .common import map_arrow
 from .tokens import encoder
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Sequence ids are (task << this) + the sequence's number in the task.
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
+#: Sequence and row ids are (task << this) + the sequence's or row's number in the task.
 TASK_SHIFT = 40
 
 
@@ -65,20 +65,20 @@ def pack_rows(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: i
     """One task's documents to pieces: whole windows are cut off each document, its rest is packed; at the end, pieces
     of the emptiest windows are cut to fill the fullest, so one window at most stays partly filled."""
     encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
-    packer, number = SumOfSquares(size), 0
+    packer, number, row = SumOfSquares(size), 0, task << TASK_SHIFT
     out: list[tuple] = []
 
     def emit(pieces: list[tuple]) -> None:
         nonlocal number
         at = 0
-        for doc, start, ids, total in pieces:
+        for doc, start, ids, total, own in pieces:
             n = len(ids) // 4
-            out.append((doc, start, n, zlib.crc32(ids), total, (task << TASK_SHIFT) + number, at))
+            out.append((doc, start, n, zlib.crc32(ids), total, (task << TASK_SHIFT) + number, at, own))
             at += n
         number += 1
 
     def batch() -> pa.RecordBatch:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_id"]
         made = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=names)
         out.clear()
         return made
@@ -90,9 +90,10 @@ def pack_rows(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: i
             total = len(ids) // 4
             whole = total - total % size
             for start in range(0, whole, size):
-                emit([(doc, start, ids[4 * start : 4 * (start + size)], total)])
-            if total > whole and (full := packer.place((doc, whole, ids[4 * whole :], total), total - whole)):
+                emit([(doc, start, ids[4 * start : 4 * (start + size)], total, row)])
+            if total > whole and (full := packer.place((doc, whole, ids[4 * whole :], total, row), total - whole)):
                 emit(full)
+            row += 1
         if out:
             yield batch()
     left = packer.close()
@@ -100,13 +101,13 @@ def pack_rows(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: i
         fill, window = left.pop(0)
         while fill < size and left:
             least, spare = left.pop()
-            doc, start, ids, total = spare.pop()
+            doc, start, ids, total, own = spare.pop()
             n, room = len(ids) // 4, size - fill
             take = min(n, room)
-            window.append((doc, start + n - take, ids[4 * (n - take) :], total))
+            window.append((doc, start + n - take, ids[4 * (n - take) :], total, own))
             fill += take
             if n > take:
-                spare.append((doc, start, ids[: 4 * (n - take)], total))
+                spare.append((doc, start, ids[: 4 * (n - take)], total, own))
             if spare:
                 left.append((least - take, spare))
         emit(window)
@@ -121,7 +122,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
 
     A document's ids are its text's (null: empty) and ``end_id``. One row per piece; every id is in exactly one piece and
     a sequence's pieces follow each other from offset 0. ``docs`` needs ``doc_id`` and ``text``; other columns are not
-    read. An empty table gives no rows; repeated rows are packed as often as they come; a null doc_id stays null.
+    read. An empty table gives no rows; repeated rows are packed as often as they come, and ``row_id``, a number of the
+    input row, tells their pieces apart; a null doc_id stays null.
     Sequence numbers hold the task's number, so a task that runs again gives the same rows.
     """
 

@@ -2,7 +2,8 @@
 
 Both public vocabularies cut a text into words by a pattern before they merge, so a text's ids are its words' ids in
 order. Texts of plain Latin characters are cut here by the same pattern and only words not seen before go to the
-library's merges; a text with any other character goes through it whole.
+library's merges; a text with any other character, or with what may be a special token, goes through it whole. The
+library's defaults hold: the string of a special token in a text is that token.
 """
 
 from __future__ import annotations
@@ -56,7 +57,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # What special tokens begin with; with nothing in common, every text goes through the library whole.
+        self.special = os.path.commonprefix(specials)[:2].lower() if specials else None
         self.pattern, self.fold = KINDS.get(os.path.basename(path), (None, False))
         self.model = self.library.model
         self.young: dict[str, bytes] = {}
@@ -92,7 +95,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out = [b""] * len(texts)
-        whole = [k for k, t in enumerate(texts) if t and (self.pattern is None or _OTHER.search(t))]
+        whole = [k for k, t in enumerate(texts) if t and (self.pattern is None or _OTHER.search(t) or (self.special is not None and self.special in t))]
         for k in whole:
             out[k] = self._whole([texts[k]])[0]
         apart, part, size = set(whole), [], 0

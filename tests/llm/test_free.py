@@ -17,7 +17,6 @@ BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "w
 
 def ids_of(path, text, end):
     tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
     return np.array([*tool.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
@@ -26,6 +25,7 @@ def test_encoder_equals_the_library(documents, odd, path):
     encode = tokens.Encoder(path)
     texts = [r.text for r in documents.select("text").collect()] + [r.text for r in odd.select("text").collect()]
     texts += ["don't  I'LL we've\n\n x", "a b \x85 c", "naïve café ﬁ İstanbul ſ", "\x1c\x1d a", "~ ~~ ''' '", "ÀÉ² ½x 3rd", " lead", "trail  "]
+    texts += ["a <|endoftext|> b <|startoftext|>", "<|EndOfText|>", "<|endoftext|>" * 3, "x<|startoftext|>y <| z"]
     assert encode(texts) == [ids_of(path, t, 0)[:-1].tobytes() for t in texts]
 
 
@@ -71,6 +71,11 @@ def test_packing_of_odd_tables(odd, empty):
     assert packing.pack(empty, BYTE).count() == 0
     whole = packing.pack(odd, BYTE).collect()
     assert sum(r.length for r in whole if r.doc_id == 9) == 2 * len(ids_of(BYTE, "one two three four five", 1))
+    again = packing.pack(odd.filter("doc_id = 9 or doc_id = 10").repartition(1), BYTE, 8).collect()
+    assert len({r.row_id for r in again}) == 3
+    for row in {r.row_id for r in again}:
+        parts = sorted((r for r in again if r.row_id == row), key=lambda r: r.start)
+        assert [r.start for r in parts] == np.cumsum([0, *[r.length for r in parts]])[:-1].tolist() and sum(r.length for r in parts) == parts[0].doc_tokens
 
 
 def test_sum_of_squares_takes_the_best_level():
