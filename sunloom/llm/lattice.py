@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import bucket_count, map_arrow, stage, stage_bucketed
 
 #: Rows and bytes after which a block ends. A block's texts and distinct words are held by one task.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 6 << 20
-#: Rows of a bucket of staged texts.
-BUCKET_ROWS = 50_000
+BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
+#: Rows of a bucket of staged texts: fewer than a block has, so buckets seldom hold several blocks.
+BUCKET_ROWS = 1024
 #: Words whose lattices are summed together, rounds of re-estimation, strength of a document's urn.
 WORDS_AT_ONCE, ROUNDS, URN = 60_000, 2, 1500.0
 LOG10 = math.log(10)
