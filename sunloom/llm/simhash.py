@@ -22,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, row_id, stage
+from .common import map_arrow, stage
 from .components import components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
 #: Shingles hashed at a time, so one very long text needs little memory.
 BLOCK = 1 << 16
 #: Cosets of the first-order code by number of fingerprints: up to the first number, so many; buckets stay near 2,000.
+#: The last code has 65,536 anchors, so beyond some 1e8 fingerprints its buckets grow with them (as ``cap`` below does).
 SIZES = ((80_000, 1), (500_000, 8), (4_000_000, 64), (None, 512))
 #: Fingerprints compared at one anchor; larger buckets take the exact way around. It grows so that the list of larger
 #: buckets never has more than MAX_HOT entries.
@@ -55,17 +56,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, of whole texts (null: empty); with ``digest``, 64 bits of the text."""
-    kept = ["doc_id", "digest"] if digest else ["doc_id"]
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and ``fp``, the fingerprint as a signed long, of whole texts (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             made = np.array([fingerprint(t.as_py(), shingle) for t in rows.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(made.view(np.int64))], names=[*kept, "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text")]
-    return map_arrow(docs.select(*columns).select(*kept, "text"), run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 @cache
@@ -257,14 +256,14 @@ def near_links(fps: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
 
 
 def grouped(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """fp, root (one for each component) and component_id (smallest doc_id reachable) of the fingerprints of ``rows``."""
+    """fp and component_id (smallest doc_id reachable) of the fingerprints of ``rows``."""
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     n = nodes.count()
     found = components(near_links(nodes, n, bucket))
     joined = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     joined = stage(joined, "simhash-roots")
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return joined.join(roots, "root").select("fp", "root", "component_id")
+    return joined.join(roots, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
@@ -275,21 +274,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     their component's smallest id, null where no row has one. Only doc_id and text are read.
     """
     rows = stage(fingerprints(docs, shingle), "simhash")
-    named = grouped(rows, bucket).drop("root")
+    named = grouped(rows, bucket)
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of near-duplicates of ``docs``, the one with the smallest doc_id, with all its columns.
-
-    Rows meet their decision by doc_id and the text's digest, so different texts that share a doc_id stand for their own
-    groups; where they are of one group the smallest digest stays. Rows without doc_id stay where their group has none
-    with one, each text once; of repeated rows one stays.
-    """
-    numbered = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text"))).withColumn("__digest", F.xxhash64("text"))
-    rows = stage(fingerprints(numbered.select(F.col("__id").alias("doc_id"), "text"), shingle, digest=True), "simhash")
-    first = rows.join(grouped(rows), "fp").filter("doc_id = component_id").groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
-    kept = first.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "n")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__kept"), F.col("k.digest").alias("__text"), F.col("k.n").alias("__n"))
-    out = numbered.join(kept, (F.col("__id") == F.col("__kept")) & (F.col("__digest") == F.col("__text")), "left_semi")
-    return (out.dropDuplicates(["__id", "__digest"]) if kept.filter("__n > 1").limit(1).count() else out).select(*docs.columns)

@@ -3,12 +3,12 @@
 import collections
 
 import corpus_pipeline
-import numpy as np
 
-from sunloom.llm import langid, mixing, packing
+from sunloom.llm import langid, mixing, packing, similar
 from sunloom.llm.queries import tokenizer
-from tests.llm.test_free import check_pieces, clusters, fingerprint, ids_of
+from tests.llm.test_free import check_pieces, ids_of
 from tests.llm.test_native import fold
+from tests.llm.test_similar import similar_groups
 
 
 def test_stages_do_what_they_say(spark, small, documents):
@@ -28,8 +28,7 @@ def test_stages_do_what_they_say(spark, small, documents):
 
     apart = stages["near dedup"](spark, once, small).cache()
     rows = once.collect()
-    want = clusters(np.array([fingerprint(r.text) for r in rows], np.uint64), [r.doc_id for r in rows])
-    assert sorted(r.doc_id for r in apart.collect()) == sorted(set(want))
+    assert sorted(r.doc_id for r in apart.collect()) == sorted(set(similar_groups([(r.doc_id, r.text) for r in rows])))
 
     mixed = stages["mixing"](spark, apart, small).cache()
     times = {r.doc_id: r.taken // r.size for r in mixing.mix(apart).collect() if r.size}
@@ -43,10 +42,8 @@ def test_stages_do_what_they_say(spark, small, documents):
 
 
 def test_rows_without_id_or_that_repeat_are_kept_once(spark, odd):
-    from sunloom.llm import simhash
-
     short = odd.filter("length(text) < 1000 or text is null").drop("size")
-    apart = simhash.keep_first(short)
+    apart = similar.keep_first(short)
     assert apart.columns == short.columns
     texts = collections.Counter(r.text for r in apart.collect())
     assert texts["one two three four five"] == 1 and texts["no id here"] == 1 and texts[None] == 1
@@ -55,15 +52,13 @@ def test_rows_without_id_or_that_repeat_are_kept_once(spark, odd):
 
 
 def test_texts_that_share_an_id_stand_for_their_own_groups(spark):
-    from sunloom.llm import simhash
-
     cat, dog, fox = ("the cat sat on a mat", "no dog ever ran this far away", "some fox jumps over all of it")
     rows = [(1, cat), (1, dog), (1, dog), (2, dog), (3, fox), (1, "THE cat sat on a mat"), (4, cat)]
-    apart = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    apart = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text.lower()) for r in apart) == [(1, dog), (1, cat), (3, fox)]
     # Text 5 b is of the group that 4 stands for; that 5 a stands for its own does not keep it.
     rows = [(5, dog), (5, cat), (4, cat)]
-    apart = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    apart = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in apart) == [(4, cat), (5, dog)]
 
 
