@@ -190,15 +190,28 @@ def key_differences(part: DataFrame) -> DataFrame:
     return part.agg(F.count(F.lit(1)).alias("n")).select(F.array_join(missing, ",").alias("missing"), F.array_join(unknown, ",").alias("unknown"), "n")
 
 
-_VALUES = """v AS (SELECT thread_id, height_km AS height_mean_km, radius_km AS thread_radius_min_km, 7 + (thread_id % 9) * 1000e0 AS temp_center_K, CASE WHEN thread_id % 7 = 0 THEN 3e0 ELSE 2e0 END AS downsample_factor, (thread_id % 3) - 1e0 AS chirality, length_km AS thread_length_max_km FROM threads)"""
+_VALUES = """v AS (SELECT thread_id, height_km - 500 AS height_mean_km, radius_km * 1.25e0 AS thread_radius_min_km, 7 + (thread_id % 9) * 1000e0 AS temp_center_K, CASE WHEN thread_id % 7 = 0 THEN 3e0 ELSE 2e0 END AS downsample_factor, (thread_id % 3) - 1e0 AS chirality,
+  length_km - 5000 AS thread_length_max_km, 2 * x_km AS shortest, CASE thread_id % 4 WHEN 0 THEN 2.5e0 WHEN 1 THEN NULL ELSE 3e0 END AS entry, thread_id % 6 - 1e0 AS n_threads FROM threads)"""
+
+
+def _overrides(values: dict[str, Column]) -> Column:
+    """A map of text to double; a value that is null stays in it."""
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in values]), F.array(*[v.cast("double") for v in values.values()]))
+
+
+def _with_odd(own: Column, every: int) -> Column:
+    odd = F.when(F.col("thread_id") % every == 0, F.create_map(F.lit("spin"), F.lit(1.0))).otherwise(F.expr("cast(map() as map<string,double>)"))
+    return F.map_concat(own, odd)
 
 
 @book.query(
     "threads",
     sql=over(
         _VALUES
-        + """, w AS (SELECT thread_id, unnest([CASE WHEN NOT height_mean_km BETWEEN 1000 AND 100000 THEN 'height_mean_km in range' END, CASE WHEN NOT thread_radius_min_km <= 300 THEN 'thread_radius_min_km up to thread_radius_max_km' END, CASE WHEN NOT temp_center_K BETWEEN 6000 AND 14000 THEN 'temp_center_K in range' END,
-        CASE WHEN NOT (896 % downsample_factor = 0) THEN 'factor divides' END, CASE WHEN chirality NOT IN (-1, 1) THEN 'chirality' END, CASE WHEN thread_id % 50 = 0 THEN 'unknown: spin' END, CASE WHEN NOT 20000 <= thread_length_max_km THEN 'thread_length_min_km up to thread_length_max_km' END]) AS rule FROM v) SELECT thread_id, rule FROM w WHERE rule IS NOT NULL""",
+        + """, w AS (SELECT thread_id, unnest([CASE WHEN NOT height_mean_km BETWEEN 1000 AND 100000 THEN 'height_mean_km allowed' END, CASE WHEN NOT thread_radius_min_km <= 300 THEN 'thread_radius_min_km up to thread_radius_max_km' END, CASE WHEN NOT temp_center_K BETWEEN 6000 AND 14000 THEN 'temp_center_K allowed' END,
+        CASE WHEN NOT (896 % downsample_factor = 0) THEN 'factor divides' END, CASE WHEN chirality NOT IN (-1, 1) THEN 'chirality' END, CASE WHEN thread_id % 50 = 0 THEN 'unknown: spin' END, CASE WHEN NOT 20000 <= thread_length_max_km THEN 'thread_length_min_km up to thread_length_max_km' END,
+        CASE WHEN shortest <= 0 THEN 'spine_library_length_bounds_km[0] allowed' END, CASE WHEN shortest > 500000 THEN 'spine_library_length_bounds_km[0] up to spine_library_length_bounds_km[1]' END, CASE WHEN entry = 2.5 THEN 'spine_library_entry_index allowed' END, CASE WHEN n_threads < 0 THEN 'n_threads allowed' END]) AS rule FROM v)
+        SELECT thread_id, rule FROM w WHERE rule IS NOT NULL""",
         "threads",
     ),
 )
@@ -208,14 +221,62 @@ def experiment_rules(threads: DataFrame) -> DataFrame:
 
     i = F.col("thread_id")
     values = {
-        "height_mean_km": F.col("height_km"),
-        "thread_radius_min_km": F.col("radius_km"),
+        "height_mean_km": F.col("height_km") - 500,
+        "thread_radius_min_km": F.col("radius_km") * 1.25,
         "temp_center_K": 7 + (i % 9) * 1000.0,
         "downsample_factor": F.when(i % 7 == 0, 3.0).otherwise(2.0),
         "chirality": (i % 3) - 1.0,
-        "thread_length_max_km": F.col("length_km"),
+        "thread_length_max_km": F.col("length_km") - 5000,
+        "spine_library_length_bounds_km[0]": 2 * F.col("x_km"),
+        "spine_library_entry_index": F.when(i % 4 == 0, 2.5).when(i % 4 > 1, 3.0),
+        "n_threads": i % 6 - 1,
     }
-    own = F.map_from_arrays(F.array(*[F.lit(n) for n in values]), F.array(*[v.cast("double") for v in values.values()]))
-    odd = F.when(i % 50 == 0, F.create_map(F.lit("spin"), F.lit(1.0))).otherwise(F.expr("cast(map() as map<string,double>)"))
-    configs = threads.select("thread_id", F.map_concat(own, odd).alias("overrides"))
+    configs = threads.select("thread_id", _with_odd(_overrides(values), 50).alias("overrides"))
     return experiments.broken(configs, "thread_id", "overrides", experiments.STATIC, experiments.static_rules())
+
+
+@book.query(
+    "threads",
+    sql=over(
+        """v AS (SELECT thread_id, thread_id % 5 AS n_frames, thread_id % 11 * 10 - 10 AS cadence_s, thread_id % 3 AS mode, CASE thread_id % 4 WHEN 0 THEN NULL WHEN 1 THEN -5 ELSE 900 END AS across, 2 * radius_km AS step, pitch_deg / 40e0 AS fraction, CASE WHEN thread_id % 13 = 0 THEN -1 END AS height FROM threads),
+        w AS (SELECT thread_id, unnest([CASE WHEN n_frames < 1 THEN 'n_frames allowed' END, CASE WHEN cadence_s <= 0 THEN 'cadence_s allowed' END, CASE WHEN mode > 1 THEN 'oscillation_mode allowed' END, CASE WHEN across <= 0 THEN 'transverse_period_s allowed' END, CASE WHEN mode = 0 AND across IS NULL THEN 'transverse period given' END,
+        CASE WHEN step > 500 THEN 'brownian_step_min_km up to brownian_step_max_km' END, CASE WHEN fraction > 1 THEN 'center_spine_fraction allowed' END, CASE WHEN height < 0 THEN 'center_height_km allowed' END, CASE WHEN thread_id % 40 = 0 THEN 'unknown: spin' END]) AS rule FROM v) SELECT thread_id, rule FROM w WHERE rule IS NOT NULL""",
+        "threads",
+    ),
+)
+def dynamics_rules(threads: DataFrame) -> DataFrame:
+    """All rules of dynamics configurations, one configuration per thread; what is left open is null."""
+    from ..sources import experiments
+
+    i = F.col("thread_id")
+    values = {
+        "n_frames": i % 5,
+        "cadence_s": i % 11 * 10 - 10,
+        "oscillation_mode": i % 3,
+        "transverse_period_s": F.when(i % 4 == 1, -5.0).when(i % 4 > 1, 900.0),
+        "brownian_step_min_km": 2 * F.col("radius_km"),
+        "center_spine_fraction": F.col("pitch_deg") / 40,
+        "center_height_km": F.when(i % 13 == 0, -1.0),
+    }
+    configs = threads.select("thread_id", _with_odd(_overrides(values), 40).alias("overrides"))
+    return experiments.broken(configs, "thread_id", "overrides", experiments.DYNAMICS, experiments.dynamics_rules())
+
+
+@book.query(
+    "threads",
+    "supplier",
+    sql=over(
+        """c AS (SELECT thread_id, thread_id % 1000 AS s, thread_id % 30 AS start, 1 + thread_id % 3 AS step, 5 + thread_id % 20 AS n FROM threads), h AS (SELECT s_suppkey AS s, 40 + s_suppkey % 50 AS available, 30e0 + s_suppkey % 4 * 10 AS cadence FROM supplier)
+        SELECT thread_id, start + step * (n - 1) AS last_frame, available, coalesce(start + step * (n - 1) < available, false) AS fits, cadence * step AS cadence_s FROM c LEFT JOIN h USING (s)""",
+        "threads",
+    ),
+)
+def run_requests(threads: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Which frames each run asks of its background sequence, and whether the sequence has them."""
+    from ..sources import experiments
+
+    i = F.col("thread_id")
+    values = {"dynamic_background.start_index": i % 30, "dynamic_background.frame_step": 1 + i % 3, "dynamics.n_frames": 5 + i % 20}
+    configs = threads.select("thread_id", (i % 1000).cast("string").alias("background"), _overrides(values).alias("values"))
+    headers = supplier.select(F.col("s_suppkey").cast("string").alias("sequence_id"), (40 + F.col("s_suppkey") % 50).alias("n_frames"), (30.0 + F.col("s_suppkey") % 4 * 10).alias("cadence_s"))
+    return experiments.requests(configs, headers, "thread_id")

@@ -74,19 +74,46 @@ def test_names_and_seeds(spark):
 def test_experiments_from_files(spark, tmp_path):
     from sunloom.sources import experiments
 
-    (tmp_path / "a.toml").write_text('[experiment]\nname = "one"\n[static]\nheight_mean_km = 500\nseed = 3\n')
-    (tmp_path / "b.toml").write_text('[experiment]\nname = "two"\n[static]\nturns = 1\n')
+    (tmp_path / "a.toml").write_text('[experiment]\nname = "one"\n[inputs]\nh5_background_path = "x"\n[static]\nheight_mean_km = 500\nseed = 3\nspine_library_length_bounds_km = [5, 4]\n[dynamics]\nseed = 9\noscillation_mode = "spin"\n')
+    (tmp_path / "b.toml").write_text('[experiment]\nname = "-two"\n[inputs]\nh5_background_path = "x"\n[static]\nturns = 1\nspine_library_entry_index = "auto"\npsf_sigma_px = true\n[dynamics]\ncenter_height_km = "auto"\n[video]\nfps = 0\nvelocity_limit_km_s = "auto"\n[export]\ncompression = "gzip"\nvideo_upper_percentile = 0\n')
     (tmp_path / "c.toml").write_text("[static\n")
     rows = experiments.load(spark, f"{tmp_path}/*.toml")
-    assert [(r.name, r.error is None) for r in rows.collect()] == [(None, False), ("two", True), ("one", True)]
+    assert [(r.name, r.error is None) for r in rows.collect()] == [(None, False), ("-two", True), ("one", True)]
     good = rows.filter("error is null")
-    faults = experiments.broken(good, "name", "overrides", experiments.STATIC, experiments.static_rules()).collect()
-    assert sorted(map(tuple, faults)) == [("one", "height_mean_km in range"), ("two", "unknown: turns")]
+    faults = sorted((r.name, r.section, r.rule) for r in experiments.faults(good, "path").join(good.select("path", "name"), "path").collect())
+    assert faults == sorted(
+        [
+            ("one", "static", "height_mean_km allowed"), ("one", "static", "spine_library_length_bounds_km[0] up to spine_library_length_bounds_km[1]"), ("one", "dynamics", "oscillation_mode allowed"),
+            ("-two", "static", "unknown: turns"), ("-two", "static", "psf_sigma_px allowed"), ("-two", "video", "fps allowed"), ("-two", "export", "percentiles rise"), ("-two", "experiment", "name"),
+        ]
+    )
+    seeds = {r.name: r.own for r in good.select("name", experiments.section(good, "dynamic_background").alias("own")).collect()}
+    assert seeds == {"one": {"seed": 9.0}, "-two": {}}
+    assert experiments.faults(good, "path", exact=True).filter("rule like 'missing: %'").count() > 100
     plain = spark.createDataFrame([("x", {}), ("y", {"psf_sigma_px": 4.0}), ("z", {"psf_sigma_px": 5.0})], "name string, overrides map<string,double>")
     marks = {r.name: r.digest for r in experiments.fingerprint(plain, "name", "overrides", experiments.STATIC).collect()}
     assert marks["x"] == marks["y"] != marks["z"]
+    for section, table in experiments.SECTIONS.items():
+        assert experiments.broken(plain.filter("name = 'x'"), "name", "overrides", table, experiments.rules_of(section)).count() == 0
     assert experiments.broken(plain, "name", "overrides", experiments.STATIC, experiments.static_rules()).count() == 0
-    assert experiments.broken(plain.filter("name = 'x'"), "name", "overrides", experiments.DYNAMICS, experiments.dynamics_rules()).count() == 0
+    width = experiments.effective(plain, "name", "overrides").first()
+    assert abs(width.image_width_km - 896 * 695_508 / 1800) < 1e-6 and (width.temperature_low_K, width.temperature_high_K) == (6000, 14000)
     stamp = F.to_timestamp(F.lit("2024-05-06 07:08:09"))
     made = spark.range(1).select(experiments.simulation_id(stamp, F.lit(7), F.lit("ABCDEF012345"), F.lit("quiet")), experiments.simulation_id(stamp, F.lit(7), F.lit("ABCDEF012345"), F.lit(""))).first()
     assert tuple(made) == ("sim-20240506T070809Z-s7-abcdef0123-quiet", "sim-20240506T070809Z-s7-abcdef0123")
+
+
+def test_saved_experiments_come_back(spark, tmp_path):
+    from sunloom.sources import experiments
+
+    values = {"static.nx": 640.0, "static.spine_library_length_bounds_km[0]": 7e4, "static.spine_library_length_bounds_km[1]": 8.5e4, "static.column_mass_g_cm2": 1.5e-7, "dynamics.oscillation_mode": 1.0, "dynamics.center_height_km": None, "export.compression": 2.0, "video.fps": 25.0}
+    rows = spark.createDataFrame([("One run", 'say "so" \\ here', "a/b", values), ("Two", "", "c", {"static.seed": 4.0, "static.old_name": 1.0})], "name string, description string, background string, values map<string,double>")
+    path = str(tmp_path / "saved")
+    experiments.save(rows, path)
+    back = {r.name: r for r in experiments.load(spark, f"{path}/*/*.txt").collect()}
+    assert (back["One run"].description, back["One run"].background, back["One run"].values) == ('say "so" \\ here', "a/b", values)
+    assert back["Two"].values == {"static.seed": 4.0} and back["Two"].error is None
+    with pytest.raises(Exception, match="exists"):
+        experiments.save(rows, path)
+    copies = {r.name: r.values for r in experiments.clone(rows).collect()}
+    assert copies == {"One run copy": values, "Two copy": {"static.seed": 4.0}}
