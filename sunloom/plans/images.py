@@ -104,6 +104,27 @@ def opacity_masks(pixels: DataFrame) -> DataFrame:
     return pixels.select("frame_idx", "row_idx", "col_idx", (F.col("tau") > 0.1).cast("int").alias("hard"), r(soft).alias("soft"), r(transfer.native_tau(soft)).alias("native_tau"))
 
 
+@book.query(
+    "pixels",
+    sql=over(
+        "g AS (SELECT 'highres' AS grid, frame_idx, row_idx, col_idx, tau FROM pixels UNION ALL SELECT 'native', frame_idx, row_idx // 2, col_idx // 2, sum(tau) / 4e0 FROM pixels GROUP BY ALL) "
+        f"SELECT grid, frame_idx, 60e0 * frame_idx AS time_s, row_idx, col_idx, tau > 0.1e0 AS hard, {q('1e0 - exp(-tau)')} AS absorption FROM g WHERE frame_idx = 2",
+        "pixels",
+    ),
+)
+def mask_round_trip(pixels: DataFrame) -> DataFrame:
+    """Masks of every frame and both grids exported as a table, and one frame read back."""
+    from ..sources import masks, staging
+
+    half = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
+    native = pixels.groupBy("frame_idx", half("row_idx"), half("col_idx")).agg((F.sum("tau") / 4.0).alias("tau")).withColumn("grid", F.lit("native"))
+    tau = pixels.select("frame_idx", "row_idx", "col_idx", "tau", F.lit("highres").alias("grid")).unionByName(native).withColumn("time_s", 60.0 * F.col("frame_idx"))
+    target = staging.shared_path(pixels.sparkSession, "masks")
+    masks.export(tau, target, 0.1)
+    back = masks.read_frame(pixels.sparkSession, target, 2)
+    return back.select("grid", "frame_idx", "time_s", "row_idx", "col_idx", F.col("binary").alias("hard"), r(F.col("absorption")).alias("absorption"))
+
+
 @book.query("pixels", sql=over("SELECT frame_idx, greatest(min(row_idx) - 3, 0) AS row0, least(max(row_idx) + 4, 64) AS row1, greatest(min(col_idx) - 3, 0) AS col0, least(max(col_idx) + 4, 64) AS col1 FROM pixels WHERE tau > 0.25e0 AND row_idx BETWEEN 10 AND 50 GROUP BY 1", "pixels"))
 def mask_bounds(pixels: DataFrame) -> DataFrame:
     return raster.mask_bounds(pixels.filter((F.col("tau") > 0.25) & F.col("row_idx").between(10, 50)), ["frame_idx"], 3, N, N)

@@ -57,6 +57,49 @@ def anchor_cross_validation(anchors: DataFrame) -> DataFrame:
     return scored.withColumns({c: r(F.col(c)) for c in ("i_median", "i_max", "f_median", "f_max")})
 
 
+_PUBLISHED = "k AS (SELECT m.*, a.i_value, a.f_value, a.i_value / m.i_raw AS c_i, a.f_value / m.f_raw AS c_f FROM modelled m JOIN anchors a USING (height_mm, temperature_k, pressure))"
+
+
+@book.query("modelled", "anchors", sql=over(f"{_PUBLISHED} SELECT height_mm, temperature_k, pressure, {q('c_i')} AS c_i, {q('c_f')} AS c_f FROM k", "modelled", "anchors"))
+def published_factors(modelled: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Published over modelled values at the anchors, of the published model run."""
+    return calibrate.factors(modelled, anchors).select(*calibrate.KEYS, r(F.col("c_i")).alias("c_i"), r(F.col("c_f")).alias("c_f"))
+
+
+@book.query(
+    "modelled",
+    "anchors",
+    sql=over(
+        f"{_PUBLISHED}, x AS (SELECT a.height_mm AS anchor_mm, t.height_mm AS target_mm, abs((a.c_i * t.i_raw - t.i_value) / t.i_value) AS e_i, abs((a.c_f * t.f_raw - t.f_value) / t.f_value) AS e_f FROM k a JOIN k t USING (temperature_k, pressure) WHERE a.height_mm <> t.height_mm) "
+        f"SELECT anchor_mm, target_mm, count(*) AS n, {q('100e0 * quantile_cont(e_i, 0.5)', 4)} AS i_median, {q('100e0 * max(e_i)', 4)} AS i_max, {q('100e0 * quantile_cont(e_f, 0.5)', 4)} AS f_median, {q('100e0 * max(e_f)', 4)} AS f_max FROM x GROUP BY 1, 2",
+        "modelled",
+        "anchors",
+    ),
+)
+def published_cross_validation(modelled: DataFrame, anchors: DataFrame) -> DataFrame:
+    """How well one anchor height predicts the others, with the published model run."""
+    scored = calibrate.cross_validate(calibrate.factors(modelled, anchors))
+    return scored.withColumns({c: r(F.col(c), 4) for c in ("i_median", "i_max", "f_median", "f_max")})
+
+
+@book.query("anchors", sql=over(f"{GRID_SQL} SELECT (height / 1000)::DOUBLE AS height_mm, temperature AS temperature_k, press AS pressure, {q('ion')} AS i_value, {q('pop')} AS f_value FROM grid", "anchors"))
+def opacity_scan(anchors: DataFrame) -> DataFrame:
+    """The grid written as two wide CSV tables, scanned, checked and made long again."""
+    from ..sources import opacity, staging
+
+    grid = opacity_grid(anchors).select((F.col("height") / 1000).alias("height_mm"), "temperature", "press", "ion", "pop")
+    cell = F.format_string("T%dK_p%s", F.col("temperature").cast("int"), F.col("press").cast("string"))
+    names = [f"T{t}K_p{p}" for t in TEMPERATURES for p in PRESSURES]
+    paths = {}
+    for value in ("ion", "pop"):
+        paths[value] = staging.shared_path(anchors.sparkSession, f"opacity-{value}")
+        wide = grid.withColumn("cell", cell).groupBy("height_mm").pivot("cell", names).agg(F.first(value))
+        staging.write_whole(wide, paths[value], "csv", header="true")
+    scanned = opacity.grid(anchors.sparkSession, paths["ion"], paths["pop"], "height_mm")
+    axes = {"height_mm": [float(h) for h in range(1, 101)], "temperature_k": [float(t) for t in TEMPERATURES], "pressure": list(PRESSURES)}
+    return opacity.checked(scanned, axes).select(*calibrate.KEYS, r(F.col("i_value")).alias("i_value"), r(F.col("f_value")).alias("f_value"))
+
+
 CELLS = [f"t{t}_p{round(p * 100)}" for t in TEMPERATURES for p in PRESSURES]
 
 

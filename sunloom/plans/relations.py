@@ -33,6 +33,7 @@ SQL = {
     "knots": "SELECT idx % 20 AS spine_id, t AS s, value AS v FROM {ticks}",
     "spine_queries": "SELECT o_orderkey AS query_id, o_orderkey % 20 AS spine_id, cast((o_orderkey * 37) % 700000 AS double) AS s FROM {orders}",
     "anchors": """SELECT height_mm, temperature_k, pressure, i_value, f_value FROM {anchor_values}""",
+    "modelled": """SELECT height_mm, temperature_k, pressure, i_raw, f_raw FROM {model_values}""",
 }
 _NAMES = re.compile(r"\{(\w+)\}")
 
@@ -49,10 +50,10 @@ def needs(*names: str) -> list[str]:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name == "anchor_values":
-        from .anchors import anchor_frame
+    if name in ("anchor_values", "model_values"):
+        from . import anchors
 
-        return anchor_frame(spark)
+        return anchors.anchor_frame(spark) if name == "anchor_values" else anchors.model_frame(spark)
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(SQL[name], **{n: relation(spark, sf_dir, n) for n in dict.fromkeys(_NAMES.findall(SQL[name]))})
@@ -60,12 +61,14 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_relations(sql: str, *names: str) -> str:
     """``sql`` for DuckDB with ``names`` defined before it; ``sql`` may start with CTEs of its own, without WITH."""
-    from .anchors import ANCHOR_SQL
+    from .anchors import ANCHOR_SQL, MODEL_SQL
 
     chosen = needs(*names)
     parts = [f"{n} AS ({_NAMES.sub(lambda m: m[1], SQL[n])})" for n in chosen]
     if "anchors" in chosen:
         parts.insert(0, f"anchor_values AS ({ANCHOR_SQL})")
+    if "modelled" in chosen:
+        parts.insert(0, f"model_values AS ({MODEL_SQL})")
     return "WITH " + ",\n".join(parts) + ("\n" if sql.lstrip().upper().startswith("SELECT") else ",\n") + sql
 
 

@@ -1,17 +1,61 @@
-"""A folder that driver and executors share, from the session's settings."""
+"""A folder that driver and executors share, and writes that are seen whole or not at all."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A fresh path below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder of its own; on a cluster it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sunloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def publish(spark: SparkSession, staged: str, target: str, replace: bool = False) -> None:
+    """Move a finished folder to ``target`` in one step; a target that exists is an error, or goes first if ``replace``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(staged)):
+        raise FileNotFoundError(staged)
+    if fs.exists(path(target)):
+        if not replace:
+            raise FileExistsError(target)
+        fs.delete(path(target), True)
+    fs.mkdirs(path(target).getParent())
+    if not fs.rename(path(staged), path(target)):
+        raise OSError(f"{staged} could not be moved to {target}")
+
+
+def discard(spark: SparkSession, staged: str) -> None:
+    """Remove what an aborted write has left."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_whole(df: DataFrame, target: str, kind: str = "parquet", replace: bool = False, **options: str) -> None:
+    """``df`` below ``target``, which readers see only when all of it is there; a failed write leaves no target."""
+    spark, staged = df.sparkSession, f"{target.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        df.write.format(kind).options(**options).save(staged)
+        publish(spark, staged, target, replace)
+    finally:
+        discard(spark, staged)
+
+
+def write_json(df: DataFrame, target: str, replace: bool = False) -> None:
+    """Rows as JSON lines with sorted keys, nulls included, seen whole or not at all."""
+    line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    write_whole(df.select(line.alias("value")), target, "text", replace)

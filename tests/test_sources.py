@@ -117,3 +117,63 @@ def test_saved_experiments_come_back(spark, tmp_path):
         experiments.save(rows, path)
     copies = {r.name: r.values for r in experiments.clone(rows).collect()}
     assert copies == {"One run copy": values, "Two copy": {"static.seed": 4.0}}
+
+
+def test_published_cross_validation(spark, small):
+    """The summary published with the model run, in percent."""
+    from sunloom.plans import records
+
+    published = {(10, 20): (0.47497, 2.65654, 1.63599, 4.08144), (10, 30): (0.55538, 2.45250, 2.98236, 5.75485)}
+    made = {(r.anchor_mm, r.target_mm): (r.i_median, r.i_max, r.f_median, r.f_max) for r in records.book.queries["published_cross_validation"](spark, small).collect()}
+    for pair, want in published.items():
+        assert made[pair] == pytest.approx(want, abs=2e-4)
+    first = next(r for r in records.book.queries["published_factors"](spark, small).collect() if (r.height_mm, r.temperature_k, r.pressure) == (10, 6000, 0.01))
+    assert (first.c_i, first.c_f) == pytest.approx((0.9932537, 0.6522085), abs=1e-6)
+
+
+def test_opacity_tables_are_checked(spark, tmp_path):
+    from sunloom.sources import opacity
+
+    axes = {"height_mm": [1.0, 2.0], "temperature_k": [6000.0], "pressure": [0.1, 0.2]}
+    good = "height_mm,temperature_k,pressure,i_value,f_value\n1,6000,0.1,0.5,2\n1,6000,0.2,0.5,2\n2,6000,0.1,0.5,2\n2,6000,0.2,0.5,2\n"
+    (tmp_path / "good.csv").write_text(good)
+    table = opacity.checked(opacity.read_long(spark, str(tmp_path / "good.csv")), axes)
+    about = opacity.metadata(spark, str(tmp_path / "good.csv"), table).first()
+    assert about.row_count == 4 and about.height_mm_domain == [1.0, 2.0] and about.bytes == len(good)
+    import hashlib
+
+    assert about.sha256 == hashlib.sha256(good.encode()).hexdigest()
+    (tmp_path / "bad.csv").write_text(good.replace("2,6000,0.2,0.5,2", "2,7000,0.2,1.5,0") + "1,6000,0.1,x,2\n")
+    faults = {r.fault: r.n for r in opacity.faults(opacity.read_long(spark, str(tmp_path / "bad.csv")), axes).collect()}
+    assert faults == {"missing": 1, "doubled": 1, "off the grid": 1, "not finite": 1, "ionization": 1, "population": 1}
+    with pytest.raises(ValueError, match="not usable"):
+        opacity.checked(opacity.read_long(spark, str(tmp_path / "bad.csv")), axes)
+    (tmp_path / "short.csv").write_text("height_mm,temperature_k\n1,2\n")
+    with pytest.raises(ValueError, match="columns are missing"):
+        opacity.read_long(spark, str(tmp_path / "short.csv"))
+
+
+def test_masks_are_seen_whole(spark, tmp_path):
+    from sunloom.sources import masks, staging
+
+    tau = spark.range(2 * 2 * 6).selectExpr("if(id % 2 = 0, 'highres', 'native') grid", "id div 12 frame_idx", "60.0D * (id div 12) time_s", "(id div 2) % 3 row_idx", "(id div 6) % 2 col_idx", "if(id = 5, null, id / 40) tau")
+    target = str(tmp_path / "masks")
+    masks.export(tau, target, 0.2)
+    frame = masks.read_frame(spark, target, 1)
+    assert frame.count() == 12 and frame.filter("binary").count() == 12 and {r.time_s for r in frame.collect()} == {60.0}
+    assert masks.read_frame(spark, target, 9).count() == 0
+    for bad in (0.0, float("nan"), -1.0):
+        with pytest.raises(ValueError):
+            masks.export(tau, target, bad)
+    with pytest.raises(ValueError, match="same frames"):
+        masks.export(tau.filter("grid = 'native' or frame_idx = 0"), target, 0.2)
+    with pytest.raises(Exception):
+        masks.export(tau.withColumn("tau", F.expr("raise_error('broken')").cast("double")), target, 0.2)
+    assert masks.read_frame(spark, target, 1).count() == 12  # the old export stays, and nothing half-written beside it
+    assert [p.name for p in tmp_path.iterdir()] == ["masks"]
+    with pytest.raises(FileExistsError):
+        staging.write_whole(tau, target)
+    staging.write_json(spark.createDataFrame([(1, None)], "b int, a string"), str(tmp_path / "json"))
+    assert spark.read.text(str(tmp_path / "json")).first().value == '{"a":null,"b":1}'
+    with pytest.raises(FileNotFoundError):
+        staging.publish(spark, str(tmp_path / "nothing"), str(tmp_path / "x"))
