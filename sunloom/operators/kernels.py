@@ -17,80 +17,108 @@ from ..functions.plasma import BOLTZMANN, GRAVITY, HELIUM, HYDROGEN
 
 #: Relative and absolute tolerance of the integral, of the target, least and most intervals, halvings at most.
 INTEGRAL, ABSOLUTE, TARGET, INTERVALS, HALVINGS = 2e-5, 1e-14, 1e-4, (16, 8192), 64
+#: Threads that are halved together: a few arrays of so many rows by half the most intervals.
+TOGETHER = 256
 
 
-def running_simpson(y: np.ndarray, h: float) -> np.ndarray:
-    """Integral from the first of evenly spaced samples to each."""
-    steps = np.zeros(len(y))
-    ahead = h / 12 * (5 * y[:-2] + 8 * y[1:-1] - y[2:])
-    behind = h / 12 * (-y[:-2] + 8 * y[1:-1] + 5 * y[2:])
-    steps[1:-1:2] = ahead[::2]
-    steps[2::2] = behind[::2]
-    if len(y) % 2 == 0:
-        steps[-1] = behind[-1]
-    return np.cumsum(steps)
+def running_simpson(y: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Integral from the first of evenly spaced samples to each, along the last axis; ``h`` is a step per row."""
+    steps = np.zeros_like(y)
+    h = np.asarray(h)[..., None]
+    ahead = h / 12 * (5 * y[..., :-2] + 8 * y[..., 1:-1] - y[..., 2:])
+    behind = h / 12 * (-y[..., :-2] + 8 * y[..., 1:-1] + 5 * y[..., 2:])
+    steps[..., 1:-1:2] = ahead[..., ::2]
+    steps[..., 2::2] = behind[..., ::2]
+    if y.shape[-1] % 2 == 0:
+        steps[..., -1] = behind[..., -1]
+    return np.cumsum(steps, axis=-1)
 
 
-def half_mass(share: float, n: int, length: float, radius: float, plasma: dict[str, float]) -> float:
-    """Column mass of a dip filled to ``share`` of its half length, on ``n`` intervals; both halves are alike."""
+def half_mass(share: np.ndarray, n: int, length: np.ndarray, radius: np.ndarray, plasma: dict[str, float]) -> np.ndarray:
+    """Column mass of dips filled to ``share`` of their half length, on ``n`` intervals; both halves are alike."""
     loaded = share * length / 2
-    s = np.linspace(loaded, 0.0, n // 2 + 1)  # from the edge to the middle
-    temp = plasma["centre"] + (plasma["edge"] - plasma["centre"]) * (s / loaded) ** plasma["power"]
+    part = np.linspace(1.0, 0.0, n // 2 + 1)  # from the edge to the middle
+    s = loaded[:, None] * part
+    temp = plasma["centre"] + (plasma["edge"] - plasma["centre"]) * part ** plasma["power"]
     cool = np.clip((plasma["edge"] - temp) / (plasma["edge"] - plasma["centre"]), 0, 1)
     mass = (1 + 4 * HELIUM) / (1 + HELIUM + 1 - (1 - plasma["ionized"]) * cool**2)
-    growth = mass * HYDROGEN * GRAVITY * 1e5 / (BOLTZMANN * temp) * np.sin(s / radius)
+    growth = mass * HYDROGEN * GRAVITY * 1e5 / (BOLTZMANN * temp) * np.sin(s / radius[:, None])
     step = loaded / (n // 2)
     pressure = plasma["pressure"] * np.exp(running_simpson(growth, step))
     density = mass * HYDROGEN * pressure / (BOLTZMANN * temp)
-    return float(2e5 * step / 3 * (density[0] + density[-1] + 4 * density[1:-1:2].sum() + 2 * density[2:-1:2].sum()))
-
-
-def settled_mass(share: float, length: float, radius: float, plasma: dict[str, float]) -> tuple[float, int, bool]:
-    """Mass, intervals, and whether two doublings in a row changed it no more than the tolerance."""
-    n, before, agreed = INTERVALS[0], math.nan, 0
-    while True:
-        mass = half_mass(share, n, length, radius, plasma)
-        agreed = agreed + 1 if abs(mass - before) <= max(ABSOLUTE, INTEGRAL * abs(mass)) else 0
-        if agreed == 2 or n == INTERVALS[1]:
-            return mass, n, agreed == 2
-        before, n = mass, 2 * n
+    return 2e5 * step / 3 * (density[:, 0] + density[:, -1] + 4 * density[:, 1:-1:2].sum(axis=1) + 2 * density[:, 2:-1:2].sum(axis=1))
+
+
+def settled_mass(share: np.ndarray, length: np.ndarray, radius: np.ndarray, plasma: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mass, intervals, and whether two doublings in a row changed it no more than the tolerance, for all rows at once."""
+    mass, n, good = np.full(len(share), np.nan), np.full(len(share), INTERVALS[0]), np.zeros(len(share), bool)
+    agreed, left, k = np.zeros(len(share), np.int64), np.arange(len(share)), INTERVALS[0]
+    while len(left):
+        fresh = half_mass(share[left], k, length[left], radius[left], plasma)
+        with np.errstate(invalid="ignore"):
+            same = np.abs(fresh - mass[left]) <= np.maximum(ABSOLUTE, INTEGRAL * np.abs(fresh))
+        agreed[left] = np.where(same, agreed[left] + 1, 0)
+        mass[left], n[left] = fresh, k
+        good[left] = agreed[left] == 2
+        left = left[~good[left]]
+        if k == INTERVALS[1]:
+            break
+        k *= 2
+    return mass, n, good
 
 
-def load(length: float, radius: float, wanted: float, plasma: dict[str, float]) -> tuple[float, float, float, str, int, int]:
-    """Share loaded, mass, capacity, status, intervals and halvings for one thread.
+def load(length: np.ndarray, radius: np.ndarray, wanted: float, plasma: dict[str, float]) -> tuple[np.ndarray, ...]:
+    """Share loaded, mass, capacity, status, intervals and halvings of each thread; all are halved together.
 
     A dip that can't hold the mass is full and "capacity_limited"; what does not settle is "numerical_failure", with the
     last state. Threads that are no arc (longer than a semicircle, not positive) are "invalid".
     """
-    if not (length > 0 and radius > 0 and length <= math.pi * radius and wanted > 0):
-        return math.nan, math.nan, math.nan, "invalid", 0, 0
-    capacity, n, good = settled_mass(1.0, length, radius, plasma)
-    if capacity <= wanted or not good:
-        status = "numerical_failure" if not good else "capacity_limited" if capacity < wanted * (1 - TARGET) else "converged"
-        return 1.0, capacity, capacity, status, n, 0
-    low, high = 0.0, 1.0
+    total = len(length)
+    share, mass, capacity = (np.full(total, np.nan) for _ in range(3))
+    status, intervals, halvings = np.full(total, "invalid", dtype=object), np.zeros(total, np.int64), np.zeros(total, np.int64)
+    arcs = (length > 0) & (radius > 0) & (length <= math.pi * radius) & (wanted > 0)
+    at = np.flatnonzero(arcs)
+    if not len(at):
+        return share, mass, capacity, status, intervals, halvings
+    share[at] = 1.0
+    capacity[at], intervals[at], good = settled_mass(share[at], length[at], radius[at], plasma)
+    mass[at] = capacity[at]
+    status[at] = np.where(~good, "numerical_failure", np.where(capacity[at] < wanted * (1 - TARGET), "capacity_limited", "converged"))
+    at = at[good & (capacity[at] > wanted)]
+    low, high = np.zeros(total), np.ones(total)
+    status[at] = "numerical_failure"
     for k in range(1, HALVINGS + 1):
-        share = (low + high) / 2
-        mass, n, good = settled_mass(share, length, radius, plasma)
-        if not good:
+        if not len(at):
             break
-        if abs(mass - wanted) <= TARGET * wanted:
-            return share, mass, capacity, "converged", n, k
-        low, high = (share, high) if mass < wanted else (low, share)
-    return share, mass, capacity, "numerical_failure", n, k
+        share[at] = (low[at] + high[at]) / 2
+        mass[at], intervals[at], good = settled_mass(share[at], length[at], radius[at], plasma)
+        halvings[at] = k
+        done = good & (np.abs(mass[at] - wanted) <= TARGET * wanted)
+        status[at[done]] = "converged"
+        at = at[good & ~done]
+        less = mass[at] < wanted
+        low[at[less]], high[at[~less]] = share[at[less]], share[at[~less]]
+    return share, mass, capacity, status, intervals, halvings
 
 
 PLASMA = {"centre": 7_000.0, "edge": 100_000.0, "power": 2.0, "ionized": 0.3, "pressure": 0.015}
 
 
+def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to at most ``rows`` rows each."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def column_mass_loading(threads: DataFrame, wanted: float = 1e-4, plasma: dict[str, float] = PLASMA) -> DataFrame:
     """thread_id, loaded_share, mass, capacity, status, intervals, halvings of threads (length_km, dip_radius_km)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            made = [load(a, b, wanted, plasma) for a, b in zip(rows.column("length_km").to_pylist(), rows.column("dip_radius_km").to_pylist(), strict=True)]
+        for rows in chunks(batches, TOGETHER):
+            made = load(rows.column("length_km").to_numpy(zero_copy_only=False), rows.column("dip_radius_km").to_numpy(zero_copy_only=False), wanted, plasma)
             kinds = [pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)] if made else [pa.array([], k) for k in kinds]
+            columns = [pa.array(c, k) for c, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("thread_id"), *columns], names=["thread_id", "loaded_share", "mass", "capacity", "status", "intervals", "halvings"])
 
     schema = "thread_id long, loaded_share double, mass double, capacity double, status string, intervals long, halvings long"
@@ -149,12 +177,17 @@ def track(diagram: np.ndarray, start: float | None = None, jump: int = 6, penalt
     return out
 
 
-def dark_ridge(diagrams: DataFrame, by: str = "diagram_id", **options: float) -> DataFrame:
-    """(``by``, t, position) for diagrams given as (``by``, t, k, value); a diagram is one group of one task."""
+def dark_ridge(diagrams: DataFrame, by: str = "diagram_id", between: tuple[float, float] | None = None, **options: float) -> DataFrame:
+    """(``by``, t, position) for diagrams given as (``by``, t, k, value); a diagram is one group of one task.
+
+    ``between`` keeps the path within distances k of that closed range; positions stay distances of the whole diagram.
+    """
+    if between is not None:
+        diagrams = diagrams.filter(F.col("k").between(*between))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         table = group.pivot_table(index="k", columns="t", values="value", dropna=False)
-        return pd.DataFrame({by: group[by].iloc[0], "t": table.columns.astype("int64"), "position": track(table.to_numpy(dtype=float), **options)})
+        return pd.DataFrame({by: group[by].iloc[0], "t": table.columns.astype("int64"), "position": table.index[0] + track(table.to_numpy(dtype=float), **options)})
 
     return diagrams.groupBy(by).applyInPandas(run, f"{by} long, t long, position double")
 
@@ -195,7 +228,7 @@ def fit_sine(t: np.ndarray, y: np.ndarray, robust: bool = True, steps: int = 300
     t, y = t[good], y[good]
     names = ("equilibrium", "drift", "amplitude", "period", "damping", "phase")
     if len(t) < 10 or np.ptp(t) <= 0:
-        return dict.fromkeys((*names, "cost"), math.nan) | {"trusted": 0.0}
+        return dict.fromkeys((*names, "cost"), math.nan) | {"trusted": 0.0} | dict.fromkeys([f"{n}_error" for n in names], math.nan)
     order = np.argsort(t, kind="stable")
     t, y = t[order] - t[order][0], y[order]
     span, gap, spread = t[-1], float(np.median(np.diff(t))), max(float(np.ptp(y)), 1.0)
@@ -234,20 +267,36 @@ def fit_sine(t: np.ndarray, y: np.ndarray, robust: bool = True, steps: int = 300
     j = sine_slopes(p, t)
     scale = np.linalg.norm(j, axis=0)
     scale[scale == 0] = 1
-    values = np.linalg.svd(j / scale, compute_uv=False)
+    _, values, modes = np.linalg.svd(j / scale, full_matrices=False)
+    errors = one_sigma(values, modes, scale, now, len(t))
     held = np.isclose(p, low, rtol=0, atol=1e-9 * (high - low)) | np.isclose(p, high, rtol=0, atol=1e-9 * (high - low))
     trusted = float(not held.any() and values[-1] > 0 and values[0] / values[-1] < 1 / math.sqrt(np.finfo(float).eps))
-    return dict(zip(names, p.tolist(), strict=True)) | {"cost": now, "trusted": trusted}
+    return dict(zip(names, p.tolist(), strict=True)) | {"cost": now, "trusted": trusted} | dict(zip([f"{n}_error" for n in names], errors.tolist(), strict=True))
+
+
+def one_sigma(values: np.ndarray, modes: np.ndarray, scale: np.ndarray, cost: float, count: int) -> np.ndarray:
+    """Errors of parameters from the singular values and modes of the scaled slopes at the fit.
+
+    What the data leave undetermined has an infinite error; without more points than parameters there are none (NaN).
+    """
+    spare = count - modes.shape[1]
+    if spare <= 0:
+        return np.full(modes.shape[1], np.nan)
+    small = np.finfo(float).eps * count
+    clear = values > small * values[0]
+    spread = ((modes[clear] / values[clear, None]) ** 2).sum(axis=0)
+    lost = (modes[~clear] ** 2).sum(axis=0) > small**2
+    return np.where(lost, np.inf, np.sqrt(2 * cost / spare * spread) / scale)
 
 
 def damped_sine_fit(ridges: DataFrame, by: str = "ridge_id", robust: bool = True) -> DataFrame:
-    """One row of parameters per ridge of (``by``, t, position)."""
+    """One row of parameters and their one-sigma errors per ridge of (``by``, t, position)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         made = fit_sine(group["t"].to_numpy(float), group["position"].to_numpy(float), robust)
         return pd.DataFrame({by: [group[by].iloc[0]], **{k: [v] for k, v in made.items()}})
 
-    return ridges.groupBy(by).applyInPandas(run, f"{by} long, equilibrium double, drift double, amplitude double, period double, damping double, phase double, cost double, trusted double")
+    return ridges.groupBy(by).applyInPandas(run, f"{by} long, equilibrium double, drift double, amplitude double, period double, damping double, phase double, cost double, trusted double, " + ", ".join(f"{n}_error double" for n in ("equilibrium", "drift", "amplitude", "period", "damping", "phase")))
 
 
 # --- masks -----------------------------------------------------------------------------------------------------------
@@ -342,12 +391,13 @@ def static_cohesion(pixels: DataFrame, by: str, rows: int, columns: int, thresho
 # --- greedy choices --------------------------------------------------------------------------------------------------
 
 
-def choose_crops(crops: DataFrame, by: str, count: int) -> DataFrame:
-    """Per ``by``, up to ``count`` of the first 128 crops (rank, x0, y0, x1, y1) in order of rank that don't overlap an
-    earlier choice. The 128 come from a window before any crop is gathered."""
+def choose_crops(crops: DataFrame, by: str, count: int, tried: int = 128) -> DataFrame:
+    """Per ``by``, up to ``count`` of the first ``tried`` crops (rank, x0, y0, x1, y1) in order of rank that don't overlap an
+    earlier choice. A window picks those before any crop is gathered; the number tried is part of the rule, as a search for
+    quiet crops stops after so many."""
     from pyspark.sql import Window
 
-    first = crops.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).filter("__k <= 128").drop("__k")
+    first = crops.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).filter(F.col("__k") <= tried).drop("__k")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple] = []

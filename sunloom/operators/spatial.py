@@ -1,13 +1,17 @@
-"""Spatial joins by grid cells: nearest segments and points within a radius, overlapping boxes."""
+"""Spatial joins by grid cells: nearest segments and points within a radius, overlapping boxes, nearest vectors in blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small
+from ..sources.staging import shared_path
 
 
 def dot(a: tuple, b: tuple) -> Column:
@@ -79,8 +83,92 @@ def overlapping(left: DataFrame, boxes: DataFrame, tile: float, how: str = "left
     return left.join(hit.select(keys[0]).distinct(), keys[0], how)
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, by: list[str], gap: Column, tie: str, keep: list[str]) -> DataFrame:
-    """Per query (``by``) the candidate of least ``gap``; ties go to the smallest ``tie``. Few queries are
-    broadcast; many meet the candidates in Catalyst's own cross join."""
-    scored = candidates.join(small(queries)).select(*by, F.struct(gap.alias("gap"), F.col(tie), *[F.col(k) for k in keep if k != tie]).alias("best"))
-    return scored.groupBy(*by).agg(F.min("best").alias("best")).select(*by, "best.*")
+def nearest(queries: DataFrame, candidates: DataFrame, by: str, at: str, of: str, tie: str, width: float) -> DataFrame:
+    """Per query (``by``, at ``at``) the candidate whose ``of`` is nearest: ``tie`` and ``gap``; ties go to the smallest ``tie``.
+
+    Both sides go to cells of ``width``, a query also meets the neighbouring cells, and cells are joined by equality. What
+    lies within ``width`` of a query is then found for certain; queries that have nothing so near meet wider cells, four
+    times as wide each round, until the cells span everything. No candidate makes no rows.
+    """
+    spark = queries.sparkSession
+    queries = queries.select(by, at).filter(F.col(at).isNotNull())
+    candidates = candidates.select(tie, of).filter(F.col(of).isNotNull())
+    low, high = candidates.agg(F.min(of), F.max(of)).first()
+    first, last = queries.agg(F.min(at), F.max(at)).first()
+    found: list[DataFrame] = []
+    left = queries
+    while low is not None and first is not None:
+        cell = F.floor(F.col(at) / width)
+        asked = left.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+        met = asked.join(candidates.withColumn("cell", F.floor(F.col(of) / width)), "cell")
+        best = met.groupBy(by).agg(F.min(F.struct(F.abs(F.col(of) - F.col(at)).alias("gap"), F.col(tie))).alias("best")).select(by, "best.*")
+        whole = width >= max(high, last) - min(low, first)
+        path = shared_path(spark, "nearest")
+        (best if whole else best.filter(F.col("gap") <= width)).write.parquet(path)
+        found.append(spark.read.schema(best.schema).parquet(path))
+        if whole:
+            break
+        left = left.join(found[-1].select(by), by, "left_anti")
+        if not left.limit(1).count():
+            break
+        width *= 4
+    if not found:
+        return queries.join(candidates.select(tie).limit(0), F.lit(False)).select(by, F.lit(0.0).alias("gap"), tie)
+    return reduce(DataFrame.unionByName, found)
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, by: str, key: str, column: str, count: int, digits: int = 6, rows: int = 50_000, asked: int = 4096) -> DataFrame:
+    """The ``count`` nearest of ``vectors`` (key, column) to each of ``queries`` (by, column), other keys than its own: by,
+    key and ``d``, the squared distance rounded to ``digits``; ties go to the smallest key.
+
+    Vectors and queries go to blocks of about ``rows`` and ``asked``; every pair of blocks is one group, met by equal
+    numbers, that holds no more than the two blocks and gives ``count`` rows a query. Products of matrices find who may be
+    among the nearest, and their distances are then summed exactly. Vectors of other lengths than a query's are not near it.
+    """
+    left = bucket_number(vectors, key, rows)
+    right = bucket_number(queries, by, asked)
+    left_blocks, right_blocks = left[1], right[1]
+    spread = left[0].select(F.col("block").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1))).alias("q"), F.col(key).alias("key"), F.col(column).cast("array<double>").alias("x"))
+    wanted = right[0].select(F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))).alias("v"), F.col("block").alias("q"), F.col(by).alias("by"), F.col(column).cast("array<double>").alias("x"))
+
+    def lists(table: pa.Table, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and matrix of the rows of each length."""
+        column = table["x"].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        keys = table[name].to_numpy()
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            at = np.flatnonzero(lengths == n)
+            yield keys[at], column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+    def run(near: pa.Table, query: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        by_length = {x.shape[1]: (k, x) for k, x in lists(query, "by")}
+        for keys, x in lists(near, "key"):
+            if x.shape[1] not in by_length:
+                continue
+            names, y = by_length[x.shape[1]]
+            size = (x * x).sum(axis=1)
+            for k in range(0, len(y), 256):
+                part = y[k : k + 256]
+                rough = size - 2 * part @ x.T + (part * part).sum(axis=1)[:, None]
+                take = min(len(keys), count + 1)
+                edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
+                for name, row, last, vector in zip(names[k : k + 256].tolist(), rough, edge.tolist(), part, strict=True):
+                    maybe = np.flatnonzero(row <= last + 10.0**-digits + 1e-9 * abs(last))
+                    maybe = maybe[keys[maybe] != name]
+                    d = np.round(((x[maybe] - vector) ** 2).sum(axis=1), digits)
+                    order = np.lexsort((keys[maybe], d))[:count]
+                    out += [(name, int(keys[maybe[j]]), float(d[j])) for j in order.tolist()]
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table({"by": pa.array(columns[0], pa.int64()), "key": pa.array(columns[1], pa.int64()), "d": pa.array(columns[2], pa.float64())})
+
+    found = spread.groupBy("v", "q").cogroup(wanted.groupBy("v", "q")).applyInArrow(run, "by long, key long, d double")
+    first = Window.partitionBy("by").orderBy("d", "key")
+    return found.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= count).select(F.col("by").alias(by), F.col("key").alias(key), "d")
+
+
+def bucket_number(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
+    """``df`` with ``block``, a number by hash of its key, so that blocks hold about ``rows`` rows; and how many there are."""
+    blocks = max(1, -(-df.count() // rows))
+    return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), blocks

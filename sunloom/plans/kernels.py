@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pendulum, transfer
@@ -21,31 +21,45 @@ def column_mass_loading(threads: DataFrame) -> DataFrame:
     return kernels.column_mass_loading(threads)
 
 
-def diagrams(spark: SparkSession, count: int = 12, times: int = 60, width: int = 41) -> DataFrame:
-    """Dark bands that swing around the middle of a diagram, with counter noise: the truth is ``centre``."""
-    cells = spark.range(count * times * width).select(F.floor(F.col("id") / (times * width)).alias("diagram_id"), (F.floor(F.col("id") / width) % times).alias("t"), (F.col("id") % width).alias("k"))
-    centre = 20 + (4 + F.col("diagram_id") / 4) * F.sin(2 * math.pi * F.col("t") / 30 + F.col("diagram_id"))
+#: Times and distances of a diagram, samples of a ridge, threads of a filament, crops of a window.
+TIMES, WIDTH, SAMPLES, FILAMENT, CROPS = 60, 41, 240, 100, 100
+
+
+def swing(diagram: Column, t: Column) -> Column:
+    """Where the dark band of a diagram is: the truth that tracking should find."""
+    return 20 + (4 + diagram % 12 / 4.0) * F.sin(2 * math.pi * t / 30 + diagram)
+
+
+def diagrams(ticks: DataFrame) -> DataFrame:
+    """A diagram for every TIMES ticks, a time for each tick: a dark band that swings around the middle, with noise from
+    the tick's value and counters, and gaps."""
+    diagram, t = F.floor(F.col("idx") / TIMES), F.col("idx") % TIMES
+    cells = ticks.select(diagram.alias("diagram_id"), t.alias("t"), "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))).alias("k"))
     noise = sequences.counter_uniform(F.col("diagram_id"), F.col("t") * 64 + F.col("k"), stream=5) - 0.5
-    value = 1 - F.exp(-F.pow((F.col("k") - centre) / 2.5, 2)) + 0.2 * noise
-    return cells.withColumn("centre", centre).withColumn("value", F.when((F.col("t") + F.col("k")) % 97 == 0, F.lit(None)).otherwise(value))
+    value = 1 - F.exp(-F.pow((F.col("k") - swing(F.col("diagram_id"), F.col("t"))) / 2.5, 2)) + 0.2 * noise + F.col("value") % 1 / 50
+    return cells.select("diagram_id", "t", "k", F.when((F.col("t") + F.col("k")) % 97 == 0, F.lit(None)).otherwise(value).alias("value"))
 
 
-@book.query()
-def dark_ridge(spark: SparkSession) -> DataFrame:
-    return kernels.dark_ridge(diagrams(spark).select("diagram_id", "t", "k", "value"))
+@book.query("ticks")
+def dark_ridge(ticks: DataFrame) -> DataFrame:
+    return kernels.dark_ridge(diagrams(ticks))
 
 
-def ridges(spark: SparkSession, count: int = 10, samples: int = 240) -> DataFrame:
-    """Damped sines without noise: equilibrium 50, amplitude 10, damping 14,400 s, periods from 3,600 s on."""
-    rows = spark.range(count * samples).select(F.floor(F.col("id") / samples).alias("ridge_id"), (60.0 * (F.col("id") % samples)).alias("t"))
+def ridges(ticks: DataFrame) -> DataFrame:
+    """A ridge for every SAMPLES ticks: damped sines around 50 with amplitude 10, damping 14,400 s and periods from 3,600 s
+    on, with noise of a fifth of a pixel, some outliers and some missing positions."""
+    ridge, step = F.floor(F.col("idx") / SAMPLES), F.col("idx") % SAMPLES
+    rows = ticks.select(ridge.alias("ridge_id"), (60.0 * step).alias("t"), "idx")
     lits = lambda *v: [F.lit(float(x)) for x in v]
     equilibrium, drift, amplitude, damping, phase, reference = lits(50, 0, 10, 14_400, 0, 0)
-    return rows.withColumn("position", pendulum.damped_sine(F.col("t"), equilibrium, drift, amplitude, 3_600.0 + 120.0 * F.col("ridge_id"), damping, phase, reference))
+    clean = pendulum.damped_sine(F.col("t"), equilibrium, drift, amplitude, 3_600.0 + 120.0 * (F.col("ridge_id") % 10), damping, phase, reference)
+    noise = 0.4 * (sequences.counter_uniform(F.col("ridge_id"), F.col("idx"), stream=7) - 0.5) + F.when(F.col("idx") % 61 == 0, 8.0).otherwise(0.0)
+    return rows.select("ridge_id", "t", F.when(F.col("idx") % 53 != 0, clean + noise).alias("position"))
 
 
-@book.query()
-def damped_sine_fit(spark: SparkSession) -> DataFrame:
-    return kernels.damped_sine_fit(ridges(spark))
+@book.query("ticks")
+def damped_sine_fit(ticks: DataFrame) -> DataFrame:
+    return kernels.damped_sine_fit(ridges(ticks))
 
 
 @book.query("pixels")
@@ -63,13 +77,13 @@ def static_cohesion(pixels: DataFrame) -> DataFrame:
 
 @book.query("crops")
 def crop_selection(crops: DataFrame) -> DataFrame:
-    ranked = crops.select((F.col("crop_id") % 7).alias("window_id"), F.xxhash64("crop_id").alias("rank"), "crop_id", "x0", "y0", "x1", "y1")
+    ranked = crops.select(F.floor(F.col("crop_id") / CROPS).alias("window_id"), F.xxhash64("crop_id").alias("rank"), "crop_id", "x0", "y0", "x1", "y1")
     return kernels.choose_crops(ranked, "window_id", 12)
 
 
 @book.query("threads")
 def thread_placement(threads: DataFrame) -> DataFrame:
-    tries = threads.select((F.col("thread_id") % 20).alias("filament_id"), "thread_id", F.col("radius_km").alias("radius"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("attempt"))
+    tries = threads.select(F.floor(F.col("thread_id") / FILAMENT).alias("filament_id"), "thread_id", F.col("radius_km").alias("radius"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("attempt"))
     u = [sequences.counter_uniform(F.col("thread_id"), F.col("attempt"), stream=k) for k in (11, 12, 13)]
     return kernels.place_threads(tries.select("*", (60_000 * u[0]).alias("x"), (7_500 * u[1]).alias("y"), (20_000 + 4_000 * u[2]).alias("z")), "filament_id", 2.5)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dips, pendulum, plasma, transfer
@@ -410,7 +410,7 @@ def box_overlap_reject(crops: DataFrame, detections: DataFrame) -> DataFrame:
 @book.query("threads", "frames", sql=over("c AS (SELECT frame_idx, 375000e0 * frame_idx / 24e0 AS place FROM frames) SELECT frame_idx, min({'gap': abs(x_km - place), 'id': thread_id}).id AS thread_id, " + q("min({'gap': abs(x_km - place), 'id': thread_id}).gap") + " AS gap FROM c CROSS JOIN threads GROUP BY 1", "threads", "frames"))
 def nearest_site(threads: DataFrame, frames: DataFrame) -> DataFrame:
     sites = frames.select("frame_idx", (375_000.0 * F.col("frame_idx") / 24.0).alias("at"))
-    found = spatial.nearest(sites, threads, ["frame_idx"], F.abs(F.col("x_km") - F.col("at")), "thread_id", [])
+    found = spatial.nearest(sites, threads, "frame_idx", "at", "x_km", "thread_id", 2_000.0)
     return found.select("frame_idx", "thread_id", r(F.col("gap")).alias("gap"))
 
 
@@ -422,8 +422,6 @@ _KNN = (
 
 @book.query("embeddings", sql=_KNN)
 def embedding_knn(vectors: DataFrame) -> DataFrame:
-    """Five nearest vectors of the stated query set (ids divisible by 50), which is 2 in 100 rows and goes in blocks."""
-    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    gap = F.aggregate(F.zip_with("asked", "embedding", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda a, b: a + b)
-    scored = vectors.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(gap, 6).alias("d"))
-    return scored.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).filter("k <= 5").drop("k")
+    """Five nearest vectors of the stated query set (ids divisible by 50), against all rows in blocks."""
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return spatial.nearest_vectors(asked, vectors, "query_id", "vec_id", "embedding", 5)

@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from sunloom.operators import kernels, raster, sequences
+from sunloom.operators import kernels, raster, sequences, spatial
 from sunloom.plans import kernels as plans
 from sunloom.plans.relations import relation
 
@@ -26,21 +26,81 @@ def test_loading_of_what_is_no_arc(spark):
 
 
 def test_more_mass_loads_more():
-    shares = [kernels.load(60_000.0, 100_000.0, m, kernels.PLASMA)[0] for m in (1e-6, 1e-5, 3e-5)]
+    length, radius = np.array([60_000.0]), np.array([100_000.0])
+    shares = [float(kernels.load(length, radius, m, kernels.PLASMA)[0][0]) for m in (1e-6, 1e-5, 3e-5)]
     assert shares == sorted(shares) and len(set(shares)) == 3
 
 
-def test_ridge_follows_the_band(spark):
-    truth = {(r.diagram_id, r.t): r.centre for r in plans.diagrams(spark).select("diagram_id", "t", "centre").distinct().collect()}
-    made = kernels.dark_ridge(plans.diagrams(spark).select("diagram_id", "t", "k", "value")).collect()
+def mass_brute(share, n, length, radius, plasma):
+    """The half dip's column mass one sample after the other."""
+    loaded, half = share * length / 2, n // 2
+    s = [loaded * (1 - k / half) for k in range(half + 1)]
+    temp = [plasma["centre"] + (plasma["edge"] - plasma["centre"]) * (x / loaded) ** plasma["power"] for x in s]
+    mass = []
+    for t in temp:
+        cool = min(1, max(0, (plasma["edge"] - t) / (plasma["edge"] - plasma["centre"])))
+        mass.append((1 + 4 * kernels.HELIUM) / (2 + kernels.HELIUM - (1 - plasma["ionized"]) * cool**2))
+    growth = [m * kernels.HYDROGEN * kernels.GRAVITY * 1e5 / (kernels.BOLTZMANN * t) * math.sin(x / radius) for m, t, x in zip(mass, temp, s, strict=True)]
+    h, total, run = loaded / half, 0.0, [0.0]
+    for k in range(1, half + 1):
+        if k % 2 and k < half:
+            total += h / 12 * (5 * growth[k - 1] + 8 * growth[k] - growth[k + 1])
+        else:
+            total += h / 12 * (-growth[k - 2] + 8 * growth[k - 1] + 5 * growth[k])
+        run.append(total)
+    density = [m * kernels.HYDROGEN * plasma["pressure"] * math.exp(r) / (kernels.BOLTZMANN * t) for m, r, t in zip(mass, run, temp, strict=True)]
+    return 2e5 * h / 3 * sum(d * (1 if k in (0, half) else 4 if k % 2 else 2) for k, d in enumerate(density))
+
+
+def test_rows_loaded_together_equal_rows_alone():
+    rng = np.random.default_rng(9)
+    length, radius = rng.uniform(10_000, 120_000, 40), rng.uniform(40_000, 250_000, 40)
+    length[3] = np.nan
+    together = kernels.load(length, radius, 5e-5, kernels.PLASMA)
+    for k in range(40):
+        alone = kernels.load(length[k : k + 1], radius[k : k + 1], 5e-5, kernels.PLASMA)
+        assert [str(x[k]) for x in together] == [str(x[0]) for x in alone]
+        if together[3][k] != "invalid":
+            want = mass_brute(together[0][k], int(together[4][k]), length[k], radius[k], kernels.PLASMA)
+            assert math.isclose(together[1][k], want, rel_tol=1e-9)
+    assert together[3][3] == "invalid" and {"converged", "capacity_limited"} <= set(together[3])
+
+
+def test_ridge_follows_the_band(spark, small):
+    ticks = relation(spark, small, "ticks")
+    truth = {(r.diagram_id, r.t): r.centre for r in plans.diagrams(ticks).select("diagram_id", "t").distinct().withColumn("centre", plans.swing(F.col("diagram_id"), F.col("t"))).collect()}
+    made = kernels.dark_ridge(plans.diagrams(ticks)).collect()
     off = [abs(r.position - truth[r.diagram_id, r.t]) for r in made]
-    assert np.median(off) < 0.3 and max(off) < 2
-
-
-def test_fit_recovers_its_parameters(spark):
-    for x in kernels.damped_sine_fit(plans.ridges(spark)).collect():
-        assert abs(x.amplitude - 10) < 1e-5 and abs(x.damping - 14_400) < 1e-2
-        assert abs(x.period - (3_600 + 120 * x.ridge_id)) < 1e-3 and x.trusted == 1
+    assert len(made) == ticks.count() and np.median(off) < 0.3 and np.mean(np.array(off) < 2) > 0.98
+    lower = kernels.dark_ridge(plans.diagrams(ticks), between=(20, 40)).collect()
+    assert all(19 <= r.position <= 41 for r in lower)
+
+
+def test_fit_recovers_its_parameters(spark, small):
+    made = kernels.damped_sine_fit(plans.ridges(relation(spark, small, "ticks"))).collect()
+    assert sum(x.trusted for x in made) >= 0.7 * len(made)
+    for x in made:
+        if x.trusted:
+            assert abs(x.period - (3_600 + 120 * (x.ridge_id % 10))) < 60 and abs(x.amplitude - 10) < 0.5
+            assert 0 < x.period_error < 60 and abs(x.period - (3_600 + 120 * (x.ridge_id % 10))) < 5 * x.period_error + 1
+
+
+def test_fit_of_a_clean_sine_is_exact_and_its_errors_scale():
+    t = 60.0 * np.arange(240)
+    p = np.array([50.0, 0.001, 10.0, 3_900.0, 14_400.0, 0.3])
+    made = kernels.fit_sine(t, kernels.sine(p, t))
+    assert made["trusted"] == 1 and abs(made["period"] - 3_900) < 1e-3 and abs(made["amplitude"] - 10) < 1e-5 and made["period_error"] < 1e-2
+    noise = np.random.default_rng(1).normal(0, 0.2, 240)
+    some, more = (kernels.fit_sine(t, kernels.sine(p, t) + k * noise, robust=False) for k in (1, 2))
+    assert math.isclose(more["period_error"] / some["period_error"], 2, rel_tol=0.1)
+    # The textbook form: the residuals' variance times the inverse of the normal matrix.
+    q = np.array([some[n] for n in ("equilibrium", "drift", "amplitude", "period", "damping", "phase")])
+    j = kernels.sine_slopes(q, t)
+    variance = ((kernels.sine(q, t) - kernels.sine(p, t) - noise) ** 2).sum() / (240 - 6)
+    want = np.sqrt(np.diag(np.linalg.inv(j.T @ j)) * variance)
+    assert np.allclose([some[f"{n}_error"] for n in ("equilibrium", "drift", "amplitude", "period", "damping", "phase")], want, rtol=1e-4)
+    lost = kernels.one_sigma(np.array([1.0, 0.0]), np.eye(2), np.ones(2), 1.0, 10)
+    assert lost[0] == 0.5 and math.isinf(lost[1]) and np.isnan(kernels.one_sigma(np.ones(2), np.eye(2), np.ones(2), 1.0, 2)).all()
 
 
 def test_fit_of_too_little_is_null():
@@ -111,7 +171,7 @@ def test_simpson_is_exact_for_parabolas(spark):
 def test_placement_keeps_distance_or_the_farthest(spark, small):
     made = plans.book.queries["thread_placement"](spark, small)
     rows = made.collect()
-    assert len(rows) == 200 and {r.filament_id for r in rows} == set(range(20))
+    assert len(rows) == 200 and {r.filament_id for r in rows} == {0, 1}
     assert all(r.accepted for r in rows if r.gap is None)
     assert made.groupBy("thread_id").count().filter("count > 1").count() == 0
 
@@ -121,3 +181,30 @@ def test_selected_crops_do_not_overlap(spark, small):
     a, b = made.alias("a"), made.alias("b")
     met = a.join(b, F.expr("a.window_id = b.window_id and a.crop_id < b.crop_id and a.x0 < b.x1 and a.x1 > b.x0 and a.y0 < b.y1 and a.y1 > b.y0"))
     assert met.count() == 0
+
+
+def test_nearest_by_cells_is_the_nearest(spark):
+    rng = np.random.default_rng(4)
+    sites = [(k, float(x)) for k, x in enumerate([*rng.uniform(0, 1e5, 40), 5e6, -3e6])] + [(99, None)]
+    things = [(k, float(x)) for k, x in enumerate(np.round(rng.uniform(0, 1e5, 300), -2))]
+    made = {r.q: (r.id, r.gap) for r in spatial.nearest(spark.createDataFrame(sites, "q long, at double"), spark.createDataFrame(things, "id long, x double"), "q", "at", "x", "id", 50.0).collect()}
+    assert made == {q: min(((abs(x - at), k) for k, x in things))[::-1] for q, at in sites if at is not None}
+    none = spatial.nearest(spark.createDataFrame(sites, "q long, at double"), spark.createDataFrame([], "id long, x double"), "q", "at", "x", "id", 50.0)
+    assert none.count() == 0 and none.columns == ["q", "gap", "id"]
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(230, 7)), 1)
+    x[5] = x[9] = x[11]
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(500, None), (501, [1.0, 2.0])], "id long, v array<double>")
+    asked = vectors.filter("id % 10 = 5 or id > 400").selectExpr("id q", "v")
+    made = {}
+    for r in spatial.nearest_vectors(asked, vectors, "q", "id", "v", 3, rows=40, asked=5).collect():
+        made.setdefault(r.q, []).append((r.d, r.id))
+    assert set(made) == set(range(5, 230, 10))
+    for q, got in made.items():
+        d = np.round(((x - x[q]) ** 2).sum(axis=1), 6)
+        assert sorted(got) == sorted((d[k], k) for k in range(230) if k != q)[:3]
+    plan = spatial.nearest_vectors(asked, vectors, "q", "id", "v", 3)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
