@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import calibrate, control, sequences
 from .anchors import PRESSURES, TEMPERATURES
 from .registry import Registry, r
+from .relations import group_of
 from .relations import rounded as q
 from .relations import with_relations as over
 from .threads import GRID_SQL, opacity_grid
@@ -219,10 +220,13 @@ def manifest_check(threads: DataFrame) -> DataFrame:
     return manifest_faults(manifest, stored, "thread_id")
 
 
-@book.query("ticks", sql=over("o AS (SELECT idx % 11 AS grp, idx AS frame_idx FROM ticks WHERE idx % 1009 <> 0), n AS (SELECT grp, frame_idx // 11 AS k FROM o), b AS (SELECT *, lag(k) OVER (PARTITION BY grp ORDER BY k) AS p FROM n) SELECT grp, k FROM b WHERE k <> coalesce(p + 1, 0)", "ticks"))
+_ELEVENTHS = group_of("idx", 11)
+
+
+@book.query("ticks", sql=over(f"o AS (SELECT {_ELEVENTHS} AS grp, idx AS frame_idx FROM ticks WHERE idx % 1009 <> 0), n AS (SELECT grp, frame_idx % 11000 // 11 AS k FROM o), b AS (SELECT *, lag(k) OVER (PARTITION BY grp ORDER BY k) AS p FROM n) SELECT grp, k FROM b WHERE k <> coalesce(p + 1, 0)", "ticks"))
 def frame_order(ticks: DataFrame) -> DataFrame:
     """Frames an ordered writer refuses: those that don't follow their predecessor."""
-    rows = ticks.filter("idx % 1009 <> 0").select((F.col("idx") % 11).alias("grp"), F.floor(F.col("idx") / 11).cast("long").alias("k"))
+    rows = ticks.filter("idx % 1009 <> 0").select(F.expr(_ELEVENTHS).alias("grp"), F.floor(F.col("idx") % 11_000 / 11).cast("long").alias("k"))
     return sequences.strictly_next(rows, ["grp"], "k")
 
 

@@ -30,8 +30,8 @@ SQL = {
     "segments": """SELECT thread_id, x_km AS ax, y_km AS ay, height_km AS az, x_km + 2000e0 + 100e0 * pitch_deg AS bx, y_km + 50e0 * pitch_deg AS by_, height_km + 500e0 AS bz FROM {threads}""",
     "probes": """SELECT thread_id, k, x_km + (k - 1) * length_km / 4e0 AS x, y_km + (k - 1) * pitch_deg * 100e0 AS y, height_km + abs(k - 1) * 1000e0 AS z
       FROM {threads} CROSS JOIN (SELECT cast(r_regionkey AS bigint) AS k FROM {region} WHERE r_regionkey < 3) r""",
-    "knots": "SELECT idx % 20 AS spine_id, t AS s, value AS v FROM {ticks}",
-    "spine_queries": "SELECT o_orderkey AS query_id, o_orderkey % 20 AS spine_id, cast((o_orderkey * 37) % 700000 AS double) AS s FROM {orders}",
+    "knots": """SELECT idx % 20 + 20 * cast(floor(idx / 10000e0) AS bigint) AS spine_id, cast(idx % 10000 * 60 + 20 * cast(floor(idx % 10000 / 17e0) AS bigint) AS double) AS s, value AS v FROM {ticks}""",
+    "spine_queries": """SELECT o_orderkey AS query_id, o_orderkey % 20 + 20 * cast(floor(o_orderkey / 15000e0) AS bigint) AS spine_id, cast((o_orderkey * 37) % 700000 AS double) AS s FROM {orders}""",
     "anchors": """SELECT height_mm, temperature_k, pressure, i_value, f_value FROM {anchor_values}""",
     "modelled": """SELECT height_mm, temperature_k, pressure, i_raw, f_raw FROM {model_values}""",
 }
@@ -72,6 +72,12 @@ def with_relations(sql: str, *names: str) -> str:
     return "WITH " + ",\n".join(parts) + ("\n" if sql.lstrip().upper().startswith("SELECT") else ",\n") + sql
 
 
+def group_of(index: str, ways: int, rows: int = 1000) -> str:
+    """A group number for both engines: ``ways`` interleaved groups for every ``ways * rows`` rows, so that groups grow in
+    number with a table and not in size."""
+    return f"({index} % {ways} + {ways} * cast(floor({index} / {ways * rows}e0) AS bigint))"
+
+
 def rounded(expression: str, digits: int = 6) -> str:
     """Rounded in SQL without a negative zero."""
     return f"(round({expression}, {digits}) + 0e0)"

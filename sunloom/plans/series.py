@@ -9,22 +9,25 @@ from ..functions import dips, plasma
 from ..operators import analysis, sequences
 from ..operators.sizes import small
 from .registry import Registry, r
+from .relations import group_of
 from .relations import rounded as q
 from .relations import with_relations as over
 
 book = Registry()
+#: Groups of ticks.
+EIGHTHS, TENTHS = group_of("idx", 8), group_of("idx", 10)
 
 
 @book.query(
     "ticks",
     sql=over(
-        "b AS (SELECT idx % 8 AS grp, idx, t, coalesce(abs(t - lag(t) OVER (PARTITION BY idx % 8 ORDER BY t) - 480e0) > 1e-6, true)::INT AS cut FROM ticks), i AS (SELECT *, sum(cut) OVER (PARTITION BY grp ORDER BY t) AS island FROM b), "
+        f"b AS (SELECT {EIGHTHS} AS grp, idx, t, coalesce(abs(t - lag(t) OVER (PARTITION BY {EIGHTHS} ORDER BY t) - 480e0) > 1e-6, true)::INT AS cut FROM ticks), i AS (SELECT *, sum(cut) OVER (PARTITION BY grp ORDER BY t) AS island FROM b), "
         "n AS (SELECT *, row_number() OVER (PARTITION BY grp, island ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY grp, island) AS size FROM i) SELECT grp, idx, t, island::BIGINT AS island, k FROM n WHERE k % 2 = 0 AND k + 2 <= size",
         "ticks",
     ),
 )
 def regular_windows(ticks: DataFrame) -> DataFrame:
-    grouped = ticks.select((F.col("idx") % 8).alias("grp"), "idx", "t")
+    grouped = ticks.select(F.expr(EIGHTHS).alias("grp"), "idx", "t")
     return sequences.regular_windows(grouped, ["grp"], "t", 2, 480.0).withColumn("k", F.col("k").cast("long"))
 
 
@@ -128,7 +131,7 @@ def brownian_walk(threads: DataFrame, frames: DataFrame) -> DataFrame:
     return made.select("thread_id", "frame_idx", *[r(F.col(c)).alias(c[1]) for c in ("dx", "dy", "dz")])
 
 
-_CENTRED = "c AS (SELECT idx % 10 AS grp, t, value - avg(value) OVER (PARTITION BY idx % 10) AS y FROM ticks)"
+_CENTRED = f"c AS (SELECT {TENTHS} AS grp, t, value - avg(value) OVER (PARTITION BY {TENTHS}) AS y FROM ticks)"
 _FREQ = "(1e0 / 60000e0 + f * ((1e0 / 2000e0 - 1e0 / 60000e0) / 39e0))"
 
 
@@ -142,15 +145,15 @@ _FREQ = "(1e0 / 60000e0 + f * ((1e0 / 2000e0 - 1e0 / 60000e0) / 39e0))"
     ),
 )
 def lomb_scargle(ticks: DataFrame) -> DataFrame:
-    grouped = ticks.select((F.col("idx") % 10).alias("grp"), "t", "value")
+    grouped = ticks.select(F.expr(TENTHS).alias("grp"), "t", "value")
     means = grouped.groupBy("grp").agg(F.avg("value").alias("m"))
     centred = grouped.join(means, "grp").select("grp", "t", (F.col("value") - F.col("m")).alias("y"))
     return analysis.periodogram(centred, ["grp"], "t", "y", 2_000.0, 60_000.0, 40).select("grp", "f", r(F.col("power")).alias("power"))
 
 
-@book.query("ticks", sql=over(f"g AS (SELECT idx % 10 AS grp, regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM ticks GROUP BY 1) SELECT idx, {q('value - (a * t + b)')} AS residual FROM ticks JOIN g ON idx % 10 = grp", "ticks"))
+@book.query("ticks", sql=over(f"g AS (SELECT {TENTHS} AS grp, regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM ticks GROUP BY 1) SELECT idx, {q('value - (a * t + b)')} AS residual FROM ticks JOIN g ON {TENTHS} = grp", "ticks"))
 def linear_detrend(ticks: DataFrame) -> DataFrame:
-    grouped = ticks.withColumn("grp", F.col("idx") % 10)
+    grouped = ticks.withColumn("grp", F.expr(TENTHS))
     return analysis.detrended(grouped, ["grp"], "t", "value").select("idx", r(F.col("residual")).alias("residual"))
 
 

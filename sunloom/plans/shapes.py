@@ -12,6 +12,7 @@ from ..operators import raster, sequences, shapes
 from ..operators.sizes import small
 from .images import _gauss
 from .registry import Registry, r
+from .relations import group_of
 from .relations import rounded as q
 from .relations import with_relations as over
 from .series import _uniform
@@ -144,9 +145,12 @@ def damped_sine_model(threads: DataFrame, frames: DataFrame) -> DataFrame:
     return both.select("thread_id", "frame_idx", r(model).alias("model"))
 
 
-@book.query("ticks", sql=over("n AS (SELECT idx % 13 AS grp, idx, row_number() OVER (PARTITION BY idx % 13 ORDER BY t) - 1 AS n, count(*) OVER (PARTITION BY idx % 13) AS c FROM ticks) SELECT grp, idx FROM n WHERE c <= 20 OR n = 0 OR floor(n * 19 / greatest(c - 1, 1)) > floor((n - 1) * 19 / greatest(c - 1, 1))", "ticks"))
+_THIRTEENTHS = group_of("idx", 13)
+
+
+@book.query("ticks", sql=over(f"n AS (SELECT {_THIRTEENTHS} AS grp, idx, row_number() OVER (PARTITION BY {_THIRTEENTHS} ORDER BY t) - 1 AS n, count(*) OVER (PARTITION BY {_THIRTEENTHS}) AS c FROM ticks) SELECT grp, idx FROM n WHERE c <= 20 OR n = 0 OR floor(n * 19 / greatest(c - 1, 1)) > floor((n - 1) * 19 / greatest(c - 1, 1))", "ticks"))
 def even_sample(ticks: DataFrame) -> DataFrame:
-    rows = ticks.select((F.col("idx") % 13).alias("grp"), "idx", "t")
+    rows = ticks.select(F.expr(_THIRTEENTHS).alias("grp"), "idx", "t")
     return shapes.evenly(rows, "grp", "t", 20).select("grp", "idx")
 
 
