@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dips, pendulum, transfer
-from ..operators import raster, sequences, shapes
+from ..operators import curves, raster, sequences, shapes
 from ..operators.sizes import small
 from .images import _gauss
 from .registry import Registry, r
@@ -212,3 +212,80 @@ def arrow_lengths(pixels: DataFrame) -> DataFrame:
     longest = max(2.0 * 8, 18.0)
     length = 3.0 + (longest - 3.0) * dips.clip(F.col("intensity") / 40.0, 0.0, 1.0)
     return pixels.select("frame_idx", "row_idx", "col_idx", length.alias("length_px"), transfer.display(F.col("tau"), F.lit(0.01), F.lit(0.3)).alias("colour"))
+
+
+@book.query(
+    "thread_points",
+    sql=over(
+        """c AS (SELECT thread_id, idx, pitch_deg, (x_km + s) - avg(x_km + s) OVER w AS x0, (y_km + 500e0 * sin(idx / 3e0)) - avg(y_km + 500e0 * sin(idx / 3e0)) OVER w AS y0 FROM thread_points WINDOW w AS (PARTITION BY thread_id)),
+        f AS (SELECT thread_id, idx, radians(3e0 * pitch_deg) AS a, CASE WHEN thread_id % 2 = 1 THEN -x0 ELSE x0 END AS x, CASE WHEN thread_id % 4 > 1 THEN -y0 ELSE y0 END AS y FROM c),
+        t AS (SELECT thread_id, idx, x * cos(a) - y * sin(a) + 45000e0 AS u, x * sin(a) + y * cos(a) + 45000e0 AS v FROM f),
+        m AS (SELECT *, least(greatest(0e0, 4500e0 - min(u) OVER w), 85500e0 - max(u) OVER w) AS du, least(greatest(0e0, 4500e0 - min(v) OVER w), 85500e0 - max(v) OVER w) AS dv FROM t WINDOW w AS (PARTITION BY thread_id)) """
+        + f"SELECT thread_id, idx, {q('u + du', 4)} AS x, {q('v + dv', 4)} AS y FROM m",
+        "thread_points",
+    ),
+)
+def oriented_spine(points: DataFrame) -> DataFrame:
+    """Each thread's curve mirrored, turned and set into a field of view of 90 Mm a side."""
+    i = F.col("thread_id")
+    rows = points.select("thread_id", "idx", "pitch_deg", (F.col("x_km") + F.col("s")).alias("x"), (F.col("y_km") + 500.0 * F.sin(F.col("idx") / 3.0)).alias("y"))
+    made = curves.oriented(rows, "thread_id", 3.0 * F.col("pitch_deg"), i % 2 == 1, i % 4 > 1, 90_000.0, 90_000.0)
+    return made.select("thread_id", "idx", r(F.col("x"), 4).alias("x"), r(F.col("y"), 4).alias("y"))
+
+
+_TOTAL = 400_000.0
+
+
+@book.query(
+    "threads",
+    sql=over(
+        """v AS (SELECT thread_id, x_km * 4e5 / 375000e0 AS centre, least(2e0 * dip_radius_km * sin(length_km / (2e0 * dip_radius_km)) * abs(cos(radians(pitch_deg))), 4e5) AS span, 1e0 + 0.35e0 * sin(thread_id) AS wave, (thread_id % 21 - 10) * 1000e0 AS aside, length_km FROM threads),
+        s AS (SELECT *, least(greatest(centre - span / 2, 0e0), 4e5 - span) AS a FROM v), e AS (SELECT *, greatest(sqrt(greatest(1e0 - pow(2e0 * (a + span / 2) / 4e5 - 1e0, 2), 0e0)), 0.15e0) * wave AS w FROM s),
+        l AS (SELECT *, 1.6e0 * greatest(w, 0.25e0) * 3750e0 AS lim, greatest(ceil(length_km / 150e0)::BIGINT + 1, 5) AS n FROM e) """
+        + f"SELECT thread_id, {q('a')} AS start_km, {q('a + span')} AS end_km, {q('w')} AS envelope, {q('lim * tanh(aside / lim)')} AS offset_km, n + (1 - n % 2) AS points FROM l",
+        "threads",
+    ),
+)
+def thread_spans(threads: DataFrame) -> DataFrame:
+    """Where each thread lies on a curve of 400 Mm, how far aside, and how many points it gets."""
+    chord = 2 * F.col("dip_radius_km") * F.sin(dips.half_angle(F.col("length_km"), F.col("dip_radius_km")))
+    total = F.lit(_TOTAL)
+    start, end = curves.span_on(F.col("x_km") * _TOTAL / 375_000.0, chord * F.abs(F.cos(F.radians("pitch_deg"))), total)
+    placed = threads.select("thread_id", "length_km", start.alias("start_km"), end.alias("end_km"), (1 + 0.35 * F.sin("thread_id")).alias("wave"), ((F.col("thread_id") % 21 - 10) * 1_000.0).alias("aside"))
+    placed = placed.withColumn("envelope", curves.envelope((F.col("start_km") + F.col("end_km")) / 2, total, F.col("wave")))
+    offset = curves.confined(F.col("aside"), F.col("envelope"), 3_750.0)
+    return placed.select("thread_id", r(F.col("start_km")).alias("start_km"), r(F.col("end_km")).alias("end_km"), r(F.col("envelope")).alias("envelope"), r(offset).alias("offset_km"), curves.odd_points(F.col("length_km"), 150.0).alias("points"))
+
+
+@book.query(
+    "threads",
+    sql=over(
+        """n AS (SELECT *, greatest(ceil(length_km / 4000e0)::BIGINT + 1, 5) AS m FROM threads), o AS (SELECT *, m + (1 - m % 2) AS n FROM n), p AS (SELECT *, unnest(range(n)) AS k FROM o),
+        g AS (SELECT *, length_km * k / (n - 1) AS s, length_km * k / (n - 1) / dip_radius_km - length_km / (2e0 * dip_radius_km) AS a, radians(pitch_deg + thread_id % 180) AS d FROM p) """
+        + f"SELECT thread_id, k, {q('s', 4)} AS s, {q('x_km + dip_radius_km * sin(a) * cos(d)', 4)} AS x, {q('y_km + dip_radius_km * sin(a) * sin(d)', 4)} AS y, {q('height_km + 2e0 * dip_radius_km * pow(sin(a / 2e0), 2)', 4)} AS z FROM g",
+        "threads",
+    ),
+)
+def thread_geometry(threads: DataFrame) -> DataFrame:
+    """All points of all threads, from one row each: circular dips with an odd number of points."""
+    along, across = curves.directions(F.col("pitch_deg"), F.col("thread_id") % 180)
+    placed = threads.select("thread_id", "length_km", "dip_radius_km", "height_km", F.col("x_km").alias("anchor_x"), F.col("y_km").alias("anchor_y"), along.alias("direction_x"), across.alias("direction_y"))
+    made = curves.dip_points(placed, "thread_id", 4_000.0)
+    return made.select("thread_id", "k", *[r(F.col(c), 4).alias(c) for c in ("s", "x", "y", "z")])
+
+
+@book.query(
+    "threads",
+    sql=over(
+        f"SELECT thread_id, {q('(640 + 2 * (thread_id % 100)) * (0.5e0 + pitch_deg)', 4)} AS image_width_km, {q('896 * (0.5e0 + pitch_deg)', 4)} AS image_height_km, (640 + 2 * (thread_id % 100)) // 2 AS native_nx, 448::BIGINT AS native_ny, (640 + 2 * (thread_id % 100)) // 2 + (640 + 2 * (thread_id % 100)) // 2 % 2 AS video_nx FROM threads",
+        "threads",
+    ),
+)
+def field_of_view(threads: DataFrame) -> DataFrame:
+    """Sizes that follow from configurations: the image in km, the detector's pixels, the even width of its video."""
+    from ..sources import experiments
+
+    values = {"nx": (640 + 2 * (F.col("thread_id") % 100)).cast("double"), "pixel_size_km": 0.5 + F.col("pitch_deg")}
+    configs = threads.select("thread_id", F.map_from_arrays(F.array(*[F.lit(n) for n in values]), F.array(*values.values())).alias("overrides"))
+    made = experiments.effective(configs, "thread_id", "overrides")
+    return made.select("thread_id", r(F.col("image_width_km"), 4).alias("image_width_km"), r(F.col("image_height_km"), 4).alias("image_height_km"), "native_nx", "native_ny", curves.even(F.col("native_nx")).alias("video_nx"))

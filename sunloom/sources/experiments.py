@@ -306,13 +306,15 @@ def simulation_id(utc: Column, seed: Column, digest: Column, label: Column) -> C
 
 
 def effective(configs: DataFrame, key: str, overrides: str) -> DataFrame:
-    """Field of view in km and the largest mask temperature: what follows from the static parameters alone."""
+    """Field of view in km, the detector's pixels, and the table's temperatures: what follows from static parameters alone."""
     full = with_defaults(configs, key, overrides, STATIC)
     domain = STATIC["temp_center_K"]
     return full.select(
         key,
         (F.col("nx") * F.col("pixel_size_km")).alias("image_width_km"),
         (F.col("ny") * F.col("pixel_size_km")).alias("image_height_km"),
+        F.floor(F.col("nx") / F.col("downsample_factor")).alias("native_nx"),
+        F.floor(F.col("ny") / F.col("downsample_factor")).alias("native_ny"),
         F.lit(domain.low).alias("temperature_low_K"),
         F.lit(domain.high).alias("temperature_high_K"),
     )
