@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import subprocess
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import staging
+
 #: Codecs by their names in run configurations.
 CODECS = {"lzf": "lz4", "gzip": "gzip", "none": "uncompressed"}
 
@@ -67,3 +72,41 @@ def catalog(tables: dict[str, DataFrame]) -> list[dict]:
 def index(summaries: DataFrame) -> DataFrame:
     """Summaries in the order of an index."""
     return summaries.orderBy("generated_utc", "simulation_id")
+
+
+def generated_utc() -> Column:
+    """When a query runs, as ISO text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def generator_commit(folder: str | None = None) -> str:
+    """The commit of the checkout that runs, or "unknown"."""
+    try:
+        made = subprocess.run(["git", "rev-parse", "HEAD"], cwd=folder or Path(__file__).parent, capture_output=True, text=True, timeout=10, check=True)
+        return made.stdout.strip() or "unknown"
+    except (OSError, subprocess.SubprocessError):
+        return "unknown"
+
+
+def stage_run(tables: dict[str, DataFrame], target: str) -> str:
+    """Tables of a run beside ``target``, not yet visible there; give the result to ``staging.publish`` or ``discard``."""
+    spark = next(iter(tables.values())).sparkSession
+    staged = f"{target.rstrip('/')}.staged"
+    staging.discard(spark, staged)
+    write_run(tables, staged)
+    return staged
+
+
+def replay(spark: SparkSession, path: str, table: str, frame: int) -> DataFrame:
+    """One frame of a complete run's table; the condition on frame_idx reaches the scan."""
+    return read_run(spark, path)[table].filter(F.col("frame_idx") == frame)
+
+
+def receipt(tables: dict[str, DataFrame], config_digest: str) -> DataFrame:
+    """One row that describes a run: rows by table, the configuration's digest, when and by which commit it was made."""
+    spark = next(iter(tables.values())).sparkSession
+    counts = spark.createDataFrame([(name,) for name in sorted(tables)], "name string").limit(0).select("name", F.lit(0).cast("long").alias("rows"))
+    for name, df in sorted(tables.items()):
+        counts = counts.unionByName(df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")))
+    all_rows = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "rows")))).alias("tables"))
+    return all_rows.select("tables", F.lit(config_digest).alias("config_digest"), generated_utc().alias("generated_utc"), F.lit(generator_commit()).alias("generator_commit"))

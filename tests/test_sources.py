@@ -177,3 +177,48 @@ def test_masks_are_seen_whole(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "json")).first().value == '{"a":null,"b":1}'
     with pytest.raises(FileNotFoundError):
         staging.publish(spark, str(tmp_path / "nothing"), str(tmp_path / "x"))
+
+
+def test_spine_libraries(spark, tmp_path):
+    import numpy as np
+
+    from sunloom.sources import spines
+
+    rng = np.random.default_rng(0)
+    parts = {"points": rng.normal(size=(3, 5, 2)), "true_length_km": np.array([1e5, 2e5, 3e5]), "source_file_id": np.array(["a", "b", "c"]), "epoch": np.array(["x", "y", "z"]), "format_version": np.array(1)}
+    np.savez(tmp_path / "good.npz", **parts)
+    library = spines.read_npz(spark, f"{tmp_path}/good.npz")
+    assert [tuple(r) for r in library.select("spine_id", "source_file_id", "true_length_km").orderBy("spine_id").collect()] == [(0, "a", 1e5), (1, "b", 2e5), (2, "c", 3e5)]
+    rows = spines.points(library).orderBy("spine_id", "idx").collect()
+    assert np.allclose([(r.x, r.y) for r in rows], parts["points"].reshape(-1, 2)) and control.violations(library, "spine_id", spines.rules()).count() == 0
+    bad = spark.createDataFrame([(1, [(0.0, float("nan")), (1.0, 1.0)], 5.0), (2, [(0.0, 0.0)], -1.0)], "spine_id long, points array<struct<x:double,y:double>>, true_length_km double")
+    assert sorted(map(tuple, control.violations(bad, "spine_id", spines.rules()).collect())) == [(1, "finite"), (2, "length"), (2, "points")]
+    for name, change in (("missing", {"epoch": None}), ("version", {"format_version": np.array(2)}), ("shape", {"true_length_km": np.array([1.0])})):
+        np.savez(tmp_path / f"{name}.npz", **{k: v for k, v in (parts | change).items() if v is not None})
+        with pytest.raises(Exception, match="missing|not known|belong"):
+            spines.read_npz(spark, f"{tmp_path}/{name}.npz").collect()
+    asked = spark.createDataFrame([(k, k * 7, 1 if k == 3 else None) for k in range(60)], "run long, seed long, entry long")
+    picked = {r.run: r.spine_id for r in spines.pick(library.filter("spine_id <> 1"), asked, "run", "seed", "entry").collect()}
+    assert picked[3] == 1 and {v for k, v in picked.items() if k != 3} == {0, 2}
+    assert picked == {r.run: r.spine_id for r in spines.pick(library.filter("spine_id <> 1").orderBy(F.desc("spine_id")), asked.repartition(3), "run", "seed", "entry").collect()}
+    assert {r.spine_id for r in spines.pick(library.limit(0), asked.filter("run <> 3"), "run", "seed", "entry").collect()} == {None}
+
+
+def test_runs_are_staged_published_and_described(spark, tmp_path):
+    from sunloom.sources import staging
+
+    frames = spark.range(12).selectExpr("id div 4 frame_idx", "id % 4 cell", "id / 2 tau")
+    target = str(tmp_path / "run")
+    staged = runs.stage_run({"frames": frames}, target)
+    with pytest.raises(Exception):
+        runs.read_run(spark, target)
+    staging.publish(spark, staged, target)
+    assert runs.replay(spark, target, "frames", 2).count() == 4
+    with pytest.raises(FileExistsError):
+        staging.publish(spark, runs.stage_run({"frames": frames}, target), target)
+    about = runs.receipt({"frames": frames, "none": frames.limit(0)}, "abc").first()
+    assert about.tables == {"frames": 12, "none": 0} and about.config_digest == "abc"
+    import datetime
+
+    assert abs((datetime.datetime.now(datetime.UTC) - datetime.datetime.fromisoformat(about.generated_utc)).total_seconds()) < 120
+    assert runs.generator_commit("/") == "unknown" and len(runs.generator_commit()) in (7, 40)
