@@ -11,31 +11,31 @@ frequency; what discounting frees weighs the paths of pieces. A document's words
 Polya urn of strength ``URN``: a word that a document has used becomes likelier in it. ``lattice_score`` is the marginal of
 pieces alone, without words of the corpus and urn.
 
-Words are counted in blocks of documents, so a word crosses the shuffle once a block, not once a document, and comes back
-as its number in the block; no task ever holds the vocabulary of the corpus. A word's lattice is summed once for the corpus.
+Texts are read once, in blocks of documents: each becomes the numbers of its words in its block, and the block's words and
+their counts come beside them. So a word crosses the shuffle once a block, not once a document, and its probability comes
+back to its number; no task ever holds the vocabulary of the corpus. A word's lattice is summed once for the corpus.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, map_arrow, stage, stage_bucketed
+from .common import bucket_count, map_arrow, stage
 
-#: Rows and bytes after which a block ends. A block's texts and distinct words are held by one task.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
-#: Rows of a bucket of staged texts: fewer than a block has, so buckets seldom hold several blocks.
-BUCKET_ROWS = 1024
+#: Rows and bytes after which a block ends. A block's distinct words, and its words as numbers, are held by one task.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
+#: Rows for each partition that blocks are dealt to: fewer than a block has, so partitions seldom hold several blocks.
+DEALT_ROWS = 1024
 #: Words whose lattices are summed together, rounds of re-estimation, strength of a document's urn.
 WORDS_AT_ONCE, ROUNDS, URN = 60_000, 2, 1500.0
 LOG10 = math.log(10)
@@ -50,10 +50,6 @@ def is_training(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
 def _hash(pieces: np.ndarray) -> np.ndarray:
     """Polynomial hashes of the rows of a byte matrix."""
     h = np.zeros(len(pieces), np.uint64)
@@ -207,59 +203,67 @@ class Model:
         return (1 - self.end()) * np.exp(np.logaddexp(whole, free + log_pieces))
 
 
-def blocked(docs: DataFrame) -> DataFrame:
-    """doc_id and text of ``docs`` with ``block`` and ``position`` (a row's place in its block), in a table bucketed by
-    block: later work by block reads texts without a shuffle. A block ends by rows or bytes, whichever comes first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows, held = TaskContext.get().partitionId() << 33, 0, 0
-        for batch in batches:
-            blocks, positions = [], []
-            for size in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
-                if rows and (rows >= BLOCK_ROWS or held + size > BLOCK_BYTES):
-                    block, rows, held = block + 1, 0, 0
-                blocks.append(block)
-                positions.append(rows)
-                rows, held = rows + 1, held + size
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64()), pa.array(positions, pa.int32())], names=["doc_id", "text", "block", "position"])
+CODED = "block long, doc_id long, tokens binary, number int, word binary, n long"
 
-    buckets = bucket_count(docs.sparkSession, docs.count(), BUCKET_ROWS)
-    placed = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, text string, block long, position int")
-    return stage_bucketed(placed, "lattice-docs", "block", buckets)
 
+def coded(docs: DataFrame) -> DataFrame:
+    """Texts as numbers, and the words behind them, in one pass and one staged table of two kinds of rows.
 
-def block_words(rows: DataFrame) -> DataFrame:
-    """Distinct words of each block: block, number (order of first use in the block), word, n (uses in training texts).
-
-    Rows are sorted by block and position here: a sort by block alone may order a block's rows anew once it spills.
+    A document's row has block, doc_id and ``tokens``: its words' numbers in the block, as 32-bit integers. A word's row
+    has block, number, word and ``n``, its uses in the block's training texts. A block ends by rows or bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, None] = {}
-        counts: Counter = Counter()
-        at = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = list(ids)
-            for k in range(0, len(names), 50_000):
-                part = names[k : k + 50_000]
-                columns = [pa.array([at] * len(part), pa.int64()), pa.array(range(k, k + len(part)), pa.int32()), pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "number", "word", "n"])
-            ids.clear()
-            counts.clear()
-
+        block, rows, held = TaskContext.get().partitionId() << 33, 0, 0
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        counts = np.zeros(0, np.int64)
+        ready: list[tuple[int | None, bytes]] = []
+        learnt: list[np.ndarray] = []
+
+        def count() -> None:
+            nonlocal counts
+            counts = np.pad(counts, (0, len(numbers) - len(counts)))
+            if learnt:
+                counts += np.bincount(np.concatenate(learnt), minlength=len(numbers))
+            learnt.clear()
+
+        def documents() -> pa.RecordBatch:
+            n = len(ready)
+            columns = [pa.array([block] * n, pa.int64()), pa.array([d for d, _ in ready], pa.int64()), pa.array([t for _, t in ready], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
+            ready.clear()
+            count()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        def words() -> Iterator[pa.RecordBatch]:
+            known = list(numbers)
+            for k in range(0, len(known), 50_000):
+                part = known[k : k + 50_000]
+                m = len(part)
+                columns = [pa.array([block] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(k, k + m), pa.int32()), pa.array(part, pa.binary()), pa.array(counts[k : k + m])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        names = [c.split()[0] for c in CODED.split(", ")]
         for batch in batches:
-            for block, doc, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                if block != at:
-                    yield from flush()
-                    at = block
-                words = words_of(text.as_py())
-                ids.update(dict.fromkeys(words))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                raw = (text.as_py() or "").encode()
+                if rows and (rows >= BLOCK_ROWS or held + len(raw) > BLOCK_BYTES):
+                    if ready:
+                        yield documents()
+                    yield from words()
+                    block, rows, held, counts = block + 1, 0, 0, np.zeros(0, np.int64)
+                    numbers.clear()
+                found = raw.lower().split()
+                tokens = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
                 if is_training(doc):
-                    counts.update(words)
-        yield from flush()
+                    learnt.append(tokens)
+                ready.append((doc, tokens.tobytes()))
+                rows, held = rows + 1, held + len(raw)
+            if ready:
+                yield documents()
+        yield from words()
 
-    return map_arrow(rows.sortWithinPartitions("block", "position"), run, "block long, number int, word binary, n long")
+    return stage(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, CODED), "lattice-coded")
 
 
 def count_words(uses: DataFrame) -> DataFrame:
@@ -330,30 +334,31 @@ def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> Model:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
-def document_scores(model: Model, doc_ids: list, texts: Iterator, counts: np.ndarray, log_pieces: np.ndarray, urn: float = URN) -> list[tuple]:
-    """Rows of SCHEMA for the documents of one block, by position, whose words are numbered by first use."""
-    numbers: dict[bytes, int] = {}
-    prior = model.words(counts, log_pieces)
-    base, pure = model.base(counts), log_pieces / LOG10
+def block_scores(model: Model, tokens: list[bytes], counts: np.ndarray, log_pieces: np.ndarray, urn: float = URN) -> dict[str, np.ndarray]:
+    """Columns for the documents of one block, from their words' numbers and what is known of each word."""
+    lengths = np.array([len(t) // 4 for t in tokens], np.int64)
+    ids = np.frombuffer(b"".join(tokens), "<i4").astype(np.int64)
+    ends = np.cumsum(lengths)
+    doc = np.repeat(np.arange(len(tokens)), lengths)
+    # The k-th use of a word in a document, from 0: its place in the sorted order less that of its first use.
+    order = np.argsort(doc * (len(counts) + 1) + ids, kind="stable")
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    starts = np.flatnonzero(fresh)
+    used = np.empty(len(ids), np.int64)
+    used[order] = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    before = np.arange(len(ids)) - np.repeat(ends - lengths, lengths)
     end = model.end()
-    out = []
-    for doc, text in zip(doc_ids, texts, strict=True):
-        words = words_of(text)
-        for w in dict.fromkeys(words):
-            numbers.setdefault(w, len(numbers))
-        ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        # The k-th use of a word in a document, from 0: its place in the sorted order less that of its first use.
-        order = np.argsort(ids, kind="stable")
-        ordered = ids[order]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        used = np.empty(len(ids), np.int64)
-        used[order] = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
-        p = (urn * prior[ids] / (1 - end) + used) / (urn + np.arange(len(ids)))
-        score = float(np.log10(p * (1 - end)).sum()) + math.log10(end)
-        known = int(np.count_nonzero(counts[ids])) + (model.ends > 0)
-        lattice = float(pure[ids].sum()) + len(ids) * math.log10(1 - end) + math.log10(end)
-        out.append((doc, not is_training(doc), len(ids) + 1, known, model.tokens, float(base[ids].sum() + model.base(model.ends)), score, lattice))
-    return out
+    prior = model.words(counts, log_pieces)
+    drawn = np.log10((urn * prior[ids] / (1 - end) + used) / (urn + before) * (1 - end))
+    total = lambda per_word: np.bincount(doc, per_word, len(tokens))
+    return {
+        "n_tokens": lengths + 1,
+        "n_known": total((counts > 0)[ids]).astype(np.int64) + (model.ends > 0),
+        "base_score": total(model.base(counts)[ids]) + model.base(model.ends),
+        "score": total(drawn) + math.log10(end),
+        "lattice_score": total(log_pieces[ids]) / LOG10 + lengths * math.log10(1 - end) + math.log10(end),
+    }
 
 
 def scores(docs: DataFrame, path: str) -> DataFrame:
@@ -363,24 +368,25 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
     split. Tokens are words with A-Z lower-cased, then one end. ``score`` is the model's log10 probability of the whole
     text, ``lattice_score`` that of the pieces alone. An empty table gives no rows.
     """
-    rows = blocked(docs)
-    ends = rows.filter(~held_out(F.col("doc_id"))).count()
-    placed = rows.select("block", "position", "doc_id", "text")
-    uses = stage(block_words(placed), "lattice-words")
+    rows = coded(docs)
+    texts = rows.filter(F.col("tokens").isNotNull()).select("block", "doc_id", "tokens")
+    n, ends = texts.agg(F.count(F.lit(1)), F.count_if(~held_out(F.col("doc_id")))).first()
+    uses = rows.filter(F.col("word").isNotNull()).select("block", "number", "word", "n")
     words = count_words(uses)
     model = fit(words, ends, path)
     # A word meets its sums by a join: a common word has one row a block on this side, and AQE splits a skewed partition.
-    scored = uses.select("block", "number", "word").join(lattices(words, model.pieces), "word").select("block", "number", "c", "log_pieces")
+    scored = uses.select(F.col("block").alias("of"), "number", "word").join(lattices(words, model.pieces), "word").select("of", "number", "c", "log_pieces")
 
     def block(texts: pa.Table, numbered: pa.Table) -> pa.Table:
         at = numbered.column("number").to_numpy()
         counts, log = np.empty(len(at), np.int64), np.empty(len(at))
         counts[at], log[at] = numbered.column("c").to_numpy(), numbered.column("log_pieces").to_numpy()
-        order = np.argsort(texts.column("position").to_numpy())
-        ids, said = texts.column("doc_id").to_pylist(), texts.column("text")
-        made = document_scores(model, [ids[k] for k in order], (said[int(k)].as_py() for k in order), counts, log)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        columns = list(zip(*made, strict=True)) or [[] for _ in kinds]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return placed.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(block, SCHEMA)
+        doc_ids = texts.column("doc_id").to_pylist()
+        made = block_scores(model, texts.column("tokens").to_pylist(), counts, log)
+        made |= {"doc_id": texts.column("doc_id"), "held_out": [not is_training(d) for d in doc_ids], "train_tokens": np.full(len(doc_ids), model.tokens)}
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+        fields = [pa.field(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))]
+        return pa.table([made[f.name] if f.name == "doc_id" else pa.array(made[f.name], f.type) for f in fields], schema=pa.schema(fields))
+
+    dealt = texts.repartition(bucket_count(docs.sparkSession, n, DEALT_ROWS), "block")
+    return dealt.groupBy("block").cogroup(scored.groupBy("of")).applyInArrow(block, SCHEMA)

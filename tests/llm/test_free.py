@@ -380,15 +380,25 @@ def test_scores_by_brute_force(documents, monkeypatch):
     assert len(made) == len(texts)
 
 
-def test_blocks_end_by_rows_and_bytes(documents, monkeypatch):
+def test_blocks_hold_all_words_and_end_by_rows_and_bytes(documents, monkeypatch):
     monkeypatch.setattr(lattice, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(lattice, "BLOCK_ROWS", 7)
-    rows = lattice.blocked(documents).collect()
-    assert sorted(r.text for r in rows) == sorted(r.text for r in documents.collect())
-    for block in {r.block for r in rows}:
-        own = sorted((r for r in rows if r.block == block), key=lambda r: r.position)
-        assert [r.position for r in own] == list(range(len(own))) and len(own) <= 7
-        assert len(own) == 1 or sum(len(r.text.encode()) for r in own) <= 20_000
+    rows = lattice.coded(documents).collect()
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    words, counts = collections.defaultdict(dict), collections.Counter()
+    for r in rows:
+        if r.word is not None:
+            words[r.block][r.number] = bytes(r.word)
+            counts[bytes(r.word)] += r.n
+    held = collections.defaultdict(list)
+    for r in rows:
+        if r.tokens is not None:
+            held[r.block].append(texts[r.doc_id])
+            assert [words[r.block][k] for k in np.frombuffer(r.tokens, "<i4").tolist()] == texts[r.doc_id].encode().lower().split()
+    assert sum(map(len, held.values())) == len(texts)
+    assert all(len(own) <= 7 and (len(own) == 1 or sum(len(t.encode()) for t in own) <= 20_000) for own in held.values())
+    want = collections.Counter(w for d, t in texts.items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in t.encode().lower().split())
+    assert +counts == want
 
 
 def test_scores_of_odd_and_empty_tables(odd, empty):
@@ -398,17 +408,6 @@ def test_scores_of_odd_and_empty_tables(odd, empty):
     assert lattice.scores(empty, PIECE).count() == 0
 
 
-def test_scores_hold_in_any_order_of_a_blocks_rows(documents, monkeypatch):
-    docs = documents.limit(60).cache()
-    key = lambda r: (r.doc_id, r.n_tokens)
-    want = sorted(lattice.scores(docs, PIECE).collect(), key=key)
-    block_words = lattice.block_words
-    monkeypatch.setattr(lattice, "block_words", lambda rows: block_words(rows.sortWithinPartitions("block", F.desc("doc_id"))))
-    made = sorted(lattice.scores(docs, PIECE).collect(), key=key)
-    assert [r[:5] for r in made] == [r[:5] for r in want]
-    assert np.allclose([r[5:] for r in made], [r[5:] for r in want], rtol=1e-9)
-
-
 def test_forward_sums_over_all_segmentations():
     pieces = lattice.Pieces.build({b"a": 1.0, b"ab": 2.0, b"abc": 1.0}, {b"b": 1.0, b"c": 1.0, b"bc": 3.0, b"a": 0.5})
     names = {}
