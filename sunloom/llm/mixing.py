@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, fresh_path, maybe_broadcast, own, stage
+from .common import MAX_BUCKETS, fresh_path, own, stage
 
 #: Sources in code point order weigh these, repeating; no source is taken more often than CAP times.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -15,6 +15,8 @@ CLASSES = (1024, 64)
 LEVEL_BITS, HASH_BITS = 13, 52
 #: Sources that a range holds when sources are ranked.
 RANGE_ROWS = 100_000
+#: Sources up to which one row per source is broadcast; a class's rules have three times as many.
+FEW = 20_000
 
 
 def words(text: Column) -> Column:
@@ -27,14 +29,14 @@ def hashed(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
-    """``df`` with ``rank`` (from 0) and, for each of ``sums``, ``before_<name>``, the sum over the rows before, in ``order``.
+def running(df: DataFrame, rows: int, order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` (of about ``rows`` rows) with ``rank`` (from 0) and, for each of ``sums``, ``before_<name>``, the sum over the rows before, in ``order``.
 
     Rows are dealt to ranges of the order and summed within each; a range's start comes from the ranges' totals, of which
     the driver sees one row a range. So no task holds all rows, however many sources there are.
     """
     spark = df.sparkSession
-    ranges = bucket_count(spark, df.count(), RANGE_ROWS)
+    ranges = max(1, min(MAX_BUCKETS, -(-rows // RANGE_ROWS)))
     placed = stage(df.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
     totals = placed.groupBy("range").agg(F.count(F.lit(1)).alias("rank"), *[F.sum(c).alias(c) for c in sums]).orderBy("range").collect()
     at, starts = [0] * (1 + len(sums)), []
@@ -50,16 +52,17 @@ def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
     return joined.select(*df.columns, *[(F.col(c) + F.col(f"start_{c}")).alias(c) for c in names])
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sources: int | None = None) -> DataFrame:
     """source and source_size to its target: shares by weight, stopped at ``cap`` times the size, the excess reshared.
 
     Sources stop in the order of cap * size / weight; the first that does not stop fixes the level for all others.
     """
     by_name, by_ratio = F.col("source").asc_nulls_last(), F.col("ratio").asc()
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    named = running(sizes.select("source", "source_size"), [by_name], [])
+    n = sizes.count() if sources is None else sources
+    named = running(sizes.select("source", "source_size"), n, [by_name], [])
     named = named.withColumn("weight", weight).drop("rank").withColumn("ratio", cap * F.col("source_size") / F.col("weight"))
-    ordered = stage(running(named, [by_ratio, by_name], ["source_size", "weight"]), "mix-order")
+    ordered = stage(running(named, n, [by_ratio, by_name], ["source_size", "weight"]), "mix-order")
     all_words, all_weights = ordered.agg(F.sum("source_size"), F.sum("weight")).first()
     level = (F.lit(float(all_words or 0)) - cap * F.col("before_source_size")) / (F.lit(float(all_weights or 0)) - F.col("before_weight"))
     fixed = ordered.withColumn("level", level).filter("ratio >= level").agg(F.min_by("level", "rank")).first()[0]
@@ -70,10 +73,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 def _boundary(cells: DataFrame, state: DataFrame, cell: str) -> DataFrame:
     """The first cell of each source whose running sum reaches ``want``: its ``base`` (sum before) and its sum.
 
-    ``cells``: source_key, cell, words; ``state``: source_key, want, base. Sources that never reach it get no row.
+    ``cells``: source_key, cell, words; ``state``: source_key, want, base, hinted for a broadcast where that is safe.
+    Sources that never reach it get no row.
     """
     run = Window.partitionBy("source_key").orderBy(cell)
-    joined = cells.join(maybe_broadcast(state), "source_key")
+    joined = cells.join(state, "source_key")
     summed = joined.withColumn("upto", F.col("base") + F.sum("words").over(run)).filter("upto >= want")
     first = summed.groupBy("source_key").agg(F.min_by(F.struct(cell, "upto", "words", "want"), cell).alias("b"))
     return first.select("source_key", f"b.{cell}", "b.upto", (F.col("b.upto") - F.col("b.words")).alias("base"), "b.want")
@@ -100,9 +104,12 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     low, lower = HASH_BITS - LEVEL_BITS, HASH_BITS - 2 * LEVEL_BITS
     sums = stage(rows.groupBy("source_key", "source", "class", F.shiftright("h", low).alias("bucket")).agg(F.sum("size").alias("words")), "mix-histogram")
     sized = sums.groupBy("source", "source_key").agg(F.sum("words").alias("source_size"))
+    sources = sized.count()
+    # One row per source in all that is joined below: broadcast only where the sources were counted and are few.
+    near = F.broadcast if sources <= FEW else lambda df: df
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    plan = targets(sized, weights, cap).withColumn("source_key", key).drop("source").withColumn("whole", F.floor(ratio))
+    plan = targets(sized, weights, cap, sources).withColumn("source_key", key).drop("source").withColumn("whole", F.floor(ratio))
     plan = stage(plan.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
     carry = plan.select("source_key", F.lit(0.0).alias("carry"))
     limits = None
@@ -110,20 +117,20 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
         cells = sums.filter(F.col("class") == c)
         totals = cells.groupBy("source_key").agg(F.sum("words").alias("total"))
         want = F.col("budget") * F.coalesce(F.try_divide(F.coalesce("total", F.lit(0)).cast("double"), F.col("source_size").cast("double")), F.lit(0.0)) + F.col("carry")
-        state = plan.join(carry, "source_key").join(totals, "source_key", "left").select("source_key", want.alias("want"), F.coalesce("total", F.lit(0)).alias("total"))
+        state = plan.join(near(carry), "source_key").join(near(totals), "source_key", "left").select("source_key", want.alias("want"), F.coalesce("total", F.lit(0)).alias("total"))
         state = stage(state, "mix-state")
         seek = state.filter("want > 0").select("source_key", "want", F.lit(0).cast("long").alias("base"))
-        first = stage(_boundary(cells, seek, "bucket"), "mix-bucket")
-        inside = rows.filter(F.col("class") == c).withColumn("bucket", F.shiftright("h", low)).join(maybe_broadcast(first.select("source_key", "bucket")), ["source_key", "bucket"])
+        first = stage(_boundary(cells, near(seek), "bucket"), "mix-bucket")
+        inside = rows.filter(F.col("class") == c).withColumn("bucket", F.shiftright("h", low)).join(near(first.select("source_key", "bucket")), ["source_key", "bucket"])
         inside = stage(inside.groupBy("source_key", "h").agg(F.sum("size").alias("words")).withColumn("finer", F.shiftright("h", lower)), "mix-inside")
         finer = inside.groupBy("source_key", "finer").agg(F.sum("words").alias("words"))
-        second = stage(_boundary(finer, first.select("source_key", "want", "base"), "finer"), "mix-finer")
-        inside = inside.join(maybe_broadcast(second.select("source_key", "finer")), ["source_key", "finer"])
-        third = _boundary(inside, second.select("source_key", "want", "base"), "h")
+        second = stage(_boundary(finer, near(first.select("source_key", "want", "base")), "finer"), "mix-finer")
+        inside = inside.join(near(second.select("source_key", "finer")), ["source_key", "finer"])
+        third = _boundary(inside, near(second.select("source_key", "want", "base")), "h")
         over = (F.col("upto") - F.col("want")) < (F.col("want") - F.col("base"))
         third = third.select("source_key", (F.col("h") + over.cast("long")).alias("limit"), F.when(over, F.col("upto")).otherwise(F.col("base")).alias("got"))
         everything = F.when(F.col("want") > 0, F.lit(2**HASH_BITS)).otherwise(F.lit(0)).cast("long")
-        done = state.join(third, "source_key", "left").select(
+        done = state.join(near(third), "source_key", "left").select(
             "source_key",
             F.lit(c).alias("class"),
             F.coalesce("limit", everything).alias("limit"),
@@ -132,7 +139,7 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
         done = stage(done, "mix-limit")
         carry = done.select("source_key", "carry")
         limits = done if limits is None else limits.unionByName(done)
-    return limits.join(plan.select("source_key", "source_size", "target", "whole"), "source_key").drop("carry")
+    return near(limits.join(near(plan.select("source_key", "source_size", "target", "whole")), "source_key").drop("carry"))
 
 
 def _times() -> Column:
@@ -152,7 +159,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     """
     rows = staged(docs, ["doc_id"])
     rules = thresholds(rows.drop("doc_id"), weights, cap)
-    joined = rows.join(maybe_broadcast(rules), ["source_key", "class"])
+    joined = rows.join(rules, ["source_key", "class"])
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).cast("long").alias("taken"))
 
 
@@ -211,7 +218,7 @@ def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     marked = docs.withColumn(mark, F.struct(*[c.alias(n) for n, c in traits().items()]))
     rules = rules.select(F.struct("source_key", "class").alias(of), F.struct("whole", "limit").alias(rule))
     m, r = F.col(mark), F.col(rule)
-    joined = marked.join(maybe_broadcast(rules), F.struct(m["source_key"].alias("source_key"), m["class"].alias("class")) == F.col(of))
+    joined = marked.join(rules, F.struct(m["source_key"].alias("source_key"), m["class"].alias("class")) == F.col(of))
     times = F.when(m["size"] > 0, r["whole"] + (m["h"] < r["limit"]).cast("long")).otherwise(0).cast("int")
     copies = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(True), times)).alias(copy))
     return copies.drop(copy)
