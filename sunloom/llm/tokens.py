@@ -12,6 +12,7 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Callable
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼½¾"
@@ -45,12 +46,30 @@ def _bytes(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
-class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes.
+class Words(dict):
+    """Ids by word, in two generations: when the young one is full it becomes the old one, and a word of the old one that
+    comes again moves to the young one, so words in use stay and memory is bounded."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
 
-    Words are kept in two generations: when the young one is full it becomes the old one, and a word of the old one that
-    comes again moves to the young one, so words in use stay and memory is bounded.
-    """
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+class Encoder:
+    """Texts to ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,8 +81,7 @@ class Encoder:
         self.special = os.path.commonprefix(specials)[:2].lower() if specials else None
         self.pattern, self.fold = KINDS.get(os.path.basename(path), (None, False))
         self.model = self.library.model
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = Words(self._word)
 
     def _word(self, word: str) -> bytes:
         """Ids of one word as the pattern cuts it: straight to the vocabulary's merges."""
@@ -77,21 +95,9 @@ class Encoder:
         return [_bytes(x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _cut(self, texts: list[str]) -> list[bytes]:
-        words = [self.pattern.findall(t.lower() if self.fold else t) for t in texts]
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = set().union(*words).difference(young)
-        again = new.intersection(old)
-        for word in again:
-            young[word] = old[word]
-        once: dict[str, bytes] = {}
-        for word in new.difference(again):
-            (young if len(word) <= CACHE_CHARS else once)[word] = self._word(word)
-        if once:
-            return [b"".join([young[w] if w in young else once[w] for w in ws]) for ws in words]
-        get = young.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        self.words.age()
+        get, find = self.words.__getitem__, self.pattern.findall
+        return [b"".join(map(get, find(t.lower() if self.fold else t))) for t in texts]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out = [b""] * len(texts)
