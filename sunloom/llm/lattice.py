@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bucket_count, map_arrow, stage
 
 #: Rows and bytes after which a block ends. A block's distinct words, and its words as numbers, are held by one task.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 4096, 12 << 20
 #: Rows for each partition that blocks are dealt to: fewer than a block has, so partitions seldom hold several blocks.
 DEALT_ROWS = 1024
 #: Words whose lattices are summed together, rounds of re-estimation, strength of a document's urn.
@@ -206,11 +206,20 @@ class Model:
 CODED = "block long, doc_id long, tokens binary, number int, word binary, n long"
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, then their next, and so on: high bytes are alike and compress."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def coded(docs: DataFrame) -> DataFrame:
     """Texts as numbers, and the words behind them, in one pass and one staged table of two kinds of rows.
 
-    A document's row has block, doc_id and ``tokens``: its words' numbers in the block, as 32-bit integers. A word's row
-    has block, number, word and ``n``, its uses in the block's training texts. A block ends by rows or bytes.
+    A document's row has block, doc_id and ``tokens``: its words' numbers in the block, as ``planes``. A word's row has
+    block, number, word and ``n``, its uses in the block's training texts. A block ends by rows or bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +266,7 @@ def coded(docs: DataFrame) -> DataFrame:
                 tokens = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
                 if is_training(doc):
                     learnt.append(tokens)
-                ready.append((doc, tokens.tobytes()))
+                ready.append((doc, planes(tokens)))
                 rows, held = rows + 1, held + len(raw)
             if ready:
                 yield documents()
@@ -337,7 +346,7 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def block_scores(model: Model, tokens: list[bytes], counts: np.ndarray, log_pieces: np.ndarray, urn: float = URN) -> dict[str, np.ndarray]:
     """Columns for the documents of one block, from their words' numbers and what is known of each word."""
     lengths = np.array([len(t) // 4 for t in tokens], np.int64)
-    ids = np.frombuffer(b"".join(tokens), "<i4").astype(np.int64)
+    ids = np.concatenate([from_planes(t) for t in tokens]).astype(np.int64)
     ends = np.cumsum(lengths)
     doc = np.repeat(np.arange(len(tokens)), lengths)
     # The k-th use of a word in a document, from 0: its place in the sorted order less that of its first use.

@@ -394,7 +394,7 @@ def test_blocks_hold_all_words_and_end_by_rows_and_bytes(documents, monkeypatch)
     for r in rows:
         if r.tokens is not None:
             held[r.block].append(texts[r.doc_id])
-            assert [words[r.block][k] for k in np.frombuffer(r.tokens, "<i4").tolist()] == texts[r.doc_id].encode().lower().split()
+            assert [words[r.block][k] for k in lattice.from_planes(r.tokens).tolist()] == texts[r.doc_id].encode().lower().split()
     assert sum(map(len, held.values())) == len(texts)
     assert all(len(own) <= 7 and (len(own) == 1 or sum(len(t.encode()) for t in own) <= 20_000) for own in held.values())
     want = collections.Counter(w for d, t in texts.items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in t.encode().lower().split())
