@@ -48,7 +48,8 @@ class DigestIndex:
         return (newest["buckets"], newest["generation"]) if newest else None
 
     def _store(self, buckets: int, generation: int) -> tuple[int, int]:
-        self.spark.createDataFrame([(buckets, generation)], LAYOUT).coalesce(1).write.mode("append").json(f"{self.location}/layout")
+        line = self.spark.range(1).select(F.lit(buckets).cast("int").alias("buckets"), F.lit(generation).cast("int").alias("generation"))
+        line.coalesce(1).write.mode("append").json(f"{self.location}/layout")
         return buckets, generation
 
     def _open(self) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,10 @@ def running(df: DataFrame, rows: int, order: list[Column], sums: list[str]) -> D
         starts.append((t["range"], *map(float, at)))
         at = [x + (t[c] or 0) for x, c in zip(at, ["rank", *sums], strict=True)]
     names = ["rank", *[f"before_{c}" for c in sums]]
-    first = spark.createDataFrame(starts, "range int, " + ", ".join(f"start_{c} double" for c in names))
+    # As a literal: a table made from Python objects would start Python workers.
+    fields = ["range int", *[f"start_{c} double" for c in names]]
+    lines = json.dumps([dict(zip([f.split()[0] for f in fields], line, strict=True)) for line in starts])
+    first = spark.range(1).select(F.inline(F.from_json(F.lit(lines), f"array<struct<{', '.join(f.replace(' ', ':') for f in fields)}>>")))
     own = Window.partitionBy("range").orderBy(*order)
     before = own.rowsBetween(Window.unboundedPreceding, -1)
     inside = [F.row_number().over(own) - 1, *[F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums]]

@@ -24,6 +24,18 @@ def test_query_agrees_with_sql(spark, small, name):
     assert rows_of(made.columns, [tuple(r) for r in made.collect()]) == rows_of(wanted.columns, wanted.fetchall())
 
 
+def test_native_queries_start_no_python(spark, small, monkeypatch):
+    def forbidden(*args, **more):
+        raise AssertionError("Python objects or workers in a native query")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", forbidden)
+    for kind in (type(spark.range(1)),):
+        for method in ("mapInArrow", "mapInPandas"):
+            monkeypatch.setattr(kind, method, forbidden)
+    for name in queries.oracle_sql():
+        queries.queries()[name](spark, small).count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_native_plans_run_no_python(spark, small, name):
     plan = queries.queries()[name](spark, small)._jdf.queryExecution().toString()
