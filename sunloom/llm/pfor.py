@@ -195,7 +195,12 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, with_ids: bool = True) -> DataFrame:
-    """Write ``docs`` in this format to the shared folder and read every document back."""
+    """Write ``docs`` in this format to the shared folder and read every document back.
+
+    One row per row of ``docs``, in ascending doc_id by ``start``; rows without doc_id come first, rows that repeat one stay,
+    in any order among themselves; null and empty texts are the end id alone. Only doc_id and text are read, so other
+    columns may have any name; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     path = fresh_path(spark, "pfor")
     write_ids(docs, tokenizer_path, path, end_id)
