@@ -77,3 +77,10 @@ def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float,
 def latest(df: DataFrame, by: list[str], at: str) -> DataFrame:
     """The last version of each row: the upsert of a log."""
     return df.groupBy(*by).agg(F.max_by(F.struct(*[c for c in df.columns if c not in by]), F.col(at)).alias("r")).select(*by, "r.*")
+
+
+def finite(value: Column, name: str) -> Column:
+    """``value`` as a double; a row where it is null or not finite fails the query, by ``name``."""
+    c = value.cast("double")
+    good = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.when(good, c).otherwise(F.raise_error(F.lit(f"{name} must be finite")).cast("double"))

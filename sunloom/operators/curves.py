@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dips
+from .sequences import counter_uniform
 
 #: The share of a field of view's side that stays free, the least envelope of a channel, and how far beyond
 #: its half width threads may lie, with the least envelope that counts for it.
@@ -84,3 +85,9 @@ def even(value: Column) -> Column:
     return value + value % 2
 
 
+
+
+def drawn_orientation(seed: Column) -> tuple[Column, Column]:
+    """Angle from -90 to 90 degrees and chirality (-1 or 1) of an experiment that leaves them to its seed."""
+    angle, side = (counter_uniform(seed, F.lit(0).cast("long"), stream=k) for k in (61, 62))
+    return 180.0 * angle - 90.0, F.when(side < 0.5, -1).otherwise(1)

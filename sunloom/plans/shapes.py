@@ -289,3 +289,10 @@ def field_of_view(threads: DataFrame) -> DataFrame:
     configs = threads.select("thread_id", F.map_from_arrays(F.array(*[F.lit(n) for n in values]), F.array(*values.values())).alias("overrides"))
     made = experiments.effective(configs, "thread_id", "overrides")
     return made.select("thread_id", r(F.col("image_width_km"), 4).alias("image_width_km"), r(F.col("image_height_km"), 4).alias("image_height_km"), "native_nx", "native_ny", curves.even(F.col("native_nx")).alias("video_nx"))
+
+
+@book.query("orders", sql=f"SELECT o_orderkey, {q('180e0 * ' + _uniform(61, 'o_orderkey', '0') + ' - 90e0')} AS orientation_deg, CASE WHEN {_uniform(62, 'o_orderkey', '0')} < 0.5e0 THEN -1 ELSE 1 END AS chirality FROM orders")
+def static_draws(orders: DataFrame) -> DataFrame:
+    """What an experiment's seed decides where its configuration leaves it open."""
+    angle, side = curves.drawn_orientation(F.col("o_orderkey"))
+    return orders.select("o_orderkey", r(angle).alias("orientation_deg"), side.alias("chirality"))

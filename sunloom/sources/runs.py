@@ -110,3 +110,14 @@ def receipt(tables: dict[str, DataFrame], config_digest: str) -> DataFrame:
         counts = counts.unionByName(df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")))
     all_rows = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "rows")))).alias("tables"))
     return all_rows.select("tables", F.lit(config_digest).alias("config_digest"), generated_utc().alias("generated_utc"), F.lit(generator_commit()).alias("generator_commit"))
+
+
+def save_preview(tables: dict[str, DataFrame], config_digest: str, target: str) -> None:
+    """A preview's tables and, last, their receipt; seen at ``target`` whole or not at all, and never twice."""
+    spark = next(iter(tables.values())).sparkSession
+    staged = stage_run(tables, target)
+    try:
+        receipt(tables, config_digest).coalesce(1).write.json(f"{staged}/receipt")
+        staging.publish(spark, staged, target)
+    finally:
+        staging.discard(spark, staged)

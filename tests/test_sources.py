@@ -218,6 +218,15 @@ def test_runs_are_staged_published_and_described(spark, tmp_path):
         staging.publish(spark, runs.stage_run({"frames": frames}, target), target)
     about = runs.receipt({"frames": frames, "none": frames.limit(0)}, "abc").first()
     assert about.tables == {"frames": 12, "none": 0} and about.config_digest == "abc"
+    preview = str(tmp_path / "preview")
+    runs.save_preview({"frames": frames}, "abc", preview)
+    assert spark.read.json(f"{preview}/receipt").first().config_digest == "abc" and runs.read_run(spark, preview)["frames"].count() == 12
+    with pytest.raises(FileExistsError):
+        runs.save_preview({"frames": frames}, "abc", preview)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["preview", "run", "run.staged"]
+    assert frames.select(control.finite(F.col("tau"), "tau").alias("x")).agg(F.max("x")).first()[0] == 5.5
+    with pytest.raises(Exception, match="tau must be finite"):
+        frames.select(control.finite(F.lit(float("nan")), "tau")).collect()
     import datetime
 
     assert abs((datetime.datetime.now(datetime.UTC) - datetime.datetime.fromisoformat(about.generated_utc)).total_seconds()) < 120
