@@ -91,3 +91,19 @@ def drawn_orientation(seed: Column) -> tuple[Column, Column]:
     """Angle from -90 to 90 degrees and chirality (-1 or 1) of an experiment that leaves them to its seed."""
     angle, side = (counter_uniform(seed, F.lit(0).cast("long"), stream=k) for k in (61, 62))
     return 180.0 * angle - 90.0, F.when(side < 0.5, -1).otherwise(1)
+
+
+def translated(points: DataFrame, shifts: DataFrame, by: str, columns: dict[str, str]) -> DataFrame:
+    """Every point in every frame of ``shifts`` (``by``, frame_idx, ...), moved by its thread's shift; ``columns`` names the
+    shift of each coordinate. A thread without shifts has no rows."""
+    kept = [c for c in points.columns if c not in columns]
+    joined = points.join(shifts.select(by, "frame_idx", *columns.values()), by)
+    return joined.select("frame_idx", *kept, *[(F.col(c) + F.col(d)).alias(c) for c, d in columns.items()])
+
+
+def segments(points: DataFrame, by: list[str], at: str, columns: list[str]) -> DataFrame:
+    """Consecutive points of each curve as segments: ``by``, ``at``, and both ends of each of ``columns`` (a_, b_)."""
+    ahead = Window.partitionBy(*by).orderBy(at)
+    ends = [F.lead(c).over(ahead).alias(f"b_{c}") for c in columns]
+    made = points.select(*by, at, *[F.col(c).alias(f"a_{c}") for c in columns], *ends, F.lead(at).over(ahead).alias("__next"))
+    return made.filter(F.col("__next").isNotNull()).drop("__next")

@@ -15,7 +15,7 @@ from .registry import Registry, r
 from .relations import group_of
 from .relations import rounded as q
 from .relations import with_relations as over
-from .series import _uniform
+from .series import _AMP, _AZ, _CP, _uniform, brownian_steps
 
 book = Registry()
 _CURVE = "cv AS (SELECT thread_id, idx, x_km + s AS x, y_km + 500e0 * sin(idx / 3e0) AS y FROM thread_points), ds AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0e0) AS d FROM cv WINDOW w AS (PARTITION BY thread_id ORDER BY idx)), ar AS (SELECT *, sum(d) OVER (PARTITION BY thread_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS arc FROM ds)"
@@ -296,3 +296,32 @@ def static_draws(orders: DataFrame) -> DataFrame:
     """What an experiment's seed decides where its configuration leaves it open."""
     angle, side = curves.drawn_orientation(F.col("o_orderkey"))
     return orders.select("o_orderkey", r(angle).alias("orientation_deg"), side.alias("chirality"))
+
+
+@book.query(
+    "thread_points",
+    "threads",
+    "frames",
+    sql=over(
+        f"""u AS (SELECT thread_id, frame_idx, {_AMP} AS a, {_CP} AS c, {_AZ} AS z FROM threads CROSS JOIN frames), d AS (SELECT thread_id, frame_idx, CASE WHEN frame_idx > 0 THEN a * sqrt(greatest(1e0 - c * c, 0e0)) * cos(z) ELSE 0e0 END AS dx, CASE WHEN frame_idx > 0 THEN a * c ELSE 0e0 END AS dz FROM u),
+        w AS (SELECT thread_id, frame_idx, sum(dx) OVER o AS dx, sum(dz) OVER o AS dz FROM d WINDOW o AS (PARTITION BY thread_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)) """
+        + f"SELECT w.frame_idx, p.thread_id, p.idx, {q('x_km + s + dx', 4)} AS x, {q('height_km + dz', 4)} AS z FROM thread_points p JOIN w USING (thread_id) WHERE w.frame_idx % 6 = 5",
+        "thread_points",
+        "threads",
+        "frames",
+    ),
+)
+def translated_threads(points: DataFrame, threads: DataFrame, frames: DataFrame) -> DataFrame:
+    """All points of all threads in every sixth frame of their random walk."""
+    walked = sequences.walk(brownian_steps(threads, frames), ["thread_id"], "frame_idx", ["dx", "dz"]).filter("frame_idx % 6 = 5")
+    rows = points.select("thread_id", "idx", (F.col("x_km") + F.col("s")).alias("x"), F.col("height_km").alias("z"))
+    made = curves.translated(rows, walked, "thread_id", {"x": "dx", "z": "dz"})
+    return made.select("frame_idx", "thread_id", "idx", r(F.col("x"), 4).alias("x"), r(F.col("z"), 4).alias("z"))
+
+
+@book.query("thread_points", sql=over(f"s AS (SELECT thread_id, idx, x_km + s AS ax, height_km + idx AS az, lead(x_km + s) OVER w AS bx, lead(height_km + idx) OVER w AS bz FROM thread_points WINDOW w AS (PARTITION BY thread_id ORDER BY idx)) SELECT thread_id, idx, {q('ax', 4)} AS a_x, {q('az', 4)} AS a_z, {q('bx', 4)} AS b_x, {q('bz', 4)} AS b_z FROM s WHERE bx IS NOT NULL", "thread_points"))
+def thread_segments(points: DataFrame) -> DataFrame:
+    """The segments of all threads, for masks that draw long ones."""
+    rows = points.select("thread_id", "idx", (F.col("x_km") + F.col("s")).alias("x"), (F.col("height_km") + F.col("idx")).alias("z"))
+    made = curves.segments(rows, ["thread_id"], "idx", ["x", "z"])
+    return made.select("thread_id", "idx", *[r(F.col(c), 4).alias(c) for c in ("a_x", "a_z", "b_x", "b_z")])
