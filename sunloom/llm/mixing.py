@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BUCKETS, fresh_path, own, stage
+from .common import MAX_BUCKETS, own, stage
 
 #: Sources in code point order weigh these, repeating; no source is taken more often than CAP times.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -103,8 +103,8 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     """Per source and class: source_size, target, ``whole`` (times that every document is taken) and ``limit`` (documents
     with a hash below it are taken once more).
 
-    ``rows``: source, source_key, class, size, h, staged by class. One pass makes the histogram of all classes; then each
-    class reads its own files once, for the boundary buckets alone.
+    ``rows``: source, source_key, class, size, h. One pass makes the histogram of all classes; then each class reads the
+    numbers once more, for the boundary buckets alone.
     """
     low, lower = HASH_BITS - LEVEL_BITS, HASH_BITS - 2 * LEVEL_BITS
     sums = stage(rows.groupBy("source_key", "source", "class", F.shiftright("h", low).alias("bucket")).agg(F.sum("size").alias("words")), "mix-histogram")
@@ -169,13 +169,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 
 
 def staged(docs: DataFrame, kept: list[str]) -> DataFrame:
-    """``traits`` of every row, with source and the columns ``kept``, one folder a class."""
+    """``traits`` of every row, with source and the columns ``kept``, in one pass over the texts."""
     made = traits()
     rows = docs.select(*kept, F.col("source").cast("string").alias("source"), made["size"].alias("size"), made["source_key"].alias("source_key"), made["h"].alias("h"))
-    klass = sum((F.col("size") < c).cast("int") for c in CLASSES)
-    path = fresh_path(docs.sparkSession, "mix-rows")
-    rows.withColumn("class", klass).write.partitionBy("class").option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.withColumn("class", klass).schema).parquet(path)
+    return stage(rows.withColumn("class", sum((F.col("size") < c).cast("int") for c in CLASSES)), "mix-rows")
 
 
 ORACLE = r"""
