@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest_index, langid, lattice, mixing, packing, pfor, preference, quality, simhash, telephony
+from . import bpe, digest_index, langid, lattice, mixing, packing, pfor, preference, quality, simhash, telephony
 from .common import documents, spread
 
 
@@ -56,6 +56,10 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony(spread(documents(spark, sf_dir)))
 
 
+def op12_contiguous_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(spread(documents(spark, sf_dir)), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_preference_format,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sum_of_squares_packing,
         op9_pfor_tokens,
         op10_telephony,
+        op12_contiguous_bpe,
     ]
     return {f.__name__: f for f in named}
 
