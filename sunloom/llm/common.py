@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -105,6 +105,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, their place from 0 in their ``tree`` by ``order``, and ``nodes``, the rows of the tree.
+
+    One range sort; a tree's rows lie in any number of ranges, whose counts are summed ahead of each.
+    """
+    cols = ["tree", *order]
+    ranged = rows.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    ranged = stage(ranged.withColumn("at", F.monotonically_increasing_id()), "ranges").withColumn("part", F.shiftright("at", 33))
+    tree, before = Window.partitionBy("tree"), Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = ranged.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("count"))
+    pieces = pieces.select("tree", "part", "first", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.sum("count").over(tree).alias("nodes"))
+    joined = ranged.join(stage(pieces, "pieces"), ["tree", "part"])
+    return joined.withColumn("pos", F.col("before") + F.col("at") - F.col("first")).drop("at", "part", "first", "before")
+
+
 def own(df: DataFrame, name: str) -> str:
     """A column name that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, digest_index, langid, lattice, mixing, packing, pfor, preference, quality, simhash, telephony
+from . import bpe, digest_index, langid, lattice, merkle, mixing, packing, pfor, preference, quality, repair, simhash, telephony
 from .common import documents, spread
 
 
@@ -56,10 +56,18 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony(spread(documents(spark, sf_dir)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(documents(spark, sf_dir))
+
+
 def op12_contiguous_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spread(documents(spark, sf_dir)), tokenizer("byte_bpe_50k.json"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_preference_format,
@@ -72,7 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sum_of_squares_packing,
         op9_pfor_tokens,
         op10_telephony,
+        op11_merkle_manifest,
         op12_contiguous_bpe,
+        op13_conversation_repair,
     ]
     return {f.__name__: f for f in named}
 
@@ -82,4 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_preference_format": preference.ORACLE,
         "op2_exact_dedup": digest_index.ORACLE,
         "op3_source_mix": mixing.ORACLE,
+        "op11_merkle_manifest": merkle.ORACLE,
+        "op13_conversation_repair": repair.ORACLE,
     }
