@@ -10,6 +10,10 @@ from . import bpe, digest_index, langid, lattice, merkle, mixing, packing, pfor,
 from .common import documents, spread
 
 
+#: Queries that run on DataFrame and SQL functions alone.
+NATIVE = ("op1_preference_format", "op2_exact_dedup", "op3_source_mix")
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 

@@ -98,7 +98,7 @@ def _flat(lists: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 def _moves(con, units: pa.Table) -> pa.Array:
     con.register("units", units)
-    found = con.execute(WALK).to_arrow_table().column("moves").combine_chunks()
+    found = con.sql(WALK).to_arrow_table().column("moves").combine_chunks()
     con.unregister("units")
     return found
 
@@ -119,9 +119,9 @@ def _walk_turns(segments: DataFrame) -> DataFrame:
             )
             con.execute("CREATE OR REPLACE TABLE sized AS SELECT unit, max(place) + 1 AS size FROM rows GROUP BY unit")
             leads = pa.table({"unit": pa.array(range(batch.num_rows)), "leads": [s == 0 for s in batch.column("segment").to_pylist()]})
-            con.register("leading", leads)
-            units = con.execute("SELECT unit, size, leads FROM sized JOIN leading USING (unit)").to_arrow_table()
-            counts = con.execute(COUNTING).to_arrow_table().combine_chunks()
+            con.register("firsts", leads)
+            units = con.sql("SELECT unit, size, leads FROM sized JOIN firsts USING (unit)").to_arrow_table()
+            counts = con.sql(COUNTING).to_arrow_table().combine_chunks()
             moves = _moves(con, units)
             columns = [batch.column("tree"), batch.column("segment"), batch.column("nodes"), *(counts.column(c).combine_chunks() for c in COUNTS), moves]
             yield pa.RecordBatch.from_arrays(columns, names=["tree", "segment", "nodes", *COUNTS, "moves"])
@@ -236,7 +236,7 @@ def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         move = levels[depth].select("tree", "segment", "moves").join(chosen, ["tree", "segment"])
         move = move.select("tree", "segment", "start", _picked(F.col("moves"), F.col("start"), F.col("state")).alias("move"))
         if depth:
-            path = F.posexplode(F.split("move.path", "(?!^)")).alias("k", "to")
+            path = F.posexplode(F.regexp_extract_all("move.path", F.lit("[0-3]"), F.lit(0))).alias("k", "to")
             split = move.select("tree", "segment", "start", "move.path", path)
             before = F.when(F.col("k") == 0, F.col("start")).otherwise(F.expr("substring(path, k, 1)").cast("int"))
             chosen = stage(split.select("tree", (F.shiftleft("segment", SPAN_BITS) + F.col("k")).alias("segment"), before.alias("start"), F.col("to").cast("int").alias("state")), "repair-chosen")

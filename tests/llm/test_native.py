@@ -32,11 +32,11 @@ def test_native_queries_start_no_python(spark, small, monkeypatch):
     for kind in (type(spark.range(1)),):
         for method in ("mapInArrow", "mapInPandas"):
             monkeypatch.setattr(kind, method, forbidden)
-    for name in queries.oracle_sql():
+    for name in queries.NATIVE:
         queries.queries()[name](spark, small).count()
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("name", queries.NATIVE)
 def test_native_plans_run_no_python(spark, small, name):
     plan = queries.queries()[name](spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
