@@ -194,221 +194,108 @@ def dark_ridge(diagrams: DataFrame, by: str = "diagram_id", between: tuple[float
 
 # --- damped sines ----------------------------------------------------------------------------------------------------
 
+SINE = ("equilibrium", "drift", "amplitude", "period", "damping", "phase")
+#: Fewest points of a fit, decays over the whole span that are tried first, samples a cycle and a step of the search.
+LEAST_POINTS, DECAYS, SAMPLES_A_CYCLE, STEPS_A_CYCLE = 12, (0.0, 0.3, 1.0, 3.0, 9.0), 3, 8
+
 
 def sine(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     return p[0] + p[1] * t + p[2] * np.exp(-t / p[4]) * np.sin(2 * np.pi * t / p[3] + p[5])
 
 
 def sine_slopes(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    fade, turn = np.exp(-t / p[4]), 2 * np.pi * t / p[3] + p[5]
-    s, c = fade * np.sin(turn), fade * np.cos(turn)
-    return np.stack([np.ones_like(t), t, s, p[2] * c * (-2 * np.pi * t / p[3] ** 2), p[2] * s * t / p[4] ** 2, p[2] * c], axis=1)
-
-
-def first_period(t: np.ndarray, y: np.ndarray, shortest: float, longest: float, count: int = 5000) -> float:
-    """Period of greatest Lomb-Scargle power."""
-    w = 2 * np.pi * np.linspace(1 / longest, 1 / shortest, count)
-    c, s = np.cos(w[:, None] * t), np.sin(w[:, None] * t)
-    cc, cs = (c * c).sum(axis=1), (c * s).sum(axis=1)
-    tau = 0.5 * np.arctan2(2 * cs, 2 * cc - len(t))
-    ct, st = np.cos(tau), np.sin(tau)
-    yc, ys = c @ y, s @ y
-    a, b = ct**2 * cc + 2 * ct * st * cs + st**2 * (len(t) - cc), ct**2 * (len(t) - cc) - 2 * ct * st * cs + st**2 * cc
-    power = (yc * ct + ys * st) ** 2 / np.maximum(a, 1e-300) + (ys * ct - yc * st) ** 2 / np.maximum(b, 1e-300)
-    return float(2 * np.pi / w[int(power.argmax())])
-
-
-def fit_sine(t: np.ndarray, y: np.ndarray, robust: bool = True, steps: int = 300) -> dict[str, float]:
-    """Bounded fit of a damped sine with drift by damped Gauss-Newton steps; ``robust`` softens large residuals.
-
-    Parameters that end on a bound, or that the data leave undetermined, make ``trusted`` 0. Fewer than 10 finite points
-    give nulls.
+    """Derivatives of ``sine`` by each parameter, one a column."""
+    wave = p[2] * np.exp(-t / p[4]) * np.exp(1j * (2 * np.pi * t / p[3] + p[5]))
+    return np.column_stack([np.ones_like(t), t, wave.imag / p[2], -2 * np.pi * t / p[3] ** 2 * wave.real, t / p[4] ** 2 * wave.imag, wave.real])
+
+
+def linear_part(t: np.ndarray, y: np.ndarray, w: np.ndarray, cycles: np.ndarray, decay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level, slope, sine and cosine that fit best for each pair of cycles and decays over a unit of ``t``, and their misfits."""
+    wave = np.exp((2j * np.pi * cycles - decay)[:, None] * t)
+    basis = np.stack([np.ones(wave.shape), np.broadcast_to(t, wave.shape), wave.imag, wave.real], axis=1)
+    normal = np.einsum("mkn,mln,n->mkl", basis, basis, w) + 1e-13 * len(t) * np.eye(4)
+    found = np.linalg.solve(normal, np.einsum("mkn,n->mk", basis, w * y)[..., None])[..., 0]
+    left = y - np.einsum("mk,mkn->mn", found, basis)
+    # A second pass on what is left takes back what the normal equations lose in digits.
+    found += np.linalg.solve(normal, np.einsum("mkn,mn->mk", basis, w * left)[..., None])[..., 0]
+    left = y - np.einsum("mk,mkn->mn", found, basis)
+    return found, (w * left**2).sum(axis=1)
+
+
+def fit_sine(t: np.ndarray, y: np.ndarray, robust: bool = True, periods: tuple[float, float] | None = None, rounds: int = 48) -> dict[str, float]:
+    """A damped sine with drift, by a search over cycles and decay in which the four linear parameters are solved for.
+
+    The search begins with all cycles that the samples can tell apart (or those of ``periods``) and narrows around the best;
+    ``robust`` weighs residuals down as it goes. Neither has bounds: a fit whose cycles left the range searched, that grows
+    instead of fading, or whose period the data leave open by a tenth or more is not ``trusted``. Too few points give nulls.
     """
     good = np.isfinite(t) & np.isfinite(y)
-    t, y = t[good], y[good]
-    names = ("equilibrium", "drift", "amplitude", "period", "damping", "phase")
-    if len(t) < 10 or np.ptp(t) <= 0:
-        return dict.fromkeys((*names, "cost"), math.nan) | {"trusted": 0.0} | dict.fromkeys([f"{n}_error" for n in names], math.nan)
-    order = np.argsort(t, kind="stable")
-    t, y = t[order] - t[order][0], y[order]
-    span, gap, spread = t[-1], float(np.median(np.diff(t))), max(float(np.ptp(y)), 1.0)
-    slope, level = np.polyfit(t, y, 1)
-    rest = y - (slope * t + level)
-    period = first_period(t, rest - rest.mean(), max(4 * gap, span / 20), span)
-    height = max(0.5 * float(np.subtract(*np.percentile(y, [95, 5]))), 1e-3)
-    damping = (max(gap, 0.1 * period), max(20 * span, 10 * max(gap, 0.1 * period)))
-    low = np.array([y.min() - spread, -2 * spread / span, 0, max(4 * gap, span / 20), damping[0], -2 * np.pi])
-    high = np.array([y.max() + spread, 2 * spread / span, max(3 * spread, 1), span, damping[1], 2 * np.pi])
-    p = np.clip([np.median(y), slope, height, period, np.clip(2 * span, *damping), np.arcsin(np.clip(rest[0] / height, -1, 1))], low, high)
-
-    def cost(p: np.ndarray) -> float:
-        r2 = (sine(p, t) - y) ** 2
-        return float((2 * (np.sqrt(1 + r2) - 1)).sum() / 2 if robust else r2.sum() / 2)
-
-    now, damp = cost(p), 1e-3
-    for _ in range(steps):
-        r, j = sine(p, t) - y, sine_slopes(p, t)
-        w = 1 / np.sqrt(1 + r**2) if robust else np.ones_like(r)
-        scale = np.linalg.norm(j, axis=0)
-        scale[scale == 0] = 1
-        js = j / scale
-        moved = False
-        for _ in range(30):
-            step = np.linalg.solve((js * w[:, None]).T @ js + damp * np.eye(6), -(js * w[:, None]).T @ r) / scale
-            trial = np.clip(p + step, low, high)
-            then = cost(trial)
-            if then < now:
-                moved = then < now * (1 - 1e-15)
-                p, now, damp = trial, then, max(damp / 5, 1e-12)
-                break
-            damp *= 4
-        if not moved:
-            break
-    j = sine_slopes(p, t)
-    scale = np.linalg.norm(j, axis=0)
-    scale[scale == 0] = 1
-    _, values, modes = np.linalg.svd(j / scale, full_matrices=False)
-    errors = one_sigma(values, modes, scale, now, len(t))
-    held = np.isclose(p, low, rtol=0, atol=1e-9 * (high - low)) | np.isclose(p, high, rtol=0, atol=1e-9 * (high - low))
-    trusted = float(not held.any() and values[-1] > 0 and values[0] / values[-1] < 1 / math.sqrt(np.finfo(float).eps))
-    return dict(zip(names, p.tolist(), strict=True)) | {"cost": now, "trusted": trusted} | dict(zip([f"{n}_error" for n in names], errors.tolist(), strict=True))
-
-
-def one_sigma(values: np.ndarray, modes: np.ndarray, scale: np.ndarray, cost: float, count: int) -> np.ndarray:
-    """Errors of parameters from the singular values and modes of the scaled slopes at the fit.
-
-    What the data leave undetermined has an infinite error; without more points than parameters there are none (NaN).
+    order = np.argsort(t[good], kind="stable")
+    t, y = t[good][order], y[good][order]
+    none = dict.fromkeys((*SINE, "cost"), math.nan) | {"trusted": 0.0} | dict.fromkeys([f"{n}_error" for n in SINE], math.nan)
+    if len(t) < LEAST_POINTS or t[0] == t[-1]:
+        return none
+    t = t - t[0]
+    span, unit, weight = t[-1], t / t[-1], np.ones(len(t))
+    most = span / (SAMPLES_A_CYCLE * float(np.median(np.diff(t)))) if periods is None else span / periods[0]
+    least = 0.75 if periods is None else span / periods[1]
+    tried = np.arange(least, max(most, least + 0.5), 1 / STEPS_A_CYCLE)
+    firsts = [(float(m.min()), float(tried[m.argmin()]), d) for d in DECAYS for m in [linear_part(unit, y, weight, tried, np.full(len(tried), d))[1]]]
+    _, cycles, decay = min(firsts)
+    wide, deep, grid = 1 / STEPS_A_CYCLE, max(decay, 0.5) / 2, np.linspace(-1, 1, 5)
+    for _ in range(rounds):
+        near = [x.reshape(-1) for x in np.meshgrid(cycles + wide * grid, decay + deep * grid)]
+        found, misfit = linear_part(unit, y, weight, *near)
+        best = int(misfit.argmin())
+        cycles, decay, p = near[0][best], near[1][best], found[best]
+        wide, deep = 0.6 * wide, 0.6 * deep
+        if robust:
+            wave = np.exp((2j * np.pi * cycles - decay) * unit)
+            weight = 1 / np.sqrt(1 + (y - p[0] - p[1] * unit - p[2] * wave.imag - p[3] * wave.real) ** 2)
+    values = np.array([p[0], p[1] / span, math.hypot(p[2], p[3]), span / cycles, span / decay if decay else math.inf, math.atan2(p[3], p[2])])
+    left = sine(values, t) - y
+    cost = float((np.sqrt(1 + left**2) - 1).sum() if robust else (left**2).sum() / 2)
+    usable = values[2] > 0 and math.isfinite(values[4])
+    errors = column_errors(sine_slopes(values, t), 2 * cost) if usable else np.full(len(SINE), np.inf)
+    inside = tried[0] - 0.5 <= cycles <= tried[-1] + 0.5 if periods is None else periods[0] <= values[3] <= periods[1]
+    trusted = float(bool(usable and inside and decay > 0 and np.isfinite(errors).all() and errors[3] < values[3] / 10))
+    return dict(zip(SINE, values.tolist(), strict=True)) | {"cost": cost, "trusted": trusted} | dict(zip([f"{n}_error" for n in SINE], errors.tolist(), strict=True))
+
+
+def column_errors(slopes: np.ndarray, misfit: float) -> np.ndarray:
+    """One-sigma errors: the spread of residuals over what each column of ``slopes`` has that the others can't make up.
+
+    A column that the others make up leaves its parameter undetermined: its error is infinite. Without spare points there is
+    no spread to take (NaN).
     """
-    spare = count - modes.shape[1]
-    if spare <= 0:
-        return np.full(modes.shape[1], np.nan)
-    small = np.finfo(float).eps * count
-    clear = values > small * values[0]
-    spread = ((modes[clear] / values[clear, None]) ** 2).sum(axis=0)
-    lost = (modes[~clear] ** 2).sum(axis=0) > small**2
-    return np.where(lost, np.inf, np.sqrt(2 * cost / spare * spread) / scale)
-
-
-def damped_sine_fit(ridges: DataFrame, by: str = "ridge_id", robust: bool = True) -> DataFrame:
+    rows, columns = slopes.shape
+    if rows <= columns:
+        return np.full(columns, np.nan)
+    length = np.linalg.norm(slopes, axis=0)
+    unit = slopes / np.where(length > 0, length, 1)
+    own = np.empty(columns)
+    for k in range(columns):
+        q, r = np.linalg.qr(np.delete(unit, k, axis=1))
+        q = q[:, np.abs(np.diag(r)) > 1e-10]
+        own[k] = np.linalg.norm(unit[:, k] - q @ (q.T @ unit[:, k]))
+    clear = own > 1e-9
+    return np.where(clear, math.sqrt(misfit / (rows - columns)) / np.where(clear, own * length, 1), np.inf)
+
+
+def damped_sine_fit(ridges: DataFrame, by: str = "ridge_id", robust: bool = True, periods: tuple[float, float] | None = None) -> DataFrame:
     """One row of parameters and their one-sigma errors per ridge of (``by``, t, position)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        made = fit_sine(group["t"].to_numpy(float), group["position"].to_numpy(float), robust)
+        made = fit_sine(group["t"].to_numpy(float), group["position"].to_numpy(float), robust, periods)
         return pd.DataFrame({by: [group[by].iloc[0]], **{k: [v] for k, v in made.items()}})
 
-    return ridges.groupBy(by).applyInPandas(run, f"{by} long, equilibrium double, drift double, amplitude double, period double, damping double, phase double, cost double, trusted double, " + ", ".join(f"{n}_error double" for n in ("equilibrium", "drift", "amplitude", "period", "damping", "phase")))
-
-
-# --- masks -----------------------------------------------------------------------------------------------------------
-
-
-def grown(mask: np.ndarray, fill: bool = False) -> np.ndarray:
-    """Pixels with any of their 3 by 3 neighbourhood set; beyond the edge ``fill``."""
-    p = np.pad(mask, 1, constant_values=fill)
-    return np.lib.stride_tricks.sliding_window_view(p, (3, 3)).any(axis=(2, 3))
-
-
-def closed(mask: np.ndarray, times: int = 2) -> np.ndarray:
-    """Growing, then shrinking; beyond the edge counts as unset in both."""
-    for _ in range(times):
-        mask = grown(mask)
-    for _ in range(times):
-        mask = ~grown(~mask, fill=True)
-    return mask
-
-
-def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
-    """Numbers of connected pixels from 1, in reading order of their first; 0 elsewhere."""
-    index = np.arange(1, mask.size + 1).reshape(mask.shape)
-    label = np.where(mask, index, 0)
-    big = mask.size + 2
-    while True:
-        p = np.pad(np.where(mask, label, big), 1, constant_values=big)
-        near = [p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]
-        if diagonal:
-            near += [p[:-2, :-2], p[:-2, 2:], p[2:, :-2], p[2:, 2:]]
-        least = np.where(mask, np.minimum.reduce(near), 0)
-        # Each label then takes the label of the pixel it points at.
-        jump = np.where(mask, least.reshape(-1)[np.maximum(least, 1) - 1], 0)
-        if (jump == label).all():
-            break
-        label = jump
-    return np.where(mask, np.searchsorted(np.unique(label[mask]), label) + 1, 0) if mask.any() else label
-
-
-def is_quiet(crop: np.ndarray, dark: float = 0.92, bright: float = 1.12, areas: tuple[float, float] = (0.02, 0.03), span: float = 0.35) -> bool:
-    """No dark or bright patch that is large or long."""
-    middle = float(np.median(crop))
-    if not middle > 0:
-        return False
-    for raw, area in ((crop < dark * middle, areas[0]), (crop > bright * middle, areas[1])):
-        found = components(raw | closed(raw))
-        for n in range(1, int(found.max(initial=0)) + 1):
-            rows, columns = np.nonzero(found == n)
-            if len(rows) > area * crop.size or max(np.ptp(rows), np.ptp(columns)) + 1 > span * max(crop.shape):
-                return False
-    return True
-
-
-def image_of(group: pd.DataFrame, value: str, rows: int, columns: int, missing: float = 0.0) -> np.ndarray:
-    image = np.full((rows, columns), missing)
-    image[group["row_idx"].to_numpy(), group["col_idx"].to_numpy()] = group[value].to_numpy(float)
-    return image
-
-
-def quiet_crops(pixels: DataFrame, by: list[str], rows: int, columns: int, **limits: float) -> DataFrame:
-    """(``by``, quiet) for crops given as pixels (row_idx and col_idx inside the crop, value); missing pixels are 0."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{c: [group[c].iloc[0]] for c in by}, "quiet": [is_quiet(image_of(group, "value", rows, columns), **limits)]})
-
-    return pixels.groupBy(*by).applyInPandas(run, ", ".join(f"{c} long" for c in by) + ", quiet boolean")
-
-
-def cohesion(mask: np.ndarray) -> tuple[int, float, float]:
-    """Components, share of the largest, share of the filled mask that is holes."""
-    found = components(mask)
-    sizes = np.bincount(found[mask]) if mask.any() else np.zeros(1, np.int64)
-    outside = components(~np.pad(mask, 1), diagonal=False)
-    holes = int((~np.pad(mask, 1) & (outside != outside[0, 0])).sum())
-    filled = int(mask.sum()) + holes
-    return int(found.max(initial=0)), float(sizes.max() / max(1, mask.sum())), holes / max(1, filled)
-
-
-def static_cohesion(pixels: DataFrame, by: str, rows: int, columns: int, threshold: float) -> DataFrame:
-    """(``by``, parts, largest_share, hole_share, p50, p90) of the pixels whose absorption is over ``threshold``."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        image = image_of(group, "absorption", rows, columns)
-        mask = image > threshold
-        parts, largest, holes = cohesion(mask)
-        p50, p90 = np.percentile(image[mask], [50, 90]) if mask.any() else (math.nan, math.nan)
-        return pd.DataFrame({by: [group[by].iloc[0]], "parts": [parts], "largest_share": [largest], "hole_share": [holes], "p50": [p50], "p90": [p90]})
-
-    return pixels.groupBy(by).applyInPandas(run, f"{by} long, parts long, largest_share double, hole_share double, p50 double, p90 double")
+    fields = [*SINE, "cost", "trusted", *[f"{n}_error" for n in SINE]]
+    return ridges.groupBy(by).applyInPandas(run, f"{by} long, " + ", ".join(f"{f} double" for f in fields))
 
 
 # --- greedy choices --------------------------------------------------------------------------------------------------
 
 
-def choose_crops(crops: DataFrame, by: str, count: int, tried: int = 128) -> DataFrame:
-    """Per ``by``, up to ``count`` of the first ``tried`` crops (rank, x0, y0, x1, y1) in order of rank that don't overlap an
-    earlier choice. A window picks those before any crop is gathered; the number tried is part of the rule, as a search for
-    quiet crops stops after so many."""
-    from pyspark.sql import Window
-
-    first = crops.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).filter(F.col("__k") <= tried).drop("__k")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for row in group.sort_values("rank").itertuples(index=False):
-            if len(kept) < count and all(row.x0 >= k.x1 or row.x1 <= k.x0 or row.y0 >= k.y1 or row.y1 <= k.y0 for k in kept):
-                kept.append(row)
-        return pd.DataFrame(kept, columns=group.columns)
-
-    return first.groupBy(by).applyInPandas(run, crops.schema)
-
-
 def place_threads(wanted: DataFrame, by: str, separation: float, attempts: int = 8) -> DataFrame:
     """Threads of each filament placed one after the other: the first of ``attempts`` candidates that keeps the
     separation from all before it, else the one farthest from them.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast on our word.
@@ -13,3 +13,15 @@ def small(df: DataFrame, most: int = MOST) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, counted no further; else as it is, for Catalyst and
     AQE to join by shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Bytes of an Arrow batch handed to Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``: rows that hold arrays then don't add up. A smaller bound is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

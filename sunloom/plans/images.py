@@ -125,6 +125,48 @@ def mask_round_trip(pixels: DataFrame) -> DataFrame:
     return back.select("grid", "frame_idx", "time_s", "row_idx", "col_idx", F.col("binary").alias("hard"), r(F.col("absorption")).alias("absorption"))
 
 
+_CUBES = "c AS (SELECT CASE frame_idx % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS sequence_id, frame_idx // 2 AS frame_idx, row_idx, col_idx, (intensity::FLOAT)::DOUBLE AS intensity FROM pixels)"
+
+
+def _cubes(pixels: DataFrame, low: int, high: int) -> DataFrame:
+    """Frames ``low`` to ``high`` of two sequences, as the recorder takes them: absent pixels are NaN."""
+    from ..sources import frames
+
+    half = F.floor(F.col("frame_idx") / 2).cast("long")
+    name = F.when(F.col("frame_idx") % 2 == 0, "even").otherwise("odd")
+    cells = pixels.select(name.alias("sequence_id"), half.alias("frame_idx"), (120.0 * half).alias("time_s"), "row_idx", "col_idx", "intensity")
+    return frames.assemble(cells.filter(F.col("frame_idx").between(low, high)), N, N)
+
+
+def _recorded(pixels: DataFrame) -> str:
+    """A recording made in two batches, the second of which comes twice."""
+    from ..sources import frames, staging
+
+    spark = pixels.sparkSession
+    frames.register(spark)
+    path = staging.shared_path(spark, "recording")
+    for batch, bounds in ((0, (0, 1)), (1, (2, 2**40)), (1, (2, 2**40))):
+        _cubes(pixels, *bounds).write.format("frames").mode("append").options(writer="query", batch=str(batch)).save(path)
+    return path
+
+
+@book.query("pixels", sql=over(f"{_CUBES} SELECT sequence_id, frame_idx, row_idx, col_idx, intensity FROM c WHERE sequence_id = 'even' AND frame_idx BETWEEN 1 AND 2", "pixels"))
+def frame_cubes(pixels: DataFrame) -> DataFrame:
+    """Frames recorded as cubes, and two of one sequence read back by parts and byte ranges."""
+    from ..sources import frames
+
+    back = frames.scan(pixels.sparkSession, _recorded(pixels), ["even"], 1, 2).filter(~F.isnan("intensity"))
+    return back.select("sequence_id", "frame_idx", "row_idx", "col_idx", F.col("intensity").cast("double").alias("intensity"))
+
+
+@book.query("pixels", sql=over(f"{_CUBES} SELECT sequence_id, max(frame_idx) + 1 AS frames, min(intensity) AS low, max(intensity) AS high, {q('avg(intensity)')} AS mean, 120e0 * max(frame_idx) AS end_s FROM c GROUP BY 1", "pixels"))
+def recording_index(pixels: DataFrame) -> DataFrame:
+    """What the newest commit of a recording says of its sequences."""
+    from ..sources import frames
+
+    return frames.index(pixels.sparkSession, [_recorded(pixels)]).select("sequence_id", "frames", "low", "high", r(F.col("mean")).alias("mean"), "end_s")
+
+
 @book.query("pixels", sql=over("SELECT frame_idx, greatest(min(row_idx) - 3, 0) AS row0, least(max(row_idx) + 4, 64) AS row1, greatest(min(col_idx) - 3, 0) AS col0, least(max(col_idx) + 4, 64) AS col1 FROM pixels WHERE tau > 0.25e0 AND row_idx BETWEEN 10 AND 50 GROUP BY 1", "pixels"))
 def mask_bounds(pixels: DataFrame) -> DataFrame:
     return raster.mask_bounds(pixels.filter((F.col("tau") > 0.25) & F.col("row_idx").between(10, 50)), ["frame_idx"], 3, N, N)

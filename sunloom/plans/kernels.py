@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pendulum, transfer
-from ..operators import kernels, sequences
+from ..operators import greedy, kernels, regions, sequences
 from ..streaming import runs as streams
 from .registry import Registry
+from .relations import with_relations as over
 
 book = Registry()
 
@@ -62,23 +63,89 @@ def damped_sine_fit(ticks: DataFrame) -> DataFrame:
     return kernels.damped_sine_fit(ridges(ticks))
 
 
-@book.query("pixels")
+#: Labels of regions spread from cell to cell: the least of all that is reached.
+_STEPS = "VALUES (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)"
+
+
+def _labels(cells: str, by: str, width: int) -> str:
+    """A table ``lab`` (``by``, r, c, s, l) for ``cells`` (``by``, r, c, s): set cells connect across corners, others not."""
+    joined = " AND ".join(f"n.{k} = w.{k}" for k in by.split(", "))
+    own = ", ".join(f"n.{k}" for k in by.split(", "))
+    return f"""o(dr, dc) AS ({_STEPS}), lab({by}, r, c, s, l) USING KEY ({by}, r, c) AS (
+  SELECT {by}, r, c, s, r * {width} + c FROM {cells}
+  UNION
+  SELECT {own}, n.r, n.c, n.s, min(w.l) FROM lab w JOIN o ON true JOIN recurring.lab n ON {joined} AND n.r = w.r + dr AND n.c = w.c + dc AND n.s = w.s
+  WHERE w.l < n.l AND (n.s OR dr = 0 OR dc = 0) GROUP BY {own}, n.r, n.c, n.s)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_QUIET = f"""v AS (SELECT frame_idx, 2 * (row_idx // 32) + col_idx // 32 AS crop, row_idx % 32 AS r, col_idx % 32 AS c, 100e0 + intensity / 10e0 AS value FROM pixels),
+g AS (SELECT frame_idx, crop, r, c, coalesce(value, 0e0) AS value FROM (SELECT DISTINCT frame_idx, crop FROM v) CROSS JOIN range(32) y(r) CROSS JOIN range(32) x(c) LEFT JOIN v USING (frame_idx, crop, r, c)),
+m AS (SELECT frame_idx, crop, quantile_cont(value, 0.5) AS middle FROM g GROUP BY ALL),
+raw AS (SELECT frame_idx, crop, kind, r, c, CASE kind WHEN 0 THEN value < 0.92e0 * middle ELSE value > 1.12e0 * middle END AS s FROM g JOIN m USING (frame_idx, crop), (VALUES (0), (1)) k(kind)),
+near AS (SELECT dr, dc FROM range(-2, 3) a(dr), range(-2, 3) b(dc)),
+grown AS (SELECT DISTINCT frame_idx, crop, kind, r + dr AS r, c + dc AS c FROM raw, near WHERE s AND r + dr BETWEEN 0 AND 31 AND c + dc BETWEEN 0 AND 31),
+shrunk AS (SELECT frame_idx, crop, kind, r + dr AS r, c + dc AS c FROM grown, near GROUP BY ALL HAVING count(*) = 25),
+cells AS (SELECT raw.* REPLACE (raw.s OR shrunk.r IS NOT NULL AS s) FROM raw LEFT JOIN shrunk USING (frame_idx, crop, kind, r, c)),
+setc AS (SELECT * FROM cells WHERE s),
+{_labels("setc", "frame_idx, crop, kind", 32)},
+parts AS (SELECT frame_idx, crop, kind, count(*) AS n, greatest(max(r) - min(r), max(c) - min(c)) + 1 AS long FROM lab GROUP BY frame_idx, crop, kind, l)
+SELECT frame_idx, crop, NOT EXISTS (SELECT 1 FROM parts p WHERE p.frame_idx = m.frame_idx AND p.crop = m.crop AND (n > CASE kind WHEN 0 THEN 0.02e0 ELSE 0.03e0 END * 1024 OR long > 0.35e0 * 32)) AS quiet FROM m"""
+
+
+@book.query("pixels", sql=recursive(over(_QUIET, "pixels")))
 def quiet_crop(pixels: DataFrame) -> DataFrame:
     part = lambda c: F.floor(F.col(c) / 32).cast("long")
     crops = pixels.select("frame_idx", (2 * part("row_idx") + part("col_idx")).alias("crop"), (F.col("row_idx") % 32).alias("row_idx"), (F.col("col_idx") % 32).alias("col_idx"), (100 + F.col("intensity") / 10).alias("value"))
-    return kernels.quiet_crops(crops, ["frame_idx", "crop"], 32, 32)
+    return regions.quiet_crops(crops, ["frame_idx", "crop"], 32, 32, tile=16)
 
 
-@book.query("pixels")
+_COHESION = f"""g AS (SELECT frame_idx, r, c, coalesce(1e0 - exp(-tau), 0e0) AS a FROM (SELECT DISTINCT frame_idx FROM pixels) CROSS JOIN range(64) y(r) CROSS JOIN range(64) x(c) LEFT JOIN (SELECT frame_idx, row_idx AS r, col_idx AS c, tau FROM pixels) USING (frame_idx, r, c)),
+cells AS (SELECT *, a > 0.08e0 AS s FROM g),
+{_labels("cells", "frame_idx", 64)},
+parts AS (SELECT frame_idx, s, count(*) AS n, min(r) = 0 OR max(r) = 63 OR min(c) = 0 OR max(c) = 63 AS edge FROM lab GROUP BY frame_idx, s, l),
+sums AS (SELECT frame_idx, count(*) FILTER (s) AS parts, coalesce(max(n) FILTER (s), 0) AS largest, coalesce(sum(n) FILTER (s), 0) AS mask, coalesce(sum(n) FILTER (NOT s AND NOT edge), 0) AS holes FROM parts GROUP BY 1),
+levels AS (SELECT frame_idx, quantile_cont(a, 0.5) AS p50, quantile_cont(a, 0.9) AS p90 FROM cells WHERE s GROUP BY 1)
+SELECT frame_idx, parts, round(largest / greatest(1, mask), 9) AS largest_share, round(holes / greatest(1, mask + holes), 9) AS hole_share, round(p50, 9) AS p50, round(p90, 9) AS p90 FROM sums LEFT JOIN levels USING (frame_idx)"""
+
+
+@book.query("pixels", sql=recursive(over(_COHESION, "pixels")))
 def static_cohesion(pixels: DataFrame) -> DataFrame:
     seen = pixels.select("frame_idx", "row_idx", "col_idx", transfer.absorption(F.col("tau")).alias("absorption"))
-    return kernels.static_cohesion(seen, "frame_idx", 64, 64, 0.08)
+    made = regions.cohesion(seen, "frame_idx", 64, 64, 0.08, tile=16)
+    return made.withColumns({c: F.round(c, 9) for c in ("largest_share", "hole_share", "p50", "p90")})
+
+
+_REGIONS = f"""g AS (SELECT frame_idx, r, c, coalesce(tau, 0e0) > 0.12e0 AS s FROM (SELECT DISTINCT frame_idx FROM pixels) CROSS JOIN range(64) y(r) CROSS JOIN range(64) x(c) LEFT JOIN (SELECT frame_idx, row_idx AS r, col_idx AS c, tau FROM pixels) USING (frame_idx, r, c)),
+{_labels("g", "frame_idx", 64)}
+SELECT frame_idx, s AS set, count(*) AS pixels, min(r) AS top, max(r) AS bottom, min(c) AS first, max(c) AS last, min(r) = 0 OR max(r) = 63 OR min(c) = 0 OR max(c) = 63 AS edge FROM lab GROUP BY frame_idx, s, l"""
+
+
+@book.query("pixels", sql=recursive(over(_REGIONS, "pixels")))
+def mask_regions(pixels: DataFrame) -> DataFrame:
+    """Connected regions of optically thick pixels and of the rest, over tiles of 16."""
+    thick = pixels.filter("tau > 0.12").select("frame_idx", "row_idx", "col_idx")
+    return regions.regions(thick, ["frame_idx"], 64, 64, tile=16, frames=pixels)
+
+
+_CHOICE = f"""c AS (SELECT cast(floor(crop_id / {CROPS}e0) AS bigint) AS window_id, (crop_id * 7919) % 10007 AS rank, crop_id, x0, y0, x1, y1 FROM crops),
+k AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY rank, crop_id) AS k FROM c),
+walk AS (
+  SELECT DISTINCT window_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM c
+  UNION ALL
+  SELECT w.window_id, k.k, CASE WHEN len(kept) < 12 AND NOT EXISTS (SELECT 1 FROM k o WHERE o.window_id = k.window_id AND list_contains(kept, o.crop_id) AND o.x0 < k.x1 AND o.x1 > k.x0 AND o.y0 < k.y1 AND o.y1 > k.y0) THEN list_append(kept, k.crop_id) ELSE kept END
+  FROM walk w JOIN k ON k.window_id = w.window_id AND k.k = w.k + 1 WHERE k.k <= 128),
+ended AS (SELECT window_id, arg_max(kept, k) AS kept FROM walk GROUP BY 1)
+SELECT c.* FROM c JOIN ended e ON e.window_id = c.window_id AND list_contains(kept, c.crop_id)"""
 
 
-@book.query("crops")
+@book.query("crops", sql=recursive(over(_CHOICE, "crops")))
 def crop_selection(crops: DataFrame) -> DataFrame:
-    ranked = crops.select(F.floor(F.col("crop_id") / CROPS).alias("window_id"), F.xxhash64("crop_id").alias("rank"), "crop_id", "x0", "y0", "x1", "y1")
-    return kernels.choose_crops(ranked, "window_id", 12)
+    ranked = crops.select(F.floor(F.col("crop_id") / CROPS).alias("window_id"), (F.col("crop_id") * 7919 % 10007).alias("rank"), "crop_id", "x0", "y0", "x1", "y1")
+    return greedy.choose_crops(ranked, "window_id", "crop_id", 12)
 
 
 @book.query("threads")

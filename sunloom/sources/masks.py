@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.transfer import absorption
-from . import staging
+from .commits import Table
 
 #: What the columns mean, kept with the table.
 MEANING = {"binary": "tau over the threshold, not grown", "absorption": "1 - exp(-tau), line centre", "grid": "highres before blurring, native after"}
@@ -31,17 +31,20 @@ def uneven_grids(tau: DataFrame) -> DataFrame:
 
 
 def export(tau: DataFrame, target: str, threshold: float = 0.1, replace: bool = True) -> None:
-    """Masks of every frame below ``target``, clustered by grid and frame so that reading one frame prunes the rest.
+    """Masks of every frame as a table below ``target``, clustered by grid and frame so that reading one prunes the rest.
 
-    Readers see the old export or the new one, never a part; frames that one grid lacks are an error.
+    ``target`` holds a log of versions: readers see the old export or the new one, never a part or nothing, and of two
+    exports that race one fails. Frames that one grid lacks are an error, as is an export that is there unless ``replace``.
     """
     if uneven_grids(tau).limit(1).count():
         raise ValueError("all grids must have the same frames")
+    table = Table(tau.sparkSession, target)
+    if not replace and table.folders():
+        raise FileExistsError(target)
     made = masks(tau, threshold)
-    ordered = made.repartitionByRange("grid", "frame_idx", "row_idx").sortWithinPartitions("grid", "frame_idx", "row_idx", "col_idx")
-    staging.write_whole(ordered, target, replace=replace, compression="zstd")
+    table.replace(made.repartitionByRange("grid", "frame_idx", "row_idx").sortWithinPartitions("grid", "frame_idx", "row_idx", "col_idx"))
 
 
-def read_frame(spark: SparkSession, target: str, frame: int = 0) -> DataFrame:
-    """One frame of all grids; the condition reaches the scan. A frame that isn't there has no rows."""
-    return spark.read.schema(SCHEMA).parquet(target).filter(F.col("frame_idx") == frame)
+def read_frame(spark: SparkSession, target: str, frame: int = 0, version: int | None = None) -> DataFrame:
+    """One frame of all grids of the newest export; the condition reaches the scan. A frame that isn't there has no rows."""
+    return Table(spark, target).read(SCHEMA, version).filter(F.col("frame_idx") == frame)

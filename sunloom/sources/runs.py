@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,9 +92,12 @@ def generator_commit(folder: str | None = None) -> str:
 def stage_run(tables: dict[str, DataFrame], target: str) -> str:
     """Tables of a run beside ``target``, not yet visible there; give the result to ``staging.publish`` or ``discard``."""
     spark = next(iter(tables.values())).sparkSession
-    staged = f"{target.rstrip('/')}.staged"
-    staging.discard(spark, staged)
-    write_run(tables, staged)
+    staged = f"{target.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        write_run(tables, staged)
+    except Exception:
+        staging.discard(spark, staged)
+        raise
     return staged
 
 

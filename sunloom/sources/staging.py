@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import HadoopStore
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``.
@@ -25,24 +27,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def publish(spark: SparkSession, staged: str, target: str, replace: bool = False) -> None:
-    """Move a finished folder to ``target`` in one step; a target that exists is an error, or goes first if ``replace``."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path(staged)):
+    """Move a finished folder to ``target``; a target that exists is an error, or makes room if ``replace``.
+
+    Moves never overwrite: of two writers of one target one fails. With ``replace`` the old folder steps aside, comes back
+    if the new one can't take its place, and is deleted last; for the moment between two moves readers find nothing. Where
+    that matters, keep the data in a ``commits.Table``, whose readers always find a whole version.
+    """
+    files = HadoopStore(spark)
+    if not files.exists(staged):
         raise FileNotFoundError(staged)
-    if fs.exists(path(target)):
+    old = f"{target.rstrip('/')}.replaced-{uuid.uuid4().hex}"
+    if files.exists(target):
         if not replace:
             raise FileExistsError(target)
-        fs.delete(path(target), True)
-    fs.mkdirs(path(target).getParent())
-    if not fs.rename(path(staged), path(target)):
-        raise OSError(f"{staged} could not be moved to {target}")
+        files.move(target, old)
+    try:
+        files.move(staged, target)
+    except Exception:
+        if files.exists(old) and not files.exists(target):
+            files.move(old, target)
+        raise
+    files.delete(old)
 
 
 def discard(spark: SparkSession, staged: str) -> None:
     """Remove what an aborted write has left."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    HadoopStore(spark).delete(staged)
 
 
 def write_whole(df: DataFrame, target: str, kind: str = "parquet", replace: bool = False, **options: str) -> None:

@@ -99,38 +99,26 @@ def test_fit_of_a_clean_sine_is_exact_and_its_errors_scale():
     variance = ((kernels.sine(q, t) - kernels.sine(p, t) - noise) ** 2).sum() / (240 - 6)
     want = np.sqrt(np.diag(np.linalg.inv(j.T @ j)) * variance)
     assert np.allclose([some[f"{n}_error"] for n in ("equilibrium", "drift", "amplitude", "period", "damping", "phase")], want, rtol=1e-4)
-    lost = kernels.one_sigma(np.array([1.0, 0.0]), np.eye(2), np.ones(2), 1.0, 10)
-    assert lost[0] == 0.5 and math.isinf(lost[1]) and np.isnan(kernels.one_sigma(np.ones(2), np.eye(2), np.ones(2), 1.0, 2)).all()
 
 
-def test_fit_of_too_little_is_null():
-    assert math.isnan(kernels.fit_sine(np.arange(5.0), np.ones(5))["period"])
+def test_errors_of_what_the_data_leave_open():
+    slopes = np.zeros((10, 3))
+    slopes[:, 0], slopes[:, 1], slopes[:, 2] = 1, np.arange(10), 2
+    made = kernels.column_errors(slopes, 8.0)
+    assert np.isinf(made[[0, 2]]).all() and math.isclose(made[1], math.sqrt(8 / 7 / 82.5))
+    assert np.isnan(kernels.column_errors(np.eye(3), 1.0)).all()
+    assert np.isinf(kernels.column_errors(np.eye(4)[:, :2] * [1, 0], 1.0)).tolist() == [False, True]
 
 
-def test_components_and_holes():
-    mask = np.zeros((7, 9), bool)
-    mask[1:5, 1:5] = True
-    mask[2, 2] = False
-    mask[6, 8] = True
-    parts, largest, holes = kernels.cohesion(mask)
-    assert parts == 2 and largest == 15 / 16 and holes == 1 / 17
-    assert kernels.cohesion(np.zeros((3, 3), bool)) == (0, 0.0, 0.0)
-    snake = np.zeros((21, 21), bool)
-    snake[::2] = True
-    snake[1::4, -1] = snake[3::4, 0] = True
-    assert kernels.components(snake).max() == 1
-
-
-def test_quiet_crops():
-    calm = np.full((40, 40), 100.0)
-    assert kernels.is_quiet(calm)
-    dark = calm.copy()
-    dark[10:20, 10:20] = 50
-    assert not kernels.is_quiet(dark)
-    line = calm.copy()
-    line[5, 2:30] = 130
-    assert not kernels.is_quiet(line)
-    assert not kernels.is_quiet(np.zeros((4, 4)))
+def test_fit_within_given_periods():
+    t = 60.0 * np.arange(240)
+    both = kernels.sine(np.array([0.0, 0.0, 10.0, 3_900.0, 14_400.0, 0.3]), t) + kernels.sine(np.array([0.0, 0.0, 4.0, 1_200.0, 14_400.0, 1.0]), t)
+    assert abs(kernels.fit_sine(t, both, robust=False)["period"] - 3_900) < 60
+    assert abs(kernels.fit_sine(t, both, robust=False, periods=(900.0, 1_500.0))["period"] - 1_200) < 30
+
+
+def test_fit_of_too_little_is_null():
+    assert math.isnan(kernels.fit_sine(np.arange(5.0), np.ones(5))["period"])
 
 
 def test_blur_equals_numpy(spark):

@@ -214,8 +214,17 @@ def test_runs_are_staged_published_and_described(spark, tmp_path):
         runs.read_run(spark, target)
     staging.publish(spark, staged, target)
     assert runs.replay(spark, target, "frames", 2).count() == 4
+    late = runs.stage_run({"frames": frames}, target)
+    staged_late = late.rsplit("/", 1)[1]
     with pytest.raises(FileExistsError):
-        staging.publish(spark, runs.stage_run({"frames": frames}, target), target)
+        staging.publish(spark, late, target)
+    other = runs.stage_run({"frames": frames.limit(4)}, target)
+    assert other != late
+    staging.publish(spark, other, target, replace=True)
+    assert runs.read_run(spark, target)["frames"].count() == 4
+    with pytest.raises(FileNotFoundError):
+        staging.publish(spark, str(tmp_path / "none"), target, replace=True)
+    assert runs.read_run(spark, target)["frames"].count() == 4
     about = runs.receipt({"frames": frames, "none": frames.limit(0)}, "abc").first()
     assert about.tables == {"frames": 12, "none": 0} and about.config_digest == "abc"
     preview = str(tmp_path / "preview")
@@ -223,7 +232,7 @@ def test_runs_are_staged_published_and_described(spark, tmp_path):
     assert spark.read.json(f"{preview}/receipt").first().config_digest == "abc" and runs.read_run(spark, preview)["frames"].count() == 12
     with pytest.raises(FileExistsError):
         runs.save_preview({"frames": frames}, "abc", preview)
-    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["preview", "run", "run.staged"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["preview", "run", staged_late]
     assert frames.select(control.finite(F.col("tau"), "tau").alias("x")).agg(F.max("x")).first()[0] == 5.5
     with pytest.raises(Exception, match="tau must be finite"):
         frames.select(control.finite(F.lit(float("nan")), "tau")).collect()
