@@ -6,6 +6,10 @@ bands of 23 bits. The anchors of a band are the 4,096 words of the perfect binar
 goes to the homes of all words within distance 1, so texts whose bands differ in 2 bits or fewer in any band meet at an
 anchor, and many that differ in more. Texts that meet are compared by 192 bits; the closest are linked, and every link is
 then checked against the two sets of shingles. Larger tables take more bands with ``extra`` bits that must be equal.
+
+A link that fails its check may have stood for a pair that would pass: forests leave out pairs that they connect otherwise.
+So clusters of links in which a failed one still parts two groups (texts of one template are such) are compared whole: their
+sets of shingles, in chunks of like size, meet in pairs of chunks, and products of matrices count what each two share.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, maybe_broadcast, own, row_id, stage
+from .common import map_arrow, maybe_broadcast, numbered, own, row_id, stage
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -34,6 +38,8 @@ COMPARED, MOST, MOST_FIRST = 3, 46, 26
 CAP = 4096
 #: Edge-disjoint forests of closest pairs that are handed to the exact check.
 FORESTS = 2
+#: Texts of a chunk that is compared whole (fewer of more than ``CHUNK_SHINGLES``), and columns of a matrix.
+CHUNK_BITS, CHUNK_SHINGLES, SLAB = 9, 12, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLES_AT_ONCE = 1 << 15
 
@@ -175,7 +181,10 @@ def closest(sizes: np.ndarray, fps: np.ndarray, similarity: float) -> np.ndarray
 
 
 def _grown(sizes: np.ndarray, fps: np.ndarray, similarity: float) -> np.ndarray:
-    """One forest of closest pairs where there are too many to list: trees grow by the row that is nearest to them."""
+    """One forest of closest pairs where there are too many to list: trees grow by the row that is nearest to them.
+
+    One forest connects what two do, and ``settled`` finds what it left out, so no pair is lost by it.
+    """
     n = len(sizes)
     best, source, left = np.full(n, 255, np.int64), np.full(n, -1), np.ones(n, bool)
     out = []
@@ -238,11 +247,8 @@ def candidates(nodes: DataFrame, extra: int, bands: int, similarity: float = SIM
     return met.distinct()
 
 
-def checked(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, length: int = SHINGLE) -> DataFrame:
-    """Of ``links`` those whose texts have so large a share of common shingles (two texts without words count as equal).
-
-    ``nodes``: node, id, digest; ``docs``: id, digest, text. Only linked texts are cut into shingles again.
-    """
+def _sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """node and set (its distinct shingles) of the texts that ``links`` name; only those are cut into shingles again."""
     asked = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().join(nodes, "node").select("node", "id", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +257,145 @@ def checked(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: flo
             yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     texts = docs.join(asked, ["id", "digest"]).dropDuplicates(["node"]).select("node", "text")
-    sets = stage(map_arrow(texts, run, "node long, set array<long>"), "similar-sets")
+    return stage(map_arrow(texts, run, "node long, set array<long>"), "similar-sets")
+
+
+def _passed(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``links`` with ``good``, whether the sets of both ends share enough."""
     left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("x")), sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     enough = shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9
-    return links.join(left, "u").join(right, "v").filter(enough).select("u", "v")
+    return links.join(left, "u").join(right, "v").select("u", "v", enough.alias("good"))
+
+
+def checked(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, length: int = SHINGLE) -> DataFrame:
+    """Of ``links`` those whose texts have so large a share of common shingles (two texts without words count as equal).
+
+    ``nodes``: node, id, digest; ``docs``: id, digest, text.
+    """
+    return _passed(links, _sets(links, nodes, docs, length), similarity).filter("good").select("u", "v")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right): how many elements each two sets share, by products of 0/1 matrices over elements that occur twice."""
+    values = np.concatenate([*left, *right]) if left or right else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, column, number = np.unique(values, return_inverse=True, return_counts=True)
+    often = number > 1
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(often.sum()), SLAB):
+        a, b = np.searchsorted(column, [k, k + SLAB])
+        dense = np.zeros((len(left) + len(right), SLAB), np.float32)
+        dense[row[a:b], column[a:b] - k] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (left, right) that connect what the true cells of ``near`` do."""
+    out, new_left, new_right = [], np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
+    for start in range(near.shape[0]):
+        todo = [start] if new_left[start] else []
+        new_left[start] = False
+        while todo:
+            k = todo.pop()
+            if k >= 0:
+                found = np.flatnonzero(near[k] & new_right)
+                new_right[found] = False
+                out += [(k, int(j)) for j in found]
+                todo += [~int(j) for j in found]
+            else:
+                found = np.flatnonzero(near[:, ~k] & new_left)
+                new_left[found] = False
+                out += [(int(i), ~k) for i in found]
+                todo += [int(i) for i in found]
+    return out
+
+
+def compared_whole(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) that connect what all pairs of similar ``members`` (cluster, node, set) of one cluster do, exactly.
+
+    Members stand in chunks by size; chunks meet where their sizes can be of similar sets, each two as a group of its own.
+    The work grows with the square of a cluster's chunks, spread over their pairs; no task holds more than two chunks.
+    """
+    sized = members.select(F.col("cluster").cast("string").alias("tree"), F.size("set").alias("size"), "node", "set")
+    placed = numbered(sized, ["size", "node"])
+    # Larger sets make smaller chunks: as many rows less by a power of two as their size class is over CHUNK_SHINGLES.
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int") - (CHUNK_SHINGLES - 1))
+    step = F.greatest(F.lit(0), F.lit(CHUNK_BITS) - level)
+    placed = placed.withColumn("chunk", F.concat_ws(".", level.cast("string"), F.floor(F.col("pos") / F.pow(F.lit(2.0), step)).cast("long").cast("string")))
+    chunks = stage(placed.groupBy("tree", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high")), "similar-chunks")
+    a, b = (chunks.select("tree", *[F.col(c).alias(f"{c}_{n}") for c in ("chunk", "low", "high")]) for n in "ab")
+    ordered = (F.col("low_a") < F.col("low_b")) | ((F.col("low_a") == F.col("low_b")) & (F.col("chunk_a") <= F.col("chunk_b")))
+    meets = a.join(b, "tree").filter(ordered & (F.col("high_a") >= similarity * F.col("low_b") - 1e-9)).select("tree", "chunk_a", "chunk_b")
+    both = meets.select("*", F.col("chunk_a").alias("chunk"), F.lit(0).alias("side")).unionByName(meets.select("*", F.col("chunk_b").alias("chunk"), F.lit(1).alias("side")).filter("chunk_a <> chunk_b"))
+    names = ["tree", "chunk_a", "chunk_b"]
+    dealt = placed.select("tree", "chunk", "node", "set").join(both, ["tree", "chunk"]).select(*names, "side", "node", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+
+        def linked() -> pa.RecordBatch:
+            nodes: list[list[int]] = [[], []]
+            sets: list[list[np.ndarray]] = [[], []]
+            for rows in held:
+                for k, (side, node) in enumerate(zip(rows.column("side").to_pylist(), rows.column("node").to_pylist(), strict=True)):
+                    nodes[side].append(node)
+                    sets[side].append(rows.column("set")[k].values.to_numpy())
+            alone = at[1] == at[2]
+            right_nodes, right = (nodes[0], sets[0]) if alone else (nodes[1], sets[1])
+            shared = shared_counts(sets[0], right)
+            total = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in right])[None, :]
+            near = shared >= similarity * (total - shared) - 1e-9
+            found = [(nodes[0][i], right_nodes[j]) for i, j in forest(near)]
+            found = [(min(p), max(p)) for p in found if p[0] != p[1]]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["u", "v"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+            start = 0
+            for k in range(1, len(keys) + 1):
+                if k < len(keys) and keys[k] == keys[start]:
+                    continue
+                if at is not None and keys[start] != at:
+                    yield linked()
+                    held.clear()
+                at = keys[start]
+                held.append(batch.slice(start, k - start))
+                start = k
+        if held:
+            yield linked()
+
+    return map_arrow(dealt.repartition(*names).sortWithinPartitions(*names), run, "u long, v long").distinct()
+
+
+def settled(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of what similar texts connect, ``links`` being forests of all pairs that may be similar.
+
+    Links are checked; where a failed one leaves its ends apart, the forest's whole cluster is compared, as a pair that it
+    left out may connect them. Elsewhere every pair that was left out lies in one component already.
+    """
+    known = stage(_passed(links, sets, similarity), "similar-checked")
+    good = known.filter("good").select("u", "v")
+    found = stage(components(good), "similar-found")
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = F.coalesce("of_u", "u") != F.coalesce("of_v", "v")
+    parted = known.filter("not good").select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").filter(apart).select("u")
+    parted = stage(parted.distinct(), "similar-open")
+    if not parted.limit(1).count():
+        return found
+    clusters = stage(components(links.select("u", "v")), "similar-clusters")
+    torn = parted.join(clusters.withColumnRenamed("node", "u"), "u").select("component").distinct()
+    # Of two there is one pair, and it failed.
+    torn = clusters.join(torn, "component").groupBy("component").count().filter("count > 2").select("component")
+    members = clusters.join(torn, "component").select("node", F.col("component").alias("cluster")).join(sets, "node")
+    more = stage(compared_whole(members, similarity), "similar-more")
+    return components(good.unionByName(more))
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, length: int = SHINGLE) -> DataFrame:
@@ -268,7 +408,7 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, length: int
     grouped = rows.groupBy("digest", "size", "fp").agg(least, F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     nodes = stage(grouped.select("node", "size", "fp", "least.id", "digest", "copies"), "similar-nodes")
     links = stage(candidates(nodes, extra, bands, similarity), "similar-links")
-    found = components(checked(links, nodes.select("node", "id", "digest"), docs, similarity, length))
+    found = settled(links, _sets(links, nodes.select("node", "id", "digest"), docs, length), similarity)
     roots = nodes.select("node", "id", "digest", "copies").join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     return roots.groupBy("root").agg(F.min(F.struct("id", "digest", "copies")).alias("k")).select("k.*")
 

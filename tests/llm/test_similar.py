@@ -134,3 +134,97 @@ def test_odd_and_empty_tables(odd, empty):
     texts = collections.Counter((r.text or "").lower() for r in apart.collect())
     assert texts["one two three four five"] == 1 and texts["hello"] == 1 and texts["no id here"] == 1
     assert sum(not t.split() for t in texts.elements()) == 1 and sum(len(t) > 1000 for t in texts.elements()) == 1
+
+
+def templated(n, copies, seed):
+    """Texts of 400 words made of one base by six edits each, and copies of some with seven more."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{x}" for x in rng.integers(0, 10**6, 400)]
+    rows = [edited(base, rng, 6) for _ in range(n)]
+    rows += [edited(rows[k].split(), rng, 7) for k in rng.choice(n, copies, replace=False)]
+    return list(enumerate(rows))
+
+
+def all_groups(rows, least=0.8):
+    """``similar_groups`` by one product of 0/1 matrices."""
+    sets = [shingle_set(t) for _, t in rows]
+    known = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    number = np.zeros(len(known), np.int64)
+    for x in sets:
+        number[[known[y] for y in x]] += 1
+    place = np.cumsum(number > 1) - 1
+    dense = np.zeros((len(rows), int((number > 1).sum())), np.float32)
+    for k, x in enumerate(sets):
+        dense[k, [place[known[y]] for y in x if number[known[y]] > 1]] = 1
+    size = np.array([len(x) for x in sets])
+    shared = dense @ dense.T
+    near = shared >= least * (size[:, None] + size - shared)
+    group = np.arange(len(rows))
+    while True:
+        least_near = np.where(near, group, len(rows)).min(axis=1)
+        if (least_near == group).all():
+            return group, np.argwhere(np.triu(near, 1))
+        group = least_near
+
+
+@pytest.mark.parametrize("n, copies", [(240, 60), (2600, 400)])
+def test_texts_of_one_template(spark, n, copies):
+    rows = templated(n, copies, n)
+    group, pairs = all_groups(rows)
+    kept = {r.doc_id for r in similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    gone = set(range(len(rows))) - set(group.tolist())
+    assert len(pairs) > copies and kept >= set(group.tolist())
+    assert len(gone - kept) >= 0.95 * len(gone)
+
+
+def test_shared_counts_and_forests():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 30)))) for _ in range(40)]
+    made = similar.shared_counts(sets[:25], sets[25:])
+    assert (made == [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]).all()
+    near = made > 6
+    edges = similar.forest(near)
+    assert all(near[i, j] for i, j in edges)
+
+    def groups(links):
+        parent = list(range(40))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in links:
+            parent[find(i)] = find(25 + j)
+        return [find(k) for k in range(40)], len(set(map(find, range(40))))
+
+    one, two = groups(edges), groups(np.argwhere(near).tolist())
+    assert one[1] == two[1] and len(edges) == 40 - one[1]
+    assert similar.shared_counts([], []).shape == (0, 0) and similar.forest(np.zeros((0, 3), bool)) == []
+
+
+def test_clusters_compared_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK_BITS", 3)
+    monkeypatch.setattr(similar, "CHUNK_SHINGLES", 5)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, 90)
+    sets = {}
+    for k in range(120):
+        held = base[: int(rng.integers(10, 90))]
+        sets[k] = np.unique(np.concatenate([held[rng.random(len(held)) < 0.97], rng.integers(0, 2**62, int(rng.integers(0, 3)))])).tolist()
+    sets[120] = sets[121] = []
+    rows = [(k % 2, k, s) for k, s in sets.items()]
+    made = similar.compared_whole(spark.createDataFrame(rows, "cluster long, node long, set array<long>")).collect()
+    similarity = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    assert all(similarity(sets[r.u], sets[r.v]) and (r.u - r.v) % 2 == 0 for r in made)
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in made:
+        parent[find(r.u)] = find(r.v)
+    wanted = [(a, b) for a in sets for b in sets if a < b and (a - b) % 2 == 0 and similarity(sets[a], sets[b])]
+    assert all(find(a) == find(b) for a, b in wanted) and len(wanted) > 100
