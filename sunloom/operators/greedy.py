@@ -33,3 +33,57 @@ def choose_crops(crops: DataFrame, by: str, key: str, count: int, tried: int = 1
     # A search that stops after ``count`` has the best of what one without end would choose.
     kept = first.join(taken, "node").withColumn("chosen", F.row_number().over(Window.partitionBy(by).orderBy("place")))
     return kept.filter(F.col("chosen") <= count).select(*crops.columns)
+
+
+def _near(tries: DataFrame, by: str, separation: float) -> DataFrame:
+    """Candidates (thread_id, attempt) and those of earlier threads (other, other_attempt) that are near enough to matter for
+    them: their distance, and whether it is too small. Points meet through cells, never all of a group."""
+    widest = tries.agg(F.max("radius")).first()[0] or 0.0
+    reach = max(2 * separation * widest, 1e-9)
+    axes = ["x", "y", "z"]
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    here = tries.select(by, "thread_id", "attempt", "radius", *axes, *[cell(c).alias(f"c{c}") for c in axes])
+    there = tries.select(by, F.col("thread_id").alias("other"), F.col("attempt").alias("other_attempt"), F.col("radius").alias("other_radius"), *[F.col(c).alias(f"o{c}") for c in axes])
+    for c in axes:
+        at = F.floor(F.col(f"o{c}") / reach).cast("long")
+        there = there.withColumn(f"c{c}", F.explode(F.array(at - 1, at, at + 1)))
+    distance = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in axes))
+    met = here.join(there, [by, *[f"c{c}" for c in axes]]).filter("other < thread_id").withColumn("distance", distance)
+    # Beyond the widest pair's separation a thread neither conflicts nor is the nearest of one that conflicts.
+    close = met.filter(F.col("distance") <= separation * (F.col("radius") + F.lit(widest)))
+    clash = F.col("distance") < separation * (F.col("radius") + F.col("other_radius"))
+    return close.select(by, "thread_id", "attempt", "other", "other_attempt", "distance", clash.alias("clash"))
+
+
+def place_threads(wanted: DataFrame, by: str, separation: float, attempts: int = 8, rounds: int = 1000) -> DataFrame:
+    """Threads placed as if one after the other in each group ``by``: the first of ``attempts`` candidates that keeps the
+    separation (times both radii) from all threads before it, else the one farthest from them.
+
+    ``wanted``: ``by``, thread_id, attempt, x, y, z, radius. Adds ``gap`` (to the nearest earlier thread, null for the first)
+    and ``accepted``. All threads choose at once, given what the others chose in the round before, until nobody changes: a
+    thread is right once those before it are, so the end is the only fixed point, the one that a walk finds, and rounds are as
+    many as the longest chain of threads that make each other move.
+    """
+    tries = graphs.written(wanted.filter(F.col("attempt") < attempts).select(by, "thread_id", "attempt", "x", "y", "z", "radius"), "tries")
+    near = graphs.written(_near(tries, by, separation), "near")
+    names = [by, "thread_id", "attempt"]
+    chosen = graphs.written(tries.groupBy(by, "thread_id").agg(F.min("attempt").alias("attempt"), F.lit(True).alias("accepted")), "placed")
+    for _ in range(rounds):
+        there = chosen.select(by, F.col("thread_id").alias("other"), F.col("attempt").alias("other_attempt"))
+        met = near.join(there, [by, "other", "other_attempt"]).groupBy(*names).agg(F.max("clash").alias("clash"), F.min("distance").alias("nearest"))
+        seen = tries.select(*names).join(met, names, "left").withColumn("free", ~F.coalesce("clash", F.lit(False)))
+        first, far = F.min(F.when(F.col("free"), F.col("attempt"))), F.max_by("attempt", F.struct("nearest", -F.col("attempt")))
+        picked = seen.groupBy(by, "thread_id").agg(F.coalesce(first, far).alias("attempt"), F.max("free").alias("accepted"))
+        after = graphs.written(picked, "placed")
+        changed = after.join(chosen, [*names, "accepted"], "left_anti").limit(1).count()
+        chosen = after
+        if not changed:
+            break
+    else:
+        raise RuntimeError(f"threads did not settle in {rounds} rounds")
+    placed = tries.join(chosen, names).drop("radius")
+    # A group is a filament's threads, so many as its model has; each meets those before it.
+    earlier = placed.select(by, F.col("thread_id").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    distance = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
+    gaps = placed.join(earlier, by).filter("other < thread_id").groupBy(by, "thread_id").agg(F.min(distance).alias("gap"))
+    return placed.join(gaps, [by, "thread_id"], "left").select(*names, "x", "y", "z", "gap", "accepted")

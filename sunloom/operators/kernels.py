@@ -291,30 +291,3 @@ def damped_sine_fit(ridges: DataFrame, by: str = "ridge_id", robust: bool = True
 
     fields = [*SINE, "cost", "trusted", *[f"{n}_error" for n in SINE]]
     return ridges.groupBy(by).applyInPandas(run, f"{by} long, " + ", ".join(f"{f} double" for f in fields))
-
-
-# --- greedy choices --------------------------------------------------------------------------------------------------
-
-
-def place_threads(wanted: DataFrame, by: str, separation: float, attempts: int = 8) -> DataFrame:
-    """Threads of each filament placed one after the other: the first of ``attempts`` candidates that keeps the
-    separation from all before it, else the one farthest from them.
-
-    ``wanted``: ``by``, thread_id, attempt, x, y, z, radius. The order matters, so a filament is one group; candidates
-    come from counters, so a rerun places alike. Adds ``gap`` (to the nearest earlier thread, null for the first) and
-    ``accepted``.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        placed, radii, out = np.zeros((0, 3)), np.zeros(0), []
-        for _, tries in group[group["attempt"] < attempts].sort_values(["thread_id", "attempt"]).groupby("thread_id", sort=True):
-            points, radius = tries[["x", "y", "z"]].to_numpy(float), tries["radius"].to_numpy(float)
-            gaps = np.sqrt(((points[:, None] - placed) ** 2).sum(axis=2)) if len(placed) else np.full((len(points), 1), np.inf)
-            enough = (gaps >= separation * (radius[:, None] + radii if len(placed) else np.zeros((len(points), 1)))).all(axis=1)
-            best = int(enough.argmax()) if enough.any() else int(gaps.min(axis=1).argmax())
-            placed, radii = np.vstack([placed, points[best]]), np.append(radii, radius[best])
-            gap = float(gaps[best].min())
-            out.append((group[by].iloc[0], int(tries["thread_id"].iloc[0]), int(tries["attempt"].iloc[best]), *points[best], None if math.isinf(gap) else gap, bool(enough.any())))
-        return pd.DataFrame(out, columns=[by, "thread_id", "attempt", "x", "y", "z", "gap", "accepted"])
-
-    return wanted.groupBy(by).applyInPandas(run, f"{by} long, thread_id long, attempt long, x double, y double, z double, gap double, accepted boolean")

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import pendulum, transfer
 from ..operators import greedy, kernels, regions, sequences
+from ..sources import staging
+from ..streaming import dynamics
 from ..streaming import runs as streams
-from .registry import Registry
+from . import series
+from . import threads as thread_plans
+from .registry import Registry, r
+from .relations import rounded as _q
 from .relations import with_relations as over
 
 book = Registry()
@@ -148,11 +153,52 @@ def crop_selection(crops: DataFrame) -> DataFrame:
     return greedy.choose_crops(ranked, "window_id", "crop_id", 12)
 
 
-@book.query("threads")
+_TRY = [series._uniform(k, "thread_id", "attempt") for k in (11, 12, 13)]
+_PLACEMENT = f"""tries AS (SELECT cast(floor(thread_id / {FILAMENT}e0) AS bigint) AS filament_id, thread_id, attempt, 60000e0 * {_TRY[0]} AS x, 7500e0 * {_TRY[1]} AS y, 20000e0 + 4000e0 * {_TRY[2]} AS z, radius_km AS radius FROM threads CROSS JOIN range(8) a(attempt)),
+turn AS (SELECT *, dense_rank() OVER (PARTITION BY filament_id ORDER BY thread_id) AS k FROM tries),
+walk AS (
+  SELECT DISTINCT filament_id, 0::BIGINT AS k, []::STRUCT(thread_id BIGINT, attempt BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, radius DOUBLE, gap DOUBLE, accepted BOOLEAN)[] AS placed FROM tries
+  UNION ALL
+  SELECT filament_id, k, list_append(any_value(placed), min({{'taken': NOT free, 'late': CASE WHEN free THEN attempt::DOUBLE ELSE -gap END, 'attempt': attempt,
+    'row': {{'thread_id': thread_id, 'attempt': attempt, 'x': x, 'y': y, 'z': z, 'radius': radius, 'gap': gap, 'accepted': free}}}}).row)
+  FROM (SELECT t.*, w.placed, list_min(list_transform(w.placed, lambda p: sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2 + (p.z - t.z) ** 2))) AS gap,
+      len(list_filter(w.placed, lambda p: sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2 + (p.z - t.z) ** 2) < 2.5e0 * (p.radius + t.radius))) = 0 AS free
+    FROM walk w JOIN turn t ON t.filament_id = w.filament_id AND t.k = w.k + 1)
+  GROUP BY filament_id, k),
+ended AS (SELECT filament_id, unnest(arg_max(placed, k)) AS p FROM walk GROUP BY 1)
+SELECT filament_id, p.thread_id, p.attempt, {_q('p.x')} AS x, {_q('p.y')} AS y, {_q('p.z')} AS z, {_q('p.gap')} AS gap, p.accepted FROM ended"""
+
+
+@book.query("threads", sql=recursive(over(_PLACEMENT, "threads")))
 def thread_placement(threads: DataFrame) -> DataFrame:
     tries = threads.select(F.floor(F.col("thread_id") / FILAMENT).alias("filament_id"), "thread_id", F.col("radius_km").alias("radius"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("attempt"))
     u = [sequences.counter_uniform(F.col("thread_id"), F.col("attempt"), stream=k) for k in (11, 12, 13)]
-    return kernels.place_threads(tries.select("*", (60_000 * u[0]).alias("x"), (7_500 * u[1]).alias("y"), (20_000 + 4_000 * u[2]).alias("z")), "filament_id", 2.5)
+    made = greedy.place_threads(tries.select("*", (60_000 * u[0]).alias("x"), (7_500 * u[1]).alias("y"), (20_000 + 4_000 * u[2]).alias("z")), "filament_id", 2.5)
+    return made.withColumns({c: r(F.col(c)) for c in ("x", "y", "z", "gap")})
+
+
+_STREAMED = f"SELECT thread_id, frame_idx, x, y, z, longitudinal_km FROM ({series.book.oracles['brownian_walk']}) w JOIN ({thread_plans.book.oracles['oscillation_components']}) o USING (thread_id, frame_idx)"
+
+
+#: When the streamed run starts, in seconds since 1970.
+RUN_START = 1_700_000_000
+
+
+@book.query("threads", "frames", sql=_STREAMED)
+def stream_dynamics(threads: DataFrame, frames: DataFrame) -> DataFrame:
+    """Displacements of all threads from a stream of steps whose frames come out of order, with state per thread."""
+    spark = threads.sparkSession
+    swing = thread_plans.in_motion(threads, frames).select("thread_id", "frame_idx", "time_s", F.col("lm").alias("along_km"))
+    steps = series.brownian_steps(threads, frames).join(swing, ["thread_id", "frame_idx"])
+    steps = steps.select("thread_id", "frame_idx", F.timestamp_seconds(F.lit(RUN_START) + F.col("time_s")).alias("ts"), "dx", "dy", "dz", "along_km")
+    source, sink = (staging.shared_path(spark, n) for n in ("steps", "moved"))
+    for third in range(3):
+        steps.filter(F.col("frame_idx") % 3 == third).write.mode("append").parquet(source)
+    starts = threads.select("thread_id", *[F.lit(0.0).alias(c) for c in "xyz"])
+    stream = spark.readStream.schema(dynamics.STEPS).option("maxFilesPerTrigger", 16).parquet(source)
+    dynamics.follow(stream, starts, sink, partitions=spark.sparkContext.defaultParallelism, late="1 day", idle="2 days")
+    made = spark.read.schema(dynamics.MOVED).parquet(sink).filter("kind = 'frame'")
+    return made.select("thread_id", "frame_idx", *[r(F.col(c)).alias(c) for c in "xyz"], r(F.col("along_km")).alias("longitudinal_km"))
 
 
 book.queries["stream_running_stats"] = lambda spark, sf_dir: streams.running_stats(spark, sf_dir)

@@ -94,7 +94,7 @@ _LM, _LV = _component("18000e0", "p")
 _TM, _TV = _component("2000e0", "1500e0")
 
 
-def _moving(threads: DataFrame, frames: DataFrame) -> DataFrame:
+def in_motion(threads: DataFrame, frames: DataFrame) -> DataFrame:
     """Threads at all frames of a run."""
     radius, height = _si()
     both = threads.withColumn("p", pendulum.longitudinal_period(radius, height)).crossJoin(small(frames))
@@ -105,7 +105,7 @@ def _moving(threads: DataFrame, frames: DataFrame) -> DataFrame:
 
 @book.query("threads", "frames", sql=over(f"m AS (SELECT *, {PERIOD} AS p FROM threads CROSS JOIN frames) SELECT thread_id, frame_idx, {q(_LM)} AS longitudinal_km, {q(_TM)} AS transverse_km, {q(_LV)} AS longitudinal_kms, {q(_TV)} AS transverse_kms FROM m", "threads", "frames"))
 def oscillation_components(threads: DataFrame, frames: DataFrame) -> DataFrame:
-    return _moving(threads, frames).select("thread_id", "frame_idx", r(F.col("lm")).alias("longitudinal_km"), r(F.col("tm")).alias("transverse_km"), r(F.col("lv")).alias("longitudinal_kms"), r(F.col("tv")).alias("transverse_kms"))
+    return in_motion(threads, frames).select("thread_id", "frame_idx", r(F.col("lm")).alias("longitudinal_km"), r(F.col("tm")).alias("transverse_km"), r(F.col("lv")).alias("longitudinal_kms"), r(F.col("tv")).alias("transverse_kms"))
 
 
 _D = "sqrt(pow(x_km - 187500e0, 2) + pow(y_km - 187500e0, 2) + pow(height_km - 20000e0, 2))"
@@ -138,7 +138,7 @@ _EX, _EY = "cos(radians(30e0))", "sin(radians(30e0))"
 def coherent_velocity(threads: DataFrame, frames: DataFrame) -> DataFrame:
     c, s = F.cos(F.radians("pitch_deg")), F.sin(F.radians("pitch_deg"))
     w = pendulum.local_weight(_distance(), 60_000.0)
-    moving = _moving(threads, frames).filter("frame_idx > 0").select("thread_id", "frame_idx", (w * (F.col("lv") * c - F.col("tv") * s)).alias("x"), (w * (F.col("lv") * s + F.col("tv") * c)).alias("y"))
+    moving = in_motion(threads, frames).filter("frame_idx > 0").select("thread_id", "frame_idx", (w * (F.col("lv") * c - F.col("tv") * s)).alias("x"), (w * (F.col("lv") * s + F.col("tv") * c)).alias("y"))
     vx, vy = transfer.project_vector(F.col("x"), F.col("y"), F.lit(0.0), 0.8, 30.0)
     return moving.select("thread_id", "frame_idx", r(vx).alias("vx"), r(vy).alias("vy"))
 

@@ -215,3 +215,39 @@ def test_crops_are_chosen_as_one_after_the_other(spark):
             want += kept
         assert made == sorted(want)
     assert greedy.choose_crops(df.limit(0), "w", "id", 3).count() == 0
+
+
+def placed(rows, separation, attempts):
+    """Threads one after the other."""
+    out, groups = [], {}
+    for r in rows:
+        if r[2] < attempts:
+            groups.setdefault(r[0], {}).setdefault(r[1], []).append(r)
+    for group, threads in groups.items():
+        before = []
+        for thread in sorted(threads):
+            best = None
+            for _, _, attempt, x, y, z, radius in sorted(threads[thread], key=lambda r: r[2]):
+                far = [((x - p[0]) ** 2 + (y - p[1]) ** 2 + (z - p[2]) ** 2) ** 0.5 for p in before]
+                free = all(d >= separation * (radius + p[3]) for d, p in zip(far, before, strict=True))
+                found = (free, min(far, default=None), (x, y, z, radius), attempt)
+                if free or best is None or found[1] > best[1]:
+                    best = found
+                if free:
+                    break
+            before.append(best[2])
+            out.append((group, thread, best[3], *best[2][:3], best[1], best[0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [3.0, 12.0, 60.0])
+def test_threads_are_placed_as_one_after_the_other(spark, size):
+    rng = np.random.default_rng(int(size))
+    rows = [(g, 10 * g + int(t) * 3, a, *rng.uniform(0, size, 3).tolist(), float(rng.choice([0.2, 0.5, 1.0]))) for g in range(3) for t in rng.permutation(40) for a in range(6)]
+    df = spark.createDataFrame(rows, "g long, thread_id long, attempt long, x double, y double, z double, radius double")
+    made = sorted(tuple(r) for r in greedy.place_threads(df, "g", 1.5, 5).collect())
+    want = placed(rows, 1.5, 5)
+    assert [m[:3] + (m[-1],) for m in made] == [w[:3] + (w[-1],) for w in want]
+    assert all((m[6] is None) == (w[6] is None) and (m[6] is None or abs(m[6] - w[6]) < 1e-9) for m, w in zip(made, want, strict=True))
+    assert {w[-1] for w in want} == ({True, False} if size == 3 else {True})
+    assert greedy.place_threads(df.limit(0), "g", 1.5).count() == 0

@@ -1,6 +1,12 @@
+import datetime
+
 from pyspark.sql import functions as F
 
-from sunloom.streaming import runs
+from sunloom.plans import kernels as plans
+from sunloom.plans import series
+from sunloom.plans import threads as moving
+from sunloom.plans.relations import relation
+from sunloom.streaming import dynamics, runs
 
 
 def test_running_statistics_equal_the_batch(spark, small):
@@ -24,3 +30,42 @@ def test_walk_equals_the_window(spark, small):
 def test_windows_come_once_and_hold_no_more_than_there_is(spark, small):
     rows = runs.late_windows(spark, small).collect()
     assert len({r.start for r in rows}) == len(rows) and sum(r.n for r in rows) <= spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def put(spark, folder, rows):
+    made = [(t, f, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=f if at is None else at), float(dx), 0.5, -1.0, float(f)) for t, f, dx, at in rows]
+    spark.createDataFrame(made, dynamics.STEPS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_threads_move_in_order_from_their_start_and_after_a_restart(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    starts = spark.createDataFrame([(1, 100.0, 0.0, 7.0), (2, -5.0, 1.0, 1.0)], "thread_id long, x double, y double, z double")
+
+    def go():
+        steps = spark.readStream.schema(dynamics.STEPS).parquet(source)
+        dynamics.follow(steps, starts, sink, partitions=2)
+        return sorted((r.thread_id, r.frame_idx, r.x, r.y, r.z, r.kind, r.waiting) for r in spark.read.schema(dynamics.MOVED).parquet(sink).collect())
+
+    put(spark, source, [(1, 0, 1, None), (1, 3, 1000, None), (2, 1, 10, None), (3, 0, 4, None)])
+    assert go() == [(1, 0, 101.0, 0.5, 6.0, "frame", 1), (3, 0, 4.0, 0.5, -1.0, "frame", 0)]
+    # A gap is filled, rows repeat with other values, and the query has stopped in between.
+    put(spark, source, [(1, 1, 10, None), (1, 0, 7777, None), (1, 3, 8888, None), (2, 0, 1, None)])
+    assert go()[1:4] == [(1, 1, 111.0, 1.0, 5.0, "frame", 1), (2, 0, -4.0, 1.5, 0.0, "frame", 1), (2, 1, 6.0, 2.0, -1.0, "frame", 0)]
+    put(spark, source, [(1, 2, 100, None)])
+    assert [r[:3] for r in go() if r[0] == 1] == [(1, 0, 101.0), (1, 1, 111.0), (1, 2, 211.0), (1, 3, 1211.0)]
+    # Long after, the watermark has passed all but thread 4: the others close, with what still waits.
+    put(spark, source, [(2, 9, 1, 5)])
+    put(spark, source, [(4, 0, 1, 600)])
+    go()
+    put(spark, source, [(4, 1, 1, 601)])
+    closed = {r[0]: (r[1], r[2], r[6]) for r in go() if r[5] == "closed"}
+    assert closed == {1: (3, 1211.0, 0), 2: (1, 6.0, 1), 3: (0, 4.0, 0)}
+
+
+def test_streamed_walks_equal_the_batch(spark, small):
+    made = {(r.thread_id, r.frame_idx): (r.x, r.y, r.z, r.longitudinal_km) for r in plans.book.queries["stream_dynamics"](spark, small).collect()}
+    threads, frames = (relation(spark, small, n) for n in ("threads", "frames"))
+    walk = {(r.thread_id, r.frame_idx): (r.x, r.y, r.z) for r in series.brownian_walk(threads, frames).collect()}
+    swing = {(r.thread_id, r.frame_idx): r.longitudinal_km for r in moving.oscillation_components(threads, frames).collect()}
+    assert made.keys() == walk.keys()
+    assert all(abs(a - b) < 1e-5 for k, v in made.items() for a, b in zip(v, (*walk[k], swing[k]), strict=True))
