@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import concurrent.futures as futures
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.commits import HadoopStore, Log, Stale
 from .common import ascii_lower, bucket_count, fresh_path, fresh_table, own, stage
 
+#: Files that are moved at a time.
+MOVES = 16
 #: A digest with this share of all rows counts as hot; there are at most ``HOT_SHARE`` such digests.
 HOT_SHARE = 1000
 
@@ -22,69 +27,111 @@ def digest() -> Column:
 
 
 class DigestIndex:
-    """A Parquet table (digest, keep_id) in buckets sorted by digest, and how many buckets it has.
-
-    The index lives at ``location``: the bucket count in one folder, the table's generations in others. The first session
-    that opens a location sets the count; whoever opens it later, under any name, gets the count that is there, as files
-    of other buckets would be missed. ``add`` groups new rows by digest, drops those whose digest is there by a
-    sort-merge anti-join that reads the index bucket by bucket without a shuffle, and appends the rest. Every ``add``
-    leaves a file a bucket, and several files of a bucket are sorted again when read; ``compact`` makes them one.
+    """A Parquet table (digest, keep_id) in buckets sorted by digest, at ``location``, for any number of handles and sessions.
+
+    A log of numbered commits says which folder has the rows, in how many buckets, and which additions are part of it; every
+    row carries the mark of its addition, so rows of one that failed or is not yet committed are not read. ``add`` groups new
+    rows by digest, drops those whose digest is there by a sort-merge anti-join that reads the index bucket by bucket without
+    a shuffle, and appends the rest; if another handle has committed meanwhile, its rows are looked at again, so a digest is
+    never there twice. Every ``add`` leaves a file a bucket, and several files of a bucket are sorted again when read;
+    ``compact`` makes them one. Each use begins with the newest commit, so no handle is stale. The first handle of a location
+    sets the bucket count; ``name`` only begins the names of the tables in the session's catalog, which are always new ones.
     """
 
     def __init__(self, spark: SparkSession, name: str, location: str, buckets: int = 32) -> None:
         self.spark, self.name, self.location = spark, name, location.rstrip("/")
-        self.buckets, self.generation = self._stored() or self._store(buckets, 0)
-        self._open()
-
-    def _stored(self) -> tuple[int, int] | None:
-        """The newest line of the folder of layouts, None where there is none yet."""
-        try:
-            layouts = self.spark.read.schema(LAYOUT).json(f"{self.location}/layout")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        newest = layouts.orderBy(F.desc("generation")).first()
-        return (newest["buckets"], newest["generation"]) if newest else None
-
-    def _store(self, buckets: int, generation: int) -> tuple[int, int]:
-        line = self.spark.range(1).select(F.lit(buckets).cast("int").alias("buckets"), F.lit(generation).cast("int").alias("generation"))
-        line.coalesce(1).write.mode("append").json(f"{self.location}/layout")
-        return buckets, generation
-
-    def _open(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.log, self.files = Log(f"{self.location}/log", spark), HadoopStore(spark)
+        self._opened: tuple[str, str] = ("", "")
+        self._version, self.state = self.log.change(lambda state: None if state else {"buckets": buckets, "rows": _folder(), "batches": []})
+        self._sync()
+
+    @property
+    def buckets(self) -> int:
+        return self.state["buckets"]
+
+    def _sync(self) -> None:
+        """Follow the newest commit: another folder gets a table of its own, other files of the same one are listed anew."""
+        self._version, self.state = self.log.newest()
+        folder, table = self._opened
+        if folder == self.state["rows"]:
+            self.spark.catalog.refreshTable(table)
+            return
+        table = fresh_table(self.spark, self.name)
         self.spark.sql(
-            f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}/rows-{self.generation}'"
+            f"CREATE TABLE {table} (digest STRING, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}/{self.state['rows']}'"
         )
+        self._opened = self.state["rows"], table
+
+    def _write(self, rows: DataFrame, folder: str, buckets: int) -> str:
+        """``rows`` in buckets below ``folder``, marked; the mark."""
+        mark, table = uuid.uuid4().hex, fresh_table(self.spark, self.name)
+        marked = rows.select("digest", "keep_id", F.lit(mark).alias("batch"))
+        marked.write.option("path", f"{self.location}/{folder}").option("compression", "zstd").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the catalog's entry; the files stay
+        return mark
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """The rows of the newest commit."""
+        self._sync()
+        committed = F.col("batch").isin(self.state["batches"]) if self.state["batches"] else F.lit(False)
+        return self.spark.table(self._opened[1]).filter(committed).select("digest", "keep_id")
 
     def unseen(self, rows: DataFrame) -> DataFrame:
         """One row per digest of ``rows`` (doc_id, digest) that the index lacks, with its largest doc_id."""
         grouped = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
         return grouped.hint("merge").join(self.table(), "digest", "left_anti")
 
-    def add(self, rows: DataFrame) -> None:
-        self.unseen(rows).select("digest", "keep_id").write.insertInto(self.name)
-
-    def compact(self, buckets: int | None = None) -> None:
+    def add(self, rows: DataFrame, attempts: int = 20) -> None:
+        """Add the digests of ``rows`` (doc_id, digest) that are new."""
+        for _ in range(attempts):
+            fresh = self.unseen(rows)
+            before, staged = self.state, f"adding-{uuid.uuid4().hex}"
+            mark = self._write(fresh, staged, before["buckets"])
+            names = [n for n in self.files.names(f"{self.location}/{staged}") if n.startswith("part-")]
+            # A file a bucket and task; its name has the bucket.
+            with futures.ThreadPoolExecutor(MOVES) as pool:
+                list(pool.map(lambda n: self.files.move(f"{self.location}/{staged}/{n}", f"{self.location}/{before['rows']}/{n}"), names))
+            self.files.delete(f"{self.location}/{staged}")
+            if self._commit(before, before | {"batches": [*before["batches"], mark]}):
+                return
+            for name in names:
+                self.files.delete(f"{self.location}/{before['rows']}/{name}")
+        raise Stale(f"{self.location}: {attempts} additions in a row met those of others")
+
+    def _commit(self, before: dict, after: dict) -> bool:
+        """Whether ``after`` could follow ``before``, which another handle may have replaced."""
+        same = False
+
+        def make(state: dict) -> dict | None:
+            nonlocal same
+            same = state == before
+            return after if same else None
+
+        self._version, self.state = self.log.change(make)
+        return same
+
+    def compact(self, buckets: int | None = None, attempts: int = 20) -> None:
         """Write the rows anew, one file a bucket, in ``buckets`` buckets (as before unless given), then point to them.
 
-        The old generation stays until its owner deletes it, so readers that are under way do not fail.
+        The old folder stays until its owner deletes it, so readers that are under way do not fail.
         """
-        buckets, fresh = buckets or self.buckets, f"{self.name}_next"
-        rows = self.table().repartition(buckets, "digest")
-        place = f"{self.location}/rows-{self.generation + 1}"
-        rows.write.option("path", place).option("compression", "zstd").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(fresh)
-        self.buckets, self.generation = self._store(buckets, self.generation + 1)
-        self._open()
-        self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        for _ in range(attempts):
+            rows = self.table()
+            before, folder = self.state, _folder()
+            count = buckets or before["buckets"]
+            mark = self._write(rows.repartition(count, "digest"), folder, count)
+            if self._commit(before, {"buckets": count, "rows": folder, "batches": [mark]}):
+                self._sync()
+                return
+            self.files.delete(f"{self.location}/{folder}")
+        raise Stale(f"{self.location}: {attempts} compactions in a row met changes of others")
+
+
+def _folder() -> str:
+    return f"rows-{uuid.uuid4().hex}"
 
 
-LAYOUT = "buckets int, generation int"
 #: Digests of a bucket: some 40 MB.
 BUCKET_ROWS = 500_000
 

@@ -1,4 +1,5 @@
 import collections
+import concurrent.futures as futures
 import hashlib
 import os
 
@@ -131,6 +132,75 @@ def test_index_keeps_its_bucket_count(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def texts(spark, numbers):
+    return digest_index.digests(spark.createDataFrame([(k, f"text {k}") for k in numbers], "doc_id long, text string"))
+
+
+def test_tables_of_others_stay(spark, tmp_path):
+    spark.range(5).write.saveAsTable("orders_own")
+    try:
+        digest_index.DigestIndex(spark, "orders_own", f"file://{tmp_path}/index").add(texts(spark, range(3)))
+        assert spark.table("orders_own").count() == 5
+    finally:
+        spark.sql("DROP TABLE orders_own")
+
+
+def test_handles_of_one_index_see_each_other(spark, tmp_path):
+    one, two = (digest_index.DigestIndex(spark, f"index_{n}", f"file://{tmp_path}/index", 4) for n in ("a", "b"))
+    one.add(texts(spark, range(100)))
+    assert two.table().count() == 100 and two.unseen(texts(spark, range(100))).count() == 0
+    two.add(texts(spark, range(100)))
+    assert one.table().count() == two.table().count() == 100
+    one.compact(8)
+    two.add(texts(spark, range(50, 200)))
+    again = digest_index.DigestIndex(spark, "index_c", f"file://{tmp_path}/index")
+    assert again.buckets == two.buckets == 8 and again.table().count() == one.table().count() == 200
+    rows = [("x", r.keep_id) for r in digest_index.deduplicate(spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string"), again).collect()]
+    assert len(rows) == 200
+
+
+def test_additions_and_compactions_that_race(spark, tmp_path):
+    one, two = (digest_index.DigestIndex(spark, f"index_{n}", f"file://{tmp_path}/index", 4) for n in ("a", "b"))
+    one.add(texts(spark, range(10)))
+    write, done = one._write, []
+
+    def late(*args):
+        made = write(*args)
+        if not done:
+            done.append(True)
+            two.add(texts(spark, range(5, 30)))
+        return made
+
+    one._write = late
+    one.add(texts(spark, range(20, 40)))
+    assert one.table().count() == 40 == one.table().select("digest").distinct().count()
+    done.clear()
+    one.compact()
+    assert one.table().count() == 40 and two.table().count() == 40
+    done.clear()
+    one._write = late
+    with futures.ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda h: h.add(texts(spark, range(35, 60))), (one, two, digest_index.DigestIndex(spark, "index_d", f"file://{tmp_path}/index"))))
+    assert one.table().count() == 60 == two.table().select("digest").distinct().count()
+
+
+def test_an_addition_that_fails_is_not_seen(spark, tmp_path, monkeypatch):
+    index = digest_index.DigestIndex(spark, "index_f", f"file://{tmp_path}/index", 4)
+    index.add(texts(spark, range(3)))
+
+    def lost(*args):
+        raise OSError("the driver is gone")
+
+    monkeypatch.setattr(index, "_commit", lost)
+    with pytest.raises(OSError):
+        index.add(texts(spark, range(3, 9)))
+    other = digest_index.DigestIndex(spark, "index_g", f"file://{tmp_path}/index")
+    assert other.table().count() == 3
+    other.add(texts(spark, range(9)))
+    other.compact()
+    assert other.table().count() == 9
+
+
 def test_only_own_folders_are_dropped(spark, tmp_path):
     from sunloom.llm import common
 
