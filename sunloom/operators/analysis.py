@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dips import clip
+from . import quantiles
 
 
 def slit_points(spark: SparkSession, x: float, y: float, angle_deg: float, length: float, width: float, step: float = 1.0, width_step: float = 1.0) -> DataFrame:
@@ -43,9 +44,9 @@ def time_distance(pixels: DataFrame, slit: DataFrame, value: str, rows: int, col
 
 def normalised(df: DataFrame, by: list[str], value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """``df`` with ``scaled``: 0 at the low and 1 at the high percentile of its group."""
-    bounds = df.groupBy(*by).agg(F.percentile(value, [low, high]).alias("__p"))
-    spread = F.greatest(F.col("__p")[1] - F.col("__p")[0], F.lit(1e-12))
-    return df.join(bounds, by).withColumn("scaled", (F.col(value) - F.col("__p")[0]) / spread).drop("__p")
+    bounds = quantiles.wide(quantiles.percentiles(df, by, value, [low, high]), by, {"__low": low, "__high": high})
+    spread = F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-12))
+    return df.join(bounds, by).withColumn("scaled", (F.col(value) - F.col("__low")) / spread).drop("__low", "__high")
 
 
 def detrended(df: DataFrame, by: list[str], at: str, value: str) -> DataFrame:

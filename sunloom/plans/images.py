@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dips, transfer
-from ..operators import analysis, raster, sequences
+from ..operators import analysis, quantiles, raster, sequences
 from .registry import Registry, r
 from .relations import rounded as q
 from .relations import with_relations as over
@@ -92,7 +92,7 @@ def gong_compose(pixels: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
     native = _blurred(pixels).groupBy("frame_idx", cell("row_idx"), cell("col_idx")).agg((1 - F.sum("v") / 4.0).alias("tr"))
     background = pixels.groupBy("frame_idx", cell("row_idx"), cell("col_idx")).agg(F.avg("intensity").alias("bg"))
-    level = background.groupBy("frame_idx").agg(F.percentile("bg", 0.5).alias("level"))
+    level = quantiles.percentiles(background, ["frame_idx"], "bg", [0.5]).select("frame_idx", "level")
     joined = native.join(background, ["frame_idx", "row_idx", "col_idx"]).join(level, "frame_idx").withColumn("tr", dips.clip(F.col("tr"), 0.0, 1.0))
     image = transfer.compose(F.col("bg"), transfer.dilute(F.col("tr"), 0.65), 3.22 / 6.93 * F.col("level"))
     return joined.select("frame_idx", "row_idx", "col_idx", r(F.col("tr")).alias("transmission"), r(image).alias("image"))
@@ -186,13 +186,15 @@ def frame_zero_delta(pixels: DataFrame) -> DataFrame:
 @book.query("pixels", sql=over("l AS (SELECT quantile_cont(intensity, 0.01) AS lo, quantile_cont(intensity, 0.99) AS hi FROM pixels WHERE frame_idx = 0) SELECT frame_idx, row_idx, col_idx, round_even(255e0 * least(greatest((intensity - lo) / (hi - lo), 0e0), 1e0), 0)::INT AS display FROM pixels, l", "pixels"))
 def display_scale(pixels: DataFrame) -> DataFrame:
     """Contrast fixed by percentiles of frame 0, one row that every pixel gets."""
-    limits = pixels.filter("frame_idx = 0").agg(F.percentile("intensity", [0.01, 0.99]).alias("p"))
-    return pixels.crossJoin(F.broadcast(limits)).select("frame_idx", "row_idx", "col_idx", transfer.display(F.col("intensity"), F.col("p")[0], F.col("p")[1]).alias("display"))
+    levels = quantiles.percentiles(pixels.filter("frame_idx = 0"), [], "intensity", [0.01, 0.99])
+    limits = quantiles.wide(levels, [], {"low": 0.01, "high": 0.99})
+    return pixels.crossJoin(F.broadcast(limits)).select("frame_idx", "row_idx", "col_idx", transfer.display(F.col("intensity"), F.col("low"), F.col("high")).alias("display"))
 
 
 @book.query("pixels", sql=over(f"SELECT {q('min(intensity)')} AS low, {q('max(intensity)')} AS high, {q('avg((tau > 0.1e0)::INT)')} AS mask_share, {q('max(tau)')} AS most_tau, count(DISTINCT frame_idx) AS frames, {q('quantile_cont(tau, 0.95)')} AS p95 FROM pixels", "pixels"))
 def running_stats(pixels: DataFrame) -> DataFrame:
-    return pixels.agg(r(F.min("intensity")).alias("low"), r(F.max("intensity")).alias("high"), r(F.avg((F.col("tau") > 0.1).cast("int"))).alias("mask_share"), r(F.max("tau")).alias("most_tau"), F.countDistinct("frame_idx").alias("frames"), r(F.percentile("tau", 0.95)).alias("p95"))
+    p95 = quantiles.percentiles(pixels, [], "tau", [0.95]).select(r(F.col("level")).alias("p95"))
+    return pixels.agg(r(F.min("intensity")).alias("low"), r(F.max("intensity")).alias("high"), r(F.avg((F.col("tau") > 0.1).cast("int"))).alias("mask_share"), r(F.max("tau")).alias("most_tau"), F.countDistinct("frame_idx").alias("frames")).crossJoin(F.broadcast(p95))
 
 
 _CA, _SA = math.cos(math.radians(30)), math.sin(math.radians(30))

@@ -327,3 +327,20 @@ def run_requests(threads: DataFrame, supplier: DataFrame) -> DataFrame:
     configs = threads.select("thread_id", (i % 1000).cast("string").alias("background"), _overrides(values).alias("values"))
     headers = supplier.select(F.col("s_suppkey").cast("string").alias("sequence_id"), (40 + F.col("s_suppkey") % 50).alias("n_frames"), (30.0 + F.col("s_suppkey") % 4 * 10).alias("cadence_s"))
     return experiments.requests(configs, headers, "thread_id")
+
+
+_DRAFTS = """p AS (SELECT key, greatest(0, least(3, coalesce(try_cast(json_extract_string(body, '$.version') AS INT), 0))) AS version, body::JSON AS body FROM drafts WHERE json_valid(body)),
+s AS (SELECT p.key, version, e.key AS part, e.value AS held FROM p, json_each(p.body) e WHERE e.key <> 'version'),
+n AS (SELECT s.key, version, part || '.' || e.key AS name, e.value AS held, e.type AS kind FROM s, json_each(s.held) e),
+f AS (SELECT key, version, name, held, kind FROM n WHERE kind <> 'ARRAY' UNION ALL SELECT n.key, version, name || '[' || e.key || ']', e.value, e.type FROM n, json_each(n.held) e WHERE kind = 'ARRAY'),
+r AS (SELECT *, CASE WHEN name = 'dynamics.period' AND version < 3 THEN 'dynamics.period_s' WHEN name IN ('static.odd', 'dynamics.period') OR name LIKE '%.dip_%' OR name LIKE '%crop_width_px' OR name LIKE '%use_detector' THEN NULL ELSE name END AS target,
+  CASE WHEN name LIKE '%.dip_%' THEN 'dropped in 1' WHEN name LIKE '%crop_width_px' OR name LIKE '%use_detector' THEN 'dropped in 2' WHEN name = 'static.odd' OR name = 'dynamics.period' AND version = 3 THEN 'unknown' WHEN kind = 'BOOLEAN' THEN 'unreadable' END AS why FROM f)
+SELECT key, name, CASE WHEN why IS NULL THEN target END AS target, CASE WHEN why IS NOT NULL THEN NULL WHEN kind = 'VARCHAR' THEN CASE held::VARCHAR WHEN '"shared_period"' THEN 1e0 WHEN '"gzip"' THEN 1e0 END ELSE try_cast(held AS DOUBLE) END AS value, why FROM r"""
+
+
+@book.query("drafts", sql=over(_DRAFTS, "drafts"))
+def draft_upgrades(docs: DataFrame) -> DataFrame:
+    """Drafts of four layouts, some broken: where each parameter is today, and why others are nowhere."""
+    from ..sources import drafts
+
+    return drafts.parameters(docs).select("key", "name", "target", "value", "why")

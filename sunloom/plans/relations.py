@@ -32,6 +32,12 @@ SQL = {
       FROM {threads} CROSS JOIN (SELECT cast(r_regionkey AS bigint) AS k FROM {region} WHERE r_regionkey < 3) r""",
     "knots": """SELECT idx % 20 + 20 * cast(floor(idx / 10000e0) AS bigint) AS spine_id, cast(idx % 10000 * 60 + 20 * cast(floor(idx % 10000 / 17e0) AS bigint) AS double) AS s, value AS v FROM {ticks}""",
     "spine_queries": """SELECT o_orderkey AS query_id, o_orderkey % 20 + 20 * cast(floor(o_orderkey / 15000e0) AS bigint) AS spine_id, cast((o_orderkey * 37) % 700000 AS double) AS s FROM {orders}""",
+    "drafts": """SELECT s_suppkey AS key, translate(CASE s_suppkey % 5
+      WHEN 0 THEN concat('<"static": <"nx": ', 512 + s_suppkey % 64, ', "dip_parameterization": "dip_depth", "dip_depth_min_km": ', s_suppkey % 9, '>, "dynamics": <"seed": ', s_suppkey, ', "period": ', s_suppkey * 10, ', "center_height_km": "auto">>')
+      WHEN 1 THEN concat('<"version": 1, "dynamic_background": <"crop_width_px": ', s_suppkey % 7, ', "start_index": ', s_suppkey % 11, ', "use_detector": true>, "dynamics": <"period": 3600.5>>')
+      WHEN 2 THEN concat('<"version": 2, "static": <"seed": ', s_suppkey, ', "nx": false>, "dynamics": <"period": ', s_suppkey % 100, ', "oscillation_mode": "shared_period">>')
+      WHEN 3 THEN concat('<"version": 3, "static": <"spine_library_length_bounds_km": [', s_suppkey % 5, ', 250.5], "odd": 1>, "dynamics": <"period_s": ', s_suppkey % 50, ', "period": 7>, "export": <"compression": "gzip">>')
+      ELSE concat('<"static": <"nx": ', s_suppkey) END, '<>', concat(chr(123), chr(125))) AS body FROM {supplier}""",
     "anchors": """SELECT height_mm, temperature_k, pressure, i_value, f_value FROM {anchor_values}""",
     "modelled": """SELECT height_mm, temperature_k, pressure, i_raw, f_raw FROM {model_values}""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dips, pendulum, plasma, transfer
-from ..operators import lookup, spatial
+from ..operators import lookup, quantiles, spatial
 from ..operators.sizes import small
 from .anchors import HEIGHTS, PRESSURES, TEMPERATURES
 from .registry import Registry, r
@@ -79,7 +79,8 @@ def luna_summary_triplet(threads: DataFrame) -> DataFrame:
     radius, height = _si()
     wide = threads.select(F.col("dip_radius_km").alias("radius_km"), "height_km", pendulum.gravity(height).alias("gravity"), pendulum.cutoff_period(height).alias("cutoff_s"), pendulum.longitudinal_period(radius, height).alias("period_s"))
     long = wide.unpivot([], ["radius_km", "height_km", "gravity", "cutoff_s", "period_s"], "metric", "v")
-    return long.groupBy("metric").agg(r(F.min("v")).alias("low"), r(F.percentile("v", 0.5)).alias("middle"), r(F.max("v")).alias("high"))
+    levels = quantiles.wide(quantiles.percentiles(long, ["metric"], "v", [0.0, 0.5, 1.0]), ["metric"], {"low": 0.0, "middle": 0.5, "high": 1.0})
+    return levels.select("metric", *[r(F.col(c)).alias(c) for c in ("low", "middle", "high")])
 
 
 def _component(amplitude: str, period: str) -> tuple[str, str]:
