@@ -284,3 +284,24 @@ def thread_masks(segments: DataFrame) -> DataFrame:
     px = lambda c: F.rint(F.col(c) / 4000.0).cast("long")
     lines = segments.select(px("ay").alias("r0"), px("ax").alias("c0"), px("by_").alias("r1"), px("bx").alias("c1"), (0.5 + (F.col("thread_id") % 7) / 4.0).alias("radius0"), (0.5 + (F.col("thread_id") % 5) / 4.0).alias("radius1"))
     return raster.thread_masks(lines, [], 94, 94, dilation=1)
+
+
+_LEAVES = "c AS (SELECT frame_idx, frame_idx // 4 AS part, row_idx, col_idx, cast(round(tau * 1e6) AS bigint) AS tau FROM pixels), e AS (SELECT part, frame_idx, row_idx, col_idx, strlen(row_idx::VARCHAR) || ':' || row_idx || strlen(col_idx::VARCHAR) || ':' || col_idx || strlen(tau::VARCHAR) || ':' || tau AS t FROM c)"
+_UP = "strlen({0}::VARCHAR) || ':' || {0} || digest"
+
+
+@book.query(
+    "pixels",
+    sql=over(
+        f"{_LEAVES}, f AS (SELECT part, frame_idx, sha256(string_agg(t, '' ORDER BY row_idx, col_idx)) AS digest FROM e GROUP BY ALL), p AS (SELECT part, sha256(string_agg({_UP.format('frame_idx')}, '' ORDER BY frame_idx)) AS digest FROM f GROUP BY 1) "
+        f"SELECT 2 AS depth, part, frame_idx, digest FROM f UNION ALL SELECT 1, part, NULL, digest FROM p UNION ALL SELECT 0, NULL, NULL, sha256(string_agg({_UP.format('part')}, '' ORDER BY part)) FROM p",
+        "pixels",
+    ),
+)
+def frame_digests(pixels: DataFrame) -> DataFrame:
+    """Digests of frames, of four frames each, and of all."""
+    from ..sources import digests
+
+    part = F.floor(F.col("frame_idx") / 4).cast("long").alias("part")
+    whole = pixels.select(part, "frame_idx", "row_idx", "col_idx", F.round(F.col("tau") * 1e6).cast("long").alias("tau"))
+    return digests.tree(whole, ["part", "frame_idx"], ["row_idx", "col_idx"], ["row_idx", "col_idx", "tau"])
