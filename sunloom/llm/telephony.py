@@ -209,20 +209,20 @@ def to_media(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
-SOUNDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rate long, pcm binary"
+SOUNDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, coding string, samples long, rate long, pcm binary"
 
 
 def to_pcm(media: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Digests of the stored files, ``pcm``, their sound as 16-bit little-endian samples at ``rate``, and its ``feature``:
-    coding, samples before and after resampling, peak, root mean square, crossings of zero.
+    """Digests of the stored files, their coding and samples, and ``pcm``, their sound as 16-bit little-endian samples at
+    ``rate``.
 
     ``media`` has doc_id, n_bytes and media. A file that is no WAVE file of a known coding raises. Files are worked on a
     few at a time, so a task holds little beside its longest file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rate", "pcm"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "coding", "samples", "rate", "pcm"]
         for batch in batches:
             for rows in portions(batch, "media"):
                 files = rows.column("media").to_pylist()
@@ -230,19 +230,38 @@ def to_pcm(media: DataFrame, rate: int = 16_000) -> DataFrame:
                 made = []
                 for f, (tag, own, d), sound in zip(files, parsed, decode([(tag, data) for tag, _, data in parsed]), strict=True):
                     pcm = resample(sound, own, rate)
-                    feature = " ".join(map(str, (NAMES[tag], len(sound), len(pcm), *describe(pcm))))
-                    made.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(f), hashlib.sha256(f).hexdigest(), feature, rate, pcm.tobytes()))
+                    made.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(f), hashlib.sha256(f).hexdigest(), NAMES[tag], len(sound), rate, pcm.tobytes()))
                 columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *columns], names=names)
 
     return map_arrow(media, run, SOUNDS)
 
 
+def described(sounds: DataFrame) -> DataFrame:
+    """``sounds`` (see ``SOUNDS``) without their samples, but with their bytes, digest and ``feature``: coding, samples before
+    and after resampling, peak, root mean square, crossings of zero."""
+    kept = [f for f in SOUNDS.split(", ")[:-4]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in portions(batch, "pcm", 8 * PORTION):
+                made = []
+                for coding, samples, data in zip(*(rows.column(c).to_pylist() for c in ("coding", "samples", "pcm")), strict=True):
+                    pcm = np.frombuffer(data, "<i2")
+                    made.append((" ".join(map(str, (coding, samples, len(pcm), *describe(pcm)))), len(data), hashlib.sha256(data).hexdigest()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)]
+                names = [f.split()[0] for f in kept]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in [*names, "rate"]), *columns], names=[*names, "rate", "feature", "pcm_bytes", "pcm_sha256"])
+
+    return map_arrow(sounds, run, ", ".join(kept) + ", rate long, feature string, pcm_bytes long, pcm_sha256 string")
+
+
 def telephony(docs: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Store each text as telephony audio in the shared folder, read the files back, decode, resample and describe them.
+    """Store each text as telephony audio in the shared folder, read the files back, decode and resample them, store the
+    samples beside them, read those back and describe them.
 
-    One row per row of ``docs``, its ``pcm`` included: whoever writes the result stores the resampled sound, once. Null
-    texts count as empty, repeated rows stay, doc_id may be null, and equal texts have equal values; only doc_id and text
-    are read, so other columns may have any name. An empty table gives no rows.
+    One row per row of ``docs``. Null texts count as empty, repeated rows stay, doc_id may be null, and equal texts have
+    equal values; only doc_id and text are read, so other columns may have any name. An empty table gives no rows.
     """
-    return to_pcm(stage(to_media(docs), "telephony", **{"parquet.block.size": FILE_BYTES}), rate)
+    media = stage(to_media(docs), "telephony", **{"parquet.block.size": FILE_BYTES})
+    return described(stage(to_pcm(media, rate), "telephony-pcm", **{"parquet.block.size": FILE_BYTES}))
