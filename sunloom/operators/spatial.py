@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import shared_path
+from .graphs import written
 
 
 def dot(a: tuple, b: tuple) -> Column:
@@ -83,38 +83,32 @@ def overlapping(left: DataFrame, boxes: DataFrame, tile: float, how: str = "left
     return left.join(hit.select(keys[0]).distinct(), keys[0], how)
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, by: str, at: str, of: str, tie: str, width: float) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, by: str, at: str, of: str, tie: str) -> DataFrame:
     """Per query (``by``, at ``at``) the candidate whose ``of`` is nearest: ``tie`` and ``gap``; ties go to the smallest ``tie``.
 
-    Both sides go to cells of ``width``, a query also meets the neighbouring cells, and cells are joined by equality. What
-    lies within ``width`` of a query is then found for certain; queries that have nothing so near meet wider cells, four
-    times as wide each round, until the cells span everything. No candidate makes no rows.
+    Both sides are merged by one range sort: the nearest candidate is the last one before a query or the first one after it,
+    within the query's range or, where that has none, at the end of the nearest range that has. So the work is that of a
+    sort, however values clump. Nulls and NaN on either side count for nothing; no candidate makes no rows.
     """
-    spark = queries.sparkSession
-    queries = queries.select(by, at).filter(F.col(at).isNotNull())
-    candidates = candidates.select(tie, of).filter(F.col(of).isNotNull())
-    low, high = candidates.agg(F.min(of), F.max(of)).first()
-    first, last = queries.agg(F.min(at), F.max(at)).first()
-    found: list[DataFrame] = []
-    left = queries
-    while low is not None and first is not None:
-        cell = F.floor(F.col(at) / width)
-        asked = left.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-        met = asked.join(candidates.withColumn("cell", F.floor(F.col(of) / width)), "cell")
-        best = met.groupBy(by).agg(F.min(F.struct(F.abs(F.col(of) - F.col(at)).alias("gap"), F.col(tie))).alias("best")).select(by, "best.*")
-        whole = width >= max(high, last) - min(low, first)
-        path = shared_path(spark, "nearest")
-        (best if whole else best.filter(F.col("gap") <= width)).write.parquet(path)
-        found.append(spark.read.schema(best.schema).parquet(path))
-        if whole:
-            break
-        left = left.join(found[-1].select(by), by, "left_anti")
-        if not left.limit(1).count():
-            break
-        width *= 4
-    if not found:
-        return queries.join(candidates.select(tie).limit(0), F.lit(False)).select(by, F.lit(0.0).alias("gap"), tie)
-    return reduce(DataFrame.unionByName, found)
+    point = lambda c: F.col(c).cast("double").alias("v")
+    real = lambda df: df.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    kinds = dict(queries.dtypes)[by], dict(candidates.dtypes)[tie]
+    points = real(candidates.select(point(of), F.col(tie).alias("tie"))).groupBy("v").agg(F.min("tie").alias("tie"))
+    sides = [points.select("v", F.lit(0).alias("side"), "tie", F.lit(None).cast(kinds[0]).alias("by")), real(queries.select(point(at), F.lit(1).alias("side"), F.lit(None).cast(kinds[1]).alias("tie"), F.col(by).alias("by")))]
+    merged = sides[0].unionByName(sides[1]).repartitionByRange("v", "side", "by").sortWithinPartitions("v", "side", "by")
+    merged = written(merged.withColumn("at", F.monotonically_increasing_id()), "nearest").withColumn("part", F.shiftright("at", 33))
+    here = F.when(F.col("side") == 0, F.struct("v", "tie"))
+    # One row a range: what candidates lie before it and after it.
+    ends = merged.groupBy("part").agg(F.max(here).alias("last"), F.min(here).alias("first"))
+    up, down = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("part", F.last("last", True).over(up).alias("earlier"), F.last("first", True).over(down).alias("later"))
+    own = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = merged.select("part", "side", "v", "by", F.last(here, True).over(own).alias("below"), F.last(here, True).over(back).alias("above")).filter("side = 1")
+    found = seen.join(F.broadcast(ends), "part").select("by", "v", F.coalesce("below", "earlier").alias("below"), F.coalesce("above", "later").alias("above"))
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col("v")).alias("gap"), F.col(f"{c}.tie").alias("tie")))
+    best = found.select("by", F.array_min(F.array_compact(F.array(gap("below"), gap("above")))).alias("best")).filter("best is not null")
+    return best.select(F.col("by").alias(by), "best.gap", F.col("best.tie").alias(tie))
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, by: str, key: str, column: str, count: int, digits: int = 6, rows: int = 50_000, asked: int = 4096) -> DataFrame:

@@ -17,7 +17,8 @@ SQL = {
       cast(75 + (p_partkey * 31) % 226 AS double) AS radius_km, cast((p_partkey * 6007) % 375000 AS double) AS x_km,
       cast((p_partkey * 9973) % 375000 AS double) AS y_km, cast(7 + (p_partkey * 17) % 37 AS double) AS pitch_deg FROM {part}""",
     "frames": "SELECT cast(n_nationkey AS bigint) AS frame_idx, cast(n_nationkey * 60 AS double) AS time_s FROM {nation}",
-    "pixels": """SELECT cast(l_linenumber - 1 AS bigint) AS frame_idx, l_orderkey % 64 AS row_idx, l_partkey % 64 AS col_idx,
+    # Seven frames for every 15,000 orders, so that frames grow in number with the table.
+    "pixels": """SELECT cast(l_linenumber - 1 + 7 * cast(floor(l_orderkey / 15000e0) AS bigint) AS bigint) AS frame_idx, l_orderkey % 64 AS row_idx, l_partkey % 64 AS col_idx,
       round(sum(l_discount), 6) AS tau, avg(l_quantity) AS intensity FROM {lineitem} GROUP BY 1, 2, 3""",
     "ticks": "SELECT event_id AS idx, cast(event_id * 60 + 20 * cast(floor(event_id / 17e0) AS bigint) AS double) AS t, value FROM {events}",
     "boxes": """SELECT o_orderkey AS box_id, cast((o_custkey * 37) % 1600 AS double) AS x0, cast((o_custkey * 53) % 1600 AS double) AS y0,

@@ -411,7 +411,7 @@ def box_overlap_reject(crops: DataFrame, detections: DataFrame) -> DataFrame:
 @book.query("threads", "frames", sql=over("c AS (SELECT frame_idx, 375000e0 * frame_idx / 24e0 AS place FROM frames) SELECT frame_idx, min({'gap': abs(x_km - place), 'id': thread_id}).id AS thread_id, " + q("min({'gap': abs(x_km - place), 'id': thread_id}).gap") + " AS gap FROM c CROSS JOIN threads GROUP BY 1", "threads", "frames"))
 def nearest_site(threads: DataFrame, frames: DataFrame) -> DataFrame:
     sites = frames.select("frame_idx", (375_000.0 * F.col("frame_idx") / 24.0).alias("at"))
-    found = spatial.nearest(sites, threads, "frame_idx", "at", "x_km", "thread_id", 2_000.0)
+    found = spatial.nearest(sites, threads, "frame_idx", "at", "x_km", "thread_id")
     return found.select("frame_idx", "thread_id", r(F.col("gap")).alias("gap"))
 
 

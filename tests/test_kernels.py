@@ -171,13 +171,17 @@ def test_selected_crops_do_not_overlap(spark, small):
     assert met.count() == 0
 
 
-def test_nearest_by_cells_is_the_nearest(spark):
+def test_nearest_by_one_merge_is_the_nearest(spark):
     rng = np.random.default_rng(4)
     sites = [(k, float(x)) for k, x in enumerate([*rng.uniform(0, 1e5, 40), 5e6, -3e6])] + [(99, None)]
     things = [(k, float(x)) for k, x in enumerate(np.round(rng.uniform(0, 1e5, 300), -2))]
-    made = {r.q: (r.id, r.gap) for r in spatial.nearest(spark.createDataFrame(sites, "q long, at double"), spark.createDataFrame(things, "id long, x double"), "q", "at", "x", "id", 50.0).collect()}
+    made = {r.q: (r.id, r.gap) for r in spatial.nearest(spark.createDataFrame(sites, "q long, at double"), spark.createDataFrame(things, "id long, x double"), "q", "at", "x", "id").collect()}
     assert made == {q: min(((abs(x - at), k) for k, x in things))[::-1] for q, at in sites if at is not None}
-    none = spatial.nearest(spark.createDataFrame(sites, "q long, at double"), spark.createDataFrame([], "id long, x double"), "q", "at", "x", "id", 50.0)
+    clump = [(k, 1e9 + k % 7) for k in range(500)] + [(k, float("nan")) for k in range(500, 510)]
+    far = [(k, float(k % 3)) for k in range(200)] + [(200, 2e9), (201, 1e9 + 3)]
+    made = {r.q: (r.id, r.gap) for r in spatial.nearest(spark.createDataFrame(far, "q long, at double").repartition(7), spark.createDataFrame(clump, "id long, x double"), "q", "at", "x", "id").collect()}
+    assert made == {q: min(((abs(x - at), k) for k, x in clump if x == x))[::-1] for q, at in far}
+    none = spatial.nearest(spark.createDataFrame(sites, "q long, at double"), spark.createDataFrame([], "id long, x double"), "q", "at", "x", "id")
     assert none.count() == 0 and none.columns == ["q", "gap", "id"]
 
 
