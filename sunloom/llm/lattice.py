@@ -39,6 +39,8 @@ DEALT_ROWS = 1024
 #: Words whose lattices are summed together, rounds of re-estimation, strength of a document's urn.
 WORDS_AT_ONCE, ROUNDS, URN = 60_000, 2, 1500.0
 LOG10 = math.log(10)
+#: Bytes beyond which a word is summed by itself, and its starts that are looked up at a time.
+LONG, LONG_BLOCK = 2048, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,9 +119,70 @@ class Pieces:
             alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + (self.next if i else self.first)[ids])
         return alpha, arcs
 
+    def spans(self, word: bytes, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece id) of every piece that starts at ``a`` to ``b`` in a word, by start, then end."""
+        longest = len(self.hashes) - 1
+        data = np.frombuffer(word[a : b + longest], np.uint8)
+        h, found = np.zeros(min(b - a, len(data)), np.uint64), []
+        for n in range(1, longest + 1):
+            h = h[: len(data) - n + 1]
+            if not len(h):
+                break
+            h = h * _BASE + data[n - 1 : n - 1 + len(h)] + np.uint64(1)
+            known = self.hashes[n]
+            if len(known):
+                at = np.searchsorted(known, h)
+                at[at == len(known)] = 0
+                start = np.flatnonzero(known[at] == h)
+                found.append((a + start, a + start + n, self.ids[n][at[start]]))
+        start, end, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((end, start))
+        return start[order], end[order], ids[order]
+
+    def _blocks(self, word: bytes) -> range:
+        return range(0, len(word), LONG_BLOCK)
+
+    def long_forward(self, word: bytes) -> np.ndarray:
+        """Log marginals of every prefix of one long word; its pieces are looked up a block of starts at a time."""
+        alpha = [-math.inf] * (len(word) + 1)
+        alpha[0], log, exp = 0.0, math.log, math.exp
+        for a in self._blocks(word):
+            start, end, ids = self.spans(word, a, min(a + LONG_BLOCK, len(word)))
+            score = np.where(start > 0, self.next[ids], self.first[ids])
+            for i, j, x in zip(start.tolist(), end.tolist(), score.tolist(), strict=True):
+                x += alpha[i]
+                now = alpha[j]
+                if now == -math.inf:
+                    alpha[j] = x
+                elif x > -math.inf:
+                    alpha[j] = x + log(1 + exp(now - x)) if x > now else now + log(1 + exp(x - now))
+        return np.array(alpha)
+
+    def long_expected(self, word: bytes, first: np.ndarray, inner: np.ndarray) -> None:
+        """Add the expected uses of pieces in one long word: marginals of prefixes and suffixes, then all arcs of a block."""
+        alpha = self.long_forward(word)
+        beta = [-math.inf] * (len(word) + 1)
+        beta[-1], log, exp = 0.0, math.log, math.exp
+        for a in reversed(self._blocks(word)):
+            start, end, ids = self.spans(word, a, min(a + LONG_BLOCK, len(word)))
+            score = np.where(start > 0, self.next[ids], self.first[ids])
+            for i, j, x in zip(start[::-1].tolist(), end[::-1].tolist(), score[::-1].tolist(), strict=True):
+                x += beta[j]
+                now = beta[i]
+                if now == -math.inf:
+                    beta[i] = x
+                elif x > -math.inf:
+                    beta[i] = x + log(1 + exp(now - x)) if x > now else now + log(1 + exp(x - now))
+            # Suffixes from this block's starts on are complete now.
+            use = np.exp(alpha[start] + score + np.array([beta[j] for j in end.tolist()]) - alpha[-1])
+            inner += np.bincount(ids[start > 0], use[start > 0], len(inner))
+            first += np.bincount(ids[start == 0], use[start == 0], len(first))
+
     def log_marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word, its end included."""
         out = np.empty(len(words))
+        for k in (k for k, w in enumerate(words) if len(w) > LONG):
+            out[k] = self.long_forward(words[k])[-1] + self.stop
         for at, matrix in by_length(words):
             out[at] = self.forward(matrix)[0][-1] + self.stop
         return out
@@ -127,6 +190,9 @@ class Pieces:
     def expected(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Expected uses of each piece at the start of and inside the words, by forward and backward recursion."""
         first, inner = np.zeros(len(self.first)), np.zeros(len(self.first))
+        for word in words:
+            if len(word) > LONG:
+                self.long_expected(word, first, inner)
         for _, matrix in by_length(words):
             alpha, arcs = self.forward(matrix)
             beta = np.full_like(alpha, -np.inf)
@@ -140,10 +206,11 @@ class Pieces:
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions and byte matrix of the words of each length."""
+    """Positions and byte matrix of the words of each length up to LONG."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(words) else ():
+    order = order[lengths[order] <= LONG]
+    for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else ():
         n = int(lengths[at[0]])
         step = max(1, 4_000_000 // max(1, n * min(n, 16)))
         for k in range(0, len(at), step):
@@ -192,15 +259,15 @@ class Model:
         return (self.ends + 0.5) / (self.tokens + 1)
 
     def words(self, counts: np.ndarray, log_pieces: np.ndarray) -> np.ndarray:
-        """Probability of words at the last node of their lattice: the sum of the arc over the whole word, from its training
-        count, and of the paths of pieces, from their log marginal."""
+        """Log probability of words, given that the text goes on, at the last node of their lattice: the sum of the arc over
+        the whole word, from its training count, and of the paths of pieces, from their log marginal."""
         if not self.types:
-            return (1 - self.end()) * np.exp(log_pieces)
+            return log_pieces
         seen = self.tokens - self.ends
         free = math.log(self.discount * self.types / seen)
         with np.errstate(divide="ignore"):
             whole = np.log(np.maximum(counts - self.discount, 0) / seen)
-        return (1 - self.end()) * np.exp(np.logaddexp(whole, free + log_pieces))
+        return np.logaddexp(whole, free + log_pieces)
 
 
 CODED = "block long, doc_id long, tokens binary, number int, word binary, n long"
@@ -358,8 +425,10 @@ def block_scores(model: Model, tokens: list[bytes], counts: np.ndarray, log_piec
     used[order] = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
     before = np.arange(len(ids)) - np.repeat(ends - lengths, lengths)
     end = model.end()
-    prior = model.words(counts, log_pieces)
-    drawn = np.log10((urn * prior[ids] / (1 - end) + used) / (urn + before) * (1 - end))
+    # A long word's probability is no double, so a first use stays in logarithms.
+    prior = math.log(urn) + model.words(counts, log_pieces)[ids]
+    with np.errstate(divide="ignore"):
+        drawn = (np.logaddexp(prior, np.log(used)) - np.log(urn + before)) / LOG10 + math.log10(1 - end)
     total = lambda per_word: np.bincount(doc, per_word, len(tokens))
     return {
         "n_tokens": lengths + 1,

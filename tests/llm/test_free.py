@@ -431,6 +431,26 @@ def test_forward_sums_over_all_segmentations():
     assert math.isclose(first.sum(), 1.0)
 
 
+def test_long_words_are_summed_as_short_ones(monkeypatch):
+    pieces = lattice.load_pieces(PIECE)
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.choice(np.frombuffer(b"thingands \xc3\xa9xq".replace(b" ", b""), np.uint8), n).tolist()) for n in (1, 5, 60, 700, 1500)]
+    want, uses = pieces.log_marginals(words), pieces.expected(words)
+    monkeypatch.setattr(lattice, "LONG", 3)
+    monkeypatch.setattr(lattice, "LONG_BLOCK", 50)
+    assert np.allclose(pieces.log_marginals(words), want, rtol=1e-12)
+    assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(pieces.expected(words), uses, strict=True))
+
+
+def test_a_word_of_two_megabytes_has_a_score(spark):
+    rng = np.random.default_rng(5)
+    long = bytes(rng.choice(np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8), 1 << 21).tolist()).decode()
+    rows = [(k, "some words and more words") for k in range(20)] + [(100, long), (101, f"words {long[:300_000]} and {long[300_000:400_000]} words")]
+    made = {r.doc_id: r for r in lattice.scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECE).collect()}
+    assert all(math.isfinite(r.score) and math.isfinite(r.lattice_score) for r in made.values())
+    assert -1e8 < made[100].lattice_score < -1e6 and made[101].n_tokens == 6 and made[101].lattice_score < -1e5
+
+
 def test_reestimation_raises_the_likelihood():
     words = [b"thething", b"thing", b"then", b"ingthe"] * 3
     pieces = lattice.load_pieces(PIECE)
