@@ -127,71 +127,6 @@ def column_mass_loading(threads: DataFrame, wanted: float = 1e-4, plasma: dict[s
     return threads.select("thread_id", "length_km", "dip_radius_km").repartition(cores, "thread_id").mapInArrow(run, schema)
 
 
-# --- dark ridges -----------------------------------------------------------------------------------------------------
-
-
-def blur_axis(image: np.ndarray, sigma: float, axis: int, truncate: float = 4.0) -> np.ndarray:
-    """Gaussian blur along one axis, edge values repeated."""
-    reach = int(truncate * sigma + 0.5)
-    if not reach:
-        return image
-    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    w /= w.sum()
-    pad = [(0, 0)] * image.ndim
-    pad[axis] = (reach, reach)
-    view = np.lib.stride_tricks.sliding_window_view(np.pad(image, pad, mode="edge"), len(w), axis=axis)
-    return view @ w
-
-
-def track(diagram: np.ndarray, start: float | None = None, jump: int = 6, penalty: float = 0.15, start_penalty: float = 0.5, sigma: tuple[float, float] = (1.5, 0.7)) -> np.ndarray:
-    """The cheapest dark path through a (distance, time) diagram, refined by parabolas.
-
-    Costs are scaled per time between their 10th and 90th percentile; moves of up to ``jump`` cost by their square.
-    Missing values count as the median; ties go to the smallest position.
-    """
-    image = np.where(np.isfinite(diagram), diagram, np.nanmedian(diagram))
-    image = blur_axis(blur_axis(image, sigma[0], 0), sigma[1], 1)
-    low, high = np.percentile(image, [10, 90], axis=0)
-    cost = (image - low) / np.maximum(high - low, 1e-12)
-    n, times = cost.shape
-    at = np.arange(n)
-    total = cost[:, 0] + (start_penalty * (at - start) ** 2 if start is not None else 0)
-    moves = np.arange(-jump, jump + 1)
-    came = np.zeros((times, n), dtype=np.int64)
-    for t in range(1, times):
-        padded = np.pad(total, jump, constant_values=np.inf)
-        options = np.lib.stride_tricks.sliding_window_view(padded, 2 * jump + 1) + penalty * moves**2
-        best = options.argmin(axis=1)
-        came[t] = at + moves[best]
-        total = cost[:, t] + options[at, best]
-    path = np.empty(times, dtype=np.int64)
-    path[-1] = int(total.argmin())
-    for t in range(times - 1, 0, -1):
-        path[t - 1] = came[t][path[t]]
-    out = path.astype(float)
-    for t, p in enumerate(path):
-        if 0 < p < n - 1:
-            left, mid, right = image[p - 1 : p + 2, t]
-            if (bend := left - 2 * mid + right) > 1e-12:
-                out[t] = p + np.clip(0.5 * (left - right) / bend, -1, 1)
-    return out
-
-
-def dark_ridge(diagrams: DataFrame, by: str = "diagram_id", between: tuple[float, float] | None = None, **options: float) -> DataFrame:
-    """(``by``, t, position) for diagrams given as (``by``, t, k, value); a diagram is one group of one task.
-
-    ``between`` keeps the path within distances k of that closed range; positions stay distances of the whole diagram.
-    """
-    if between is not None:
-        diagrams = diagrams.filter(F.col("k").between(*between))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot_table(index="k", columns="t", values="value", dropna=False)
-        return pd.DataFrame({by: group[by].iloc[0], "t": table.columns.astype("int64"), "position": table.index[0] + track(table.to_numpy(dtype=float), **options)})
-
-    return diagrams.groupBy(by).applyInPandas(run, f"{by} long, t long, position double")
-
-
 # --- damped sines ----------------------------------------------------------------------------------------------------
 
 SINE = ("equilibrium", "drift", "amplitude", "period", "damping", "phase")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pendulum, transfer
 from ..operators import greedy, kernels, regions, sequences
+from ..operators import ridges as tracks
 from ..sources import staging
 from ..streaming import dynamics
 from ..streaming import runs as streams
@@ -46,9 +47,33 @@ def diagrams(ticks: DataFrame) -> DataFrame:
     return cells.select("diagram_id", "t", "k", F.when((F.col("t") + F.col("k")) % 97 == 0, F.lit(None)).otherwise(value).alias("value"))
 
 
-@book.query("ticks")
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ACROSS, _ALONG = (", ".join(f"({k - len(w) // 2}, {x!r}::DOUBLE)" for k, x in enumerate(w)) for w in map(tracks.weights, (1.5, 0.7)))
+_RIDGE = f"""c AS (SELECT cast(floor(idx / {TIMES}e0) AS bigint) AS d, idx % {TIMES} AS t, k, value FROM ticks CROSS JOIN range({WIDTH}) k(k)),
+v AS (SELECT d, t, k, CASE WHEN (t + k) % 97 <> 0 THEN 1e0 - exp(-pow((k - (20e0 + (4e0 + d % 12 / 4e0) * sin(2e0 * pi() * t / 30e0 + d))) / 2.5e0, 2)) + 0.2e0 * ({series._uniform(5, 'd', '(t * 64 + k)')} - 0.5e0) + value % 1 / 50e0 END AS v FROM c),
+m AS (SELECT d, quantile_cont(v, 0.5) AS middle, max(t) AS last FROM v GROUP BY d),
+f AS (SELECT d, t, k, coalesce(v, middle) AS v FROM v JOIN m USING (d)),
+wk(o, w) AS (VALUES {_ACROSS}), wt(o, w) AS (VALUES {_ALONG}),
+ak AS (SELECT f.d, f.t, a.k, sum(wk.w * f.v) AS v FROM range({WIDTH}) a(k) CROSS JOIN wk JOIN f ON f.k = greatest(0, least({WIDTH - 1}, a.k + wk.o)) GROUP BY ALL),
+img AS (SELECT n.d, n.t, f.k, sum(wt.w * f.v) AS v FROM (SELECT DISTINCT d, t, last FROM f JOIN m USING (d)) n CROSS JOIN wt JOIN ak f ON f.d = n.d AND f.t = greatest(0, least(n.last, n.t + wt.o)) GROUP BY ALL),
+lim AS (SELECT d, t, quantile_cont(v, 0.1) AS low, quantile_cont(v, 0.9) AS high FROM img GROUP BY ALL),
+cost AS (SELECT d, t, k, (v - low) / greatest(high - low, 1e-12) AS x FROM img JOIN lim USING (d, t)),
+walk AS (
+  SELECT d, t, k, x AS v, [k] AS path FROM cost WHERE t = 0
+  UNION ALL
+  SELECT d, t, k, best.v, list_append(best.path, k) FROM (
+    SELECT c.d, c.t, c.k, min({{'v': w.v + 0.15e0 * (w.k - c.k) * (w.k - c.k) + c.x, 'm': w.k, 'path': w.path}}) AS best FROM walk w JOIN cost c ON c.d = w.d AND c.t = w.t + 1 AND c.k BETWEEN w.k - 6 AND w.k + 6 GROUP BY c.d, c.t, c.k)),
+ended AS (SELECT d, unnest(min({{'v': v, 'k': k, 'path': path}}).path) AS p, unnest(range(max(last) + 1)) AS t FROM walk JOIN m USING (d) WHERE t = last GROUP BY d),
+near AS (SELECT e.d, e.t, e.p, l.v AS l, o.v AS o, h.v AS h FROM ended e JOIN img o ON o.d = e.d AND o.t = e.t AND o.k = e.p LEFT JOIN img l ON l.d = e.d AND l.t = e.t AND l.k = e.p - 1 LEFT JOIN img h ON h.d = e.d AND h.t = e.t AND h.k = e.p + 1)
+SELECT d AS diagram_id, t, {_q('p + CASE WHEN l - 2e0 * o + h > 1e-12 THEN least(greatest(0.5e0 * (l - h) / (l - 2e0 * o + h), -1e0), 1e0) ELSE 0e0 END')} AS position FROM near"""
+
+
+@book.query("ticks", sql=recursive(over(_RIDGE, "ticks")))
 def dark_ridge(ticks: DataFrame) -> DataFrame:
-    return kernels.dark_ridge(diagrams(ticks))
+    return tracks.dark_ridge(diagrams(ticks)).withColumn("position", r(F.col("position")))
 
 
 def ridges(ticks: DataFrame) -> DataFrame:
@@ -83,10 +108,6 @@ def _labels(cells: str, by: str, width: int) -> str:
   WHERE w.l < n.l AND (n.s OR dr = 0 OR dc = 0) GROUP BY {own}, n.r, n.c, n.s)"""
 
 
-def recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 _QUIET = f"""v AS (SELECT frame_idx, 2 * (row_idx // 32) + col_idx // 32 AS crop, row_idx % 32 AS r, col_idx % 32 AS c, 100e0 + intensity / 10e0 AS value FROM pixels),
 g AS (SELECT frame_idx, crop, r, c, coalesce(value, 0e0) AS value FROM (SELECT DISTINCT frame_idx, crop FROM v) CROSS JOIN range(32) y(r) CROSS JOIN range(32) x(c) LEFT JOIN v USING (frame_idx, crop, r, c)),
 m AS (SELECT frame_idx, crop, quantile_cont(value, 0.5) AS middle FROM g GROUP BY ALL),

@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from sunloom.operators import kernels, raster, sequences, spatial
+from sunloom.operators import kernels, raster, ridges, sequences, spatial
 from sunloom.plans import kernels as plans
 from sunloom.plans.relations import relation
 
@@ -66,13 +66,61 @@ def test_rows_loaded_together_equal_rows_alone():
     assert together[3][3] == "invalid" and {"converged", "capacity_limited"} <= set(together[3])
 
 
+def blurred(image, sigma, axis):
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    pad = [(reach, reach) if a == axis else (0, 0) for a in range(2)]
+    return np.lib.stride_tricks.sliding_window_view(np.pad(image, pad, mode="edge"), len(w), axis=axis) @ (w / w.sum())
+
+
+def ridge_brute(diagram, start, jump, penalty, pull):
+    """Cell by cell over a (distance, time) array."""
+    image = np.where(np.isfinite(diagram), diagram, np.nanmedian(diagram))
+    image = blurred(blurred(image, 1.5, 0), 0.7, 1)
+    low, high = np.percentile(image, [10, 90], axis=0)
+    cost = (image - low) / np.maximum(high - low, 1e-12)
+    n, times = cost.shape
+    totals, came = [[cost[i, 0] + (pull * (i - start) ** 2 if start is not None else 0) for i in range(n)]], []
+    for t in range(1, times):
+        best = [min((totals[-1][m] + penalty * (m - i) ** 2 + cost[i, t], m) for m in range(max(0, i - jump), min(n, i + jump + 1))) for i in range(n)]
+        totals.append([b[0] for b in best])
+        came.append([b[1] for b in best])
+    path = [min(range(n), key=lambda i: (totals[-1][i], i))]
+    for back in reversed(came):
+        path.append(back[path[-1]])
+    out = []
+    for t, p in enumerate(path[::-1]):
+        bend = image[p - 1, t] - 2 * image[p, t] + image[p + 1, t] if 0 < p < n - 1 else 0
+        out.append(p + (float(np.clip(0.5 * (image[p - 1, t] - image[p + 1, t]) / bend, -1, 1)) if bend > 1e-12 else 0))
+    return out
+
+
+def test_ridges_by_cells(spark):
+    rng = np.random.default_rng(12)
+    shapes = {1: (15, 9), 2: (4, 5), 3: (1, 3), 4: (9, 1), 5: (12, 8)}
+    made = {d: rng.random(s) for d, s in shapes.items()}
+    made[5][:] = 1.0
+    made[1][3, 4] = made[1][14, 0] = np.nan
+    rows = [(d, 10 * t, 7 + k, None if np.isnan(v) and t else float(v)) for d, m in made.items() for (k, t), v in np.ndenumerate(m)]
+    rows += [(6, 0, 0, None), (6, 1, 0, float("nan"))]
+    df = spark.createDataFrame(rows, "diagram_id long, t long, k long, value double")
+    for start, jump, penalty in ((None, 6, 0.15), (2.0, 1, 0.3)):
+        found = {}
+        for r in ridges.dark_ridge(df, start=start, jump=jump, penalty=penalty).collect():
+            found.setdefault(r.diagram_id, {})[r.t] = r.position
+        assert set(found) == set(made)
+        for d, m in made.items():
+            want = ridge_brute(m, start, jump, penalty, 0.5)
+            assert np.allclose([found[d][10 * t] - 7 for t in range(m.shape[1])], want, atol=1e-9), d
+
+
 def test_ridge_follows_the_band(spark, small):
     ticks = relation(spark, small, "ticks")
     truth = {(r.diagram_id, r.t): r.centre for r in plans.diagrams(ticks).select("diagram_id", "t").distinct().withColumn("centre", plans.swing(F.col("diagram_id"), F.col("t"))).collect()}
-    made = kernels.dark_ridge(plans.diagrams(ticks)).collect()
+    made = ridges.dark_ridge(plans.diagrams(ticks)).collect()
     off = [abs(r.position - truth[r.diagram_id, r.t]) for r in made]
     assert len(made) == ticks.count() and np.median(off) < 0.3 and np.mean(np.array(off) < 2) > 0.98
-    lower = kernels.dark_ridge(plans.diagrams(ticks), between=(20, 40)).collect()
+    lower = ridges.dark_ridge(plans.diagrams(ticks), between=(20, 40)).collect()
     assert all(19 <= r.position <= 41 for r in lower)
 
 
