@@ -344,3 +344,29 @@ def draft_upgrades(docs: DataFrame) -> DataFrame:
     from ..sources import drafts
 
     return drafts.parameters(docs).select("key", "name", "target", "value", "why")
+
+
+_SCOPED = """c AS (SELECT thread_id, thread_id % 12 AS s, thread_id % 60 AS start, thread_id % 4 AS step, thread_id % 5 AS n FROM threads), h AS (SELECT s_suppkey AS s, 40 + s_suppkey % 50 AS available, 448 + s_suppkey % 2 AS width FROM supplier WHERE s_suppkey < 10),
+f AS (SELECT thread_id, 'static' AS section, 'seed allowed' AS rule FROM c WHERE thread_id % 7 = 0 UNION ALL SELECT thread_id, 'dynamics', 'n_frames allowed' FROM c WHERE n = 0 UNION ALL SELECT thread_id, 'dynamic_background', 'frame_step allowed' FROM c WHERE step = 0
+  UNION ALL SELECT thread_id, 'experiment', 'name' FROM c WHERE thread_id % 6 = 0),
+i AS (SELECT thread_id, r.scope, r.rule FROM c LEFT JOIN h USING (s), (VALUES ('preview', 'sequence known'), ('save', 'sequence known'), ('production', 'sequence known'), ('preview', 'first frame there'), ('save', 'run fits'), ('production', 'run fits'), ('preview', 'width fits'), ('save', 'width fits'), ('production', 'width fits')) r(scope, rule)
+  WHERE CASE r.rule WHEN 'sequence known' THEN available IS NULL WHEN 'first frame there' THEN start >= available WHEN 'run fits' THEN start + step * (n - 1) >= available ELSE width <> 448 END)
+SELECT thread_id, scope, section, rule FROM f, (VALUES ('preview'), ('save'), ('production')) x(scope) WHERE scope <> 'preview' OR section = 'static' UNION ALL SELECT thread_id, scope, 'inputs', rule FROM i"""
+
+
+@book.query("threads", "supplier", sql=over(_SCOPED, "threads"))
+def scoped_rules(threads: DataFrame, supplier: DataFrame) -> DataFrame:
+    """What stands in the way of a preview, of saving and of production, for configurations with faults of all kinds."""
+    from ..sources import experiments
+
+    i = F.col("thread_id")
+    values = {
+        "static.seed": F.when(i % 7 == 0, -1.0).otherwise(1.0),
+        "dynamics.n_frames": i % 5,
+        "dynamic_background.start_index": i % 60,
+        "dynamic_background.frame_step": i % 4,
+    }
+    configs = threads.select("thread_id", F.when(i % 6 == 0, "").otherwise("a name").alias("name"), F.lit("").alias("description"), (i % 12).cast("string").alias("background"), _overrides(values).alias("values"))
+    headers = supplier.filter("s_suppkey < 10").select(F.col("s_suppkey").cast("string").alias("sequence_id"), (40 + F.col("s_suppkey") % 50).alias("n_frames"), (448 + F.col("s_suppkey") % 2).alias("width"))
+    parts = [experiments.scoped_faults(configs, scope, headers, "thread_id").withColumn("scope", F.lit(scope)) for scope in experiments.SCOPES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("thread_id", "scope", "section", "rule")

@@ -198,6 +198,44 @@ def faults(configs: DataFrame, key: str = "path", exact: bool = False) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
+#: What each action looks at: sections, rules it leaves out, whether texts count, what its sequence must have.
+SCOPES = {
+    "preview": (("static", "dynamic_background"), ("frame_step allowed",), False, "first frame there"),
+    "save": (tuple(SECTIONS), (), True, "run fits"),
+    "production": (tuple(SECTIONS), (), True, "run fits"),
+}
+
+
+def scoped_faults(configs: DataFrame, scope: str, headers: DataFrame | None = None, key: str = "path") -> DataFrame:
+    """(key, section, rule) of what stands in the way of one action with configurations as ``load`` gives them.
+
+    A preview shows the first frame, so it asks nothing of dynamics, export, video, texts or the spacing of later frames; a
+    draft is saved, and a run produced, only if all of it is right. ``headers`` (sequence_id, n_frames, and height and width
+    where they are known) are the sequences there are: a background must be one of them, have the frames that the action
+    reads, and the size of the image. Saving may go without them, production not.
+    """
+    sections, left_out, texts, frames = SCOPES[scope]
+    if scope == "production" and headers is None:
+        raise ValueError("production needs the sequences that there are")
+    named = faults(configs, key).filter(F.col("section").isin(*sections) | (F.col("section") == "experiment"))
+    named = named.filter(~F.col("rule").isin(*left_out)) if left_out else named
+    if not texts:
+        named = named.filter((F.col("section") != "experiment") | (F.col("rule") == "background path"))
+    if headers is None:
+        return named
+    asked = with_defaults(configs.select(key, "background", section(configs, "dynamic_background").alias("own")), key, "own", BACKGROUND).drop("own", "seed")
+    size = with_defaults(configs.select(key, section(configs, "static").alias("own")), key, "own", STATIC).select(key, "nx", "ny", "downsample_factor")
+    run = with_defaults(configs.select(key, section(configs, "dynamics").alias("own")), key, "own", DYNAMICS).select(key, F.col("n_frames").alias("wanted"))
+    full = asked.join(size, key).join(run, key).join(configs.select(key, F.col("background").alias("sequence_id")), key)
+    full = full.join(headers.withColumn("__there", F.lit(True)), "sequence_id", "left")
+    there, last = F.col("__there").isNotNull(), F.col("start_index") + F.col("frame_step") * (F.col("wanted") - 1)
+    rules = {"sequence known": there, frames: ~there | ((F.col("start_index") if frames == "first frame there" else last) < F.col("n_frames"))}
+    for side, pixels in (("width", "nx"), ("height", "ny")):
+        if side in headers.columns:
+            rules[f"{side} fits"] = ~there | (F.floor(F.col(pixels) / F.col("downsample_factor")) == F.col(side))
+    return named.unionByName(control.violations(full, key, rules).select(key, F.lit("inputs").alias("section"), "rule"))
+
+
 def requests(configs: DataFrame, headers: DataFrame, key: str = "path") -> DataFrame:
     """(key, last_frame, available, fits, cadence_s): what each configuration asks of its background sequence.
 
