@@ -37,6 +37,7 @@ from pyspark.sql.datasource import (
     GreaterThanOrEqual,
     In,
     InputPartition,
+    IsNotNull,
     LessThan,
     LessThanOrEqual,
     WriterCommitMessage,
@@ -145,6 +146,8 @@ class Wanted:
     def take(self, condition: Filter) -> bool:
         """Whether the source answers for a condition by itself."""
         name, op = tuple(condition.attribute) if hasattr(condition, "attribute") else (), type(condition)
+        if op is IsNotNull and name in (("sequence_id",), ("frame_idx",)):
+            return True  # neither is ever null
         if name == ("sequence_id",) and op in (EqualTo, In):
             chosen = frozenset(condition.value if op is In else [condition.value])
             self.sequences = chosen if self.sequences is None else self.sequences & chosen
