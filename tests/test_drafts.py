@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from sunloom.sources import drafts
 from sunloom.sources.drafts import Step
 
@@ -62,3 +64,27 @@ def test_routes_go_back_through_all_steps():
 
 def test_no_drafts(spark):
     assert drafts.upgrade(spark.createDataFrame([], "key long, body string")).count() == 0
+
+
+def test_actions_ask_only_for_what_they_need(spark):
+    import pytest
+
+    from sunloom.sources import experiments
+
+    rows = [
+        (1, "fine", "", "a", {"static.nx": 896.0}),
+        (2, "", "x" * 501, "a", {"dynamics.n_frames": 0.0, "video.fps": 1000.0, "dynamic_background.frame_step": 0.0}),
+        (3, "fine", "", "none", {"static.seed": -1.0}),
+        (4, "fine", "", "a", {"dynamic_background.start_index": 100.0, "static.nx": 64.0}),
+        (5, "fine", "", " ", {"dynamics.n_frames": 101.0}),
+    ]
+    configs = spark.createDataFrame(rows, "path long, name string, description string, background string, values map<string,double>")
+    headers = spark.createDataFrame([("a", 100, 448, 448), (" ", 100, 448, 448)], "sequence_id string, n_frames long, height long, width long")
+    found = {s: sorted(tuple(r) for r in experiments.scoped_faults(configs.withColumn("values", F.map_concat("values", F.when(F.map_contains_key("values", "dynamics.n_frames"), F.expr("cast(map() as map<string,double>)")).otherwise(F.create_map(F.lit("dynamics.n_frames"), F.lit(100.0))))), s, headers).collect()) for s in experiments.SCOPES}
+    assert found["preview"] == [(3, "inputs", "sequence known"), (3, "static", "seed allowed"), (4, "inputs", "first frame there"), (4, "inputs", "width fits"), (5, "experiment", "background path")]
+    assert [r for r in found["save"] if r[0] == 2] == [(2, "dynamic_background", "frame_step allowed"), (2, "dynamics", "n_frames allowed"), (2, "experiment", "description"), (2, "experiment", "name"), (2, "video", "fps allowed")]
+    assert [r for r in found["save"] if r[0] in (4, 5)] == [(4, "inputs", "run fits"), (4, "inputs", "width fits"), (5, "experiment", "background path"), (5, "inputs", "run fits")]
+    assert found["production"] == found["save"] and not [r for r in found["save"] if r[0] == 1]
+    assert not [r for r in experiments.scoped_faults(configs, "save").collect() if r.section == "inputs"]
+    with pytest.raises(ValueError):
+        experiments.scoped_faults(configs, "production")
