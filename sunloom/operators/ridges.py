@@ -1,12 +1,17 @@
-"""Dark ridges of time-distance diagrams by Columns alone: a diagram is a row of arrays, the search a fold over its times."""
+"""Dark ridges of time-distance diagrams: Spark gathers each diagram, matrices of many diagrams are searched at once."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import bounded_batches
+
 
 def weights(sigma: float, truncate: float = 4.0) -> list[float]:
     """A Gaussian's weights from -reach to reach."""
@@ -15,25 +20,50 @@ def weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _upto(n: Column) -> Column:
-    """0 to n - 1; n is at least 1."""
-    return F.sequence(F.lit(0), n - 1)
-
-
-def _held(i: Column, n: Column) -> Column:
-    """The index, edge values repeated."""
-    return F.greatest(F.lit(0), F.least(n - 1, i))
-
-
-def _weighed(values: list[float], at) -> Column:
-    reach = len(values) // 2
-    return sum((F.lit(w) * at(k - reach) for k, w in enumerate(values)), F.lit(0.0))
-
-
-def _percentile(ordered: Column, share: float) -> Column:
-    at = (F.size(ordered) - 1) * F.lit(share)
-    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+def _percentile(ordered: np.ndarray, share: float) -> np.ndarray:
+    """Along the last axis."""
+    at = (ordered.shape[-1] - 1) * share
+    low, high = ordered[..., math.floor(at)], ordered[..., math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+def _blurred(image: np.ndarray, values: list[float], axis: int) -> np.ndarray:
+    """Weighed along ``axis``, edge values repeated."""
+    size, reach = image.shape[axis], len(values) // 2
+    out = np.zeros_like(image)
+    for k, w in enumerate(values):
+        out += w * image.take(np.clip(np.arange(size) + k - reach, 0, size - 1), axis=axis)
+    return out
+
+
+def positions(images: np.ndarray, start: float | None, jump: int, penalty: float, start_penalty: float, sigma: tuple[float, float]) -> np.ndarray:
+    """(diagrams, times): the place along the last axis of each diagram's cheapest path; see ``dark_ridge``."""
+    count, times, n = images.shape
+    image = _blurred(_blurred(images, weights(sigma[0]), 2), weights(sigma[1]), 1)
+    ordered = np.sort(image, axis=2)
+    low, high = _percentile(ordered, 0.1)[..., None], _percentile(ordered, 0.9)[..., None]
+    costs = (image - low) / np.maximum(high - low, 1e-12)
+    last = costs[:, 0] + (start_penalty * (np.arange(n) - float(start)) ** 2 if start is not None else 0.0)
+    came = np.zeros((count, times, n), dtype=np.int32)
+    for j in range(1, times):
+        best, of = np.full((count, n), np.inf), np.tile(np.arange(n, dtype=np.int32), (count, 1))
+        # In order of where a move comes from, and only what is less replaces: of equal ones the smallest distance wins.
+        for d in range(-min(jump, n - 1), min(jump, n - 1) + 1):
+            to = slice(max(0, -d), n - max(0, d))
+            source = np.arange(n)[to] + d
+            value = last[:, source] + penalty * d * d + costs[:, j, to]
+            less = value < best[:, to]
+            best[:, to] = np.where(less, value, best[:, to])
+            of[:, to] = np.where(less, source, of[:, to])
+        last, came[:, j] = best, of
+    every, path = np.arange(count), np.zeros((count, times), dtype=np.int64)
+    path[:, -1] = last.argmin(axis=1)
+    for j in range(times - 1, 0, -1):
+        path[:, j - 1] = came[every, j, path[:, j]]
+    around = [np.take_along_axis(image, np.clip(path + k, 0, n - 1)[..., None], axis=2)[..., 0] for k in (-1, 0, 1)]
+    bend = around[0] - 2 * around[1] + around[2]
+    refine = (path > 0) & (path < n - 1) & (bend > 1e-12)
+    return path + np.where(refine, np.clip(0.5 * (around[0] - around[2]) / np.where(refine, bend, 1.0), -1, 1), 0.0)
 
 
 def dark_ridge(
@@ -54,42 +84,31 @@ def dark_ridge(
     range, ``start`` pulls its beginning. A diagram is what one row holds, so its size is the model's.
     """
     cells = diagrams if between is None else diagrams.filter(F.col("k").between(*between))
-    real = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("double"))
-    cells = cells.select(by, F.col("t").cast("long").alias("t"), F.col("k").cast("long").alias("k"), real.alias("v"))
-    times = cells.groupBy(by, "t").agg(F.collect_list(F.struct("k", "v")).alias("held"))
-    whole = times.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("t", "held"))).alias("r"))
-    every = F.flatten(F.col("r.held"))
-    whole = whole.select(by, F.col("r.t").alias("t"), F.transform("r", lambda r: F.map_from_entries(r["held"])).alias("held"), F.array_sort(F.array_distinct(every["k"])).alias("ks"), F.array_sort(F.array_compact(every["v"])).alias("all"))
-    whole = whole.filter(F.size("all") > 0)
-    n, count = F.size("ks"), F.size("t")
-    filled = F.transform("held", lambda h: F.transform("ks", lambda k: F.coalesce(F.try_element_at(h, k), F.col("middle"))))
-    rows = whole.withColumn("middle", _percentile(F.col("all"), 0.5)).withColumn("image", filled)
-    across, along = weights(sigma[0]), weights(sigma[1])
-    rows = rows.withColumn("image", F.transform("image", lambda c: F.transform(_upto(n), lambda i: _weighed(across, lambda o: F.get(c, _held(i + o, n))))))
-    rows = rows.withColumn("image", F.transform(_upto(count), lambda j: F.transform(_upto(n), lambda i: _weighed(along, lambda o: F.get(F.get("image", _held(j + o, count)), i)))))
-    rows = rows.withColumn("bounds", F.transform("image", lambda c: F.struct(_percentile(F.array_sort(c), 0.1).alias("low"), _percentile(F.array_sort(c), 0.9).alias("high"))))
-    scaled = lambda c, b: F.transform(c, lambda v: (v - b["low"]) / F.greatest(b["high"] - b["low"], F.lit(1e-12)))
-    rows = rows.withColumn("costs", F.zip_with("image", "bounds", scaled))
-    pull = (lambda i: F.lit(start_penalty) * F.pow(i - F.lit(float(start)), F.lit(2.0))) if start is not None else (lambda i: F.lit(0.0))
-    begin = F.array(F.transform(F.get("costs", F.lit(0)), lambda v, i: F.struct((v + pull(i)).alias("v"), i.alias("m"))))
-
-    def advance(layers: Column, cost: Column) -> Column:
-        last = F.element_at(layers, -1)
-        came = lambda i, c: F.array_min(F.transform(F.sequence(F.greatest(F.lit(0), i - jump), F.least(n - 1, i + jump)), lambda m: F.struct((F.get(last, m)["v"] + F.lit(penalty) * (m - i) * (m - i) + c).alias("v"), m.alias("m"))))
-        return F.array_append(layers, F.transform(cost, lambda c, i: came(i, c)))
-
-    rows = rows.withColumn("layers", F.aggregate(F.slice("costs", F.lit(2), count), begin, advance))
-    end = F.array_min(F.transform(F.element_at("layers", -1), lambda c, i: F.struct(c["v"].alias("v"), i.alias("i"))))["i"]
-    first = F.struct(end.alias("at"), F.array().cast("array<int>").alias("path"))
-    back = F.aggregate(F.reverse("layers"), first, lambda s, layer: F.struct(F.get(layer, s["at"])["m"].alias("at"), F.array_append(s["path"], s["at"]).alias("path")))
-    rows = rows.select(by, "t", "ks", "image", F.reverse(back["path"]).alias("path"))
-
-    def refined(p: Column, image: Column) -> Column:
-        left, mid, right = F.get(image, p - 1), F.get(image, p), F.get(image, p + 1)
-        bend = left - 2 * mid + right
-        shift = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.5 * (left - right) / bend))
-        return p + F.when((p > 0) & (p < n - 1) & (bend > 1e-12), shift).otherwise(0.0)
-
-    placed = F.arrays_zip("t", F.zip_with("path", "image", refined).alias("position"))
-    out = rows.select(by, F.get("ks", F.lit(0)).alias("from"), F.explode(placed).alias("p"))
-    return out.select(by, "p.t", (F.col("from") + F.col("p.position")).alias("position"))
+    kind = cells.schema[by].dataType.simpleString()
+    cells = cells.select(by, F.col("t").cast("long").alias("t"), F.col("k").cast("long").alias("k"), F.col("value").cast("double").alias("v"))
+    whole = cells.groupBy(by).agg(*[F.collect_list(F.coalesce(c, F.lit(math.nan)) if c == "v" else F.col(c)).alias(c) for c in "tkv"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes: dict[tuple[int, int], list[tuple[int, np.ndarray, int, np.ndarray]]] = {}
+            for row, lists in enumerate(zip(*[batch.column(c) for c in "tkv"], strict=True)):
+                t, k, v = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+                (ts, j), (ks, i) = np.unique(t, return_inverse=True), np.unique(k, return_inverse=True)
+                at = j * len(ks) + i
+                if len(np.unique(at)) < len(at):
+                    raise ValueError(f"diagram {batch.column(by)[row].as_py()} has a cell twice")
+                real = np.sort(v[~np.isnan(v)])
+                if not len(real):
+                    continue
+                image = np.full(len(ts) * len(ks), np.nan)
+                image[at] = v
+                image = np.where(np.isnan(image), _percentile(real, 0.5), image).reshape(len(ts), len(ks))
+                shapes.setdefault(image.shape, []).append((row, ts, int(ks[0]), image))
+            for (times, _), alike in shapes.items():
+                rows, ts, first, images = zip(*alike, strict=True)
+                made = positions(np.stack(images), start, jump, penalty, start_penalty, sigma) + np.array(first)[:, None]
+                names = batch.column(by).take(pa.array(np.repeat(rows, times)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(ts)), pa.array(made.reshape(-1))], names=[by, "t", "position"])
+
+    bounded_batches(diagrams.sparkSession)
+    return whole.mapInArrow(run, f"`{by}` {kind}, t long, position double")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import pendulum, transfer
 from ..operators import greedy, kernels, regions, sequences
 from ..operators import ridges as tracks
+from ..operators.sizes import dealt
 from ..sources import staging
 from ..streaming import dynamics
 from ..streaming import runs as streams
@@ -41,7 +42,9 @@ def diagrams(ticks: DataFrame) -> DataFrame:
     """A diagram for every TIMES ticks, a time for each tick: a dark band that swings around the middle, with noise from
     the tick's value and counters, and gaps."""
     diagram, t = F.floor(F.col("idx") / TIMES), F.col("idx") % TIMES
-    cells = ticks.select(diagram.alias("diagram_id"), t.alias("t"), "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))).alias("k"))
+    # Dealt before a tick becomes a row of cells, so that only ticks are shuffled.
+    times = dealt(ticks.select(diagram.alias("diagram_id"), t.alias("t"), "value"), "diagram_id", ticks, 100 * TIMES)
+    cells = times.select("diagram_id", "t", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))).alias("k"))
     noise = sequences.counter_uniform(F.col("diagram_id"), F.col("t") * 64 + F.col("k"), stream=5) - 0.5
     value = 1 - F.exp(-F.pow((F.col("k") - swing(F.col("diagram_id"), F.col("t"))) / 2.5, 2)) + 0.2 * noise + F.col("value") % 1 / 50
     return cells.select("diagram_id", "t", "k", F.when((F.col("t") + F.col("k")) % 97 == 0, F.lit(None)).otherwise(value).alias("value"))
@@ -80,7 +83,8 @@ def ridges(ticks: DataFrame) -> DataFrame:
     """A ridge for every SAMPLES ticks: damped sines around 50 with amplitude 10, damping 14,400 s and periods from 3,600 s
     on, with noise of a fifth of a pixel, some outliers and some missing positions."""
     ridge, step = F.floor(F.col("idx") / SAMPLES), F.col("idx") % SAMPLES
-    rows = ticks.select(ridge.alias("ridge_id"), (60.0 * step).alias("t"), "idx")
+    # A ridge is a few KB and a twentieth of a second: parts by the work, not by bytes.
+    rows = dealt(ticks.select(ridge.alias("ridge_id"), (60.0 * step).alias("t"), "idx"), "ridge_id", ticks, 40 * SAMPLES)
     lits = lambda *v: [F.lit(float(x)) for x in v]
     equilibrium, drift, amplitude, damping, phase, reference = lits(50, 0, 10, 14_400, 0, 0)
     clean = pendulum.damped_sine(F.col("t"), equilibrium, drift, amplitude, 3_600.0 + 120.0 * (F.col("ridge_id") % 10), damping, phase, reference)
