@@ -132,6 +132,7 @@ def column_mass_loading(threads: DataFrame, wanted: float = 1e-4, plasma: dict[s
 SINE = ("equilibrium", "drift", "amplitude", "period", "damping", "phase")
 #: Fewest points of a fit, decays over the whole span that are tried first, samples a cycle and a step of the search.
 LEAST_POINTS, DECAYS, SAMPLES_A_CYCLE, STEPS_A_CYCLE = 12, (0.0, 0.3, 1.0, 3.0, 9.0), 3, 8
+TRIED_AT_ONCE = 64
 
 
 def sine(p: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -144,16 +145,17 @@ def sine_slopes(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones_like(t), t, wave.imag / p[2], -2 * np.pi * t / p[3] ** 2 * wave.real, t / p[4] ** 2 * wave.imag, wave.real])
 
 
-def linear_part(t: np.ndarray, y: np.ndarray, w: np.ndarray, cycles: np.ndarray, decay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Level, slope, sine and cosine that fit best for each pair of cycles and decays over a unit of ``t``, and their misfits."""
-    wave = np.exp((2j * np.pi * cycles - decay)[:, None] * t)
-    basis = np.stack([np.ones(wave.shape), np.broadcast_to(t, wave.shape), wave.imag, wave.real], axis=1)
-    normal = np.einsum("mkn,mln,n->mkl", basis, basis, w) + 1e-13 * len(t) * np.eye(4)
-    found = np.linalg.solve(normal, np.einsum("mkn,n->mk", basis, w * y)[..., None])[..., 0]
-    left = y - np.einsum("mk,mkn->mn", found, basis)
+def linear_part(t: np.ndarray, y: np.ndarray, w: np.ndarray, wave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level, slope, sine and cosine that fit best for each ``wave`` (a row of exp((2 pi i cycles - decay) t)), and their misfits."""
+    basis = np.empty((len(wave), 4, len(t)))
+    basis[:, 0], basis[:, 1], basis[:, 2], basis[:, 3] = 1, t, wave.imag, wave.real
+    # Products of matrices: sums over three factors at once take many times as long.
+    normal = (basis * w) @ basis.transpose(0, 2, 1) + 1e-13 * len(t) * np.eye(4)
+    found = np.linalg.solve(normal, (basis @ (w * y))[..., None])[..., 0]
+    left = y - (found[:, None] @ basis)[:, 0]
     # A second pass on what is left takes back what the normal equations lose in digits.
-    found += np.linalg.solve(normal, np.einsum("mkn,mn->mk", basis, w * left)[..., None])[..., 0]
-    left = y - np.einsum("mk,mkn->mn", found, basis)
+    found += np.linalg.solve(normal, basis @ (w * left)[..., None])[..., 0]
+    left = y - (found[:, None] @ basis)[:, 0]
     return found, (w * left**2).sum(axis=1)
 
 
@@ -175,14 +177,22 @@ def fit_sine(t: np.ndarray, y: np.ndarray, robust: bool = True, periods: tuple[f
     most = span / (SAMPLES_A_CYCLE * float(np.median(np.diff(t)))) if periods is None else span / periods[0]
     least = 0.75 if periods is None else span / periods[1]
     tried = np.arange(least, max(most, least + 0.5), 1 / STEPS_A_CYCLE)
-    firsts = [(float(m.min()), float(tried[m.argmin()]), d) for d in DECAYS for m in [linear_part(unit, y, weight, tried, np.full(len(tried), d))[1]]]
-    _, cycles, decay = min(firsts)
+    # Waves are most of the work: turning and fading are raised apart and multiplied, and matrices stay in a core's cache.
+    firsts = []
+    for k in range(0, len(tried), TRIED_AT_ONCE):
+        turning = np.exp(2j * np.pi * tried[k : k + TRIED_AT_ONCE, None] * unit)
+        for d in DECAYS:
+            misfit = linear_part(unit, y, weight, turning * np.exp(-d * unit))[1]
+            firsts.append((float(misfit.min()), d, float(tried[k + misfit.argmin()])))
+    # Of equal misfits the fewest cycles, then the least decay.
+    _, cycles, decay = min((m, c, d) for m, d, c in firsts)
     wide, deep, grid = 1 / STEPS_A_CYCLE, max(decay, 0.5) / 2, np.linspace(-1, 1, 5)
     for _ in range(rounds):
-        near = [x.reshape(-1) for x in np.meshgrid(cycles + wide * grid, decay + deep * grid)]
-        found, misfit = linear_part(unit, y, weight, *near)
+        turns, fades = cycles + wide * grid, decay + deep * grid
+        waves = np.exp(-fades[:, None] * unit)[:, None] * np.exp(2j * np.pi * turns[:, None] * unit)
+        found, misfit = linear_part(unit, y, weight, waves.reshape(-1, len(t)))
         best = int(misfit.argmin())
-        cycles, decay, p = near[0][best], near[1][best], found[best]
+        cycles, decay, p = turns[best % len(grid)], fades[best // len(grid)], found[best]
         wide, deep = 0.6 * wide, 0.6 * deep
         if robust:
             wave = np.exp((2j * np.pi * cycles - decay) * unit)
