@@ -58,15 +58,58 @@ def near_pairs(left: DataFrame, right: DataFrame, at_left: list[str], at_right:
     b = right
     for k, c in enumerate(cells(at_right)):
         b = b.withColumn(f"cell{k}", F.explode(F.array(c - 1, c, c + 1)))
-    return a.join(b, [f"cell{k}" for k in range(len(at_left))])
+    # Both sides are dealt by cells in parts of few rows: pairs are many times the rows, and neither side's bytes tell how many.
+    # So no side is taken for small and broadcast, and no parts are merged.
+    names = [f"cell{k}" for k in range(len(at_left))]
+    # Fewer parts than the session's shuffles have, a join would deal anew.
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-left.count() // 2_000))
+    return a.repartition(parts, *names).hint("shuffle_hash").join(b.repartition(parts, *names), names)
+
+
+def nearest_other(points: DataFrame, by: str, axes: list[str], radius: float, together: int = 64) -> DataFrame:
+    """Per ``by`` the distance ``gap`` from its points to the nearest point of another one, where that is within ``radius``.
+
+    Points are looked for within a reach that is small enough where they are densest, and those that find nothing look again
+    within twice the reach, up to the radius. Points still looking keep their distance from each other, so few of them meet
+    any one point, and a round's work grows with the points, not with their square. Equal places count once.
+    """
+    known = points.select(by, *[F.col(a).cast("double").alias(a) for a in axes]).dropna()
+    places = written(known.groupBy(*axes).agg(F.min(by).alias("one"), F.max(by).alias("other")), "places")
+    shared = places.filter("one <> other").select(*axes)
+    found = known.join(shared, axes, "left_semi").select(by, F.lit(0.0).alias("gap"))
+    asked = places.filter("one = other").select(F.col("one").alias("who"), *axes)
+    total = places.count()
+    cell = lambda c, size: F.floor(c / size).cast("long")
+    level = 0
+    # Fine enough that a point meets few others on average: of a cell's points each meets all, in eight cells or so.
+    while level < 40:
+        counts = places.groupBy(*[cell(F.col(a), 2 * radius / 2**level).alias(a) for a in axes]).count()
+        if 2 ** len(axes) * (counts.agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0) <= together * total:
+            break
+        level += 1
+    for k in range(level, -1, -1):
+        # A hair wider, so that rounding in the division loses no pair at the very edge.
+        reach = radius / 2**k * (1 + 1e-9)
+        here = places.select(*[F.col(a).alias(f"o_{a}") for a in axes], "one", "other", *[cell(F.col(a), 2 * reach).alias(f"cell_{a}") for a in axes])
+        spread = asked
+        for a in axes:
+            spread = spread.withColumn(f"cell_{a}", F.explode(F.array_distinct(F.array(cell(F.col(a) - reach, 2 * reach), cell(F.col(a) + reach, 2 * reach)))))
+        gap = F.sqrt(reduce(lambda x, y: x + y, [F.pow(F.col(a) - F.col(f"o_{a}"), 2) for a in axes]))
+        met = spread.hint("merge").join(here, [f"cell_{a}" for a in axes]).filter("one <> who or other <> who")
+        near = written(met.withColumn("gap", gap).filter(F.col("gap") <= radius / 2**k).groupBy("who", *axes).agg(F.min("gap").alias("gap")), "nearest-other")
+        found = found.unionByName(near.select(F.col("who").alias(by), "gap"))
+        if k:
+            asked = written(asked.join(near.select("who", *axes), ["who", *axes], "left_anti"), "still-asked")
+    return found.groupBy(by).agg(F.min("gap").alias("gap"))
 
 
 def overlapping(left: DataFrame, boxes: DataFrame, tile: float, how: str = "left_semi", grow_share: float = 0.0, grow_px: float = 0.0) -> DataFrame:
     """Rows of ``left`` (x0, y0, x1, y1) that overlap any of ``boxes`` grown on all sides, or with "left_anti" none.
 
-    Both go to the tiles they touch, the join is on tiles, so a box meets only its neighbourhood.
+    Both go to the tiles they touch, the join is on tiles, so a box meets only its neighbourhood. Boxes in the same place are
+    held against others once.
     """
-    keys = [c for c in left.columns]
+    place = ["x0", "y0", "x1", "y1"]
     grown = boxes.select(
         (F.col("x0") - grow_share * (F.col("x1") - F.col("x0")) - grow_px).alias("bx0"),
         (F.col("y0") - grow_share * (F.col("y1") - F.col("y0")) - grow_px).alias("by0"),
@@ -79,8 +122,8 @@ def overlapping(left: DataFrame, boxes: DataFrame, tile: float, how: str = "left
         return df.withColumn("tx", span(x0, x1)).withColumn("ty", span(y0, y1))
 
     meets = (F.col("bx0") < F.col("x1")) & (F.col("bx1") > F.col("x0")) & (F.col("by0") < F.col("y1")) & (F.col("by1") > F.col("y0"))
-    hit = tiles(left, "x0", "y0", "x1", "y1").join(tiles(grown, "bx0", "by0", "bx1", "by1"), ["tx", "ty"]).filter(meets).select(*keys).distinct()
-    return left.join(hit.select(keys[0]).distinct(), keys[0], how)
+    hit = tiles(left.select(*place).distinct(), *place).join(tiles(grown.distinct(), "bx0", "by0", "bx1", "by1"), ["tx", "ty"]).filter(meets).select(*place).distinct()
+    return left.join(hit, place, how).select(*left.columns)
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, by: str, at: str, of: str, tie: str) -> DataFrame:

@@ -386,8 +386,9 @@ def segment_min_distance(segments: DataFrame) -> DataFrame:
     mid = lambda a, b: (F.col(a) + F.col(b)) / 2
     left = segments.select("*", mid("ax", "bx").alias("mx"), mid("ay", "by_").alias("my"), mid("az", "bz").alias("mz"))
     right = left.toDF(*[f"o_{c}" for c in left.columns])
-    # Pairs are many times the rows: deal the slim rows over all tasks before they meet.
-    pairs = spatial.near_pairs(left.repartition("thread_id"), right, ["mx", "my", "mz"], ["o_mx", "o_my", "o_mz"], RADIUS + 6_100.0).filter("thread_id <> o_thread_id")
+    apart = sum((F.col(f"m{c}") - F.col(f"o_m{c}")) * (F.col(f"m{c}") - F.col(f"o_m{c}")) for c in "xyz")
+    # Of the pairs of neighbouring cells a sixth has middles that near, and only those are measured.
+    pairs = spatial.near_pairs(left, right, ["mx", "my", "mz"], ["o_mx", "o_my", "o_mz"], RADIUS + 6_100.0).filter((F.col("thread_id") != F.col("o_thread_id")) & (apart <= (RADIUS + 6_101.0) ** 2))
     ends = [tuple(F.col(n) for n in names) for names in (("ax", "ay", "az"), ("bx", "by_", "bz"), ("o_ax", "o_ay", "o_az"), ("o_bx", "o_by_", "o_bz"))]
     near = F.when(F.col("gap") <= RADIUS, F.col("gap"))
     # Conditions inside the aggregates: a filter would carry the distance's formula into the join, spelt out many times.
@@ -397,10 +398,8 @@ def segment_min_distance(segments: DataFrame) -> DataFrame:
 
 @book.query("probes", sql=over(f"j AS (SELECT a.thread_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM probes a JOIN probes b ON a.thread_id <> b.thread_id AND abs(a.x - b.x) <= 15000) SELECT thread_id, {q('min(d)')} AS distance_km FROM j WHERE d <= 15000 GROUP BY 1", "probes"))
 def probe_min_distance(probes: DataFrame) -> DataFrame:
-    other = probes.toDF(*[f"o_{c}" for c in probes.columns])
-    pairs = spatial.near_pairs(probes, other, ["x", "y", "z"], ["o_x", "o_y", "o_z"], 15_000.0).filter("thread_id <> o_thread_id")
-    gap = F.sqrt(F.pow(F.col("x") - F.col("o_x"), 2) + F.pow(F.col("y") - F.col("o_y"), 2) + F.pow(F.col("z") - F.col("o_z"), 2))
-    return pairs.withColumn("gap", gap).filter(F.col("gap") <= 15_000.0).groupBy("thread_id").agg(r(F.min("gap")).alias("distance_km"))
+    found = spatial.nearest_other(probes, "thread_id", ["x", "y", "z"], 15_000.0)
+    return found.select("thread_id", r(F.col("gap")).alias("distance_km"))
 
 
 @book.query("crops", "detections", sql=over("SELECT c.crop_id FROM crops c WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE d.x0 - 0.1e0 * (d.x1 - d.x0) - 2e0 < c.x1 AND d.x1 + 0.1e0 * (d.x1 - d.x0) + 2e0 > c.x0 AND d.y0 - 0.1e0 * (d.y1 - d.y0) - 2e0 < c.y1 AND d.y1 + 0.1e0 * (d.y1 - d.y0) + 2e0 > c.y0)", "crops", "detections"))

@@ -41,3 +41,47 @@ def test_windows_of_samples_hold_only_the_image(spark):
     seen = {(r.t, r.row_idx, r.col_idx) for r in made.collect()}
     assert {t for t, _, _ in seen} == {1, 3} and all(0 <= y < 10 and 0 <= x < 10 for _, y, x in seen)
     assert {(y, x) for t, y, x in seen if t == 1} == {(y, x) for y in range(2, 9) for x in range(4)}
+
+
+def test_no_side_of_near_pairs_is_broadcast(spark):
+    from sunloom.operators import spatial
+
+    rows = spark.range(0, 50_000, 1, 1).select("id", F.col("id").cast("double").alias("x"))
+    made = spatial.near_pairs(rows, rows.toDF("o_id", "o_x"), ["x"], ["o_x"], 10.0)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString() and made.rdd.getNumPartitions() == 25
+    assert made.filter("abs(x - o_x) <= 10 and id <> o_id").count() == 2 * (10 * 50_000 - 55)
+
+
+def test_nearest_other_at_all_distances(spark):
+    import math
+    import random
+
+    from sunloom.operators import spatial
+
+    draw = random.Random(5)
+    # A dense clump, scattered points, equal places of two owners and of one, and one point alone.
+    rows = [(k % 60, draw.gauss(0, 0.01), draw.gauss(0, 0.01), draw.gauss(0, 0.01)) for k in range(300)]
+    rows += [(100 + k // 2, *[draw.uniform(0, 300) for _ in "xyz"]) for k in range(200)]
+    rows += [(300, 50.0, 50.0, 50.0), (301, 50.0, 50.0, 50.0), (302, -40.0, 0.0, 0.0), (302, -40.0, 0.0, 0.0), (303, -40.0, 15.0, 0.0), (304, 9e5, 0.0, 0.0)]
+    made = {r.by: r.gap for r in spatial.nearest_other(spark.createDataFrame(rows, "by long, x double, y double, z double"), "by", ["x", "y", "z"], 15.0, together=8).collect()}
+    want = {}
+    for a in rows:
+        gap = min(math.dist(a[1:], b[1:]) for b in rows if b[0] != a[0])
+        if gap <= 15.0:
+            want[a[0]] = min(gap, want.get(a[0], gap))
+    assert made.keys() == want.keys() and all(abs(made[k] - v) < 1e-9 for k, v in want.items())
+    assert want[302] == 15.0 and want[300] == 0.0 and 304 not in want
+
+
+def test_boxes_in_one_place_are_held_against_others_once(spark):
+    from sunloom.operators import spatial
+
+    crops = spark.range(0, 400, 1, 2).select("id", *[F.lit(v).alias(n) for n, v in (("x0", 10.0), ("y0", 10.0), ("x1", 74.0), ("y1", 74.0))])
+    crops = crops.unionByName(crops.filter("id = 7").withColumns({"id": F.lit(1_000).cast("long"), "x0": F.lit(900.0), "x1": F.lit(964.0)}))
+    boxes = spark.range(0, 400, 1, 2).select(*[F.lit(v).alias(n) for n, v in (("x0", 20.0), ("y0", 20.0), ("x1", 40.0), ("y1", 40.0))])
+    made = spatial.overlapping(crops, boxes, 128.0, "left_anti")
+    assert made.columns == crops.columns and [r.id for r in made.collect()] == [1_000]
+    assert spatial.overlapping(crops, boxes, 128.0, "left_semi").count() == 400
+    # Each side drops repeats before the tiles are joined.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3
