@@ -220,7 +220,9 @@ def stream_dynamics(threads: DataFrame, frames: DataFrame) -> DataFrame:
     for third in range(3):
         steps.filter(F.col("frame_idx") % 3 == third).write.mode("append").parquet(source)
     starts = threads.select("thread_id", *[F.lit(0.0).alias(c) for c in "xyz"])
-    stream = spark.readStream.schema(dynamics.STEPS).option("maxFilesPerTrigger", 16).parquet(source)
+    # Six batches or so of a large table, as each costs a round over all state.
+    files = max(16, -(-len(spark.read.parquet(source).inputFiles()) // 6))
+    stream = spark.readStream.schema(dynamics.STEPS).option("maxFilesPerTrigger", files).parquet(source)
     dynamics.follow(stream, starts, sink, partitions=spark.sparkContext.defaultParallelism, late="1 day", idle="2 days")
     made = spark.read.schema(dynamics.MOVED).parquet(sink).filter("kind = 'frame'")
     return made.select("thread_id", "frame_idx", *[r(F.col(c)).alias(c) for c in "xyz"], r(F.col("along_km")).alias("longitudinal_km"))

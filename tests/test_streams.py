@@ -1,5 +1,7 @@
 import datetime
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sunloom.plans import kernels as plans
@@ -69,3 +71,67 @@ def test_streamed_walks_equal_the_batch(spark, small):
     swing = {(r.thread_id, r.frame_idx): r.longitudinal_km for r in moving.oscillation_components(threads, frames).collect()}
     assert made.keys() == walk.keys()
     assert all(abs(a - b) < 1e-5 for k, v in made.items() for a, b in zip(v, (*walk[k], swing[k]), strict=True))
+
+
+class Held:
+    """A state handle that keeps one value and timers in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.at
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs  # noqa: N815
+
+
+def test_one_state_moves_a_block_of_threads():
+    draw, held = random.Random(2), Held()
+    motion = dynamics.Motion(1_000)
+    motion.init(held)
+    motion.handleInitialState((0,), pd.DataFrame({"thread_id": [3, 900], "x": [1.0, 2.0], "y": 0.0, "z": 0.0}), None)
+    rows = [(t, f, pd.Timestamp(1_000 * (t + 1), unit="ms"), draw.random(), 1.0, -1.0, float(f)) for t in range(1_000) for f in range(6) if (t, f) != (7, 2)]
+    draw.shuffle(rows)
+    names, got = ["thread_id", "frame_idx", "ts", "dx", "dy", "dz", "along_km"], []
+    for k in range(0, len(rows), 1_500):
+        part = pd.DataFrame(rows[k : k + 1_500], columns=names)
+        got += [r for made in motion.handleInputRows((0,), iter([part[:700], part[700:]]), None) for r in made.itertuples(index=False)]
+    step, want = {r[:2]: r[3] for r in rows}, {}
+    for t in range(1_000):
+        x = {3: 1.0, 900: 2.0}.get(t, 0.0)
+        for f in range(2 if t == 7 else 6):
+            x += step[t, f]
+            want[t, f] = x
+    assert {(r.thread_id, r.frame_idx): r.x for r in got} == want and len(got) == len(want)
+    # The block's only timer is that of the thread that has been silent longest; the rest stay.
+    assert held.timers == {2_000}
+    held.at = 8_000
+    closed = [(r.thread_id, r.frame_idx, r.kind, r.waiting) for made in motion.handleExpiredTimer((0,), held, held) for r in made.itertuples(index=False)]
+    held.timers.discard(2_000)
+    assert closed == [(t, 5, "closed", 0) for t in range(7)] and held.timers == {9_000}
+    held.at = 9_000
+    assert [(r.thread_id, r.frame_idx, r.waiting) for made in motion.handleExpiredTimer((0,), held, held) for r in made.itertuples(index=False)] == [(7, 1, 3)]
