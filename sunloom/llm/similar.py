@@ -384,16 +384,23 @@ def settled(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     good = known.filter("good").select("u", "v")
     found = stage(components(good), "similar-found")
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    apart = F.coalesce("of_u", "u") != F.coalesce("of_v", "v")
-    parted = known.filter("not good").select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").filter(apart).select("u")
-    parted = stage(parted.distinct(), "similar-open")
+    ends = [F.coalesce(f"of_{e}", e) for e in ("u", "v")]
+    failed = known.filter("not good").select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    # Groups stand for their texts, however many links lead from one to another.
+    parted = failed.select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).filter("u <> v").distinct()
+    parted = stage(parted, "similar-open")
     if not parted.limit(1).count():
         return found
-    clusters = stage(components(links.select("u", "v")), "similar-clusters")
-    torn = parted.join(clusters.withColumnRenamed("node", "u"), "u").select("component").distinct()
+    # Components name every node but the least of each.
+    whole = lambda parts: parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
+    clusters = stage(whole(components(parted)).select(F.col("node").alias("of"), F.col("component").alias("cluster")), "similar-clusters")
+    grouped = whole(found)
+    members = grouped.withColumnRenamed("component", "of").join(clusters, "of").select("node", "cluster")
+    alone = clusters.withColumnRenamed("of", "node").join(grouped.select("node"), "node", "left_anti").select("node", "cluster")
+    members = stage(members.unionByName(alone), "similar-members")
     # Of two there is one pair, and it failed.
-    torn = clusters.join(torn, "component").groupBy("component").count().filter("count > 2").select("component")
-    members = clusters.join(torn, "component").select("node", F.col("component").alias("cluster")).join(sets, "node")
+    torn = members.groupBy("cluster").count().filter("count > 2").select("cluster")
+    members = members.join(torn, "cluster").select("node", "cluster").join(sets, "node")
     more = stage(compared_whole(members, similarity), "similar-more")
     return components(good.unionByName(more))
 

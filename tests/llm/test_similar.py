@@ -228,3 +228,18 @@ def test_clusters_compared_in_chunks(spark, monkeypatch):
         parent[find(r.u)] = find(r.v)
     wanted = [(a, b) for a in sets for b in sets if a < b and (a - b) % 2 == 0 and similarity(sets[a], sets[b])]
     assert all(find(a) == find(b) for a, b in wanted) and len(wanted) > 100
+
+
+def test_parted_groups_stand_for_their_links(spark, monkeypatch):
+    """Two groups with 400 failed links between them, and texts that links connect to none: clusters come from pairs of groups,
+    and the least text of a cluster (60, like 62) is compared too."""
+    base = [list(range(k * 1000, k * 1000 + 50)) for k in range(2)]
+    sets = {k: [*base[k % 2], 10_000 + k] for k in range(40)} | {50: list(range(5000, 5050)), 51: list(range(6000, 6050)), 52: base[0][:45]} | {60: list(range(7000, 7020)), 61: list(range(8000, 8020)), 62: list(range(7000, 7019))}
+    links = [(a, b) for a in range(0, 40, 2) for b in range(1, 40, 2)] + [(k, k + 2) for k in range(38)] + [(50, 51), (0, 50), (51, 52), (60, 61), (61, 62)]
+    asked = []
+    found = similar.components
+    monkeypatch.setattr(similar, "components", lambda edges: asked.append(edges.count()) or found(edges))
+    rows = spark.createDataFrame(list(sets.items()), "node long, set array<long>")
+    made = {r.node: r.component for r in similar.settled(spark.createDataFrame([(min(p), max(p)) for p in links], "u long, v long"), rows).collect()}
+    assert len(asked) == 3 and asked[0] == 38 and asked[1] <= 6
+    assert {k: made.get(k, k) for k in sets} == {k: k % 2 for k in range(40)} | {50: 50, 51: 51, 52: 0, 60: 60, 61: 61, 62: 60}
