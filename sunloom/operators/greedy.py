@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graphs
+from .sizes import dealt
+
+#: Tries of a group that one task walks through; larger groups are placed in rounds. Tries that a part has.
+WALKED, PART = 32_768, 200_000
 
 
 def overlaps(boxes: DataFrame, by: str, cell: float) -> DataFrame:
@@ -55,16 +61,63 @@ def _near(tries: DataFrame, by: str, separation: float) -> DataFrame:
     return close.select(by, "thread_id", "attempt", "other", "other_attempt", "distance", clash.alias("clash"))
 
 
-def place_threads(wanted: DataFrame, by: str, separation: float, attempts: int = 8, rounds: int = 1000) -> DataFrame:
+def walked(xyz: np.ndarray, radius: np.ndarray, first: np.ndarray, separation: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The walk itself over tries of one group by thread and attempt: which row each thread takes, its gap to the nearest
+    thread before it (NaN for none) and whether that is free. Threads begin at rows ``first``."""
+    ends = np.append(first[1:], len(xyz))
+    taken, gap, free = np.zeros(len(first), np.int64), np.full(len(first), np.nan), np.ones(len(first), bool)
+    at, wide = np.empty((len(first), 3)), np.empty(len(first))
+    for k, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+        row, nearest = 0, np.full(b - a, np.nan)
+        if k:
+            d = xyz[a:b, None, :] - at[None, :k, :]
+            d = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+            clear = ~(d < separation * (radius[a:b, None] + wide[None, :k])).any(axis=1)
+            nearest = np.fmin.reduce(d, axis=1)
+            free[k] = clear.any()
+            row = int(np.argmax(clear)) if free[k] else int(np.nanargmax(nearest))
+        taken[k], gap[k], at[k], wide[k] = a + row, nearest[row], xyz[a + row], radius[a + row]
+    return taken, gap, free
+
+
+def place_threads(wanted: DataFrame, by: str, separation: float, attempts: int = 8, rounds: int = 1000, most: int | None = None) -> DataFrame:
     """Threads placed as if one after the other in each group ``by``: the first of ``attempts`` candidates that keeps the
     separation (times both radii) from all threads before it, else the one farthest from them.
 
     ``wanted``: ``by``, thread_id, attempt, x, y, z, radius. Adds ``gap`` (to the nearest earlier thread, null for the first)
-    and ``accepted``. All threads choose at once, given what the others chose in the round before, until nobody changes: a
-    thread is right once those before it are, so the end is the only fixed point, the one that a walk finds, and rounds are as
-    many as the longest chain of threads that make each other move.
+    and ``accepted``. A group of at most ``most`` tries (``WALKED``; a filament has fewer) is walked through by one task;
+    larger ones are placed in rounds, to the same end. Rows without a group, thread or attempt are left out.
+    """
+    most = WALKED if most is None else most
+    tries = wanted.filter(F.col("attempt") < attempts).select(by, "thread_id", "attempt", "x", "y", "z", "radius").dropna(subset=[by, "thread_id"])
+    large = graphs.written(tries.groupBy(by).count().filter(F.col("count") > most).select(by), "large-groups")
+    kinds = {f.name: f.dataType.simpleString() for f in tries.schema}
+    names = [by, "thread_id", "attempt", "x", "y", "z"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", gap double, accepted boolean"
+
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("thread_id", "ascending"), ("attempt", "ascending")])
+        thread = np.asarray(group["thread_id"])
+        first = np.flatnonzero(np.append(True, thread[1:] != thread[:-1]))
+        xyz = np.column_stack([group[c].cast(pa.float64()).to_numpy() for c in "xyz"])
+        taken, gap, free = walked(xyz, group["radius"].cast(pa.float64()).to_numpy(), first, separation)
+        picked = group.select(names).take(pa.array(taken))
+        return picked.append_column("gap", pa.array(gap, from_pandas=True)).append_column("accepted", pa.array(free))
+
+    if not large.limit(1).count():
+        return dealt(tries, by, tries, PART).groupBy(by).applyInArrow(walk, schema)
+    few = tries.join(large, by, "left_anti").select(*tries.columns)
+    return few.groupBy(by).applyInArrow(walk, schema).unionByName(_placed_in_rounds(tries.join(large, by, "left_semi").select(*tries.columns), by, separation, rounds))
+
+
+def _placed_in_rounds(wanted: DataFrame, by: str, separation: float, rounds: int) -> DataFrame:
+    """``place_threads`` for groups of any size.
+
+    All threads choose at once, given what the others chose in the round before, until nobody changes: a thread is right once
+    those before it are, so the end is the only fixed point, the one that a walk finds, and rounds are as many as the longest
+    chain of threads that make each other move.
     """
-    tries = graphs.written(wanted.filter(F.col("attempt") < attempts).select(by, "thread_id", "attempt", "x", "y", "z", "radius"), "tries")
+    tries = graphs.written(wanted, "tries")
     near = graphs.written(_near(tries, by, separation), "near")
     names = [by, "thread_id", "attempt"]
     chosen = graphs.written(tries.groupBy(by, "thread_id").agg(F.min("attempt").alias("attempt"), F.lit(True).alias("accepted")), "placed")
@@ -82,7 +135,6 @@ def place_threads(wanted: DataFrame, by: str, separation: float, attempts: int =
     else:
         raise RuntimeError(f"threads did not settle in {rounds} rounds")
     placed = tries.join(chosen, names).drop("radius")
-    # A group is a filament's threads, so many as its model has; each meets those before it.
     earlier = placed.select(by, F.col("thread_id").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
     distance = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
     gaps = placed.join(earlier, by).filter("other < thread_id").groupBy(by, "thread_id").agg(F.min(distance).alias("gap"))

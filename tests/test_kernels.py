@@ -212,6 +212,34 @@ def test_placement_keeps_distance_or_the_farthest(spark, small):
     assert made.groupBy("thread_id").count().filter("count > 1").count() == 0
 
 
+def test_placement_by_walk_equals_rounds_and_a_plain_loop(spark):
+    from sunloom.operators import greedy
+
+    rng = np.random.default_rng(12)
+    rows = [(g, t, a, *map(float, rng.uniform(0, 40, 3)), float(1 + t % 3)) for g, n in ((0, 1), (1, 7), (2, 40)) for t in range(n) for a in range(4)]
+    rows += [(None, 1, 0, 1.0, 1.0, 1.0, 1.0), (1, 99, 9, 1.0, 1.0, 1.0, 1.0)]
+    tries = spark.createDataFrame(rows, "g long, thread_id long, attempt long, x double, y double, z double, radius double").repartition(5)
+    want = {}
+    for g in range(3):
+        placed = []
+        for t in sorted({r[1] for r in rows if r[0] == g and r[2] < 4}):
+            best = None
+            for r in sorted(r for r in rows if r[:2] == (g, t)):
+                gaps = [math.dist(r[3:6], p[3:6]) for p in placed]
+                free = all(d >= 2.5 * (r[6] + p[6]) for d, p in zip(gaps, placed, strict=True))
+                score = (free, -r[2] if free else min(gaps, default=0.0))
+                if best is None or score > best[0]:
+                    best = (score, r, min(gaps, default=None), free)
+            placed.append(best[1])
+            want[g, t] = (best[1][2], best[2] and round(best[2], 9), best[3])
+    for most in (10**6, 30, 0):
+        made = greedy.place_threads(tries, "g", 2.5, attempts=4, most=most)
+        assert {(r.g, r.thread_id): (r.attempt, r.gap and round(r.gap, 9), r.accepted) for r in made.collect()} == want
+    assert {v[2] for v in want.values()} == {True, False}
+    plan = greedy.place_threads(tries, "g", 2.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_selected_crops_do_not_overlap(spark, small):
     made = plans.book.queries["crop_selection"](spark, small)
     a, b = made.alias("a"), made.alias("b")
