@@ -20,6 +20,8 @@ from .sizes import bounded_batches
 PIECES = "tile_row long, tile_col long, set boolean, label long, pixels long, top long, bottom long, first long, last long, edge boolean, rim array<int>"
 #: Tiles that a task labels at a time.
 AT_ONCE = 64
+#: Cells of a crop that one task judges whole; larger crops go by tiles.
+WHOLE = 1 << 18
 
 
 def labelled(mask: np.ndarray, diagonal: bool) -> np.ndarray:
@@ -166,13 +168,87 @@ def closed(mask: DataFrame, by: list[str], height: int, width: int, reach: int =
     return now
 
 
+def _above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Greater in Spark's order, where NaN is above all numbers."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
+def closed_images(mask: np.ndarray, reach: int = 2) -> np.ndarray:
+    """``closed`` for (images, rows, columns)."""
+    for grow in (True, False):
+        for axis in (1, 2):
+            pad = [(reach, reach) if k == axis else (0, 0) for k in range(3)]
+            windows = np.lib.stride_tricks.sliding_window_view(np.pad(mask, pad), 2 * reach + 1, axis=axis)
+            mask = windows.any(axis=-1) if grow else windows.all(axis=-1)
+    return mask
+
+
+def _loud(mask: np.ndarray, least: float, longest: float) -> np.ndarray:
+    """Which of (images, rows, columns) have a connected patch of more than ``least`` cells or longer than ``longest``."""
+    images, height, width = mask.shape
+    label = labelled(mask, True).reshape(images, -1)
+    of, cell = np.nonzero(label >= 0)
+    key = of * height * width + label[of, cell]
+    order = np.argsort(key, kind="stable")
+    key, cell = key[order], cell[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    out = np.zeros(images, bool)
+    if len(first):
+        sides = [np.maximum.reduceat(c, first) - np.minimum.reduceat(c, first) + 1 for c in (cell // width, cell % width)]
+        loud = (np.diff(np.append(first, len(key))) > least) | (np.maximum(*sides) > longest)
+        out[key[first[loud]] // (height * width)] = True
+    return out
+
+
+def _judged(pixels: DataFrame, by: list[str], height: int, width: int, dark: float, bright: float, areas: tuple[float, float], span: float) -> DataFrame:
+    """``quiet_crops`` of crops that are gathered whole, many in one task."""
+    total = height * width
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    inside = F.col("row_idx").between(0, height - 1) & F.col("col_idx").between(0, width - 1)
+    cell = F.when(inside, F.col("row_idx") * width + F.col("col_idx")).otherwise(-1).cast("int")
+    held = pixels.select(*by, F.struct(cell.alias("cell"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")).alias("p"))
+    held = held.groupBy(*by).agg(F.collect_list("p").alias("p"))
+    held = held.select(*by, F.col("p.cell").alias("cells"), F.col("p.value").alias("values"))
+    at_once = max(1, AT_ONCE * 1024 // total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, at_once):
+                batch = whole.slice(k, at_once)
+                n = batch.num_rows
+                middle, masks = np.empty(n), [np.zeros((n, total), bool) for _ in range(2)]
+                for j, (cells, values) in enumerate(zip(batch.column("cells"), batch.column("values"), strict=True)):
+                    cells, values = cells.values.to_numpy(), values.values.to_numpy()
+                    every = np.sort(np.append(values, np.zeros(max(0, total - len(values)))))
+                    middle[j] = (every[(total - 1) // 2] + every[total // 2]) / 2
+                    if not _above(middle[j], np.float64(0)):
+                        continue
+                    seen = cells >= 0
+                    absent = np.ones(total, bool)
+                    absent[cells[seen]] = False
+                    masks[0][j] = absent
+                    masks[0][j][cells[seen & _above(dark * middle[j], values)]] = True
+                    masks[1][j][cells[seen & _above(values, bright * middle[j])]] = True
+                quiet = _above(middle, np.zeros(n))
+                for mask, area in zip(masks, areas, strict=True):
+                    mask = mask.reshape(n, height, width)
+                    quiet &= ~_loud(mask | closed_images(mask), area * total, span * max(height, width))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array(quiet)], names=[*by, "quiet"])
+
+    bounded_batches(pixels.sparkSession)
+    return held.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", quiet boolean")
+
+
 def quiet_crops(pixels: DataFrame, by: list[str], height: int, width: int, dark: float = 0.92, bright: float = 1.12, areas: tuple[float, float] = (0.02, 0.03), span: float = 0.35, tile: int = 128) -> DataFrame:
     """(``by``, quiet) of crops given as pixels (row_idx and col_idx inside the crop, value); missing pixels are 0.
 
     A crop is quiet if its median is above zero and no patch darker or brighter than a share of it, gaps closed, is larger
-    than a share of the crop or longer than a share of its longer side.
+    than a share of the crop or longer than a share of its longer side. Crops of at most ``WHOLE`` cells are judged in one
+    pass, larger ones by tiles.
     """
     total = height * width
+    if total <= WHOLE:
+        return _judged(pixels, by, height, width, dark, bright, areas, span)
     # The middle two of a crop's values, missing ones counted as zeros, give the median.
     held = pixels.groupBy(*by).agg(F.collect_list(F.coalesce("value", F.lit(0.0))).alias("v"))
     filled = held.withColumn("v", F.sort_array(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(total) - F.size("v")))))

@@ -143,6 +143,26 @@ def test_quiet_crops_by_rule(spark):
     assert made == {k: quiet(m) for k, m in crops.items()} and set(made.values()) == {True, False}
 
 
+def test_quiet_crops_whole_and_by_tiles_agree(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(30):
+        crop = 100 * (1 + 0.03 * rng.normal(size=(16, 20)))
+        y, x = rng.integers(0, 12, 2)
+        crop[y : y + rng.integers(1, 4), x : x + rng.integers(1, 5)] *= 0.7 + 0.2 * (k % 4)
+        rows += [(k // 3, k % 3, r, c, None if rng.random() < 0.002 else float(v)) for (r, c), v in np.ndenumerate(crop) if rng.random() > 0.003 * (k % 5)]
+    rows += [(50, 0, r, c, 0.0) for r in range(4) for c in range(4)] + [(51, 0, -1, 3, 5.0), (51, 0, 3, 99, 5.0)]
+    pixels = spark.createDataFrame(rows, "frame_idx long, crop long, row_idx long, col_idx long, value double")
+    made = []
+    for whole in (1 << 18, 0):
+        monkeypatch.setattr(regions, "WHOLE", whole)
+        crops = regions.quiet_crops(pixels, ["frame_idx", "crop"], 16, 20, tile=8)
+        made.append({(r.frame_idx, r.crop): r.quiet for r in crops.collect()})
+        if whole:
+            assert "Join" not in crops._jdf.queryExecution().executedPlan().toString()
+    assert made[0] == made[1] and len(made[0]) == 32 and set(made[0].values()) == {True, False}
+
+
 @pytest.mark.parametrize("tile", [4, 64])
 def test_cohesion_by_flooding(spark, tile):
     rng = np.random.default_rng(5)
