@@ -47,3 +47,14 @@ def test_query_agrees_with_sql(spark, small, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
+
+
+def test_pixels_are_dealt_before_they_are_summed(spark, small, monkeypatch):
+    from sunloom.plans import relations
+
+    whole = relations.relation(spark, small, "pixels").collect()
+    monkeypatch.setitem(relations.DEALT, "pixels", ("lineitem", relations.FRAME, 500))
+    made = relations.relation(spark, small, "pixels")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("HashAggregate")
+    assert {tuple(r)[:4] for r in made.collect()} == {tuple(r)[:4] for r in whole}
