@@ -1,7 +1,8 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM in WAVE containers, decoded to PCM and resampled.
 
 The stored form is a WAVE file whose data chunk is the payload as it is, so storing loses nothing. Decoding expands
-mu-law and A-law through tables built by rule and steps ADPCM through all blocks of a batch at once with numpy.
+mu-law and A-law through tables built by rule and steps ADPCM through all blocks of a batch at once with numpy. Resampled
+sound is stored in a lossless code (``pack_sound``), which needs nothing but itself to give back every sample.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ RATE = 8000
 #: Bytes of texts or files worked on at a time (PCM takes up to 8 times as many), ADPCM blocks decoded at a time, bytes of
 #: a row group of stored files.
 PORTION, IMA_BLOCKS, FILE_BYTES = 256 << 10, 1024, 8 << 20
+#: How files and sounds are stored: pages as large as row groups, so that repeats lie within reach, and a thorough zstd.
+PARQUET = {"parquet.block.size": FILE_BYTES, "parquet.page.size": FILE_BYTES, "parquet.compression.codec.zstd.level": 9}
+#: Of a packed sound: samples, distinct values of every second one (0: these are kept as they are), whether the others differ
+#: from what is expected of them.
+HEAD = struct.Struct("<QH?")
 #: Format tags of WAVE files.
 ALAW, MULAW, IMA = 6, 7, 17
 NAMES = {ALAW: "alaw", MULAW: "mulaw", IMA: "ima"}
@@ -141,6 +147,57 @@ def resample(pcm: np.ndarray, rate: int, to: int, block: int = 4096) -> np.ndarr
     return out
 
 
+def halfway(x: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """What ``resample`` to twice the rate puts after every sample."""
+    tap = sinc_taps(2, 1)[1].astype(np.float64)
+    reach = len(tap) // 2
+    out = np.empty(len(x), dtype="<i2")
+    padded = np.pad(x, (reach - 1, reach), mode="edge") if len(x) else x
+    for k in range(0, len(x), block):
+        made = np.correlate(padded[k : k + block + len(tap) - 1].astype(np.float64), tap, "valid").astype(np.int64)
+        out[k : k + block] = np.clip((made + 8192) >> 14, -32768, 32767)
+    return out
+
+
+def pack_sound(pcm: np.ndarray) -> bytes:
+    """Any 16-bit samples in a lossless code, short where sound has little above half its band.
+
+    Every second sample is kept, as a place in the list of its distinct values where these are 256 or fewer. The others are
+    predicted by interpolation, and what they differ by is kept unless it is zero throughout.
+    """
+    even, odd = np.ascontiguousarray(pcm[::2], "<i2"), pcm[1::2].astype("<i2")
+    off = odd - halfway(even)[: len(odd)]
+    code = even.view("<u2")
+    seen = np.zeros(1 << 16, bool)
+    seen[code] = True
+    values = np.flatnonzero(seen)
+    if len(values) <= 256:
+        place = np.zeros(1 << 16, np.uint8)
+        place[values] = np.arange(len(values))
+        kept = values.astype("<u2").tobytes() + place[code].tobytes()
+    else:
+        values, kept = values[:0], even.tobytes()
+    return HEAD.pack(len(pcm), len(values), off.any()) + kept + (off.tobytes() if off.any() else b"")
+
+
+def unpack_sound(data: bytes) -> np.ndarray:
+    """The samples that ``pack_sound`` was given."""
+    n, distinct, differs = HEAD.unpack_from(data)
+    evens, at = n - n // 2, HEAD.size + 2 * distinct
+    if distinct:
+        even = np.frombuffer(data, "<i2", distinct, HEAD.size)[np.frombuffer(data, np.uint8, evens, at)]
+        at += evens
+    else:
+        even = np.frombuffer(data, "<i2", evens, at)
+        at += 2 * evens
+    out = np.empty(n, "<i2")
+    out[::2] = even
+    out[1::2] = halfway(even)[: n // 2]
+    if differs:
+        out[1::2] += np.frombuffer(data, "<i2", n // 2, at)
+    return out
+
+
 def decode(payloads: list[tuple[int, bytes]], block: int = IMA_BLOCKS) -> list[np.ndarray]:
     """PCM of (format tag, payload) pairs; the ADPCM blocks of all of them are decoded together, ``block`` at a time.
 
@@ -209,59 +266,63 @@ def to_media(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
-SOUNDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, coding string, samples long, rate long, pcm binary"
+KEPT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+SOUNDS = f"{KEPT}, coding string, samples long, rate long, "
 
 
-def to_pcm(media: DataFrame, rate: int = 16_000) -> DataFrame:
+def to_pcm(media: DataFrame, rate: int = 16_000, packed: bool = False) -> DataFrame:
     """Digests of the stored files, their coding and samples, and ``pcm``, their sound as 16-bit little-endian samples at
-    ``rate``.
+    ``rate``, or ``packed``, the same from ``pack_sound``.
 
     ``media`` has doc_id, n_bytes and media. A file that is no WAVE file of a known coding raises. Files are worked on a
-    few at a time, so a task holds little beside its longest file.
+    few at a time, so a task holds little beside its longest file; those of a batch come in order of their coding, as
+    neighbours that are alike take less room where they are stored.
     """
+    column = "packed" if packed else "pcm"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "coding", "samples", "rate", "pcm"]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "coding", "samples", "rate", column]
         for batch in batches:
-            for rows in portions(batch, "media"):
+            alike = pc.sort_indices(pc.binary_slice(batch.column("media"), 20, 22))
+            for rows in portions(batch.take(alike), "media"):
                 files = rows.column("media").to_pylist()
                 parsed = [parse_wav(f) for f in files]
                 made = []
                 for f, (tag, own, d), sound in zip(files, parsed, decode([(tag, data) for tag, _, data in parsed]), strict=True):
                     pcm = resample(sound, own, rate)
-                    made.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(f), hashlib.sha256(f).hexdigest(), NAMES[tag], len(sound), rate, pcm.tobytes()))
+                    stored = pack_sound(pcm) if packed else pcm.tobytes()
+                    made.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(f), hashlib.sha256(f).hexdigest(), NAMES[tag], len(sound), rate, stored))
                 columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *columns], names=names)
 
-    return map_arrow(media, run, SOUNDS)
+    return map_arrow(media, run, f"{SOUNDS}{column} binary")
 
 
 def described(sounds: DataFrame) -> DataFrame:
-    """``sounds`` (see ``SOUNDS``) without their samples, but with their bytes, digest and ``feature``: coding, samples before
-    and after resampling, peak, root mean square, crossings of zero."""
-    kept = [f for f in SOUNDS.split(", ")[:-4]]
+    """Packed sounds (see ``to_pcm``) unpacked: their rows without samples, but with the bytes and digest of these and
+    ``feature``: coding, samples before and after resampling, peak, root mean square, crossings of zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in KEPT.split(", ")]
         for batch in batches:
-            for rows in portions(batch, "pcm", 8 * PORTION):
+            for rows in portions(batch, "packed", 2 * PORTION):
                 made = []
-                for coding, samples, data in zip(*(rows.column(c).to_pylist() for c in ("coding", "samples", "pcm")), strict=True):
-                    pcm = np.frombuffer(data, "<i2")
-                    made.append((" ".join(map(str, (coding, samples, len(pcm), *describe(pcm)))), len(data), hashlib.sha256(data).hexdigest()))
+                for coding, samples, data in zip(*(rows.column(c).to_pylist() for c in ("coding", "samples", "packed")), strict=True):
+                    pcm = unpack_sound(data)
+                    made.append((" ".join(map(str, (coding, samples, len(pcm), *describe(pcm)))), pcm.nbytes, hashlib.sha256(pcm).hexdigest()))
                 columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)]
-                names = [f.split()[0] for f in kept]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in [*names, "rate"]), *columns], names=[*names, "rate", "feature", "pcm_bytes", "pcm_sha256"])
 
-    return map_arrow(sounds, run, ", ".join(kept) + ", rate long, feature string, pcm_bytes long, pcm_sha256 string")
+    return map_arrow(sounds, run, f"{KEPT}, rate long, feature string, pcm_bytes long, pcm_sha256 string")
 
 
 def telephony(docs: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Store each text as telephony audio in the shared folder, read the files back, decode and resample them, store the
-    samples beside them, read those back and describe them.
+    """Store each text as telephony audio in the shared folder, read the files back, decode and resample them, store all
+    samples beside them in a lossless code, read those back and describe them.
 
     One row per row of ``docs``. Null texts count as empty, repeated rows stay, doc_id may be null, and equal texts have
     equal values; only doc_id and text are read, so other columns may have any name. An empty table gives no rows.
     """
-    media = stage(to_media(docs), "telephony", **{"parquet.block.size": FILE_BYTES})
-    return described(stage(to_pcm(media, rate), "telephony-pcm", **{"parquet.block.size": FILE_BYTES}))
+    media = stage(to_media(docs), "telephony", **PARQUET)
+    return described(stage(to_pcm(media, rate, packed=True), "telephony-pcm", **PARQUET))

@@ -581,6 +581,37 @@ def test_stored_sound_and_feature_by_brute_force(spark, documents, monkeypatch):
         assert r.feature == f"{telephony.NAMES[tag]} {len(sound)} {len(want)} {max(map(abs, want))} {rms} {crossings}"
 
 
+def test_all_sound_is_stored_in_little_room(spark, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    from sunloom.llm import queries
+
+    kept, stage = [], telephony.stage
+    monkeypatch.setattr(telephony, "stage", lambda *args, **options: kept.append(stage(*args, **options)) or kept[-1])
+    rows = {r.doc_id: r for r in queries.op10_telephony(spark, "/root/testdata/sf0.001").collect()}
+    media, sound = (sum(os.path.getsize(urlparse(path).path) for path in df.inputFiles()) for df in kept)
+    assert sound < 2 * media
+    sounds = kept[1].select("doc_id", "packed").collect()
+    assert len(sounds) == len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for r in sounds:
+        assert hashlib.sha256(telephony.unpack_sound(r.packed)).hexdigest() == rows[r.doc_id].pcm_sha256
+
+
+def test_packed_sounds_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 16, 17, 1145, 70_001):
+        law, noise = rng.choice(telephony.alaw_table(), n), rng.integers(-32768, 32768, n).astype(np.int16)
+        assert (telephony.halfway(noise, block=100) == telephony.resample(noise, 8000, 16000)[1::2]).all()
+        for sound in (law, noise, np.full(n, -32768, np.int16)):
+            for rate in (6000, 8000, 11025, 16000):
+                pcm = telephony.resample(sound, 8000, rate)
+                back = telephony.unpack_sound(telephony.pack_sound(pcm))
+                assert back.dtype == np.dtype("<i2") and back.tolist() == pcm.tolist()
+        assert len(telephony.pack_sound(telephony.resample(law, 8000, 16000))) <= telephony.HEAD.size + 512 + n
+        assert len(telephony.pack_sound(telephony.resample(noise, 8000, 16000))) <= telephony.HEAD.size + 512 + 2 * n
+
+
 def test_portions_keep_rows_and_order(documents):
     import pyarrow as pa
 
