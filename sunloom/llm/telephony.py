@@ -152,9 +152,10 @@ def halfway(x: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     tap = sinc_taps(2, 1)[1].astype(np.float64)
     reach = len(tap) // 2
     out = np.empty(len(x), dtype="<i2")
-    padded = np.pad(x, (reach - 1, reach), mode="edge") if len(x) else x
     for k in range(0, len(x), block):
-        made = np.correlate(padded[k : k + block + len(tap) - 1].astype(np.float64), tap, "valid").astype(np.int64)
+        first, end = max(0, k - reach + 1), k + block + reach
+        near = np.pad(x[first:end], (first - k + reach - 1, max(0, min(k + block, len(x)) + reach - len(x))), mode="edge")
+        made = np.correlate(near.astype(np.float64), tap, "valid").astype(np.int64)
         out[k : k + block] = np.clip((made + 8192) >> 14, -32768, 32767)
     return out
 
@@ -165,19 +166,21 @@ def pack_sound(pcm: np.ndarray) -> bytes:
     Every second sample is kept, as a place in the list of its distinct values where these are 256 or fewer. The others are
     predicted by interpolation, and what they differ by is kept unless it is zero throughout.
     """
-    even, odd = np.ascontiguousarray(pcm[::2], "<i2"), pcm[1::2].astype("<i2")
-    off = odd - halfway(even)[: len(odd)]
-    code = even.view("<u2")
+    even = np.ascontiguousarray(pcm[::2], "<i2")
+    off = halfway(even)[: len(pcm) // 2]
+    np.subtract(pcm[1::2], off, out=off)
+    differs = bool(off.any())
+    off, code = off.tobytes() if differs else b"", even.view("<u2")
     seen = np.zeros(1 << 16, bool)
     seen[code] = True
     values = np.flatnonzero(seen)
     if len(values) <= 256:
         place = np.zeros(1 << 16, np.uint8)
         place[values] = np.arange(len(values))
-        kept = values.astype("<u2").tobytes() + place[code].tobytes()
+        kept = (values.astype("<u2"), place[code])
     else:
-        values, kept = values[:0], even.tobytes()
-    return HEAD.pack(len(pcm), len(values), off.any()) + kept + (off.tobytes() if off.any() else b"")
+        values, kept = values[:0], (even,)
+    return b"".join((HEAD.pack(len(pcm), len(values), differs), *kept, off))
 
 
 def unpack_sound(data: bytes) -> np.ndarray:
